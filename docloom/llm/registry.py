@@ -1,11 +1,16 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from docloom.llm import exact_dedup, mixing, simhash, url_filter
+from docloom.llm import exact_dedup, language_id, mixing, packing, quality, simhash, suffix_dedup, url_filter, vptree
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_vptree": vptree.op3_vptree,
     "op5_simhash": simhash.op5_simhash,
+    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_language_id": language_id.op8_language_id,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
