@@ -1,11 +1,12 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from docloom.llm import exact_dedup, language_id, mixing, packing, quality, simhash, suffix_dedup, url_filter, vptree
+from docloom.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality, simhash, suffix_dedup, url_filter, vptree
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_vptree": vptree.op3_vptree,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
