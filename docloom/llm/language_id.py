@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from docloom.llm.sampling import sample_per_class
 BUCKETS = 1 << 15
 WIDTHS = (2, 3, 4)
 #: Training documents of each language at most; a documented bound, everything else covers all rows.
-SAMPLE_PER_LANGUAGE = 1200
+SAMPLE_PER_LANGUAGE = 800
 DIMENSIONS, EPOCHS, RATE = 16, 4, 0.5
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -35,6 +36,12 @@ def subwords(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct buckets and their shares: at most BUCKETS numbers, however long the text."""
+    at, n = np.unique(subwords(text), return_counts=True)
+    return at.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -71,38 +78,31 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
     return scores, bias, float(heats[int(np.argmin(loss))])
 
 
-def features(docs: DataFrame, *keep: str) -> DataFrame:
-    """Each row's distinct subword buckets and their shares: at most BUCKETS numbers, however long the text."""
-    types = dict(docs.dtypes)
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = pdf[list(keep)].copy()
-            found = [np.unique(subwords(t), return_counts=True) for t in pdf.text]
-            out["at"] = [a.astype(np.int32) for a, _ in found]
-            out["share"] = [(n / max(1, n.sum())).astype(np.float32) for _, n in found]
-            yield out
-
-    schema = ", ".join(f"{k} {types[k]}" for k in keep) + ", at array<int>, share array<float>"
-    return docs.select(*keep, text_or_empty().cast("binary").alias("text")).mapInPandas(batches, schema)
-
-
 def identify(docs: DataFrame, training: DataFrame, reject_below: float = 0.5) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row of ``docs(doc_id, text)``; learns from ``training(doc_id, text, lang)``.
 
+    One task fits the model on a sample of SAMPLE_PER_LANGUAGE documents of each language at most.
+
     score is the calibrated probability of lang_pred, and ``rejected`` marks those below ``reject_below``. Texts that
     are null or without a letter are ``und`` with score 0, and so is every text when there is nothing to learn from.
     Ties go to the language first by name. Repeated rows are predicted alike; an empty table gives no rows.
     """
     sample = sample_per_class(training.where("lang is not null"), "lang", SAMPLE_PER_LANGUAGE)
-    rows = features(sample, "doc_id", "lang").orderBy("lang", "doc_id").collect()
-    names = sorted({r.lang for r in rows})
-    if names:
-        fitted = [(np.array(r.at, np.int64), np.array(r.share, np.float32)) for r in rows]
-        table, bias, heat = fit(fitted, np.array([names.index(r.lang) for r in rows]), len(names))
+
+    def learn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for pdf in it for r in zip(pdf.lang, pdf.doc_id, pdf.text, strict=True)), key=lambda r: (r[0], pd.isna(r[1]), r[1], r[2]))
+        names = sorted({lang for lang, _, _ in rows})
+        fitted = fit([shares(t) for _, _, t in rows], np.array([names.index(lang) for lang, _, _ in rows]), len(names)) if names else None
+        yield pd.DataFrame({"model": [pickle.dumps((names, fitted))]})
+
+    bounded = sample.select("lang", "doc_id", text_or_empty().cast("binary").alias("text")).repartition(1)
+    found = bounded.mapInPandas(learn, "model binary").collect()
+    model = docs.sparkSession.sparkContext.broadcast(bytes(found[0].model) if found else pickle.dumps(([], None)))
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, fitted = pickle.loads(model.value)
+        table, bias, heat = fitted or (None, None, None)
         for pdf in it:
             said, score = [], []
             for text, letters in zip(pdf.text, pdf.letters, strict=True):

@@ -1,0 +1,395 @@
+"""The ten operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from docloom.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality, simhash, suffix_dedup, url_filter, vptree
+from docloom.llm.common import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, recipe string, size int, fp double, key string, turn string"
+WORDS = ["the", "of", "and", "Rain", "field", "light", "über", "straße", "naïve", "mill", "stone", "river,", "cold.", "a", "x1", "—"]
+
+
+def rows(texts, start=0):
+    """Documents of the given texts, with further columns whose names operators use for themselves."""
+    return [(start + i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), "r", 1, 0.5, "k", "t") for i, t in enumerate(texts)]
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+    passage = " ".join(rng.choice(WORDS) for _ in range(30))
+    for i in (3, 11, 30):
+        texts[i] = texts[i] + " " + passage + "\n" + texts[i][:20]
+    texts += [texts[3], texts[3].replace(" ", "\t "), None, "", " ", "long " * 6000 + passage, passage[5:], texts[11] + "!"]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(corpus()), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def removed(texts):
+    seen, out = {}, {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        mask = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if seen.setdefault(b[k : k + 50], i) < i:
+                mask[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, m in zip(b, mask, strict=True) if not m)
+        runs = sum(1 for k in range(len(b)) if mask[k] and (k == 0 or not mask[k - 1]))
+        out[i] = (len(b), sum(mask), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(docs, empty, monkeypatch):
+    want = removed(corpus())
+    for many in (20_000, 2):  # the second deals every repeat by whole passages
+        monkeypatch.setattr(suffix_dedup, "MANY", many)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect()}
+        assert got == want
+    assert suffix_dedup.without_repeats(empty).count() == 0
+
+
+def test_suffix_dedup_many_in_batch(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = " ".join(rng.choice(WORDS) for _ in range(25))
+    texts = [f"{rng.random()} {passage[: 60 + i % 40]} {rng.random()}" for i in range(80)]
+    monkeypatch.setattr(suffix_dedup, "MANY_IN_BATCH", 8)
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows(texts), SCHEMA).repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(texts)
+
+
+def test_suffix_dedup_repeated_ids(spark):
+    twice = rows(["z" * 10 + "ab" * 60, "ab" * 70])
+    one = suffix_dedup.without_repeats(spark.createDataFrame(twice, SCHEMA)).collect()
+    two = suffix_dedup.without_repeats(spark.createDataFrame(twice + twice + [(None, "q" * 80, *twice[0][2:])], SCHEMA)).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_prefix_intervals_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        pieces = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 9))) for _ in range(6)})
+        piece, offset, lcp = suffix_dedup.suffix_array(pieces, np.zeros(len(pieces), np.int64), 3)
+        suffixes = [pieces[p][o:] for p, o in zip(piece, offset, strict=True)]
+        assert suffixes == sorted(suffixes)
+        before = [pieces[p][o - 1] if o else -1 for p, o in zip(piece, offset, strict=True)]
+        got = {(suffixes[a][:d], b - a + 1) for a, b, d in suffix_dedup.prefix_intervals(lcp.tolist(), before, 3)}
+        places = defaultdict(list)
+        for s, c in zip(suffixes, before, strict=True):
+            for k in range(3, len(s) + 1):
+                places[s[:k]].append((c, s[k : k + 1]))
+        edge = lambda xs: len(set(xs)) > 1 or -1 in xs or b"" in xs
+        want = {(w, len(at)) for w, at in places.items() if len(at) > 1 and edge([c for c, _ in at]) and edge([n for _, n in at])}
+        assert got == want
+
+
+def test_mixing(docs, empty):
+    out = mixing.mix_documents(docs).collect()
+    assert len(out) == docs.count()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect()}
+    taken, sizes = Counter(), Counter()
+    for r in out:
+        assert r["size"] == words[r.doc_id] and 0 <= r.taken <= 3 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+        sizes[source[r.doc_id]] += r["size"]
+    want = mixing.capped_targets(dict(sizes), mixing.weights_in_turn(sizes))
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert abs(sum(want.values()) - sum(sizes.values())) < 1e-6
+    assert all(math.isclose(r.target, want[source[r.doc_id]]) and r.source_size == sizes[source[r.doc_id]] for r in out)
+    again = mixing.mix_documents(docs.repartition(3)).collect()
+    assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in out}
+    assert mixing.mix_documents(empty).count() == 0
+
+
+def test_capped_targets_reshare():
+    got = mixing.capped_targets({"a": 10, "b": 1000, "c": 0}, {"a": 5, "b": 2, "c": 1})
+    assert got == {"a": 30.0, "b": 980.0, "c": 0.0}
+
+
+def test_min_cost_flow_overlap():
+    patterns = {"a": (["a"], 10), "ab": (["a", "b"], 10), "b": (["b"], 10)}
+    got = mixing.min_cost_flow(patterns, {"a": 20, "b": 10})
+    assert got == {"a": 10, "ab": 10, "b": 10}  # no repeats while unused words are left
+    assert sum(mixing.min_cost_flow(patterns, {"a": 200, "b": 10}).values()) == 70
+
+
+def test_vptree(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8)) * rng.uniform(0.2, 3, (700, 1))
+    x[40:80] = x[5]
+    data = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    odd = [(700, None, 0), (701, [0.0] * 8, 0), (702, [float("nan")] * 8, 0), (703, [1.0, None] * 4, 0), (704, [1.0, 2.0], 0), (None, [1.0] * 8, 0), data[60]]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, score int")
+    out = vptree.nearest(df, df.where("vec_id % 20 = 0"), k=20).collect()
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    assert set(got) == set(range(0, 700, 20))
+    for q, found in got.items():
+        dots = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(700), -dots)) if i != q][:20]
+        assert [i for i, _ in found] == order
+        assert np.allclose([s for _, s in found], dots[order])
+    assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_vptree_shards_and_relaxed_pruning(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 150)
+    monkeypatch.setattr(vptree, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {}
+    for q in range(0, 600, 20):
+        dots = (x * x[q]).sum(axis=1)
+        want[q] = [i for i in np.lexsort((np.arange(600), -dots)) if i != q][:5]
+    for relax, least in ((1.0, 1.0), (1.3, 0.9)):
+        found = defaultdict(list)
+        for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=5, relax=relax).orderBy("rank").collect():
+            found[r.query_id].append(r.vec_id)
+        assert sum(len(set(found[q]) & set(want[q])) for q in want) >= least * 5 * len(want)
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_lm_base_and_model(docs, empty, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SENT_WORDS", 5)  # most words go through the join
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in docs.collect()}
+    training = docs.where(F.col("doc_id").isin([i for i, f in fold.items() if f != 1]))
+    out = {r.doc_id: r for r in lm_scoring.score_texts(docs, training).collect()}
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", lower(r.text)) for r in docs.collect()}
+    c = Counter(w for i, ws in words.items() if fold[i] != 1 for w in ws)
+    ends = sum(f != 1 for f in fold.values())
+    total, distinct = sum(c.values()) + ends, len(c) + 1
+    assert len(out) == len(words)
+    for i, ws in words.items():
+        base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws) + math.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
+        r = out[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws) + 1, sum(c[w] > 0 for w in ws) + 1, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+    again = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, training).collect()}
+    assert all(math.isclose(again[i], out[i].score, rel_tol=1e-4) for i in out)
+    assert lm_scoring.score_texts(empty, empty).count() == 0
+    assert lm_scoring.score_texts(docs, empty).count() == len(words)
+
+
+def test_lm_windows_score_each_token_once_and_causally():
+    ids = [np.arange(n) % 7 for n in (0, 5, 16, 40)]
+    inputs, targets, starts, owner = lm_scoring.laid_out(ids, 9)
+    own = np.arange(lm_scoring.STRIDE, 2 * lm_scoring.STRIDE)
+    seen = targets[starts[:, None] + own]
+    for k, t in enumerate(ids):
+        assert [x for x in seen[owner == k].ravel() if x >= 0] == [*t, 9]
+    model = lm_scoring.Attention(11, 5)
+    keys = inputs[starts[:, None] + np.arange(2 * lm_scoring.STRIDE)]
+    p, _ = model.forward(keys, 10)
+    other = keys.copy()
+    other[:, -1] = 3  # the last token changes nothing before it
+    q, _ = model.forward(other, 10)
+    n = lm_scoring.STRIDE
+    assert np.allclose(p.reshape(-1, n, 5)[:, : n - 1], q.reshape(-1, n, 5)[:, : n - 1])
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+
+
+def test_lm_gradient():
+    model, rng = lm_scoring.Attention(12, 4), np.random.default_rng(1)
+    for name in ("e", "a", "r", "u", "b"):
+        setattr(model, name, getattr(model, name).astype(float))
+    model.r[:] = rng.normal(size=model.r.shape)
+    keys, goal = rng.integers(0, 11, (3, 32)), rng.integers(0, 4, (3, 16))
+
+    def loss():
+        p, _ = model.forward(keys, 11)
+        return -np.log(p[np.arange(48), goal.ravel()]).mean()
+
+    before = {k: getattr(model, k).copy() for k in ("e", "a", "r", "u", "b")}
+    slopes = {}
+    for name, at in (("a", (2, 3)), ("r", (4,)), ("u", (5, 1)), ("b", (2,)), ("e", (int(keys[0, 20]), 3))):
+        own = getattr(model, name)
+        own[at] += 1e-5
+        up = loss()
+        own[at] -= 2e-5
+        slopes[name] = (at, (up - loss()) / 2e-5)
+        own[at] += 1e-5
+    memory = {}
+    model.step(keys, goal, 11, memory, 1e-3)
+    for name, (at, slope) in slopes.items():
+        moved = getattr(model, name)[at] - before[name][at]
+        assert moved * slope < 0 or abs(slope) < 1e-7
+        if name in ("a", "u", "b", "r"):
+            assert math.isclose(math.sqrt(memory[name][at]), math.sqrt(slope**2 + 1e-6), rel_tol=1e-3)
+
+
+def fp(t):
+    w = [x for x in re.split(rb"[\x20\x09-\x0D]+", lower(t).encode()) if x]
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash(docs, empty):
+    out = {r.doc_id: r for r in simhash.simhash_components(docs).collect()}
+    fps = {r.doc_id: fp(r.text) for r in docs.collect()}
+    assert {i: r.fingerprint for i, r in out.items()} == {i: f"{f:016x}" for i, f in fps.items()}
+    linked = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
+    assert {i: r.component_id for i, r in out.items()} == components(fps, linked)
+    assert simhash.simhash_components(empty).count() == 0
+
+
+def test_trie_links_lose_nothing(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    for f in base[:60]:
+        for _ in range(3):
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                f ^= 1 << b
+            base.append(f)
+    fps = sorted(set(base))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    edges = simhash.linked_fingerprints(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), rows_a_task=64).collect()
+    got = components(fps, [(e.a % (1 << 64), e.b % (1 << 64)) for e in edges])
+    assert got == components(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    assert all((e.a ^ e.b) != 0 for e in edges)
+
+
+def test_connected_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 70)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(90)]
+    edges = [e for e in edges if e[0] != e[1]]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*edges, (None, 3), (5, 5)], "a long, b long")).collect()}
+    assert got == components({n for e in edges for n in e}, edges)
+
+
+def test_packing(docs, empty):
+    out = packing.pack(docs, mixing.word_count(F.coalesce("text", F.lit(""))), budget=200, buckets=4).collect()
+    assert len(out) == docs.count()
+    batches = defaultdict(list)
+    for r in out:
+        assert r["size"] <= r.bucket_length
+        batches[r.batch_id].append(r)
+    for some in batches.values():
+        assert len({r.bucket_length for r in some}) == 1 and sorted(r.slot for r in some) == list(range(len(some)))
+        assert len(some) == 1 or len(some) * some[0].bucket_length <= 200
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_best_boundaries_are_optimal():
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for _ in range(30):
+        lengths = sorted(rng.sample(range(1, 60), 7))
+        n = [rng.randint(1, 9) for _ in lengths]
+        cost = lambda ends, lengths=lengths, n=n: sum(k * (min(e for e in ends if e >= x) - x) for x, k in zip(lengths, n, strict=True))
+        best = min(cost([*c, lengths[-1]]) for c in combinations(lengths[:-1], 2))
+        assert cost(packing.best_boundaries(np.array(lengths), np.array(n), 3)) == best
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(docs, empty, weak):
+    """weak: a hash with few values, so that chunks must be told apart by their content."""
+    hashed = (lambda c: F.xxhash64(c) % 3) if weak else F.xxhash64
+    out = {r.doc_id: r for r in exact_dedup.exact_groups(docs, hashed).collect()}
+    norm = {r.doc_id: re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in docs.collect()}
+    groups = defaultdict(list)
+    for i, t in norm.items():
+        groups[t].append(i)
+    for i, t in norm.items():
+        r = out[i]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest())
+    assert exact_dedup.exact_groups(empty).count() == 0
+    assert exact_dedup.drop_exact_duplicates(docs).count() == len(groups)
+    assert exact_dedup.drop_exact_duplicates(docs.unionByName(docs)).count() == len(groups)
+
+
+def speech(lang, rng):
+    vocabulary = {"en": "the rain falls on old stone and green fields while people walk home", "de": "der regen fällt auf alte steine während menschen über straßen nach hause gehen", "fr": "la pluie tombe sur les vieilles pierres pendant que les gens rentrent chez eux où"}
+    return " ".join(rng.choice(vocabulary[lang].split()) for _ in range(rng.randint(3, 40)))
+
+
+def test_language_id(spark, empty):
+    rng = random.Random(1)
+    data = [(i, speech(lang := rng.choice(["en", "de", "fr"]), rng), lang) for i in range(400)] + [(900, None, "en"), (901, "", "en"), (902, "12 34 !?", "en"), (903, "rain " * 5000, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language_id.identify(df, df.where("doc_id % 3 <> 1")).collect()}
+    assert len(out) == len(data) and all(out[i].lang_pred == "und" and out[i].score == 0 for i in (900, 901, 902))
+    held = [(i, lang) for i, _, lang in data if i % 3 == 1 and i < 400]
+    assert sum(out[i].lang_pred == lang for i, lang in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in out.values()) and out[903].lang_pred == "en"
+    assert language_id.identify(empty, empty).count() == 0
+    assert {r.lang_pred for r in language_id.identify(df, df.limit(0)).collect()} == {"und"}
+
+
+def test_quality(spark, empty):
+    rng = random.Random(2)
+    good = lambda: speech(rng.choice(["en", "de"]), rng) + "."
+    junk = lambda: " ".join(w.upper() + "!!" for w in good().split()) if rng.random() < 0.5 else " | ".join(good().split())
+    data = [(i, (good if i % 3 else junk)()) for i in range(500)] + [(900, None), (901, ""), (902, "word " * 20_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(500)] + [(901, None, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.score_quality(df, labels.where("doc_id % 5 <> 0")).collect()}
+    held = [i for i in range(0, 500, 5)]
+    assert len(out) == len(data) and sum(out[i].predicted == int(i % 3 > 0) for i in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out.values())
+    none = quality.score_quality(df, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.score_quality(empty, labels).count() == 0
+
+
+def test_url_filter(spark):
+    urls = [
+        "http://a.net/x", "https://WWW.Example.NET/en/1?q#f", "http://example.net/de/1", "http://www.example.com/de/2", "http://example.com/de", "http://x.org/fr/1", "http://x.org/en/1",
+        None, "no-scheme", "http://", "http://Net/", "http://b.com/alias", "http://c.com/start", "http://d.com/far", "http://e.org/fr/ok", "http://notnet/x", "http://a.net?x", "http://a.net/x",
+    ]
+    html = {11: '<link rel="canonical" href="http://bad.net/p">', 12: '<meta http-equiv="refresh" content="0; url=//d.com/far">', 13: "<link href='http://b.com/alias' rel=canonical>", 14: '<link rel="canonical" href="http://bad.net/p">'}
+    pages = spark.createDataFrame([(i, u, html.get(i), "x", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, host string, address int")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    out = {r.page_id: r for r in url_filter.judge_urls(pages, rules).collect()}
+    assert len(out) == len(urls)
+    assert [(out[i].rule, out[i].verdict) for i in range(11)] == [
+        ("net/", "block"), ("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), (None, "allow"), ("org/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("net/", "block"),
+    ]
+    assert (out[1].host, out[1].path) == ("www.example.net", "/en/1") and (out[7].host, out[7].path) == ("", "")
+    # 14 is an explicitly allowed alias of the blocked page, so its class is allowed
+    assert [out[i].verdict for i in (11, 12, 13, 14)] == ["allow"] * 4 and len({out[i].component for i in (11, 12, 13, 14)}) == 1
+    some = {r.page_id: r for r in url_filter.judge_urls(pages.where("page_id <> 14"), rules).collect()}
+    assert [some[i].verdict for i in (11, 12, 13)] == ["block"] * 3
+    assert out[15].rule is None and out[16].rule is None and out[17].verdict == "block"
+    moved = spark.createDataFrame([("http://x.org/en/1", "http://q.net/z")], "from_url string, to_url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, rules, moved).collect()}[6] == "block"
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
