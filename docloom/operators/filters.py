@@ -90,15 +90,22 @@ def complete_review(status: Column, pages: Column, questions: Column, report: Co
     return (F.lower(status) == "ready") & (F.size(pages) > 0) & (F.size(questions) > 0) & ~T.is_blank(report) & F.exists(questions, lambda q: q["dimensions"].isNotNull())
 
 
-def substantive(body: Column) -> Column:
-    """Whether a note has a line that is more than structure: not blank, no heading, rule, tag or bare link."""
-    return F.exists(F.split(T.or_blank(body), "\n"), lambda x: ~T.trim_ws(x).rlike(r"^(?:#{1,6}(?:\s.*)?|[-*_]{3,}|(?:#\w[\w/-]*\s*)+|\[\[[^\]]*\]\])?$"))
+def substantive(note: Column) -> Column:
+    """Whether a note's body has a line that is more than structure: not blank, a heading, an empty item or a caption with a colon."""
+    lines = F.transform(F.split(F.regexp_replace(T.without_front_matter(note), "\r\n", "\n"), "\n"), T.trim_ws)
+
+    def structural(line: Column) -> Column:
+        bare = T.trim_ws(F.regexp_replace(F.regexp_replace(line, "^-", ""), r"^\*", ""))
+        return (bare == "") | line.startswith("#") | F.regexp_replace(bare, r"^[*_` ]+|[*_` ]+$", "").endswith(":")
+
+    return F.exists(lines, lambda x: ~structural(x))
 
 
 def complete_metadata(note: Column) -> Column:
-    """Whether the front matter has a title, a summary and at least one question."""
-    block = F.concat(F.lit("\n"), T.front_matter(note), F.lit("\n"))
-    return block.rlike(r"\ntitle:[ \t]*\S") & block.rlike(r"\nsummary:[ \t]*\S") & block.rlike(r"\nquestions:[^\n]*(?:\[[^\]\n]*\S[^\]\n]*\]|\n[ \t]*-[ \t]+\S)")
+    """Whether the front matter has a title, summary keywords and at least one recall question, as indented items."""
+    block = F.concat(F.lit("\n"), F.regexp_replace(T.front_matter(note), "\r\n", "\n"), F.lit("\n"))
+    questions = r"\n\s*recall_questions:[^\n]*\n(?:[ \t]+[^\n]*\n|[ \t]*\n)*?[ \t]+- [ \t]*\S"
+    return block.rlike(r"\n[ \t]*title:[ \t]*\S") & block.rlike(r"\n[ \t]*summary_keywords:[ \t]*\S") & block.rlike(questions)
 
 
 def metadata_leak(prompt: Column, blocked: list[str], longest: int = 320) -> Column:

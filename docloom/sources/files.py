@@ -27,9 +27,21 @@ def relative(path: Column, root: str) -> Column:
     return F.url_decode(F.regexp_replace(F.substr(bare, at + F.length(inside)), r"\+", "%2B"))
 
 
+def underscored(spark: SparkSession, root: str, depth: int = 6) -> list[str]:
+    """Folders under ``root`` whose name starts with an underscore: Spark's listing passes over them unless they are named."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs, out = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for k in range(depth):
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * k + "/_*"))
+        out += [f.getPath().toString() for f in found or [] if f.isDirectory()]
+    return out
+
+
 def notes(spark: SparkSession, root: str, scope: str = "", inbox: bool = False) -> DataFrame:
     """(path, content) of the markdown files under ``root``: no dot folders, and with ``inbox`` no processed or pending ones."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,MD,Md}").text(root, wholetext=True)
+    folders = [root] if inbox else [root, *underscored(spark, root)]
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,MD,Md}").text(folders, wholetext=True)
     rows = files.select(relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("content"))
     rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
     if scope:
@@ -39,7 +51,7 @@ def notes(spark: SparkSession, root: str, scope: str = "", inbox: bool = False)
 
 def json_items(lines: DataFrame, item: str) -> DataFrame:
     """Items of JSON documents (``value``): an array, or an object with ``items``; neither gives nothing."""
-    found = F.coalesce(F.from_json("value", f"array<struct<{item}>>"), F.from_json("value", f"items array<struct<{item}>>")["items"])
+    found = F.when(T.trim_ws(F.col("value")).startswith("["), F.from_json("value", f"array<struct<{item}>>")).otherwise(F.from_json("value", f"items array<struct<{item}>>")["items"])
     return lines.select(F.posexplode(found).alias("pos", "i")).select("pos", "i.*")
 
 
@@ -58,7 +70,7 @@ def training_logs(spark: SparkSession, root: str) -> DataFrame:
 
 def subtitles(files: DataFrame) -> DataFrame:
     """(file, pos, start_ms, end_ms, text) of subtitle files (file, content); malformed blocks are passed over."""
-    clean = F.regexp_replace(F.regexp_replace(T.or_blank(F.col("content")), "^﻿", ""), r"\r\n?", "\n")
+    clean = F.regexp_replace(F.regexp_replace(T.or_blank(F.col("content")), "^\ufeff", ""), r"\r\n?", "\n")
     blocks = files.select("file", F.posexplode(F.split(clean, r"\n\s*\n")).alias("pos", "block"))
     pattern = r"(?s)(?:^|\n)\s*([\d:]+[,.]\d+)\s*-->\s*([\d:]+[,.]\d+)[^\n]*\n?(.*)$"
     part = lambda k: F.regexp_extract("block", pattern, k)
