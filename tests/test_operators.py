@@ -300,3 +300,39 @@ def test_streams_of_text(spark):
     assert stream_text(lines).first().text == "Hey"
     scores = df(spark, "relevance_score double, score double", (0.0, 0.4), (0.7, 0.1), (None, None))
     assert [r.final_score for r in rerank_scores(scores).collect()] == [0.4, 0.7, 0.0]
+
+
+def test_page_split(spark):
+    from docloom.operators import models
+
+    reply = '```json\n{"page_kind": "Answer", "page_kind_confidence": 1.4, "questions": [{"boundary": "new", "answer": " x ", "label": "Q1", "boundary_confidence": 0.8}, {"boundary": "continuation", "answer_markdown": "y"}, {"answer": " "}]}\n```'
+    rows = df(spark, "copy_id int, page_number long, reply string", (1, 4, reply), (1, 5, "no json"), (1, 6, '{"page_kind": "question_paper"}'))
+    got = {r.page_number: r for r in models.page_split(rows).collect()}
+    assert (got[4].kind, got[4].kind_confidence, got[4].ocr_confidence) == ("answer", 1.0, None)
+    assert [(q.label, q.answer_markdown, q.boundary) for q in got[4].questions] == [("Q1", "x", "new"), ("Page 4 continuation", "y", "continuation")]
+    assert (got[5].kind, got[5].valid, got[5].questions) == ("unknown", False, [])
+    assert {(r.page_number, r.reason) for r in models.needs_retry(models.page_split(rows)).collect()} == {(5, "invalid reply"), (6, "printed questions omitted")}
+
+
+def test_metadata_and_uploads(spark):
+    from docloom.operators import models
+
+    rows = df(spark, "id int, reply string", (1, '{"title": " a  b", "summary_keywords": "k", "recall_questions": ["What?", " ", "Why?", "How?", "Who?"]}'), (2, "{}"), (3, '{"title": "a", "summary_keywords": "k", "recall_questions": ["Tell."]}'))
+    got = {r.id: r for r in models.parsed_metadata(rows).collect()}
+    assert (got[1].title, got[1].recall_questions, got[1].issue) == ("a b", ["What?", "Why?", "How?"], None)
+    assert (got[2].issue, got[3].issue) == ("no title", "not-a-question")
+    ups = df(spark, "folder string, pos long, name string", ("f", 0, "a.pdf"), ("f", 1, "x/a.pdf"), ("g", 2, "a.pdf"), ("f", 3, "b"))
+    assert [r.saved_as for r in models.upload_names(ups).orderBy("pos").collect()] == ["a.pdf", "a-2.pdf", "a.pdf", "b"]
+
+
+def test_dates(spark):
+    from docloom.functions import dates
+
+    values = ["2024-01-01T10:00:00+05:30", "2024-01-01T10:00", "2024-01-01 10:00:30", "tomorrow", ""]
+    rows = df(spark, "v string", *[(v,) for v in values]).select(dates.scheduled_at(F.col("v")).alias("t"))
+    assert [r.t for r in rows.collect()] == [datetime(2024, 1, 1, 4, 30), datetime(2024, 1, 1, 4, 30), datetime(2024, 1, 1, 4, 30, 30), None, None]
+    cases = [(429, "7", "", 0, 7.0), (429, "", '{"error":{"details":[{"retryDelay":"3.5s"}]}}', 0, 3.5), (429, "", "", 0, 60.0), (503, "", "x", 3, 8.0), (400, "5", "", 0, None), (503, "Mon, 01 Jan 2024 00:00:30 GMT", "", 0, 30.0), (503, "9999", "", 0, 120.0)]
+    for status, header, body, attempt, want in cases:
+        row = df(spark, "s int, h string, b string, a int", (status, header, body, attempt))
+        assert row.select(dates.retry_delay(F.col("s"), F.col("h"), F.col("b"), F.col("a"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("x")).first().x == want
+    assert df(spark, "v string", ("data:image/png;base64,aGk=",)).select(dates.data_bytes(F.col("v")).alias("x")).first().x == b"hi"
