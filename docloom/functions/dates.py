@@ -33,7 +33,7 @@ def retry_delay(status: Column, retry_after: Column, body: Column, attempt: Colu
     delays = F.filter(F.transform(details, lambda d: F.regexp_extract(T.or_blank(d["retryDelay"]), r"^\s*([\d.]+)s\s*$", 1).try_cast("double")), lambda d: d.isNotNull())
     told = F.coalesce(asked, F.get(delays, F.lit(0)))
     other = F.when(status == 429, F.lit(60.0)).otherwise(F.least(F.lit(float(most)), F.pow(F.lit(2.0), attempt)))
-    return F.when(status.isin(429, 500, 502, 503, 504), F.coalesce(F.least(F.lit(float(most)), told), other))
+    return F.when(status.isin(429, 500, 502, 503, 504), F.coalesce(F.when(told.isNotNull(), F.least(F.lit(float(most)), told)), other))
 
 
 def query_link(base: str, **values: Column) -> Column:
