@@ -206,7 +206,12 @@ def token_usage(rows: DataFrame, scope: list[str], usage: str = "usage") -> Data
 def merge_metadata(rows: DataFrame, scope: str, texts: list[str], lists: list[str], pos: str = "pos") -> DataFrame:
     """The first non-blank of each text field by position, and the union of each list field in order."""
     first = [F.coalesce(F.min_by(F.when(~T.is_blank(F.col(c)), T.trim_ws(F.col(c))), F.when(~T.is_blank(F.col(c)), F.col(pos))), F.lit("")).alias(c) for c in texts]
-    joined = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(pos, c))), lambda s, c=c: F.coalesce(s[c], F.expr("array()"))))).alias(c) for c in lists]
+
+    def union(c: str) -> Column:
+        parts = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(pos, c))))
+        return F.array_distinct(F.flatten(F.transform(parts, lambda s: s[c]))).alias(c)
+
+    joined = [union(c) for c in lists]
     return rows.groupBy(scope).agg(*first, *joined)
 
 

@@ -218,7 +218,8 @@ def strict_issue(value: Column, schema: str, required: list[str], allowed: list[
     """Why a JSON object isn't accepted: malformed, an unknown field, a missing one or a wrong type; null if it is fine."""
     keys = F.json_object_keys(value)
     types = F.from_json(value, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    bad = F.try_parse_json(value).isNull() | keys.isNull()
+    one = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1  # also tells what follows an object
+    bad = ~F.coalesce(one, F.lit(False)) | F.try_parse_json(value).isNull() | keys.isNull()
     return (
         F.when(bad, "malformed")
         .when(F.size(F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))) > 0, "unknown field")
