@@ -111,3 +111,28 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(read(spark, sf_dir, "pages"), rules)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+base AS (SELECT page_id, url, html, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS (SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM base),
+q AS (SELECT *, CASE WHEN contains(url, '://') THEN host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1) END AS address FROM p),
+found AS (SELECT address AS a, url, unnest([
+    coalesce(nullif(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1)),
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*[\d.]*\s*;\s*url\s*=\s*''?([^"''\s>]+)', 1)]) AS link FROM q WHERE html IS NOT NULL AND url IS NOT NULL),
+target AS (SELECT a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link WHEN starts_with(link, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || link
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)', 1) || link END AS b FROM found WHERE link <> ''),
+pairs AS (SELECT a, lower(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1)) || CASE WHEN regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) END || regexp_extract(b, '(?s)^[^?#]*(\?[^#]*)?', 1) AS b FROM target WHERE contains(b, '://')),
+e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node),
+comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1),
+nodes AS (SELECT node, component, regexp_extract(node, '(?s)^([^/?#]*)', 1) AS host, regexp_extract(node, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM comp),
+judged AS (SELECT n.component, arg_max(r.verdict, length(r.host || r.path)) AS verdict FROM nodes n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY n.component, n.node),
+fate AS (SELECT component, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM judged GROUP BY 1),
+best AS (SELECT host, path, arg_max(r, length(r)) AS rule, arg_max(v, length(r)) AS verdict FROM (
+    SELECT d.host, d.path, r.host || r.path AS r, r.verdict AS v FROM (SELECT DISTINCT host, path FROM q) d JOIN rules r ON (d.host = r.host OR ends_with(d.host, '.' || r.host)) AND starts_with(d.path, r.path)) GROUP BY 1, 2)
+SELECT q.page_id, q.host, q.path, best.rule, coalesce(best.verdict, fate.verdict, 'allow') AS verdict, comp.component
+FROM q LEFT JOIN best ON best.host = q.host AND best.path = q.path LEFT JOIN comp ON comp.node = q.address LEFT JOIN fate ON fate.component = comp.component
+"""
