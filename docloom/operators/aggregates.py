@@ -235,3 +235,8 @@ def ledger_status(claims: DataFrame, scope: str = "run_id") -> DataFrame:
     done = accounted.groupBy(scope).agg(F.count_if(F.col("status") == "merged").alias("merged"), F.count_if(F.col("status") == "deduped").alias("deduped"))
     open_ = claims.groupBy(scope).agg(F.count_if(F.col("status") == "pending").alias("pending"))
     return open_.join(done, scope, "left").na.fill(0)
+
+
+def most_memory(devices: Column) -> Column:
+    """The largest memory of an array of devices; 0 for none."""
+    return F.coalesce(F.array_max(F.transform(devices, lambda d: d["memory_mb"])), F.lit(0))

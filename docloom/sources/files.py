@@ -62,6 +62,12 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("r.*", F.col("r._bad").isNotNull().alias("malformed")).drop("_bad")
 
 
+def artifacts(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Review documents (``review.json``) in the folders under ``root``, with their path."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "review.json").json(root)
+    return rows.select(relative(F.col("_metadata.file_path"), root).alias("path"), *rows.columns)
+
+
 def training_logs(spark: SparkSession, root: str) -> DataFrame:
     """(path, value): lines of every run's training log."""
     lines = spark.read.text(f"{root}/inbox-runs/*/training/zettel-inbox-chat.jsonl")

@@ -34,6 +34,13 @@ def test_json(spark, tmp_path):
     assert [issue(v) for v in ('{"a": 1}', '{"a": 1, "z": 2}', '{"b": "x"}', "{", '{"a": "x"}')] == [None, "unknown field", "missing field", "malformed", "wrong type"]
 
 
+def test_artifacts(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "review.json").write_text('{\n "name": "x"\n}')
+    (tmp_path / "other.json").write_text('{"name": "y"}')
+    assert [tuple(r) for r in files.artifacts(spark, str(tmp_path), "name string").collect()] == [("a b/review.json", "x")]
+
+
 def test_subtitles(spark):
     content = "\ufeff1\r\n00:00:01,000 --> 00:00:02,500\r\nHello\r\nthere\r\n\r\nbroken\r\n\r\n3\r\n00:01:00.000 --> 00:01:01.000\r\nBye\r\n"
     blocks = files.subtitles(df(spark, "file string, content string", ("f", content)))
