@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,8 @@ SAMPLE_PER_CLASS = 2000
 VOCABULARY = 20_000
 #: Words remembered at once while pooling.
 REMEMBERED = 200_000
+#: Plain figures of a text beside its pooled vectors.
+FIGURES = 6
 _RUNS = re.compile(rb"(.)\1+", re.S)
 _SHAPE = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else 48 if 48 <= c < 58 else c for c in range(256))
 
@@ -45,23 +46,27 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Vectors:
-    """Random-indexing vectors of words and shapes, from the texts of a bounded sample."""
+    """Random-indexing vectors of words and shapes, from the texts of a bounded sample.
+
+    ``words`` and ``shapes`` map a token to its row of ``word_rows`` and ``shape_rows``; the last row of each is zero and
+    stands for what the sample hasn't shown.
+    """
 
     def __init__(self, texts: list[bytes]):
         counts: dict[bytes, int] = {}
-        split = [t.split() for t in texts]
-        for words in split:
-            for w in words:
+        for t in texts:
+            for w in t.split():
                 counts[w] = counts.get(w, 0) + 1
         known = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))[:VOCABULARY]
-        at = {w: i for i, w in enumerate(known)}
+        self.words = {w: i for i, w in enumerate(known)}
         shapes = sorted({shape(w) for w in counts})
-        place = {s: len(known) + i for i, s in enumerate(shapes)}
+        self.shapes = {s: i for i, s in enumerate(shapes)}
         index = np.array([index_vector(t) for t in known + shapes] or np.zeros((1, DIMENSIONS)), np.float32)
         context = np.zeros_like(index)
-        for words in split:
-            own = np.array([at.get(w, -1) for w in words], np.int64)
-            form = np.array([place[shape(w)] for w in words], np.int64)
+        for t in texts:
+            words = t.split()
+            own = np.array([self.words.get(w, -1) for w in words], np.int64)
+            form = np.array([len(known) + self.shapes[shape(w)] for w in words], np.int64)
             signal = index[form] + np.where((own >= 0)[:, None], index[own], 0)
             around = np.zeros_like(signal)
             for k in range(1, WINDOW + 1):
@@ -70,45 +75,33 @@ class Vectors:
             np.add.at(context, form, around)
             np.add.at(context, own[own >= 0], around[own >= 0])
         vectors = unit(context) + 0.5 * unit(index)
-        self.words = {w: vectors[i] for w, i in at.items()}
-        self.shapes = {s: vectors[i] for s, i in place.items()}
-
-    def token(self, word: bytes) -> np.ndarray:
-        form = shape(word)
-        low = self.shapes.get(form)
-        if low is None:
-            low = 0.5 * unit(index_vector(form))
-        return np.concatenate((self.words.get(word, np.zeros(DIMENSIONS, np.float32)), low)).astype(np.float32)
+        zero = np.zeros((1, DIMENSIONS), np.float32)
+        self.word_rows = np.concatenate((vectors[: len(known)], zero))
+        self.shape_rows = np.concatenate((vectors[len(known) :], zero))
 
 
-class Pooling:
-    """A document as the mean of its tokens' vectors, and some plain figures of its words."""
+class Reader:
+    """A text as the rows of its distinct words and shapes, how often each comes, and some plain figures."""
 
-    def __init__(self, vectors: Vectors):
-        self.vectors, self.at, self.rows = vectors, {}, []
+    def __init__(self, words: dict[bytes, int], shapes: dict[bytes, int]):
+        self.words, self.shapes, self.at, self.rows = words, shapes, {}, []
 
-    def __call__(self, text: bytes) -> np.ndarray:
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows: word and shape of each distinct word, its share of the words, figures)."""
         words = text.split()
+        if not words:
+            return np.zeros((0, 2), np.int64), np.zeros(0, np.float32), np.zeros(FIGURES, np.float32)
         if len(self.rows) > REMEMBERED:
             self.at, self.rows = {}, []
         for w in set(words).difference(self.at):
             self.at[w] = len(self.rows)
-            self.rows.append(self.vectors.token(w))
+            self.rows.append((self.words.get(w, len(self.words)), self.shapes.get(shape(w), len(self.shapes))))
         ids = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        extra = np.zeros(6, np.float32)
-        pooled = np.zeros(2 * DIMENSIONS, np.float32)
-        if words:
-            some, times = np.unique(ids, return_counts=True)
-            pooled = (times.astype(np.float32) @ np.array([self.rows[i] for i in some])) / len(ids)
-            extra[:] = (
-                np.mean(ids[1:] == ids[:-1]) if len(ids) > 1 else 0,
-                len(some) / len(ids),
-                (times / len(ids)).max(),
-                np.log1p(len(ids)) / 10,
-                len(text) / len(ids) / 10,
-                1,
-            )
-        return np.concatenate((pooled, extra))
+        some, times = np.unique(ids, return_counts=True)
+        share = (times / len(ids)).astype(np.float32)
+        same = np.mean(ids[1:] == ids[:-1]) if len(ids) > 1 else 0
+        figures = np.array((same, len(some) / len(ids), share.max(), np.log1p(len(ids)) / 10, len(text) / len(ids) / 10, 1), np.float32)
+        return np.array([self.rows[i] for i in some.tolist()], np.int64), share, figures
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -147,15 +140,46 @@ class Network:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.p[0] + self.p[1], 0) @ self.p[2] + self.p[3]
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.raw((x - self.mean) / self.scale) / self.heat + self.shift)
+    def folded(self, vectors: Vectors) -> dict:
+        """What scoring needs: the first layer applied to each row beforehand, as pooling and that layer are both linear."""
+        first = self.p[0] / self.scale[:, None]
+        return {
+            "words": vectors.words,
+            "shapes": vectors.shapes,
+            "word_rows": (vectors.word_rows @ first[:DIMENSIONS]).astype(np.float32),
+            "shape_rows": (vectors.shape_rows @ first[DIMENSIONS : 2 * DIMENSIONS]).astype(np.float32),
+            "figures": first[2 * DIMENSIONS :],
+            "offset": self.p[1] - self.mean @ first,
+            "second": self.p[2],
+            "bias": float(self.p[3][0]),
+            "heat": self.heat,
+            "shift": self.shift,
+        }
+
+
+def fit(texts: list[bytes], y: np.ndarray, prior: float) -> dict:
+    vectors = Vectors(texts)
+    reader, x = Reader(vectors.words, vectors.shapes), []
+    for t in texts:
+        rows, share, figures = reader(t)
+        x.append(np.concatenate((share @ vectors.word_rows[rows[:, 0]], share @ vectors.shape_rows[rows[:, 1]], figures)))
+    return Network(np.array(x), y, prior).folded(vectors)
+
+
+def scores(model: dict, reader: Reader, texts) -> np.ndarray:
+    hidden = np.zeros((len(texts), HIDDEN))
+    for i, t in enumerate(texts):
+        rows, share, figures = reader(t)
+        hidden[i] = share @ model["word_rows"][rows[:, 0]] + share @ model["shape_rows"][rows[:, 1]] + figures @ model["figures"]
+    z = np.maximum(hidden + model["offset"], 0) @ model["second"] + model["bias"]
+    return sigmoid(z / model["heat"] + model["shift"])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, passing: list[str] | None = None) -> DataFrame:
     """doc_id, score, predicted of each row of ``docs(doc_id, text)``; learns from ``labels(doc_id, quality)``.
 
     The classifier is fitted on SAMPLE_PER_CLASS labelled documents of each class at most: the labels are sampled first
-    and then sent to the documents, so that no text is shuffled.
+    and then sent to the documents, so that no text is shuffled but the sample's, which one task fits.
 
     score is the calibrated probability of label 1. Null text counts as empty; an empty text is scored like any other,
     by the zero vector. With no labelled rows every score is 0.5; with one class only, that class's label. Rows with a
@@ -163,26 +187,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pa
     ``docs`` to return unchanged.
     """
     labels = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    few = sample_per_class(labels, "quality", SAMPLE_PER_CLASS)
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(F.broadcast(few), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.text)))
-    y = np.array([r.quality for r in rows], float)
-    vectors = network = None
-    if len(set(y)) == 2:
-        counts = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
-        vectors = Vectors([bytes(r.text) for r in rows])
-        pool = Pooling(vectors)
-        network = Network(np.array([pool(bytes(r.text)) for r in rows]), y, counts[1] / (counts[0] + counts[1]))
-    flat = float(y[0]) if len(y) and network is None else 0.5
-    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((vectors, network)))
+    counts = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    few = F.broadcast(sample_per_class(labels, "quality", SAMPLE_PER_CLASS))
+    sample = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(few, "doc_id").repartition(1)
+
+    def learn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for pdf in it for r in zip(pdf.doc_id, pdf.quality, pdf.text, strict=True)), key=lambda r: (r[0], r[2]))
+        y = np.array([q for _, q, _ in rows], float)
+        both = 0 < y.mean() < 1 if len(y) else False
+        model = fit([t for _, _, t in rows], y, prior) if both else float(y[0]) if len(y) else 0.5
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    found = sample.mapInPandas(learn, "model binary").collect()
+    model = docs.sparkSession.sparkContext.broadcast(bytes(found[0].model) if found else pickle.dumps(0.5))
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, network = pickle.loads(model.value)
-        pool = Pooling(vectors) if network else None
+        fitted = pickle.loads(model.value)
+        reader = Reader(fitted["words"], fitted["shapes"]) if isinstance(fitted, dict) else None
         for pdf in it:
-            score = np.full(len(pdf), flat)
-            if network and len(pdf):
-                score = network(np.array([pool(t) for t in pdf._bytes]))
+            score = scores(fitted, reader, pdf._bytes) if reader else np.full(len(pdf), fitted)
             own = {c: pdf[c] for c in ["doc_id", *kept]}
             yield pd.DataFrame(own | {"score": score, "predicted": (score >= threshold).astype(np.int32)})
 
