@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, read, text_or_empty
+from docloom.llm.common import WORD, materialize, read, text_or_empty
 
 #: Cost of a word's first, second and third use: convex, so that nothing repeats while unused words are left.
 REPEAT_COSTS = (0, 1, 3)
@@ -100,12 +100,8 @@ def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, see
     window. ``source_size`` and ``target`` are those of the first source. Documents without words take nothing; repeated
     rows count as often as they stand; an empty table gives no rows.
     """
-    base = docs.select(
-        F.col("doc_id"),
-        F.array_sort(F.array_distinct(sources)).alias("members"),
-        F.coalesce(size, F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("turn"),
-    ).withColumn("pattern", F.to_json("members"))
+    sized = materialize(docs.select("doc_id", F.array_sort(F.array_distinct(sources)).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size")))
+    base = sized.withColumn("turn", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("pattern", F.to_json("members"))
     found = base.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count("*").alias("rows"))
     rows = found.limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
