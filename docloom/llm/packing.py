@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import read, text_or_empty
+from docloom.llm.common import materialize, read, text_or_empty
 from docloom.llm.mixing import word_count
 
 BUCKETS, TOKEN_BUDGET = 12, 32_768
@@ -60,24 +60,24 @@ def pack(docs: DataFrame, size: Column, budget: int = TOKEN_BUDGET, buckets: int
     bucket with most of the rows is numbered part by part. Rows without words go to the first bucket's batches. Rows that
     repeat a doc_id each take a slot; null text has size 0; an empty table gives no rows.
     """
-    base = docs.select("doc_id", F.coalesce(size, F.lit(0)).cast("long").alias("size")).withColumn("bin", length_bin(F.col("size")))
-    spark = docs.sparkSession
+    sized = materialize(docs.select("doc_id", F.coalesce(size, F.lit(0)).cast("long").alias("size")))
+    base = sized.withColumn("bin", length_bin(F.col("size")))
     found = sorted((r.bin, r["count"]) for r in base.groupBy("bin").count().collect())
     ends = best_boundaries(np.array([b for b, _ in found], np.int64), np.array([n for _, n in found], np.int64), buckets)
     rows, parts = {e: 0 for e in ends}, {}
     for b, n in found:
         rows[min(e for e in ends if e >= b)] += n
     parts = {e: max(1, n // ROWS_A_PART) for e, n in rows.items()}
-    bounds = spark.createDataFrame(
-        [(a + 1, e, max(1, budget // max(1, e)), parts[e]) for a, e in zip([-1, *ends[:-1]], ends, strict=True)],
-        "low long, bucket_length long, rows_a_batch long, parts long",
-    )
-    turn = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = (
-        base.join(F.broadcast(bounds), F.col("bin").between(F.col("low"), F.col("bucket_length")))
-        .withColumn("turn", F.shiftrightunsigned(turn, 1))
-        .withColumn("part", F.floor(F.shiftright("turn", 32) * F.col("parts") / F.lit(1 << 31)).cast("long"))
-    )
+    ends_ = [F.lit(e) for e in ends] or [F.lit(0)]
+    bucket = F.coalesce(*[F.when(F.col("bin") <= e, e) for e in ends_]).cast("long")
+    parts_of = F.coalesce(*[F.when(F.col("bin") <= e, F.lit(parts[e])) for e in ends], F.lit(1))
+    turn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1)
+    dealt = base.withColumns({
+        "bucket_length": bucket,
+        "rows_a_batch": F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), bucket))).cast("long"),
+        "turn": turn,
+        "part": F.floor(F.shiftright(turn, 32) * parts_of / F.lit(1 << 31)).cast("long"),
+    })
     counts = dealt.groupBy("bucket_length", "part").count()
     before = counts.select("bucket_length", "part", (F.sum("count").over(Window.partitionBy("bucket_length").orderBy("part")) - F.col("count")).alias("before"))
     number = F.row_number().over(Window.partitionBy("bucket_length", "part").orderBy("turn", "doc_id", "size")) - 1
