@@ -97,10 +97,11 @@ def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, see
     patterns' words to the sources' quotas by min-cost flow. Each pattern then takes whole rounds of all its documents
     and, for the rest, documents in an order seeded by ``seed``: the last of these gives only the words still needed.
     The order is cut into parts by a hash, so that a pattern with a third of all rows is summed by part, not in one
-    window. ``source_size`` and ``target`` are those of the first source. Documents without words take nothing; repeated
+    window. ``source_size`` and ``target`` are those of the first source, 0 for documents of none, which take nothing like
+    documents without words; repeated
     rows count as often as they stand; an empty table gives no rows.
     """
-    sized = materialize(docs.select("doc_id", F.array_sort(F.array_distinct(sources)).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size")))
+    sized = materialize(docs.select("doc_id", F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size")))
     base = sized.withColumn("turn", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("pattern", F.to_json("members"))
     found = base.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count("*").alias("rows"))
     rows = found.limit(MAX_PATTERNS + 1).collect()
@@ -111,12 +112,12 @@ def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, see
         for s in r.members:
             sizes[s] = sizes.get(s, 0) + r.words
     targets = capped_targets(sizes, weigh(sizes), cap)
-    overlap = sum(r.words for r in rows) / max(1, sum(sizes.values()))
+    overlap = sum(r.words for r in rows if r.members) / max(1, sum(sizes.values()))
     targets = {s: t * overlap for s, t in targets.items()}
     taken = min_cost_flow({r.pattern: (r.members, r.words) for r in rows}, {s: round(t) for s, t in targets.items()}, REPEAT_COSTS[:cap] + tuple(range(6, 3 * cap, 3))[: max(0, cap - 3)])
     spark, parts = docs.sparkSession, max([4096, *(r.rows // ROWS_A_PART for r in rows)])
     plan = spark.createDataFrame(
-        [(r.pattern, sizes[r.members[0]], float(targets[r.members[0]]), *divmod(taken[r.pattern], max(1, r.words))) for r in rows if r.members],
+        [(r.pattern, sizes[r.members[0]] if r.members else 0, float(targets[r.members[0]]) if r.members else 0.0, *divmod(taken[r.pattern], max(1, r.words))) for r in rows],
         "pattern string, source_size long, target double, rounds long, rest long",
     )
     # the upper bits of the turn make the parts, so that parts and turns give one order

@@ -120,6 +120,17 @@ def test_mixing(docs, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_overlaps(spark):
+    rows = [(i, [["a"], ["b"], ["a", "b"], [], None][i % 5], 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, at array<string>, n long")
+    out = mixing.mix(df, F.col("at"), F.col("n"), lambda sizes: {"a": 3, "b": 1}).collect()
+    got = Counter()
+    for r in out:
+        got[r.doc_id % 5] += r.taken
+    assert len(out) == 100 and got[3] == got[4] == 0
+    assert got[0] + got[1] + got[2] == 600 and got[0] > got[1]
+
+
 def test_capped_targets_reshare():
     got = mixing.capped_targets({"a": 10, "b": 1000, "c": 0}, {"a": 5, "b": 2, "c": 1})
     assert got == {"a": 30.0, "b": 980.0, "c": 0.0}
