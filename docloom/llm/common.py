@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,18 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_groups(sizes: list[int], most: int = 1_000_000) -> Iterator[slice]:
+    """Slices of consecutive texts of about ``most`` bytes each, a longer text alone."""
+    at = 0
+    while at < len(sizes):
+        to, size = at, 0
+        while to < len(sizes) and (to == at or size + sizes[to] <= most):
+            size += sizes[to]
+            to += 1
+        yield slice(at, to)
+        at = to
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label each node of the undirected ``edges(a, b)`` with the smallest node it reaches.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, read, text_or_empty
+from docloom.llm.common import in_groups, materialize, read, text_or_empty
 
 MIN_LENGTH = 50
 #: Bytes of an anchor. Every passage of MIN_LENGTH bytes holds the anchor that its own bytes alone choose.
@@ -20,9 +21,13 @@ ANCHORS_A_TASK = 1_500_000
 #: Anchors with more occurrences than this are dealt out by whole passages instead.
 MANY = 20_000
 #: So many occurrences in one batch of documents also make an anchor such a one, before anything is shuffled.
-MANY_IN_BATCH = 32
-#: Anchor contexts that one step of the suffix sort holds.
-ROWS_A_STEP = 20_000
+MANY_IN_BATCH = 512
+#: Anchor contexts that one step of the suffix sort holds, and that one bucket holds in the mean.
+ROWS_A_STEP, ROWS_A_BUCKET = 8_000, 100_000
+#: Suffixes that intervals are spread out to at once.
+SPREAD = 1_000_000
+#: Passages of frequent anchors that are sent to every task at most; beyond, they are joined.
+SENT_PASSAGES = 200_000
 _KEPT_BITS = 40
 _U = np.uint64
 
@@ -96,7 +101,7 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
 
     def collect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = _U((1 << _KEPT_BITS) - 1)
-        for pdf in it:
+        for pdf in (whole[some] for whole in it for some in in_groups([len(t) for t in whole.text], 16_000_000)):
             found = [_prefix(anchors(np.frombuffer(t, np.uint8), length)[0], bits) for t in pdf.text]
             ids, counts = pdf.doc_id.to_numpy(np.int64), np.fromiter(map(len, found), np.int64, len(found))
             keys = np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -145,36 +150,89 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
     return materialize(sent.groupBy("dest").applyInPandas(compare, "doc_id long, mark long")), bits
 
 
-def contexts(docs: DataFrame, marks: DataFrame, bits: int, length: int, many: bool) -> DataFrame:
-    """(key, doc_id, start, piece): the bytes around each marked anchor that its passages span.
+def pieces_of(docs: DataFrame, marks: DataFrame, bits: int, length: int, many: bool, batches, schema: str) -> DataFrame:
+    """``batches`` over (key, doc_id, start, last, text) of the marked anchors of each document; last: the last start.
 
-    ``many``: only anchors with many occurrences, each of their passages on its own; else the others, one piece each.
+    ``many``: only anchors with many occurrences, each of their passages on its own; else the others.
     """
     of_doc = marks.where(F.col("mark").bitwiseAND(F.lit(1)) == int(many)).groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            key, doc, start, piece = [], [], [], []
-            for doc_id, text, marked in zip(pdf.doc_id, pdf.text, pdf.marks, strict=True):
-                keys, first, last = anchors(np.frombuffer(text, np.uint8), length)
-                some = np.isin(_prefix(keys, bits), np.asarray(marked, np.int64).view(np.uint64) >> _U(1))
-                keys, first, last = keys[some], first[some], last[some]
-                if many:
-                    runs = last - first + 1
-                    keys = np.repeat(keys, runs)
-                    first = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
-                    last = first
-                key.append(keys.view(np.int64))
-                doc.append(np.full(len(keys), doc_id, np.int64))
-                start.append(first)
-                piece += [text[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                if len(piece) > 200_000:
-                    yield pd.DataFrame({"key": np.concatenate(key), "doc_id": np.concatenate(doc), "start": np.concatenate(start), "piece": piece})
-                    key, doc, start, piece = [], [], [], []
-            if piece:
-                yield pd.DataFrame({"key": np.concatenate(key), "doc_id": np.concatenate(doc), "start": np.concatenate(start), "piece": piece})
-
-    return docs.join(of_doc, "doc_id").mapInPandas(cut, "key long, doc_id long, start long, piece binary")
+        def found(it):
+            for pdf in it:
+                for doc_id, text, marked in zip(pdf.doc_id, pdf.text, pdf.marks, strict=True):
+                    keys, first, last = anchors(np.frombuffer(text, np.uint8), length)
+                    some = np.isin(_prefix(keys, bits), np.asarray(marked, np.int64).view(np.uint64) >> _U(1))
+                    keys, first, last = keys[some], first[some], last[some]
+                    if many:
+                        runs = last - first + 1
+                        keys = np.repeat(keys, runs)
+                        first = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+                        last = first
+                    yield keys, np.full(len(keys), doc_id, np.int64), first, last, text
+
+        yield from batches(found(it))
+
+    return docs.join(of_doc, "doc_id").mapInPandas(cut, schema)
+
+
+def contexts(docs: DataFrame, marks: DataFrame, bits: int, length: int, buckets: int) -> DataFrame:
+    """(bucket, rows): the bytes around each marked anchor that its passages span, compressed in bundles by bucket of keys."""
+
+    def batches(found) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for x in found:
+            held.append(x)
+            rows += len(x[0])
+            if rows > 100_000:
+                yield bundled(held)
+                held, rows = [], 0
+        if held:
+            yield bundled(held)
+
+    def bundled(held: list[tuple]) -> pd.DataFrame:
+        keys, doc, first, last = (np.concatenate([h[k] for h in held]) for k in range(4))
+        which = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+        bucket = ((keys >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = {"bucket": [], "rows": []}
+        for k in np.unique(bucket).tolist():
+            at = order[starts[k] : starts[k + 1]]
+            a, b = first[at].tolist(), (last[at] + length).tolist()
+            text = b"".join(held[w][4][i:j] for w, i, j in zip(which[at].tolist(), a, b, strict=True))
+            size = (last[at] - first[at] + length).astype("<i4")
+            out["bucket"].append(k)
+            out["rows"].append(zlib.compress(b"".join((np.int64(len(at)).tobytes(), keys[at].tobytes(), doc[at].tobytes(), first[at].astype("<i8").tobytes(), size.tobytes(), text)), 1))
+        return pd.DataFrame(out)
+
+    return pieces_of(docs, marks, bits, length, False, batches, "bucket long, rows binary")
+
+
+def unbundled(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(keys, documents, starts, pieces) of a bucket's bundles."""
+    keys, docs, starts, pieces = [], [], [], []
+    for blob in blobs:
+        x = zlib.decompress(blob)
+        n = int(np.frombuffer(x, np.int64, 1)[0])
+        keys.append(np.frombuffer(x, np.int64, n, 8))
+        docs.append(np.frombuffer(x, np.int64, n, 8 + 8 * n))
+        starts.append(np.frombuffer(x, np.int64, n, 8 + 16 * n))
+        ends = 8 + 28 * n + np.cumsum(np.frombuffer(x, "<i4", n, 8 + 24 * n))
+        pieces += [x[a:b] for a, b in zip([8 + 28 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(starts), pieces
+
+
+def passages(docs: DataFrame, marks: DataFrame, bits: int, length: int) -> DataFrame:
+    """(doc_id, start, piece): each passage of ``length`` bytes that an anchor with many occurrences stands for."""
+
+    def batches(found) -> Iterator[pd.DataFrame]:
+        for keys, doc, first, _, text in found:
+            for at in range(0, len(keys), 100_000):
+                some = first[at : at + 100_000]
+                yield pd.DataFrame({"doc_id": doc[at : at + 100_000], "start": some, "piece": [text[a : a + length] for a in some.tolist()]})
+
+    return pieces_of(docs, marks, bits, length, True, batches, "doc_id long, start long, piece binary")
 
 
 def suffix_array(pieces: list[bytes], group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,8 +297,8 @@ def prefix_intervals(lcp: list[int], left: list[int], length: int) -> list[tuple
 def repeat_groups(pieces: list[bytes], key: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int, later_only: bool):
     """Repeats among ``pieces``: arrays (repeat, first_doc, doc_id, start, size), a row for each occurrence.
 
-    Equal pieces are one in the suffix array; all their occurrences come back. ``later_only`` leaves out occurrences in
-    the smallest document of a repeat, and those that an equal piece's own repeat covers.
+    Equal pieces are one in the suffix array; all their occurrences come back. ``later_only`` gives only
+    occurrences beyond a repeat's smallest document, with those of a piece that overlap as one.
     """
     code, _ = pd.factorize(np.array([*pieces, None], object)[:-1])
     first_of = np.unique(code, return_index=True)[1]
@@ -273,24 +331,37 @@ def repeat_groups(pieces: list[bytes], key: np.ndarray, doc: np.ndarray, start:
         before[offset == 0] = -1
         found = prefix_intervals(lcp.tolist(), before.tolist(), length)
         if found:
-            a, b, depth = np.array(found, np.int64).T
+            a, b, depth = np.array(found, np.int64)[np.argsort([d for _, _, d in found], kind="stable")].T
             low_at = lowest[some[piece]]
             low = np.minimum.reduceat(np.append(low_at, 0), np.stack((a, b + 1), 1).ravel())[::2]
+            best, best_low = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
             n = b - a + 1
-            at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            low, depth, name = np.repeat(low, n), np.repeat(depth, n), np.repeat(len(first_of) + np.arange(len(a)), n)
-            if later_only:
-                more = low_at[at] > low
-                at, low, depth, name = at[more], low[more], depth[more], name[more]
-            tell(some[piece[at]], offset[at], depth, low, name)
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // SPREAD, prepend=-1))
+            for i, j in zip(cuts, [*cuts[1:], len(n)], strict=True):
+                m = n[i:j]
+                at = np.repeat(a[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                which = np.repeat(np.arange(i, j), m)
+                if later_only:  # the deepest interval whose first document is smaller than all of the suffix's own
+                    more = low_at[at] > low[which]
+                    best[at[more]], best_low[at[more]] = depth[which[more]], low[which[more]]
+                else:
+                    tell(some[piece[at]], offset[at], depth[which], low[which], len(first_of) + which)
+            if later_only and best.any():
+                at = np.flatnonzero(best)
+                at = at[np.lexsort((offset[at], piece[at]))]
+                first = piece[at] * (1 << 40) + offset[at]
+                ends = np.maximum.accumulate(first + best[at])
+                new = np.flatnonzero(np.concatenate(([True], first[1:] > ends[:-1])))
+                size = np.append(ends[new[1:] - 1], ends[-1]) - first[new]
+                tell(some[piece[at[new]]], offset[at[new]], size, np.minimum.reduceat(best_low[at], new), len(first_of) + new)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def repeated_passages(docs: DataFrame, length: int = MIN_LENGTH, later_only: bool = False) -> DataFrame:
     """(repeat_id, first_doc, doc_id, start, size): groups of equal passages of ``length`` bytes or more, with all occurrences.
 
-    ``docs`` is (doc_id, text as binary). Anchors that occur twice are found first; the bytes around them meet by anchor,
-    and each task sorts their suffixes and reads the common-prefix intervals off a stack scan. A group is maximal within
+    ``docs`` is (doc_id, text as binary). Anchors that occur twice are found first; the bytes around them meet by bucket of
+    anchors, and each task sorts their suffixes and reads the common-prefix intervals off a stack scan. A group is maximal within
     its anchor's reach (passages that choose the same anchor); longer repeats come as groups that overlap. Anchors with
     many occurrences are dealt by whole passages, so that no task gets all of one. ``later_only`` gives only what lies
     beyond each group's smallest document.
@@ -298,31 +369,31 @@ def repeated_passages(docs: DataFrame, length: int = MIN_LENGTH, later_only: boo
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks, bits = shared_anchors(docs, length, total)
 
-    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            repeat, low, doc, start, size = repeat_groups(pdf.piece.tolist(), pdf.key.to_numpy(np.int64), pdf.doc_id.to_numpy(np.int64), pdf.start.to_numpy(np.int64), length, later_only)
-            return pd.DataFrame({"repeat_id": repeat + (int(pdf.key.iloc[0]) >> 20 << 20), "first_doc": low, "doc_id": doc, "start": start, "size": size})
-
-        held: list[pd.DataFrame] = []
-        for pdf in it:
-            for at in range(0, len(pdf), ROWS_A_STEP):
-                held.append(pdf[at : at + ROWS_A_STEP])
-                if sum(map(len, held)) >= ROWS_A_STEP:
-                    rows = pd.concat(held, ignore_index=True)
-                    done = int((rows.key != rows.key.iloc[-1]).sum())  # sorted: the last key may go on
-                    if done:
-                        yield solve(rows[:done].reset_index(drop=True))
-                    held = [rows[done:]]
-        if held and len(rows := pd.concat(held, ignore_index=True)):
-            yield solve(rows)
+    buckets = max(1, marks.count() // ROWS_A_BUCKET)
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, doc, start, pieces = unbundled(pdf["rows"])
+        order = np.argsort(key, kind="stable")
+        key, out, at = key[order], [], 0
+        while at < len(key):  # whole keys, as many as fit a step
+            to = int(np.searchsorted(key, key[min(at + ROWS_A_STEP, len(key)) - 1]))
+            to = to if to > at else int(np.searchsorted(key, key[at], "right"))
+            if at + ROWS_A_STEP >= len(key):
+                to = len(key)
+            some = order[at:to]
+            repeat, low, d, a, size = repeat_groups([pieces[i] for i in some.tolist()], key[at:to], doc[some], start[some], length, later_only)
+            out.append(pd.DataFrame({"repeat_id": repeat + (int(key[at]) >> 20 << 20), "first_doc": low, "doc_id": d, "start": a, "size": size}))
+            at = to
+        return pd.concat(out, ignore_index=True)
 
     schema = "repeat_id long, first_doc long, doc_id long, start long, size long"
-    few = contexts(docs, marks, bits, length, False).repartition("key").sortWithinPartitions("key").mapInPandas(scan, schema)
+    few = contexts(docs, marks, bits, length, buckets).groupBy("bucket").applyInPandas(scan, schema)
     if marks.where(F.col("mark").bitwiseAND(F.lit(1)) == 1).isEmpty():
         return few
-    many = contexts(docs, marks, bits, length, True)
+    many = passages(docs, marks, bits, length)
     lows = many.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    more = many.join(lows.where("first_doc < last_doc").drop("last_doc"), "piece")
+    lows = materialize(lows.where("first_doc < last_doc").drop("last_doc"))
+    more = many.join(F.broadcast(lows) if lows.count() <= SENT_PASSAGES else lows, "piece")
     if later_only:
         more = more.where("doc_id > first_doc")
     return few.unionByName(more.select(F.xxhash64("piece").alias("repeat_id"), "first_doc", "doc_id", "start", F.octet_length("piece").cast("long").alias("size")))
@@ -338,14 +409,14 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     """
     one = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
     one = one.select("doc_id", F.col("text").cast("binary").alias("text"))
-    spans = repeated_passages(one, length, later_only=True).groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("found"))
-    spans = spans.select("doc_id", F.col("found.start").alias("starts"), F.col("found.size").alias("sizes"))
+    span = F.shiftleft("start", 20).bitwiseOR(F.col("size"))
+    spans = repeated_passages(one, length, later_only=True).groupBy("doc_id").agg(F.collect_set(span).alias("found"))
 
     def strip(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = {"n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
-            for text, starts, sizes in zip(pdf.text, pdf.starts, pdf.sizes, strict=True):
-                runs = merged_spans(starts, sizes)
+            for text, found in zip(pdf.text, pdf.found, strict=True):
+                runs = merged_spans(found)
                 digest, at = hashlib.sha256(), 0
                 for a, b in runs:
                     digest.update(text[at:a])
@@ -361,13 +432,14 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     return one.join(spans, "doc_id", "left").mapInPandas(strip, schema)
 
 
-def merged_spans(starts, sizes) -> list[tuple[int, int]]:
-    """Maximal runs (first, end) covered by the spans; spans that touch are one run."""
-    if starts is None or not len(starts):
+def merged_spans(found) -> list[tuple[int, int]]:
+    """Maximal runs (first, end) that spans, each start << 20 | size, cover; spans that touch are one run."""
+    if found is None or not len(found):
         return []
-    a = np.asarray(starts, np.int64)
+    spans = np.asarray(found, np.int64)
+    a, sizes = spans >> 20, spans & ((1 << 20) - 1)
     order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate((a + np.asarray(sizes, np.int64))[order])
+    a, b = a[order], np.maximum.accumulate((a + sizes)[order])
     new = np.concatenate(([True], a[1:] > b[:-1]))
     return list(zip(a[new].tolist(), np.append(b[:-1][new[1:]], b[-1]).tolist(), strict=True))
 
