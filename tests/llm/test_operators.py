@@ -206,6 +206,21 @@ def test_lm_base_and_model(docs, empty, monkeypatch):
     assert lm_scoring.score_texts(docs, empty).count() == len(words)
 
 
+def test_lm_weights_learn_from_every_training_document(spark):
+    ranks = lm_scoring.load_ranks(lm_scoring.VOCABULARY_FILE)
+    words = [(i, t[1:].decode()) for t, i in ranks.items() if re.fullmatch(rb" [a-z]{3,}", t)][:3000]
+    docs = spark.createDataFrame(words, "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    class_of, _ = lm_scoring.class_tables(np.ones(len(ranks)), ranks, len(words))
+    model = lm_scoring.train(docs, ranks, class_of)
+    ids = [i for i, _ in words]
+    assert len(ids) == 3000 and (model.e[ids] != lm_scoring.Attention(*model.e.shape[:1], model.b.size).e[ids]).any(axis=1).all()
+
+
+def test_lm_runs_have_the_goals_of_the_layout():
+    inputs, targets, _, _ = lm_scoring.laid_out([np.arange(n) % 7 for n in (0, 5, 15, 16, 40)], 9)
+    assert (lm_scoring.runs_goal(np.append(inputs, 10), 9) == targets).all()
+
+
 def test_lm_windows_score_each_token_once_and_causally():
     ids = [np.arange(n) % 7 for n in (0, 5, 16, 40)]
     inputs, targets, starts, owner = lm_scoring.laid_out(ids, 9)
