@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +25,8 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, right_id, score) of all pairs of ``(id, tokens)`` whose Jaccard score reaches the threshold (over 0).
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
+    """(left_id, right_id, score) of all pairs of ``(id, tokens)`` whose Jaccard score reaches the threshold (over 0); ``ordered``: only those whose left id is smaller.
 
     Exact by prefix filtering: sets of tokens ordered from the rarest can only be that similar if they share one of their
     first n - ceil(t * n) + 1 tokens; only those meet. Pairs of sizes too different for the threshold are dropped early.
@@ -43,41 +42,35 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     a, b = prefixes(left, "left"), prefixes(right, "right")
     sized = (F.col("left_size") >= F.col("right_size") * threshold) & (F.col("right_size") >= F.col("left_size") * threshold)
-    met = a.join(b, "token").where(sized).select("left_id", "right_id").distinct()
+    met = a.join(b, "token").where(sized & (F.col("left_id") < F.col("right_id")) if ordered else sized).select("left_id", "right_id").distinct()
     scored = met.join(left.toDF("left_id", "a"), "left_id").join(right.toDF("right_id", "b"), "right_id")
     return scored.select("left_id", "right_id", jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
 
 
 def leader_clusters(items: DataFrame, threshold: float = 0.35, block: str = "block") -> DataFrame:
-    """(block, id, leader, score): greedy clusters in the order of ``pos`` inside each block.
+    """(block, id, leader, score): greedy clusters in the order of ``pos`` (then id) inside each block.
 
     Each item not yet taken leads a cluster and takes every later free item whose Jaccard score with it reaches the
-    threshold. A cluster's score starts at 1 and is so always 1. ``items``: block, pos, id, tokens. Blocks bound the work;
-    an item is only compared with the leaders before it, over tokens that they share.
+    threshold. A cluster's score starts at 1 and is so always 1. ``items``: block, pos, id, tokens. All similar pairs of a
+    block are found first; then each round makes leaders of the open items without an open earlier neighbour and takes
+    their neighbours, until none is open. No task holds a block.
     """
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        leaders: list[tuple[int, int]] = []  # id, size
-        holding: dict[str, list[int]] = {}
-        out = []
-        for i, tokens in zip(pdf.id, pdf.tokens, strict=True):
-            shared: dict[int, int] = {}
-            for t in tokens:
-                for k in holding.get(t, ()):
-                    shared[k] = shared.get(k, 0) + 1
-            fits = [k for k, n in shared.items() if n / (leaders[k][1] + len(tokens) - n) >= threshold]
-            if fits:
-                out.append((pdf[block].iloc[0], i, leaders[min(fits)][0], 1.0))
-                continue
-            for t in tokens:
-                holding.setdefault(t, []).append(len(leaders))
-            leaders.append((i, len(tokens)))
-            out.append((pdf[block].iloc[0], i, i, 1.0))
-        return pd.DataFrame(out, columns=["block", "id", "leader", "score"])
-
-    kind = dict(items.dtypes)[block]
-    return items.select(block, "pos", "id", "tokens").groupBy(block).applyInPandas(cluster, f"block {kind}, id long, leader long, score double")
+    node = F.struct(F.col(block).alias("block"), "pos", F.col("id").alias("item"))
+    named = F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.concat(F.to_json(F.struct(F.col(block))), x))
+    rows = items.select(node.alias("id"), F.array_distinct(named).alias("tokens"))
+    edges = similar_pairs(rows, rows, threshold, ordered=True).select("left_id", "right_id").localCheckpoint()
+    open_, live, leaders = edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct().localCheckpoint(), edges, None
+    while not open_.isEmpty():
+        first = open_.join(live.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti").localCheckpoint()
+        leaders = first if leaders is None else leaders.unionByName(first)
+        took = live.join(first.withColumnRenamed("id", "left_id"), "left_id", "left_semi").select(F.col("right_id").alias("id")).distinct()
+        open_ = open_.join(first, "id", "left_anti").join(took, "id", "left_anti").localCheckpoint()
+        for end in ("left_id", "right_id"):
+            live = live.join(open_.withColumnRenamed("id", end), end, "left_semi")
+        live = live.localCheckpoint()
+    taken = edges if leaders is None else edges.join(leaders.withColumnRenamed("id", "left_id"), "left_id", "left_semi")
+    taken = taken.groupBy(F.col("right_id").alias("id")).agg(F.min("left_id").alias("leader"))
+    return rows.join(taken, "id", "left").select("id.block", F.col("id.item").alias("id"), F.coalesce("leader.item", "id.item").alias("leader"), F.lit(1.0).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -193,8 +193,8 @@ def search_paged(t):
 
 @query()
 def leader_clusters(t):
-    """Greedy clusters of documents inside each source and language."""
-    d = t("documents").select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % 64).cast("string")).alias("block"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), T.token_set(F.col("text")).alias("tokens"))
+    """Greedy clusters of all documents."""
+    d = t("documents").select(F.lit("").alias("block"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), T.token_set(F.col("text")).alias("tokens"))
     return dedup.leader_clusters(d)
 
 

@@ -30,6 +30,26 @@ def test_leader_clusters_are_order_dependent(spark):
     assert got == {10: (10, 1.0), 11: (10, 1.0), 12: (12, 1.0), 13: (13, 1.0), 14: (10, 1.0)}
 
 
+def test_leader_clusters_equal_the_greedy_pass(spark, tmp_path):
+    import random
+
+    from docloom.plans.registry import QUERIES
+
+    rng = random.Random(4)
+    sets = [(b, i, sorted(rng.sample("abcdefgh", rng.randint(0, 5)))) for i in range(60) for b in "xy"]
+    items = df(spark, "block string, pos long, id long, tokens array<string>", *[(b, i, i, x) for b, i, x in sets])
+    want, leaders = set(), []
+    for b, i, x in sets:
+        fits = [k for c, k, y in leaders if b == c and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.35]
+        want.add((b, i, fits[0] if fits else i))
+        if not fits:
+            leaders.append((b, i, x))
+    assert {(r.block, r.id, r.leader) for r in D.leader_clusters(items).collect()} == want
+    copies = df(spark, "doc_id long, source string, lang string, text string", *[(i, f"s{i % 2}", "en", "the same four words") for i in range(6)])
+    copies.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.leader for r in QUERIES["leader_clusters"](spark, str(tmp_path)).collect()} == {0}
+
+
 def test_similar_pairs_are_all_pairs(spark):
     import random
 
