@@ -127,9 +127,8 @@ def pack_duration(t):
 
 @query()
 def admission(t):
-    """Which events a limit of two a minute, a hundred tokens a minute and forty a day admits."""
+    """Which events of each type a limit of two a minute, a hundred tokens a minute and forty a day admits."""
     e = t("events").select(F.col("event_type").alias("key"), "event_id", "ts", F.floor("value").alias("tokens"))
-    e = e.withColumn("key", F.concat_ws("/", "key", (F.xxhash64("event_id") % 16).cast("string")))
     return quota.admitted_batch(e, per_minute=2, tokens_per_minute=100, per_day=40)
 
 

@@ -68,29 +68,45 @@ def admitted(events: DataFrame, per_minute: int = 0, tokens_per_minute: int = 0,
 
 
 def admitted_batch(events: DataFrame, per_minute: int = 0, tokens_per_minute: int = 0, per_day: int = 0) -> DataFrame:
-    """The same over a whole table: each key's requests replayed in time order."""
+    """The same over a whole table: each key's requests replayed in time order.
+
+    A task replays one day of a key, after the requests admitted in the last minute of the day before. Days are first
+    replayed as if nothing came before, then again with what their day before admitted, until that no longer changes; the
+    first day of a key is right at once and each further round settles at least the next.
+    """
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int]] = []
-        first, day, used, said = 0, -1, 0, []
-        live = 0
-        for event, at, tokens in pdf.sort_values(["at", "event_id"], kind="stable")[["event_id", "at", "tokens"]].itertuples(index=False):
+        pdf = pdf.sort_values(["at", "event_id"], kind="stable")
+        before = pdf[pdf.carried]
+        kept: list[tuple[int, int]] = list(zip(before["at"].tolist(), before.tokens.tolist(), strict=True))
+        first, used, said = 0, 0, []
+        live = sum(t for _, t in kept)
+        for event, at, tokens in pdf[~pdf.carried][["event_id", "at", "tokens"]].itertuples(index=False):
             while first < len(kept) and kept[first][0] <= at - MINUTE:
                 live -= kept[first][1]
                 first += 1
-            if at // DAY != day:
-                day, used = at // DAY, 0
             over = [(per_day > 0 and used >= per_day, "day"), (per_minute > 0 and len(kept) - first >= per_minute, "minute"), (tokens_per_minute > 0 and live + tokens > tokens_per_minute, "tokens")]
             reason = next((r for hit, r in over if hit), "")
             if not reason:
                 kept.append((at, tokens))
                 live += tokens
                 used += 1
-            said.append((pdf.key.iloc[0], event, not reason, reason))
-        return pd.DataFrame(said, columns=["key", "event_id", "admitted", "reason"])
-
-    rows = events.select(F.col("key").cast("string").alias("key"), "event_id", N.micros(F.col("ts")).alias("at"), "tokens")
-    return rows.groupBy("key").applyInPandas(replay, "key string, event_id long, admitted boolean, reason string")
+            said.append((pdf.key.iloc[0], event, not reason, reason, int(pdf.day.iloc[0]), at, tokens))
+        return pd.DataFrame(said, columns=["key", "event_id", "admitted", "reason", "day", "at", "tokens"])
+
+    at = N.micros(F.col("ts"))
+    rows = events.select(F.col("key").cast("string").alias("key"), (at - F.pmod(at, F.lit(DAY))).alias("day"), "event_id", at.alias("at"), "tokens", F.lit(False).alias("carried"))
+    kinds = dict(rows.dtypes)
+    schema = f"key string, event_id {kinds['event_id']}, admitted boolean, reason string, day long, at long, tokens {kinds['tokens']}"
+    days = rows.select("key", "day").distinct()
+    carried = rows.limit(0)
+    while True:
+        said = rows.unionByName(carried).groupBy("key", "day").applyInPandas(replay, schema).localCheckpoint()
+        late = said.where(F.col("admitted") & (F.col("at") > F.col("day") + DAY - MINUTE)).withColumn("day", F.col("day") + DAY)
+        late = late.join(days, ["key", "day"], "left_semi").select("key", "day", "event_id", "at", "tokens", F.lit(True).alias("carried")).localCheckpoint()
+        if late.exceptAll(carried).isEmpty() and carried.exceptAll(late).isEmpty():
+            return said.select("key", F.col("event_id").cast("long").alias("event_id"), "admitted", "reason")
+        carried = late
 
 
 class ReadyPrefix(StatefulProcessor):

@@ -138,3 +138,22 @@ def test_lanes(spark):
     items = df(spark, "batch_id string, item long, seconds double", *[("x", i, float(s)) for i, s in enumerate([5, 1, 1, 4])])
     got = [(r.lane, r.start_s) for r in quota.lane_schedule(items, 2).orderBy("item").collect()]
     assert got == [(0, 0.0), (1, 0.0), (1, 1.0), (1, 2.0)]
+
+
+def test_admission_keeps_one_quota_a_key_over_midnight(spark, tmp_path):
+    from docloom.plans.registry import QUERIES
+
+    # the last requests of a day, one every 20 seconds over midnight for three days, and a busy hour each day
+    at = [86_400 * d + 20 * k for d in range(1, 4) for k in range(-9, 9)] + [86_400 * d + 43_200 + 60 * k for d in range(4) for k in range(60)]
+    rows = [(i, "click", s, 9.5) for i, s in enumerate(at)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, s long, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    want, kept, used = {}, [], {}
+    for s, i in sorted((s, i) for i, s in enumerate(at)):
+        day, near = s // 86_400, sum(k > s - 60 for k in kept)
+        want[i] = "day" if used.get(day, 0) >= 40 else "minute" if near >= 2 else ""
+        if not want[i]:
+            kept.append(s)
+            used[day] = used.get(day, 0) + 1
+    got = {r.event_id: (r.admitted, r.reason) for r in QUERIES["admission"](spark, str(tmp_path)).collect()}
+    assert got == {i: (not r, r) for i, r in want.items()} and {"day", "minute", ""} == set(want.values())
