@@ -24,19 +24,33 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, which tells rows apart where doc_id is null or repeated."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest doc_id."""
-    keep = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One document of each SimHash component: that of the smallest doc_id, one of no doc_id if none has any.
+
+    Rows that repeat the smallest doc_id within a component count as that document and stay.
+    """
+    rows = numbered(docs)
+    of = simhash_components(rows.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = of.join(rows.select("_row", "doc_id"), "_row")
+    least = ids.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.min("_row").alias("any_row"))
+    first = (F.col("doc_id") == F.col("least")) | (F.col("least").isNull() & (F.col("_row") == F.col("any_row")))
+    keep = ids.join(least, "component_id").where(first).select("_row")
+    return rows.join(keep, "_row", "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at the target mix: each as often as the mix takes it whole, and once with its first words for a rest."""
-    taken = mix_documents(docs).where("taken > 0").select("doc_id", "size", "taken")
+    rows = numbered(docs)
+    taken = mix_documents(rows, ("_row",)).where("taken > 0").select("_row", "size", "taken")
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     rest = F.col("taken") - (F.col("copy") - 1) * F.col("size")
     cut = F.when(rest >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, rest.cast("int")), " "))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(copies)).withColumn("text", cut).select(docs.columns)
+    return rows.join(taken, "_row").withColumn("copy", F.explode(copies)).withColumn("text", cut).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

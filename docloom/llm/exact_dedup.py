@@ -72,9 +72,11 @@ def _disambiguated(cut: DataFrame, doubtful: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which ``exact_groups`` keeps the text; repeated rows of a doc_id once."""
-    keep = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs``, all columns, for each text that ``exact_groups`` tells apart: one of its keep_id, null or not."""
+    keep = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    own = docs.withColumn("_sha256", F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256))
+    same = own["doc_id"].eqNullSafe(keep["doc_id"]) & (own["_sha256"] == keep["text_sha256"])
+    return own.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

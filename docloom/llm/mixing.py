@@ -89,8 +89,8 @@ def min_cost_flow(patterns: dict[str, tuple[list, int]], quotas: dict, costs=REP
     return {p: sum(patterns[p][1] - e[1] for e in uses[p]) for p in names}
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, seed: int = 7) -> DataFrame:
-    """doc_id, pattern, size, source_size, target and taken of each row of ``docs``.
+def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, seed: int = 7, passing: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, pattern, size, source_size, target and taken, with the columns ``passing``, of each row of ``docs``.
 
     ``sources``: array of the sources that a document belongs to (nulls count as a source of their own); ``size``: its
     words; ``weigh(source sizes) -> weights``. Documents are aggregated by membership pattern; the driver routes the
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, see
     documents without words; repeated
     rows count as often as they stand; an empty table gives no rows.
     """
-    sized = materialize(docs.select("doc_id", F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size")))
+    sized = materialize(docs.select("doc_id", *passing, F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size")))
     base = sized.withColumn("turn", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("pattern", F.to_json("members"))
     found = base.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count("*").alias("rows"))
     rows = found.limit(MAX_PATTERNS + 1).collect()
@@ -124,13 +124,13 @@ def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, see
     base = base.withColumn("turn", F.shiftrightunsigned("turn", 1)).withColumn("part", F.floor(F.shiftright("turn", 32) * F.lit(parts) / F.lit(1 << 31)).cast("long"))
     sums = base.groupBy("pattern", "part").agg(F.sum("size").alias("here"))
     before = sums.select("pattern", "part", (F.sum("here").over(Window.partitionBy("pattern").orderBy("part")) - F.col("here")).alias("before"))
-    order = Window.partitionBy("pattern", "part").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("pattern", "part").orderBy("turn", "doc_id", "size", *passing).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = base.withColumn("upto", F.sum("size").over(order))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("upto") + F.col("size")))
     return (
         within.join(before, ["pattern", "part"])
         .join(F.broadcast(plan), "pattern")
-        .select("doc_id", "pattern", "size", "source_size", "target", (F.col("rounds") * F.col("size") + extra).cast("long").alias("taken"))
+        .select("doc_id", *passing, "pattern", "size", "source_size", "target", (F.col("rounds") * F.col("size") + extra).cast("long").alias("taken"))
     )
 
 
@@ -139,8 +139,8 @@ def weights_in_turn(sizes: dict, turn=(5, 2, 1)) -> dict:
     return {s: turn[i % len(turn)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    return mix(docs, F.array("source"), word_count(text_or_empty()), weights_in_turn)
+def mix_documents(docs: DataFrame, passing: tuple[str, ...] = ()) -> DataFrame:
+    return mix(docs, F.array("source"), word_count(text_or_empty()), weights_in_turn, passing=passing)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

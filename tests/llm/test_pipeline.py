@@ -59,6 +59,19 @@ def test_stages(spark, folder):
     assert pipeline.packing(spark, mixed, folder).count() == mixed.count()
 
 
+def test_rows_of_null_and_repeated_ids_stay(spark):
+    words = [[f"w{k}x{i}" for i in range(40)] for k in range(5)]
+    texts = [" ".join(w) for w in words]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (2, texts[2]), (2, texts[3]), (3, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], SCHEMA)
+    want = Counter([(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (3, texts[4])])
+    exact = pipeline.exact(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == want
+    near = pipeline.near(spark, exact, "")
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == want
+    assert Counter((r.doc_id, r.text) for r in pipeline.mixing(spark, near, "").collect()) == want
+
+
 def test_run(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.count() > 50 and set(out.columns) == {"doc_id", "size", "bucket_length", "batch_id", "slot"}
