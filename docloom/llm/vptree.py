@@ -12,29 +12,42 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, read
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 1024, 96
+SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 4096, 96
+#: Pivots of a width at most, drawn by a hash: a documented bound on what the driver holds. Every row is indexed.
+MAX_PIVOTS = 2048
 #: Factor by which pruning is bolder than the triangle inequality allows; 1 is exact search.
 RELAX = 1.0
-#: Candidates beyond k that a shard's search keeps, so that rounding in block products can't lose a neighbour.
-SPARE = 4
+#: Numbers that one step of exact products holds.
+STEP = 2_000_000
+
+
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The double-precision inner product of each pair of rows, summed in one order whatever the batch."""
+    out, rows = np.empty(len(a)), max(1, STEP // max(1, a.shape[1]))
+    for k in range(0, len(a), rows):
+        out[k : k + rows] = (a[k : k + rows] * b[k : k + rows]).sum(axis=1)
+    return out
 
 
 class Tree:
-    """A vantage-point tree over ``points``, of which equal ones are one.
+    """A vantage-point tree over the distinct ``points``, numbered by their smallest id.
 
     Inner products become distances by one more coordinate that gives all points the same norm: the nearest point of
-    (q, 0) is then the one with the largest inner product.
+    (q, 0) is then the one with the largest inner product. Of each point the ``keep`` smallest ids are held.
     """
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, keep: int, seed: int = 17):
-        order = np.lexsort((*points.T[::-1], ids))
+        order = np.argsort(ids, kind="stable")
         ids, points = ids[order], points[order]
-        first = np.concatenate(([True], ids[1:] != ids[:-1]))  # rows that repeat an id count once
-        ids, points = ids[first], points[first]
-        self.points, group = np.unique(points, axis=0, return_inverse=True)
-        by_group = np.argsort(group.ravel(), kind="stable")  # ids ascend inside a group
-        starts = np.searchsorted(group.ravel()[by_group], np.arange(len(self.points) + 1))
-        self.ids = [ids[by_group[a : min(b, a + keep)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        _, first, group = np.unique(points, axis=0, return_index=True, return_inverse=True)
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(first, kind="stable")] = np.arange(len(first))
+        group = number[group.ravel()]
+        by_group = np.argsort(group, kind="stable")  # ids ascend inside a group
+        starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
+        held = np.minimum(np.diff(starts), keep)
+        place = np.repeat(starts[:-1], held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        self.ids, self.held, self.points = ids[by_group[place]], np.concatenate(([0], np.cumsum(held))), points[np.sort(first)]
         norms = (self.points**2).sum(axis=1)
         self.top = norms.max(initial=0.0)
         self.more = np.sqrt(np.maximum(0, self.top - norms))
@@ -53,21 +66,33 @@ class Tree:
             return rows
         return v, middle, self._node(rows[inside]), self._node(rows[~inside])
 
-    def search(self, queries: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of ``points``, -1 where there are fewer; their inner products) of each query, k of them, best first."""
+    def search(self, queries: np.ndarray, k: int, relax: float, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``points``, -1 where there are fewer; their inner products) of each query: the k best, best first.
+
+        Equal products go to the smaller row, so to the smaller id, and no tie at the last place is lost: a branch is
+        left out only if its bound is below the k-th product by more than rounding. ``floor``: products that a query
+        has k of elsewhere; smaller ones needn't be found.
+        """
         n, q2 = len(queries), (queries**2).sum(axis=1)
         found, dots = np.full((n, k), -1), np.full((n, k), -np.inf)
+        slack = 1e-12 * np.sqrt(q2 * self.top) * np.sqrt(max(1, queries.shape[1]))
+
+        def least(at: np.ndarray) -> np.ndarray:
+            return np.maximum(floor[at], dots[at, -1]) - slack[at]
 
         def leaf(rows: np.ndarray, at: np.ndarray) -> None:
-            new = queries[at] @ self.points[rows].T
-            better = (new >= dots[at, -1][:, None]).any(axis=1)
-            at, new = at[better], new[better]
-            if not len(at):
+            i, j = np.nonzero(queries[at] @ self.points[rows].T >= least(at)[:, None])
+            if not len(i):
                 return
-            both = np.concatenate((dots[at], new), axis=1)
-            who = np.concatenate((found[at], np.broadcast_to(rows, new.shape)), axis=1)
-            best = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            dots[at], found[at] = np.take_along_axis(both, best, 1), np.take_along_axis(who, best, 1)
+            some, i = np.unique(i, return_inverse=True)
+            at = at[some]
+            who = np.concatenate((np.repeat(np.arange(len(at)), k), i))
+            row = np.concatenate((found[at].ravel(), rows[j]))
+            product = np.concatenate((dots[at].ravel(), inner(queries[at[i]], self.points[rows[j]])))
+            order = np.lexsort((row, -product, who))
+            begin = np.searchsorted(who[order], np.arange(len(at)))
+            best = order[begin[:, None] + np.arange(k)]
+            dots[at], found[at] = product[best], row[best]
 
         def near(v: int, at: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(0, q2[at] + self.top - 2 * (queries[at] @ self.points[v])))
@@ -82,6 +107,10 @@ class Tree:
             descend(node[3], at[~inside])
             return None
 
+        def reach(at: np.ndarray) -> np.ndarray:
+            """How far a point may be that still counts, with room for the rounding of distances."""
+            return np.sqrt(np.maximum(0, q2[at] + self.top - 2 * least(at))) / relax + 1e-7 * np.sqrt(q2[at] + self.top)
+
         def sweep(node, at: np.ndarray, own: np.ndarray) -> None:
             """own: the queries whose first leaf lies below; they have seen that leaf."""
             if not len(at):
@@ -89,11 +118,10 @@ class Tree:
             if isinstance(node, np.ndarray):
                 return leaf(node, at[~own])
             d = near(node[0], at)
-            reach = np.sqrt(np.maximum(0, q2[at] + self.top - 2 * dots[at, -1])) / relax
-            inside, left, right = d < node[1], d - node[1] <= reach, node[1] - d <= reach
-            sweep(node[2], at[left | (own & inside)], (own & inside)[left | (own & inside)])
-            reach = np.sqrt(np.maximum(0, q2[at] + self.top - 2 * dots[at, -1])) / relax
-            right = (node[1] - d <= reach) | (own & ~inside)
+            inside = d < node[1]
+            left = (d - node[1] <= reach(at)) | (own & inside)
+            sweep(node[2], at[left], (own & inside)[left])
+            right = (node[1] - d <= reach(at)) | (own & ~inside)
             sweep(node[3], at[right], (own & ~inside)[right])
             return None
 
@@ -102,71 +130,138 @@ class Tree:
             sweep(self.root, np.arange(n), np.ones(n, bool))
         return found, dots
 
+    def hits(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float, floor: np.ndarray) -> pd.DataFrame:
+        """query_id, vec_id, score: the k best of each query but its own id, or all that there are."""
+        # one more row than k: the query's own id may be one; of others only the smallest id could be pushed out
+        found, dots = self.search(queries, k + 1, relax, floor)
+        i, rank = np.nonzero(found >= 0)
+        row, score = found[i, rank], dots[i, rank]
+        held = self.held[row + 1] - self.held[row]
+        i, score = np.repeat(i, held), np.repeat(score, held)
+        vec = self.ids[np.repeat(self.held[row], held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)]
+        other = vec != query_ids[i]
+        i, score, vec = i[other], score[other], vec[other]
+        order = np.lexsort((vec, -score, i))
+        order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < k]
+        return pd.DataFrame({"query_id": query_ids[i[order]], "vec_id": vec[order], "score": score[order]})
+
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v: array<double>, width) of the vectors that take part: not null, not zero, all components finite."""
+    """(vec_id, v: array<double>, width) of the vectors that take part: not null, not zero, all components finite.
+
+    Rows that repeat a vec_id are one, the smallest of them by content; vectors are shuffled for that only if ids repeat.
+    """
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     base = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return base.where(fine & F.exists("v", lambda x: x != 0)).withColumn("width", F.size("v"))
+    base = base.where(fine & F.exists("v", lambda x: x != 0))
+    if not base.groupBy("vec_id").count().where("count > 1").isEmpty():
+        base = base.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return base.withColumn("width", F.size("v"))
+
+
+def pivots_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots of each width, about one for SHARD_ROWS vectors and MAX_PIVOTS at most, drawn by a hash of vec_id; the zero vector where none is drawn."""
+    sizes = {r.width: r["count"] for r in rows.groupBy("width").count().collect()}
+    turn, drawn = F.pmod(F.xxhash64(F.lit(29), F.col("vec_id")), F.lit(1 << 31)), F.lit(False)
+    for width, n in sizes.items():
+        share = min(MAX_PIVOTS, n // SHARD_ROWS) / n
+        drawn = drawn | ((F.col("width") == width) & (turn < int(share * (1 << 31))))
+    found: dict[int, list] = {w: [] for w in sizes}
+    for r in rows.where(drawn).select("width", "vec_id", "v").collect():
+        found[r.width].append((r.vec_id, r.v))
+    return {w: np.array([v for _, v in sorted(x)] or [[0.0] * w]) for w, x in found.items()}
+
+
+def in_cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` with the cell, which is the nearest pivot of their width, and the distance to it; widths without pivots go."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for width, some in pdf.groupby("width"):
+                p = sent.value.get(int(width))
+                if p is None:
+                    continue
+                x = np.stack(some.v.to_numpy())
+                cell = np.empty(len(x), np.int32)
+                for k in range(0, len(x), 1024):
+                    cell[k : k + 1024] = np.argmin((p**2).sum(axis=1) - 2 * (x[k : k + 1024] @ p.T), axis=1)
+                yield some.assign(cell=cell, far=np.sqrt(((x - p[cell]) ** 2).sum(axis=1)))
+
+    return rows.mapInPandas(batches, "vec_id long, v array<double>, width int, cell int, far double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = RELAX) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query with vectors other than its own.
 
-    Vectors are dealt by a hash of vec_id to shards of about SHARD_ROWS; each builds one tree. Queries form blocks of
-    about BLOCK_ROWS, and every block visits every shard of its width: a set of queries against all rows, in blocks.
+    Vectors are dealt to the cell of their nearest pivot, a cell of over SHARD_ROWS to several shards by a hash, and each
+    shard builds one tree, which is written once. Queries form blocks of about BLOCK_ROWS a shard. Each visits its own
+    cell first; by the k-th product found there it leaves out every cell whose pivot, radius and the triangle
+    inequality, relaxed by ``relax`` like the trees' own pruning, show that all products there are smaller.
+
     Ties go to the smaller vec_id. Scores are double-precision products of the original vectors. Vectors that are null,
     zero or hold null or non-finite components take no part, as query or candidate; vectors of another width than the
-    query's are no candidates. Rows that repeat a vec_id count once. Empty tables give no rows.
+    query's are no candidates. Rows that repeat a vec_id count once, the smallest by content. Further columns are
+    ignored. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    all_, asked = usable(vectors), usable(queries)
-    sizes = {r.width: r["count"] for r in all_.groupBy("width").count().collect()}
-    shards = {w: -(-n // SHARD_ROWS) for w, n in sizes.items()}
-    blocks = {r.width: -(-r["count"] // BLOCK_ROWS) for r in asked.groupBy("width").count().collect()}
-    pairs = [(w, shards[w], blocks[w]) for w in blocks if w in shards]
-    plan = F.broadcast(spark.createDataFrame(pairs, "width int, shards int, blocks int"))
+    every = usable(vectors)
+    pivots = pivots_of(every)
+    dealt = materialize(in_cells(every, pivots))
+    cells = {(r.width, r.cell): r for r in dealt.groupBy("width", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
+    shards = spark.createDataFrame([(w, c, -(-r.n // SHARD_ROWS)) for (w, c), r in cells.items()], "width int, cell int, shards int")
+    radii = {w: np.array([cells[w, c].radius if (w, c) in cells else -np.inf for c in range(len(p))]) for w, p in pivots.items()}
+    sent = spark.sparkContext.broadcast((pivots, radii))
 
     def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(pdf.vec_id.to_numpy(np.int64), np.stack(pdf.v.to_numpy()).astype(float), k + 1)
-        return pd.DataFrame({"width": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(vars(tree))]})
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-        return pd.DataFrame({"width": [key[0]], "block": [key[1]], "asked": [pickle.dumps((pdf.vec_id.to_numpy(np.int64), np.stack(pdf.v.to_numpy()).astype(float)))]})
+        tree = Tree(pdf.vec_id.to_numpy(np.int64), np.stack(pdf.v.to_numpy()), k + 1)
+        return pd.DataFrame({"width": [key[0]], "cell": [key[1]], "shard": [key[2]], "tree": [pickle.dumps(vars(tree))]})
 
     hashed = F.xxhash64("vec_id")
-    trees = all_.join(plan, "width").withColumn("shard", F.pmod(hashed, "shards").cast("int"))
-    trees = materialize(trees.groupBy("width", "shard").applyInPandas(index, "width int, shard int, tree binary"))
-    packed = asked.join(plan, "width").withColumn("block", F.pmod(hashed, "blocks").cast("int"))
-    packed = packed.groupBy("width", "block").applyInPandas(pack, "width int, block int, asked binary")
-    visits = packed.join(plan, "width").select("width", "block", "asked", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    visits = visits.join(trees, ["width", "shard"]).repartition("width", "shard", "block")
-
-    def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    trees = dealt.join(F.broadcast(shards), ["width", "cell"]).withColumn("shard", F.pmod(hashed, "shards").cast("int"))
+    trees = materialize(trees.groupBy("width", "cell", "shard").applyInPandas(index, "width int, cell int, shard int, tree binary"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        tree = Tree.__new__(Tree)
+        vars(tree).update(pickle.loads(right.tree.iloc[0]))
+        return tree.hits(left.vec_id.to_numpy(np.int64), np.stack(left.v.to_numpy()), k, relax, left.floor.to_numpy(float))
+
+    def visit(asked: DataFrame) -> DataFrame:
+        """query_id, vec_id, score: what ``asked(vec_id, v, width, floor, cells)`` find in the cells they name."""
+        each = asked.select("vec_id", "v", "width", "floor", F.explode("cells").alias("cell"))
+        blocks = [(r.width, r.cell, -(-r["count"] // BLOCK_ROWS)) for r in each.groupBy("width", "cell").count().collect()]
+        plan = F.broadcast(spark.createDataFrame(blocks, "width int, cell int, blocks int"))
+        each = each.join(plan, ["width", "cell"]).join(F.broadcast(shards), ["width", "cell"])
+        each = each.withColumn("block", F.pmod(hashed, "blocks").cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        met = trees.join(plan, ["width", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = ["width", "cell", "shard", "block"]
+        return each.select("vec_id", "v", "floor", *keys).groupBy(*keys).cogroup(met.select("tree", *keys).groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+
+    def others(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cells beside a query's own that may hold a product as large as its floor."""
         for pdf in it:
-            for blob, asked in zip(pdf.tree, pdf.asked, strict=True):
-                tree, (ids, q) = Tree.__new__(Tree), pickle.loads(asked)
-                vars(tree).update(pickle.loads(blob))
-                found, _ = tree.search(q, min(k + 1 + SPARE, max(1, len(tree.points))), relax)
-                who, whom, score = [], [], []
-                for i, rows in enumerate(found):
-                    rows = rows[rows >= 0]
-                    exact = (tree.points[rows] * q[i]).sum(axis=1)
-                    near = np.concatenate([tree.ids[r] for r in rows])
-                    exact = np.repeat(exact, [len(tree.ids[r]) for r in rows])
-                    other = near != ids[i]
-                    near, exact = near[other], exact[other]
-                    best = np.lexsort((near, -exact))[:k]
-                    who.append(np.full(len(best), ids[i]))
-                    whom.append(near[best])
-                    score.append(exact[best])
-                yield pd.DataFrame({"query_id": np.concatenate(who), "vec_id": np.concatenate(whom), "score": np.concatenate(score)})
-
-    hits = visits.select("tree", "asked").mapInPandas(search, "query_id long, vec_id long, score double")
+            reached = []
+            for q, width, own, floor in zip(pdf.v, pdf.width, pdf.cell, pdf.floor, strict=True):
+                p, r = sent.value[0][width], sent.value[1][width]
+                size = np.sqrt((q**2).sum())
+                bound = p @ q + size * (r / relax) + 1e-9 * size * (np.abs(p).max() * len(q) + 1)
+                some = (r >= 0) & (bound >= floor)
+                some[own] = False
+                reached.append(np.flatnonzero(some).astype(np.int32))
+            yield pdf.drop(columns="cell").assign(cells=reached)
+
+    asked = materialize(in_cells(usable(queries), pivots).select("vec_id", "v", "width", "cell"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    at_home = asked.withColumn("cells", F.array("cell")).withColumn("floor", F.lit(float("-inf")))
+    first = materialize(visit(at_home).withColumn("rank", rank).where(F.col("rank") <= k))
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = asked.join(floors, "vec_id", "left").select("vec_id", "v", "width", "cell", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    rest = materialize(rest.mapInPandas(others, "vec_id long, v array<double>, width int, floor double, cells array<int>"))
+    both = first.drop("rank").unionByName(visit(rest))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,21 @@ def test_vptree(spark):
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_nearest(x, ids, queries, k):
+    want = {}
+    for q in queries:
+        dots = (x * x[ids.index(q)]).sum(axis=1)
+        want[q] = [ids[i] for i in np.lexsort((ids, -dots)) if ids[i] != q][:k]
+    return want
+
+
+def found_by(out):
+    found = defaultdict(list)
+    for r in out.orderBy("rank").collect():
+        found[r.query_id].append(r.vec_id)
+    return dict(found)
+
+
 def test_vptree_shards_and_relaxed_pruning(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD_ROWS", 150)
     monkeypatch.setattr(vptree, "BLOCK_ROWS", 10)
@@ -170,15 +185,45 @@ def test_vptree_shards_and_relaxed_pruning(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 4))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    want = {}
-    for q in range(0, 600, 20):
-        dots = (x * x[q]).sum(axis=1)
-        want[q] = [i for i in np.lexsort((np.arange(600), -dots)) if i != q][:5]
-    for relax, least in ((1.0, 1.0), (1.3, 0.9)):
-        found = defaultdict(list)
-        for r in vptree.nearest(df, df.where("vec_id % 20 = 0"), k=5, relax=relax).orderBy("rank").collect():
-            found[r.query_id].append(r.vec_id)
-        assert sum(len(set(found[q]) & set(want[q])) for q in want) >= least * 5 * len(want)
+    want = brute_nearest(x, list(range(600)), range(0, 600, 20), 5)
+    assert found_by(vptree.nearest(df, df.where("vec_id % 20 = 0"), k=5)) == want
+    found = found_by(vptree.nearest(df, df.where("vec_id % 20 = 0"), k=5, relax=1.3))
+    assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_vptree_leaves_out_cells_without_loss(spark, monkeypatch):
+    """Clusters, so that whole cells can't hold a neighbour."""
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12, 4))[rng.integers(0, 12, 600)] + 0.05 * rng.normal(size=(600, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert found_by(vptree.nearest(df, df.where("vec_id % 20 = 0"), k=5)) == brute_nearest(x, list(range(600)), range(0, 600, 20), 5)
+
+
+def test_vptree_ties_of_distinct_vectors(spark, monkeypatch):
+    """Many distinct vectors with one product: the smaller ids win, over shards and leaves."""
+    for shard, leaf in ((10_000, 96), (90, 4)):
+        monkeypatch.setattr(vptree, "SHARD_ROWS", shard)
+        monkeypatch.setattr(vptree, "LEAF", leaf)
+        rng = np.random.default_rng(2)
+        x = rng.integers(-2, 3, (400, 6)).astype(float) / 2
+        x[x.any(axis=1) == 0] = 0.5
+        x[0] = [1, 0, 0, 0, 0, 0]
+        x[10:350:10, 0] = 1.0
+        ids = rng.permutation(400).tolist()
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(6)
+        assert found_by(vptree.nearest(df, df.where("vec_id % 20 = 0"), k=5)) == brute_nearest(x, ids, range(0, 400, 20), 5)
+
+
+def test_vptree_repeated_ids_and_clashing_names(spark):
+    rows = [(i, [float(i % 7), 1.0, float(-i)], 1, 2) for i in range(50)]
+    extra = [(20, [9.0, 9.0, 9.0], 3, 4), (20, [0.0, 1.0, -20.0], 3, 4), (3, None, 0, 0)]
+    schema = "vec_id long, embedding array<float>, cell int, v int"
+    df = spark.createDataFrame(rows + extra, schema)
+    x = np.array([r[1] for r in rows])
+    x[20] = [0.0, 1.0, -20.0]
+    assert found_by(vptree.nearest(df, df.where("vec_id % 20 = 0"), k=4)) == brute_nearest(x, list(range(50)), range(0, 50, 20), 4)
 
 
 def lower(t):
