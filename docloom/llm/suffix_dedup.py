@@ -16,8 +16,10 @@ from docloom.llm.common import in_groups, materialize, read, text_or_empty
 MIN_LENGTH = 50
 #: Bytes of an anchor. Every passage of MIN_LENGTH bytes holds the anchor that its own bytes alone choose.
 ANCHOR = 20
+#: Bytes of a text that are hashed at once, and of texts whose anchors are sent together.
+BLOCK, BATCH_BYTES = 1 << 20, 6_000_000
 #: Anchors that one task compares, in the mean.
-ANCHORS_A_TASK = 1_500_000
+ANCHORS_A_TASK = 300_000
 #: Anchors with more occurrences than this are dealt out by whole passages instead.
 MANY = 20_000
 #: So many occurrences in one batch of documents also make an anchor such a one, before anything is shuffled.
@@ -54,14 +56,20 @@ def anchors(b: np.ndarray, length: int = MIN_LENGTH, width: int = ANCHOR) -> tup
     """(keys, first, last): each anchor's hash, and the first and last start of the passages that choose it.
 
     A passage of ``length`` bytes chooses the smallest hash among its ``width``-byte substrings, the leftmost on a tie:
-    a choice by its own bytes alone, so equal passages in any documents choose alike.
+    a choice by its own bytes alone, so equal passages in any documents choose alike. Long texts are hashed block by
+    block; a run of passages that a block's end cuts comes as two.
     """
-    if len(b) < length:
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none
+    found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at in range(0, len(b) - length + 1, BLOCK):
+        keys, first, last = _block_anchors(b[at : at + BLOCK + length - 1], length, width)
+        found.append((keys, first + at, last + at))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _block_anchors(b: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = _rolled(b, width)
-    low = (1 << 24) - 1
-    span, least = length - width + 1, (h & ~_U(low)) | (np.arange(len(h), dtype=np.uint64) & _U(low))
+    low = (1 << 24) - 1  # over BLOCK, so that positions fit below the leading bits of the hashes
+    span, least = length - width + 1, (h & ~_U(low)) | np.arange(len(h), dtype=np.uint64)
     k = 1
     while 2 * k <= span:
         least = np.minimum(least[:-k], least[k:])
@@ -71,8 +79,7 @@ def anchors(b: np.ndarray, length: int = MIN_LENGTH, width: int = ANCHOR) -> tup
     at = (least & _U(low)).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    place = first + ((at[first] - first) & low)  # positions are kept modulo 2^24
-    return h[place], first, last
+    return h[at[first]], first, last
 
 
 def _prefix(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -101,7 +108,7 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
 
     def collect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = _U((1 << _KEPT_BITS) - 1)
-        for pdf in (whole[some] for whole in it for some in in_groups([len(t) for t in whole.text], 16_000_000)):
+        for pdf in (whole[some] for whole in it for some in in_groups([len(t) for t in whole.text], BATCH_BYTES)):
             found = [_prefix(anchors(np.frombuffer(t, np.uint8), length)[0], bits) for t in pdf.text]
             ids, counts = pdf.doc_id.to_numpy(np.int64), np.fromiter(map(len, found), np.int64, len(found))
             keys = np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -391,8 +398,8 @@ def repeated_passages(docs: DataFrame, length: int = MIN_LENGTH, later_only: boo
     if marks.where(F.col("mark").bitwiseAND(F.lit(1)) == 1).isEmpty():
         return few
     many = passages(docs, marks, bits, length)
-    lows = many.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    lows = materialize(lows.where("first_doc < last_doc").drop("last_doc"))
+    lows = many.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("times"))
+    lows = materialize(lows.where("first_doc < last_doc" if later_only else "times > 1").select("piece", "first_doc"))
     more = many.join(F.broadcast(lows) if lows.count() <= SENT_PASSAGES else lows, "piece")
     if later_only:
         more = more.where("doc_id > first_doc")
@@ -407,7 +414,9 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     ``length`` lose nothing; rows that repeat a doc_id are one document, with the text first by order; rows without a
     doc_id are left out; an empty table gives no rows.
     """
-    one = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    one = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
+    if not one.groupBy("doc_id").count().where("count > 1").isEmpty():  # else no text is shuffled for it
+        one = one.groupBy("doc_id").agg(F.min("text").alias("text"))
     one = one.select("doc_id", F.col("text").cast("binary").alias("text"))
     span = F.shiftleft("start", 20).bitwiseOR(F.col("size"))
     spans = repeated_passages(one, length, later_only=True).groupBy("doc_id").agg(F.collect_set(span).alias("found"))

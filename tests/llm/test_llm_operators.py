@@ -67,6 +67,28 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize(("many", "block"), [(20_000, 1 << 20), (2, 1 << 20), (20_000, 70)])
+def test_repeated_passages_give_all_occurrences(docs, monkeypatch, many, block):
+    """Every start of a 50-byte string that occurs twice anywhere is in a group, and a group's passages are equal."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    texts = [(t or "").encode() for t in corpus()]
+    places = defaultdict(list)
+    for i, b in enumerate(texts):
+        for k in range(len(b) - 49):
+            places[b[k : k + 50]].append((i, k))
+    want = {at for some in places.values() if len(some) > 1 for at in some}
+    one = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    got, groups = set(), defaultdict(list)
+    for r in suffix_dedup.repeated_passages(one).collect():
+        got |= {(r.doc_id, r.start + k) for k in range(r["size"] - 49)}
+        groups[r.repeat_id, r["size"]].append((texts[r.doc_id][r.start : r.start + r["size"]], r.doc_id, r.first_doc))
+    assert got == want
+    assert all(len(g) > 1 and len({w for w, _, _ in g}) == 1 and min(d for _, d, _ in g) >= g[0][2] for g in groups.values())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect()}
+    assert got == removed(corpus())
+
+
 def test_suffix_dedup_many_in_batch(spark, monkeypatch):
     rng = random.Random(4)
     passage = " ".join(rng.choice(WORDS) for _ in range(25))
