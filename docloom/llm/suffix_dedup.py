@@ -20,7 +20,8 @@ ANCHOR = 20
 BLOCK, BATCH_BYTES = 1 << 20, 6_000_000
 #: Anchors that one task compares, in the mean.
 ANCHORS_A_TASK = 300_000
-#: Anchors with more occurrences than this are dealt out by whole passages instead.
+#: Anchors with more occurrences than this send only their distinct contexts to the scan; a key with more of those than
+#: this is split by passage.
 MANY = 20_000
 #: So many occurrences in one batch of documents also make an anchor such a one, before anything is shuffled.
 MANY_IN_BATCH = 512
@@ -28,8 +29,8 @@ MANY_IN_BATCH = 512
 ROWS_A_STEP, ROWS_A_BUCKET = 8_000, 100_000
 #: Suffixes that intervals are spread out to at once.
 SPREAD = 1_000_000
-#: Passages of frequent anchors that are sent to every task at most; beyond, they are joined.
-SENT_PASSAGES = 200_000
+#: Contexts of frequent anchors whose repeats are sent to every task at most; beyond, they are joined.
+SENT_PIECES = 100_000
 _KEPT_BITS = 40
 _U = np.uint64
 
@@ -79,7 +80,8 @@ def _block_anchors(b: np.ndarray, length: int, width: int) -> tuple[np.ndarray,
     at = (least & _U(low)).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    return h[at[first]], first, last
+    # minima are small numbers: multiplied, their leading bits deal them out evenly
+    return h[at[first]] * _U(0x9E3779B97F4A7C15), first, last
 
 
 def _prefix(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -160,7 +162,7 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
 def pieces_of(docs: DataFrame, marks: DataFrame, bits: int, length: int, many: bool, batches, schema: str) -> DataFrame:
     """``batches`` over (key, doc_id, start, last, text) of the marked anchors of each document; last: the last start.
 
-    ``many``: only anchors with many occurrences, each of their passages on its own; else the others.
+    ``many``: only anchors with many occurrences; else the others.
     """
     of_doc = marks.where(F.col("mark").bitwiseAND(F.lit(1)) == int(many)).groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
 
@@ -170,13 +172,7 @@ def pieces_of(docs: DataFrame, marks: DataFrame, bits: int, length: int, many: b
                 for doc_id, text, marked in zip(pdf.doc_id, pdf.text, pdf.marks, strict=True):
                     keys, first, last = anchors(np.frombuffer(text, np.uint8), length)
                     some = np.isin(_prefix(keys, bits), np.asarray(marked, np.int64).view(np.uint64) >> _U(1))
-                    keys, first, last = keys[some], first[some], last[some]
-                    if many:
-                        runs = last - first + 1
-                        keys = np.repeat(keys, runs)
-                        first = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
-                        last = first
-                    yield keys, np.full(len(keys), doc_id, np.int64), first, last, text
+                    yield keys[some], np.full(some.sum(), doc_id, np.int64), first[some], last[some], text
 
         yield from batches(found(it))
 
@@ -230,16 +226,16 @@ def unbundled(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(starts), pieces
 
 
-def passages(docs: DataFrame, marks: DataFrame, bits: int, length: int) -> DataFrame:
-    """(doc_id, start, piece): each passage of ``length`` bytes that an anchor with many occurrences stands for."""
+def occurrences(docs: DataFrame, marks: DataFrame, bits: int, length: int) -> DataFrame:
+    """(key, doc_id, start, piece): the bytes around each anchor with many occurrences that its passages span."""
 
     def batches(found) -> Iterator[pd.DataFrame]:
-        for keys, doc, first, _, text in found:
+        for keys, doc, first, last, text in found:
             for at in range(0, len(keys), 100_000):
-                some = first[at : at + 100_000]
-                yield pd.DataFrame({"doc_id": doc[at : at + 100_000], "start": some, "piece": [text[a : a + length] for a in some.tolist()]})
+                a, b = first[at : at + 100_000], last[at : at + 100_000] + length
+                yield pd.DataFrame({"key": keys[at : at + 100_000].view(np.int64), "doc_id": doc[at : at + 100_000], "start": a, "piece": [text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]})
 
-    return pieces_of(docs, marks, bits, length, True, batches, "doc_id long, start long, piece binary")
+    return pieces_of(docs, marks, bits, length, True, batches, "key long, doc_id long, start long, piece binary")
 
 
 def suffix_array(pieces: list[bytes], group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,6 +297,51 @@ def prefix_intervals(lcp: list[int], left: list[int], length: int) -> list[tuple
     return out
 
 
+def distinct_repeats(pieces: list[bytes], key: np.ndarray, lowest: np.ndarray, length: int, later_only: bool) -> list[tuple]:
+    """Repeats across the distinct ``pieces``: arrays (piece, offset, size, first_doc, repeat) of each place of each.
+
+    ``lowest`` is the smallest document of each piece. ``later_only`` gives of each piece only what a smaller document than
+    its own smallest holds too, places that overlap as one.
+    """
+    group = np.unique(key, return_inverse=True)[1]
+    some = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
+    if not len(some):
+        return []
+    chosen, parts = [pieces[i] for i in some.tolist()], []
+    piece, offset, lcp = suffix_array(chosen, group[some], length)
+    sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
+    flat = np.frombuffer(b"".join(chosen), np.uint8)
+    before = flat[(np.cumsum(sizes) - sizes)[piece] + offset - 1].astype(np.int64)
+    before[offset == 0] = -1
+    found = prefix_intervals(lcp.tolist(), before.tolist(), length)
+    if not found:
+        return []
+    a, b, depth = np.array(found, np.int64)[np.argsort([d for _, _, d in found], kind="stable")].T
+    low_at = lowest[some[piece]]
+    low = np.minimum.reduceat(np.append(low_at, 0), np.stack((a, b + 1), 1).ravel())[::2]
+    best, best_low = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
+    n = b - a + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // SPREAD, prepend=-1))
+    for i, j in zip(cuts, [*cuts[1:], len(n)], strict=True):
+        m = n[i:j]
+        at = np.repeat(a[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        which = np.repeat(np.arange(i, j), m)
+        if later_only:  # the deepest interval whose first document is smaller than all of the suffix's own
+            more = low_at[at] > low[which]
+            best[at[more]], best_low[at[more]] = depth[which[more]], low[which[more]]
+        else:
+            parts.append((some[piece[at]], offset[at], depth[which], low[which], which))
+    if later_only and best.any():
+        at = np.flatnonzero(best)
+        at = at[np.lexsort((offset[at], piece[at]))]
+        first = piece[at] * (1 << 40) + offset[at]
+        ends = np.maximum.accumulate(first + best[at])
+        new = np.flatnonzero(np.concatenate(([True], first[1:] > ends[:-1])))
+        size = np.append(ends[new[1:] - 1], ends[-1]) - first[new]
+        parts.append((some[piece[at[new]]], offset[at[new]], size, np.minimum.reduceat(best_low[at], new), new))
+    return parts
+
+
 def repeat_groups(pieces: list[bytes], key: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int, later_only: bool):
     """Repeats among ``pieces``: arrays (repeat, first_doc, doc_id, start, size), a row for each occurrence.
 
@@ -328,50 +369,73 @@ def repeat_groups(pieces: list[bytes], key: np.ndarray, doc: np.ndarray, start:
 
     whole = np.flatnonzero((times > 1) & ((lowest < highest) | (not later_only)))
     tell(whole, np.zeros(len(whole), np.int64), size[whole], lowest[whole], whole)
-    group = np.unique(key[first_of], return_inverse=True)[1]
-    some = np.flatnonzero(np.bincount(group)[group] > 1)
-    if len(some):
-        chosen = [pieces[i] for i in first_of[some]]
-        piece, offset, lcp = suffix_array(chosen, group[some], length)
-        flat, sizes = np.frombuffer(b"".join(chosen), np.uint8), size[some]
-        before = flat[(np.cumsum(sizes) - sizes)[piece] + offset - 1].astype(np.int64)
-        before[offset == 0] = -1
-        found = prefix_intervals(lcp.tolist(), before.tolist(), length)
-        if found:
-            a, b, depth = np.array(found, np.int64)[np.argsort([d for _, _, d in found], kind="stable")].T
-            low_at = lowest[some[piece]]
-            low = np.minimum.reduceat(np.append(low_at, 0), np.stack((a, b + 1), 1).ravel())[::2]
-            best, best_low = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
-            n = b - a + 1
-            cuts = np.flatnonzero(np.diff(np.cumsum(n) // SPREAD, prepend=-1))
-            for i, j in zip(cuts, [*cuts[1:], len(n)], strict=True):
-                m = n[i:j]
-                at = np.repeat(a[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                which = np.repeat(np.arange(i, j), m)
-                if later_only:  # the deepest interval whose first document is smaller than all of the suffix's own
-                    more = low_at[at] > low[which]
-                    best[at[more]], best_low[at[more]] = depth[which[more]], low[which[more]]
-                else:
-                    tell(some[piece[at]], offset[at], depth[which], low[which], len(first_of) + which)
-            if later_only and best.any():
-                at = np.flatnonzero(best)
-                at = at[np.lexsort((offset[at], piece[at]))]
-                first = piece[at] * (1 << 40) + offset[at]
-                ends = np.maximum.accumulate(first + best[at])
-                new = np.flatnonzero(np.concatenate(([True], first[1:] > ends[:-1])))
-                size = np.append(ends[new[1:] - 1], ends[-1]) - first[new]
-                tell(some[piece[at[new]]], offset[at[new]], size, np.minimum.reduceat(best_low[at], new), len(first_of) + new)
+    for codes, offset, sizes, low, name in distinct_repeats([pieces[i] for i in first_of], key[first_of], lowest, length, later_only):
+        tell(codes, offset, sizes, low, len(first_of) + name)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def steps_of_keys(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Indexes of rows with whole keys, about ROWS_A_STEP at a time."""
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], 0
+    while at < len(key):
+        to = int(np.searchsorted(key, key[min(at + ROWS_A_STEP, len(key)) - 1]))
+        to = to if to > at else int(np.searchsorted(key, key[at], "right"))
+        if at + ROWS_A_STEP >= len(key):
+            to = len(key)
+        yield order[at:to]
+        at = to
+
+
+def frequent_repeats(docs: DataFrame, marks: DataFrame, bits: int, length: int, later_only: bool) -> DataFrame:
+    """The repeats around anchors with many occurrences, as ``repeated_passages`` gives them.
+
+    Equal contexts are first made one, combined before the shuffle, so that a passage in a third of all documents is one
+    row; the distinct contexts of an anchor go through the same scan as the others, and what it finds in a context holds
+    for each of its occurrences. An anchor with more than MANY distinct contexts is split further: its contexts' passages
+    are compared one by one, an interval of ``length`` bytes being all places of one passage.
+    """
+    at = materialize(occurrences(docs, marks, bits, length))
+    own = at.groupBy("key", "piece").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times"))
+    own = materialize(own)
+    contexts_of = own.groupBy("key").agg(F.count("*").alias("n"))
+    wide = materialize(contexts_of.where(F.col("n") > MANY).select("key"))
+    whole = own.where("low < high" if later_only else "times > 1").select("piece", F.col("low").alias("first_doc"), F.lit(0).cast("long").alias("offset"), F.octet_length("piece").cast("long").alias("size"), F.lit(True).alias("every"), F.xxhash64("piece").alias("repeat_id"))
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"piece": np.empty(0, object), "first_doc": np.empty(0, np.int64), "offset": np.empty(0, np.int64), "size": np.empty(0, np.int64), "repeat_id": np.empty(0, np.int64)})]
+        key, low, pieces = pdf.key.to_numpy(np.int64), pdf.low.to_numpy(np.int64), pdf.piece.tolist()
+        for some in steps_of_keys(key):
+            for codes, offset, size, first, name in distinct_repeats([pieces[i] for i in some.tolist()], key[some], low[some], length, later_only):
+                out.append(pd.DataFrame({"piece": [pieces[i] for i in some[codes].tolist()], "first_doc": first, "offset": offset, "size": size, "repeat_id": name + (int(key[some[0]]) >> 20 << 20)}))
+        return pd.concat(out, ignore_index=True)
+
+    narrow = own.join(wide, "key", "left_anti")
+    buckets = max(1, narrow.count() // ROWS_A_BUCKET)
+    inside = narrow.select("key", "piece", "low", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(scan, "piece binary, first_doc long, offset long, size long, repeat_id long")
+    found = whole.unionByName(inside.withColumn("every", F.lit(not later_only)))
+    if not wide.isEmpty():
+        starts = F.sequence(F.lit(1), F.octet_length("piece") - length + 1)
+        one = own.join(wide, "key").select("piece", "low", "times", F.explode(starts).alias("from"))
+        one = materialize(one.select("piece", "low", "times", (F.col("from") - 1).cast("long").alias("offset"), F.substring("piece", F.col("from"), F.lit(length)).alias("passage")))
+        first = one.groupBy("passage").agg(F.min("low").alias("first_doc"), F.sum("times").alias("all"))
+        split = one.join(first.where(F.col("all") > 1), "passage").where("low > first_doc" if later_only else "true")
+        found = found.unionByName(split.select("piece", "first_doc", "offset", F.lit(length).cast("long").alias("size"), F.xxhash64("passage").alias("repeat_id"), F.lit(not later_only).alias("every")))
+    found = materialize(found.join(own.groupBy("piece").agg(F.min("low").alias("low")), "piece"))
+    met = at.join(F.broadcast(found) if found.count() <= SENT_PIECES else found, "piece")
+    if later_only:  # what lies in a smaller document than all of a context's own only tells of its first; the rest goes whole
+        met = met.where("doc_id > first_doc and (every or doc_id = low)")
+    return met.select("repeat_id", "first_doc", "doc_id", (F.col("start") + F.col("offset")).alias("start"), "size")
+
+
 def repeated_passages(docs: DataFrame, length: int = MIN_LENGTH, later_only: bool = False) -> DataFrame:
     """(repeat_id, first_doc, doc_id, start, size): groups of equal passages of ``length`` bytes or more, with all occurrences.
 
     ``docs`` is (doc_id, text as binary). Anchors that occur twice are found first; the bytes around them meet by bucket of
     anchors, and each task sorts their suffixes and reads the common-prefix intervals off a stack scan. A group is maximal within
-    its anchor's reach (passages that choose the same anchor); longer repeats come as groups that overlap. Anchors with
-    many occurrences are dealt by whole passages, so that no task gets all of one. ``later_only`` gives only what lies
-    beyond each group's smallest document.
+    its anchor's reach (passages that choose the same anchor); longer repeats come as groups that overlap. Of anchors with
+    many occurrences only the distinct contexts are scanned. ``later_only`` gives only what lies beyond each group's
+    smallest document.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks, bits = shared_anchors(docs, length, total)
@@ -380,30 +444,17 @@ def repeated_passages(docs: DataFrame, length: int = MIN_LENGTH, later_only: boo
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         key, doc, start, pieces = unbundled(pdf["rows"])
-        order = np.argsort(key, kind="stable")
-        key, out, at = key[order], [], 0
-        while at < len(key):  # whole keys, as many as fit a step
-            to = int(np.searchsorted(key, key[min(at + ROWS_A_STEP, len(key)) - 1]))
-            to = to if to > at else int(np.searchsorted(key, key[at], "right"))
-            if at + ROWS_A_STEP >= len(key):
-                to = len(key)
-            some = order[at:to]
-            repeat, low, d, a, size = repeat_groups([pieces[i] for i in some.tolist()], key[at:to], doc[some], start[some], length, later_only)
-            out.append(pd.DataFrame({"repeat_id": repeat + (int(key[at]) >> 20 << 20), "first_doc": low, "doc_id": d, "start": a, "size": size}))
-            at = to
+        out = []
+        for some in steps_of_keys(key):
+            repeat, low, d, a, size = repeat_groups([pieces[i] for i in some.tolist()], key[some], doc[some], start[some], length, later_only)
+            out.append(pd.DataFrame({"repeat_id": repeat + (int(key[some[0]]) >> 20 << 20), "first_doc": low, "doc_id": d, "start": a, "size": size}))
         return pd.concat(out, ignore_index=True)
 
     schema = "repeat_id long, first_doc long, doc_id long, start long, size long"
     few = contexts(docs, marks, bits, length, buckets).groupBy("bucket").applyInPandas(scan, schema)
     if marks.where(F.col("mark").bitwiseAND(F.lit(1)) == 1).isEmpty():
         return few
-    many = passages(docs, marks, bits, length)
-    lows = many.groupBy("piece").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("times"))
-    lows = materialize(lows.where("first_doc < last_doc" if later_only else "times > 1").select("piece", "first_doc"))
-    more = many.join(F.broadcast(lows) if lows.count() <= SENT_PASSAGES else lows, "piece")
-    if later_only:
-        more = more.where("doc_id > first_doc")
-    return few.unionByName(more.select(F.xxhash64("piece").alias("repeat_id"), "first_doc", "doc_id", "start", F.octet_length("piece").cast("long").alias("size")))
+    return few.unionByName(frequent_repeats(docs, marks, bits, length, later_only))
 
 
 def without_repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:

@@ -60,14 +60,14 @@ def removed(texts):
 
 def test_suffix_dedup(docs, empty, monkeypatch):
     want = removed(corpus())
-    for many in (20_000, 2):  # the second deals every repeat by whole passages
+    for many in (20_000, 2, 0):  # the second scans distinct contexts, the third splits them all by passage
         monkeypatch.setattr(suffix_dedup, "MANY", many)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect()}
         assert got == want
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize(("many", "block"), [(20_000, 1 << 20), (2, 1 << 20), (20_000, 70)])
+@pytest.mark.parametrize(("many", "block"), [(20_000, 1 << 20), (2, 1 << 20), (0, 1 << 20), (20_000, 70)])
 def test_repeated_passages_give_all_occurrences(docs, monkeypatch, many, block):
     """Every start of a 50-byte string that occurs twice anywhere is in a group, and a group's passages are equal."""
     monkeypatch.setattr(suffix_dedup, "MANY", many)
