@@ -20,6 +20,19 @@ def scheduled_at(value: Column, zone: str = "Asia/Kolkata") -> Column:
     return F.coalesce(with_offset, F.to_utc_timestamp(local, zone))
 
 
+#: Seconds of a duration's units, fixed values.
+UNIT_S = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ns": 1e-9}
+
+
+def duration_seconds(value: Column) -> Column:
+    """Seconds of a duration such as ``1m30s``, ``500ms`` or ``1.5h``, with a sign or none; null for anything else."""
+    v, number, unit = T.trim_ws(T.or_blank(value)), r"(\d+\.?\d*|\.\d+)", "(ns|us|µs|μs|ms|s|m|h)"
+    amounts, units = (F.regexp_extract_all(v, F.lit(number + unit), F.lit(k)) for k in (1, 2))
+    seconds = F.create_map(*[F.lit(x) for pair in UNIT_S.items() for x in pair])
+    total = F.aggregate(F.zip_with(amounts, units, lambda n, u: n.cast("double") * F.try_element_at(seconds, u)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(v.rlike("^[+-]?0$"), F.lit(0.0)).when(v.rlike(f"^[+-]?({number}{unit})+$"), F.when(v.startswith("-"), -total).otherwise(total))
+
+
 def retry_delay(status: Column, retry_after: Column, body: Column, attempt: Column, now: Column, most: int = MOST_RETRY_S) -> Column:
     """Seconds to wait before another try; null if the status isn't worth one.
 
@@ -30,7 +43,7 @@ def retry_delay(status: Column, retry_after: Column, body: Column, attempt: Colu
     when = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     asked = F.coalesce(F.when(header.rlike(r"^\d+$"), header.try_cast("double")), F.when(when.isNotNull(), F.greatest(F.lit(0.0), when.cast("double") - now.cast("timestamp").cast("double"))))
     details = F.from_json(body, "error struct<details: array<struct<retryDelay: string>>>")["error"]["details"]
-    delays = F.filter(F.transform(details, lambda d: F.regexp_extract(T.or_blank(d["retryDelay"]), r"^\s*([\d.]+)s\s*$", 1).try_cast("double")), lambda d: d.isNotNull())
+    delays = F.filter(F.transform(details, lambda d: duration_seconds(d["retryDelay"])), lambda d: d >= 0)
     told = F.coalesce(asked, F.get(delays, F.lit(0)))
     other = F.when(status == 429, F.lit(60.0)).otherwise(F.least(F.lit(float(most)), F.pow(F.lit(2.0), attempt)))
     return F.when(status.isin(429, 500, 502, 503, 504), F.coalesce(F.when(told.isNotNull(), F.least(F.lit(float(most)), told)), other))

@@ -49,8 +49,24 @@ def eta_seconds(progress: Column, elapsed_s: Column, steps: Column) -> Column:
     return F.when(enough, F.round(elapsed_s / progress * (1 - progress)).cast("long"))
 
 
-def progress_state(total: Column, done: Column, timed: Column) -> Column:
-    return F.when(total > 0, F.when(done >= total, "complete").otherwise("determinate")).when(timed, "timed").otherwise("indeterminate")
+def progress_update(mode: Column, total: Column, done: Column, started: Column, ends: Column, created: Column, now: Column) -> Column:
+    """struct<mode, completed_units, total_units, progress> of a job after an update.
+
+    Determinate with a total over 0: the units done, within 0 and the total, and their share. Timed with an end after the
+    start (else the job's creation, else now): the share of the time gone, within 0 and 1, and no units. Everything else is
+    indeterminate with nothing done.
+    """
+    begin = F.coalesce(started, created, now)
+    units = F.greatest(F.lit(0), F.least(done, total)).cast("long")
+    none = F.lit(0).cast("long")
+    span = (micros(ends) - micros(begin)).cast("double")
+    share = clamp((micros(now) - micros(begin)) / span, 0.0, 1.0)
+    as_ = lambda kind, done, total, share: F.struct(F.lit(kind).alias("mode"), done.alias("completed_units"), total.alias("total_units"), share.alias("progress"))
+    return (
+        F.when((mode == "determinate") & (total > 0), as_("determinate", units, total.cast("long"), units / total))
+        .when((mode == "timed") & (ends > begin), as_("timed", none, none, share))
+        .otherwise(as_("indeterminate", none, none, F.lit(0.0)))
+    )
 
 
 def duration_text(seconds: Column) -> Column:
@@ -86,8 +102,8 @@ LIMITS = {"jobs": (20, 200), "reviews": (30, 200), "copies": (80, 500), "batches
 
 
 def tile_boxes(width: Column, height: Column, share: float = 0.42) -> Column:
-    """array<struct<row, col, x0, y0, x1, y1>>: nine overlapping tiles of ``share`` of each side."""
-    side = lambda full: F.floor(full * share).cast("long")
+    """array<struct<row, col, x0, y0, x1, y1>>: nine overlapping tiles of ``share`` of each side, rounded up: at the start, the middle (rounded down) and the end."""
+    side = lambda full: F.least(full, F.ceil(full * share)).cast("long")
     at = lambda full, k: F.floor((full - side(full)) * k / 2).cast("long")
     tiles = [
         F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), at(width, c).alias("x0"), at(height, r).alias("y0"), (at(width, c) + side(width)).alias("x1"), (at(height, r) + side(height)).alias("y1"))

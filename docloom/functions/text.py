@@ -69,10 +69,10 @@ def scoped_id(scope: Column, name: Column) -> Column:
 
 
 def safe_stem(name: Column) -> Column:
-    """A file stem as a slug of at most 96 bytes; ``image`` if nothing is left."""
-    stem = F.regexp_replace(F.regexp_extract(or_blank(name), r"([^/]*?)(?:\.[^./]*)?$", 1), r"[^A-Za-z0-9._-]+", "-")
-    slug = F.left(F.regexp_replace(stem, r"^[-.]+|[-.]+$", ""), F.lit(96))
-    return F.when(slug == "", "image").otherwise(slug)
+    """A file name without its last extension as a lower-case slug of at most 96 bytes, without hyphens at its ends; may be empty."""
+    stem = F.regexp_replace(F.lower(trim_ws(or_blank(name))), r"\.[^./]*$", "")
+    bare = lambda c: F.regexp_replace(c, "^-+|-+$", "")
+    return bare(F.left(bare(F.regexp_replace(stem, "[^a-z0-9]+", "-")), F.lit(96)))
 
 
 def slug_words(text: Column, forbidden: list[str], most: int = 8) -> Column:
@@ -260,16 +260,32 @@ def ocr_failed(text: Column) -> Column:
     return trim_ws(or_blank(text)).startswith("> OCR failed for this page:")
 
 
+#: What marks a server's error page, wherever it stands; fixed list.
+ERROR_PAGE = ["<html", "</body>", "internal server error"]
+#: What marks an error that another try may mend; fixed list.
+TRANSIENT = ["429", "too many requests", "rate limit", "500", "502", "503", "504", "timeout", "temporarily unavailable"]
+#: How the end of a job by its caller or by its deadline is worded; fixed list.
+CANCELLED = ["context canceled", "context deadline exceeded"]
+
+
+def contains_any(low: Column, terms: list[str]) -> Column:
+    """Whether a lower-case text contains one of ``terms``."""
+    hit = F.lit(False)
+    for term in terms:
+        hit = hit | low.contains(term)
+    return hit
+
+
 def error_page(text: Column) -> Column:
-    return F.lower(or_blank(text)).rlike(r"^\s*(?:<!doctype html|<html)|internal server error")
+    return contains_any(F.lower(or_blank(text)), ERROR_PAGE)
 
 
 def failure_kind(error: Column) -> Column:
-    """cancelled, transient or permanent; null for no error."""
+    """cancelled (by the caller or a deadline), transient or permanent; null for no error."""
     low = F.lower(or_blank(error))
     return (
         F.when(is_blank(error), F.lit(None).cast("string"))
-        .when(low.rlike(r"cancel"), "cancelled")
-        .when(low.rlike(r"timeout|timed out|deadline|rate limit|429|502|503|504|connection|temporar|unavailable|overloaded"), "transient")
+        .when(contains_any(low, CANCELLED), "cancelled")
+        .when(contains_any(low, TRANSIENT), "transient")
         .otherwise("permanent")
     )

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources.shared import materialize
+
+#: Vectors of a shard and queries of a block that meet in one task.
+SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
 
 
 def dedupe_news(items: DataFrame) -> DataFrame:
@@ -28,21 +34,28 @@ def jaccard(a: Column, b: Column) -> Column:
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
     """(left_id, right_id, score) of all pairs of ``(id, tokens)`` whose Jaccard score reaches the threshold (over 0); ``ordered``: only those whose left id is smaller.
 
-    Exact by prefix filtering: sets of tokens ordered from the rarest can only be that similar if they share one of their
-    first n - ceil(t * n) + 1 tokens; only those meet. Pairs of sizes too different for the threshold are dropped early.
+    Exact by prefix and position filtering. With tokens ordered from the rarest, two such sets share one of their first
+    n - ceil(t * n) + 1 tokens. At the first token that they share, what is left of either bounds how many more they can,
+    so a meeting too late in a set, as at the commonest tokens, makes no pair. Sizes too different are dropped early. The
+    sets are computed once and written.
     """
+    left = materialize(left.select("id", "tokens"))
+    right = left if ordered else materialize(right.select("id", "tokens"))
     both = left.select("tokens").unionByName(right.select("tokens"))
-    rarity = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rarity = materialize(both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
 
     def prefixes(rows: DataFrame, name: str) -> DataFrame:
         ranked = rows.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(rarity, "token")
         turn = Window.partitionBy("id").orderBy("n", "token")
         kept = ranked.withColumn("at", F.row_number().over(turn)).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1)
-        return kept.select("token", F.col("id").alias(f"{name}_id"), F.col("size").alias(f"{name}_size"))
+        return kept.select("token", F.col("id").alias(f"{name}_id"), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
 
     a, b = prefixes(left, "left"), prefixes(right, "right")
     sized = (F.col("left_size") >= F.col("right_size") * threshold) & (F.col("right_size") >= F.col("left_size") * threshold)
-    met = a.join(b, "token").where(sized & (F.col("left_id") < F.col("right_id")) if ordered else sized).select("left_id", "right_id").distinct()
+    shared = 1 + F.least(F.col("left_size") - F.col("left_at"), F.col("right_size") - F.col("right_at"))
+    needed = F.ceil((F.col("left_size") + F.col("right_size")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    fits = sized & (shared >= needed)
+    met = a.join(b, "token").where(fits & (F.col("left_id") < F.col("right_id")) if ordered else fits).select("left_id", "right_id").distinct()
     scored = met.join(left.toDF("left_id", "a"), "left_id").join(right.toDF("right_id", "b"), "right_id")
     return scored.select("left_id", "right_id", jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
 
@@ -58,16 +71,16 @@ def leader_clusters(items: DataFrame, threshold: float = 0.35, block: str = "blo
     node = F.struct(F.col(block).alias("block"), "pos", F.col("id").alias("item"))
     named = F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.concat(F.to_json(F.struct(F.col(block))), x))
     rows = items.select(node.alias("id"), F.array_distinct(named).alias("tokens"))
-    edges = similar_pairs(rows, rows, threshold, ordered=True).select("left_id", "right_id").localCheckpoint()
-    open_, live, leaders = edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct().localCheckpoint(), edges, None
+    edges = materialize(similar_pairs(rows, rows, threshold, ordered=True).select("left_id", "right_id"))
+    open_, live, leaders = materialize(edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()), edges, None
     while not open_.isEmpty():
-        first = open_.join(live.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti").localCheckpoint()
+        first = materialize(open_.join(live.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti"))
         leaders = first if leaders is None else leaders.unionByName(first)
         took = live.join(first.withColumnRenamed("id", "left_id"), "left_id", "left_semi").select(F.col("right_id").alias("id")).distinct()
-        open_ = open_.join(first, "id", "left_anti").join(took, "id", "left_anti").localCheckpoint()
+        open_ = materialize(open_.join(first, "id", "left_anti").join(took, "id", "left_anti"))
         for end in ("left_id", "right_id"):
             live = live.join(open_.withColumnRenamed("id", end), end, "left_semi")
-        live = live.localCheckpoint()
+        live = materialize(live)
     taken = edges if leaders is None else edges.join(leaders.withColumnRenamed("id", "left_id"), "left_id", "left_semi")
     taken = taken.groupBy(F.col("right_id").alias("id")).agg(F.min("left_id").alias("leader"))
     return rows.join(taken, "id", "left").select("id.block", F.col("id.item").alias("id"), F.coalesce("leader.item", "id.item").alias("leader"), F.lit(1.0).alias("score"))
@@ -83,24 +96,56 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_topk(index: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     """(query, path, score, rank): the k notes most similar to each query vector, ties to the smaller path.
 
-    ``index``: path, embedding; ``queries``: query, embedding: a stated set that is compared with every note. The query's
-    own path and empty vectors are left out. Spark sends the queries to all tasks if they are small and else deals both
-    in blocks; each task keeps only k candidates a query before the shuffle.
+    ``index``: path, embedding; ``queries``: query, embedding: a stated set that is compared with every note, in blocks:
+    notes are dealt to shards and queries to blocks, each pair of which meets once as a matrix product. The query's own
+    path, empty vectors and those with null components are left out; vectors of another length than the query's and
+    vectors of norm 0 score 0. Each pair of a shard and a block keeps k notes a query.
     """
     dense = lambda c: F.transform(c, lambda x: x.cast("double"))
-    left = index.where("size(embedding) > 0").select("path", dense(F.col("embedding")).alias("v"))
-    right = queries.where("size(embedding) > 0").select("query", dense(F.col("embedding")).alias("q"))
-    scored = left.join(right, F.col("path") != F.col("query")).select("query", "path", cosine(F.col("v"), F.col("q")).alias("score"))
+    fine = "size(embedding) > 0 and not exists(embedding, x -> x is null)"
+    left = index.where(fine).select("path", dense(F.col("embedding")).alias("v"))
+    right = queries.where(fine).select("query", dense(F.col("embedding")).alias("q"))
+    shards, blocks = max(1, -(-left.count() // SHARD_ROWS)), max(1, -(-right.count() // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    notes = left.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
+    asked = right.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    kinds = dict(left.dtypes)["path"], dict(right.dtypes)["query"]
+
+    def meet(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values("path", kind="stable")
+        paths, sizes = some.path.to_numpy(), some.v.map(len).to_numpy()
+        points = {n: np.stack(some.v[sizes == n].to_numpy()) for n in np.unique(sizes)}
+        out = {"query": [], "path": [], "score": []}
+        for query, q in zip(asked["query"], asked.q, strict=True):
+            score = np.zeros(len(paths))
+            if (x := points.get(len(q))) is not None:
+                norm = np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())
+                score[sizes == len(q)] = np.divide((x * q).sum(axis=1), norm, out=np.zeros(len(x)), where=norm > 0)
+            others = np.flatnonzero(paths != query)
+            best = others[np.argsort(-score[others], kind="stable")[:k]]
+            out["query"] += [query] * len(best)
+            out["path"] += paths[best].tolist()
+            out["score"] += score[best].tolist()
+        return pd.DataFrame(out)
+
+    met = notes.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(meet, f"query {kinds[1]}, path {kinds[0]}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "path"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return met.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def unique_lines(rows: DataFrame, text: str = "text", least: int = 20) -> DataFrame:
-    """Rows whose text lost blank lines and repeats of lines of ``least`` characters or more (case and space apart)."""
+    """Rows whose text lost blank lines and repeats of lines of ``least`` characters or more (case and space apart).
+
+    A text's lines are sorted by content, so that a repeat stands behind its first, and brought back in order: no search
+    through the lines for each of them, however many there are.
+    """
     lines = F.filter(F.transform(F.split(T.or_blank(F.col(text)), "\n"), T.trim_ws), lambda x: x != "")
-    keys = F.transform("_lines", T.normalize_ws)
-    first = F.filter("_lines", lambda x, i: (F.char_length(x) < least) | (F.array_position(F.col("_keys"), F.col("_keys")[i]) == i + 1))
-    return rows.withColumn("_lines", lines).withColumn("_keys", keys).withColumn(text, F.array_join(first, "\n")).drop("_lines", "_keys")
+    entry = F.transform("_lines", lambda x, i: F.struct(T.normalize_ws(x).alias("key"), i.alias("at"), x.alias("line")))
+    repeat = lambda i: F.get(F.col("_sorted"), i - 1)["key"].eqNullSafe(F.get(F.col("_sorted"), i)["key"]) & (i > 0)
+    kept = F.filter("_sorted", lambda x, i: (F.char_length(x["line"]) < least) | ~repeat(i))
+    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    out = rows.withColumn("_lines", lines).withColumn("_sorted", F.array_sort(entry))
+    return out.withColumn(text, F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).drop("_lines", "_sorted")
 
 
 def repeated_line_counts(rows: DataFrame, key: str, text: str = "text", least: int = 20) -> DataFrame:

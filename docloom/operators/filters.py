@@ -108,13 +108,42 @@ def complete_metadata(note: Column) -> Column:
     return block.rlike(r"\n[ \t]*title:[ \t]*\S") & block.rlike(r"\n[ \t]*summary_keywords:[ \t]*\S") & block.rlike(questions)
 
 
-def metadata_leak(prompt: Column, blocked: list[str], longest: int = 320) -> Column:
-    """Why a generated prompt is refused: too-long, not-a-question or blocked-term; null if it is fine."""
+#: First words of a grammatical question; fixed list.
+QUESTION_WORDS = ["what", "how", "why", "when", "where", "which", "who", "whom"]
+#: Terms that give away where a note comes from, wherever they stand; fixed list.
+SOURCE_TERMS = ["source:", "source metadata", "note status", "status:", "study iq", "rs sharma", "history optional", "part number", "part ", "course", "series"]
+#: Words by which a prompt speaks of its note instead of its matter; fixed list.
+META_WORDS = ["note", "text", "content", "description", "described", "discussed", "according", "source", "status"]
+LONGEST_KEYWORDS = 320
+
+
+def metadata_leak(value: Column) -> Column:
+    """Whether a title, keywords or a prompt name the note's source, status or course."""
+    return T.contains_any(F.lower(T.or_blank(value)), SOURCE_TERMS)
+
+
+def recall_prompt_issue(prompt: Column) -> Column:
+    """Why a recall prompt is refused, null if it is fine.
+
+    ``question-mark``: it holds one; ``question-word``: it starts with one; ``metadata``: it gives away its source or speaks
+    of its note. Prompts are telegraphic, not questions.
+    """
     low = F.lower(T.or_blank(prompt))
+    first = F.regexp_replace(F.regexp_extract(low, r"(?U)(\S+)", 1), "^[\"'`.,:;]+|[\"'`.,:;]+$", "")
     words = F.split(low, r"[^\p{L}\p{Nd}]+")
-    asks = low.rlike(r"\?\s*$") & F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("what", "why", "how", "when", "where", "which", "who")]))
-    term = F.arrays_overlap(words, F.array(*[F.lit(b) for b in blocked])) if blocked else F.lit(False)
-    return F.when(F.char_length(low) > longest, "too-long").when(~asks, "not-a-question").when(term, "blocked-term")
+    meta = metadata_leak(prompt) | F.arrays_overlap(words, F.array(*[F.lit(w) for w in META_WORDS]))
+    return F.when(low.contains("?"), "question-mark").when(first.isin(QUESTION_WORDS), "question-word").when(meta, "metadata")
+
+
+def metadata_issue(title: Column, keywords: Column, prompts: Column) -> Column:
+    """Why generated metadata is refused: ``title``, ``summary_keywords``, ``too-long`` or a prompt's issue; null if it is fine."""
+    asked = F.filter(F.transform(prompts, recall_prompt_issue), lambda x: x.isNotNull())
+    return (
+        F.when(metadata_leak(title), "title")
+        .when(metadata_leak(keywords), "summary_keywords")
+        .when(F.char_length(T.or_blank(keywords)) > LONGEST_KEYWORDS, "too-long")
+        .otherwise(F.get(asked, F.lit(0)))
+    )
 
 
 def lanes(providers: DataFrame, prefix: str) -> DataFrame:

@@ -138,14 +138,19 @@ def changed_since_read(read: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def overlapping(groups: DataFrame) -> DataFrame:
-    """(first, second, page): pairs of groups of different status that share a page. ``groups``: pos, status, source_pages.
+    """(page, status, pos, links, first_other): each group on each page that groups of another status share.
 
-    Pages are first brought down to each status's first group; a page that all groups share so gives one row a pair of
-    statuses and not a row for each pair of groups.
+    ``groups``: pos, status, source_pages. ``links`` counts the groups of another status on the page, ``first_other`` is the
+    first of them: a page's rows tell every pair that clashes there, and a page that all groups share gives one row a
+    group and not one a pair.
     """
-    on = groups.select("status", "pos", F.explode("source_pages").alias("page")).groupBy("page", "status").agg(F.min("pos").alias("pos"))
-    a, b = on.toDF("page", "status_a", "first"), on.toDF("page", "status_b", "second")
-    return a.join(b, "page").where("first < second and status_a <> status_b").select("first", "second", "page")
+    on = groups.select("status", "pos", F.explode("source_pages").alias("page")).distinct()
+    own = on.groupBy("page", "status").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    firsts = F.array_sort(F.collect_list(F.struct("first", "status")))
+    every = own.groupBy("page").agg(F.sum("n").alias("all"), F.slice(firsts, 1, 2).alias("firsts")).where("size(firsts) > 1")
+    other = F.when(F.col("firsts")[0]["status"] == F.col("status"), F.col("firsts")[1]["first"]).otherwise(F.col("firsts")[0]["first"])
+    both = on.join(own.select("page", "status", "n"), ["page", "status"]).join(every, "page")
+    return both.select("page", "status", "pos", (F.col("all") - F.col("n")).alias("links"), other.alias("first_other"))
 
 
 def densified(n_pages: int, pages: DataFrame) -> DataFrame:

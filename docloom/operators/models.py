@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.inference import Model, complete
-from docloom.operators.filters import metadata_leak, page_kind
+from docloom.operators.filters import metadata_issue, page_kind
 from docloom.operators.windows import boundary
 
 SPLIT = """page_kind string, page_kind_confidence double, classification_reason string, ocr_confidence double, ocr_issues array<string>,
@@ -68,14 +68,14 @@ def split_pages(pages: DataFrame, prompt: Column, targets: list[tuple[str, Model
     return first.join(second.select("copy_id", "page_number"), ["copy_id", "page_number"], "left_anti").unionByName(second)
 
 
-def parsed_metadata(replies: DataFrame, blocked: list[str] | None = None) -> DataFrame:
+def parsed_metadata(replies: DataFrame) -> DataFrame:
     """(id, title, summary_keywords, recall_questions, issue) of metadata replies: at most three prompts, cleaned and checked."""
     m = F.from_json(T.json_object(F.col("reply")), "title string, summary_keywords string, recall_questions array<string>")
-    clean = lambda c: T.trim_ws(F.regexp_replace(T.or_blank(c), T.SPACES, " "))
+    clean = lambda c: T.trim_ws(F.regexp_replace(F.regexp_replace(T.trim_ws(T.or_blank(c)), "^`+|`+$", ""), T.SPACES, " "))
     asked = F.slice(F.filter(F.transform(F.coalesce(m["recall_questions"], F.array().cast("array<string>")), clean), lambda q: q != ""), 1, 3)
-    leaks = F.filter(F.transform(asked, lambda q: metadata_leak(q, blocked or [])), lambda x: x.isNotNull())
-    issue = F.when(m.isNull(), "no JSON").when(clean(m["title"]) == "", "no title").when(clean(m["summary_keywords"]) == "", "no keywords").when(F.size(asked) == 0, "no questions").otherwise(F.get(leaks, F.lit(0)))
-    return replies.select("id", clean(m["title"]).alias("title"), clean(m["summary_keywords"]).alias("summary_keywords"), asked.alias("recall_questions"), issue.alias("issue"))
+    title, keywords = clean(m["title"]), clean(m["summary_keywords"])
+    issue = F.when(m.isNull(), "no JSON").when(title == "", "no title").when(keywords == "", "no keywords").when(F.size(asked) == 0, "no questions").otherwise(metadata_issue(title, keywords, asked))
+    return replies.select("id", title.alias("title"), keywords.alias("summary_keywords"), asked.alias("recall_questions"), issue.alias("issue"))
 
 
 def dimension_prompts(questions: DataFrame, header: str) -> DataFrame:

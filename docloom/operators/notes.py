@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,30 +68,79 @@ def positional_diff(pairs: DataFrame) -> DataFrame:
     return rows.select("id", "at", "r.kind", "r.line").where("line is not null")
 
 
+def common_lines(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """Steps ("same", "delete" or "insert", line in ``a``, line in ``b``) along a longest common subsequence; on a tie a line is inserted first."""
+    longest = [[0] * (len(b) + 1)]
+    for x in reversed(a):
+        below, row = longest[-1], [0]
+        for j in range(len(b) - 1, -1, -1):
+            row.append(below[j + 1] + 1 if x == b[j] else max(below[j], row[-1]))
+        longest.append(row[::-1])
+    longest.reverse()
+    steps, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            steps.append(("same", i, j))
+            i, j = i + 1, j + 1
+        elif j < len(b) and (i == len(a) or longest[i][j + 1] >= longest[i + 1][j]):
+            steps.append(("insert", i, j))
+            j += 1
+        else:
+            steps.append(("delete", i, j))
+            i += 1
+    return steps
+
+
+def lines_by_place(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """The same steps, comparing only lines at the same place."""
+    steps = []
+    for k in range(max(len(a), len(b))):
+        if k < min(len(a), len(b)) and a[k] == b[k]:
+            steps.append(("same", k, k))
+        else:
+            steps += [("delete", k, k)] * (k < len(a)) + [("insert", k, k)] * (k < len(b))
+    return steps
+
+
 def line_diff(pairs: DataFrame, most_cells: int = 500_000) -> DataFrame:
-    """(id, pos, kind, line): same (blank), removed (-) and added (+) lines by longest matching blocks.
+    """(id, pos, type, before_number, after_number, before_text, after_text): the rows of a two-column diff of ``pairs(id, before, after)``.
 
-    Pairs with more than ``most_cells`` line pairs are compared place by place instead.
+    Lines of a longest common subsequence are ``same``. Between them, the k-th removed and the k-th added line stand in one
+    ``changed`` row; what is left of either is ``deleted`` or ``inserted``. Numbers are from 1, null where a side has no
+    line. Pairs with more than ``most_cells`` line pairs are compared place by place instead.
     """
 
+    def rows_of(a: list[str], b: list[str]) -> Iterator[tuple]:
+        gone: list[int] = []
+        come: list[int] = []
+
+        def block() -> Iterator[tuple]:
+            for k in range(max(len(gone), len(come))):
+                i, j = gone[k] if k < len(gone) else None, come[k] if k < len(come) else None
+                yield "inserted" if i is None else "deleted" if j is None else "changed", i, j
+            gone.clear()
+            come.clear()
+
+        for kind, i, j in (lines_by_place if len(a) * len(b) > most_cells else common_lines)(a, b):
+            if kind == "same":
+                yield from block()
+                yield "same", i, j
+            else:
+                (gone if kind == "delete" else come).append(i if kind == "delete" else j)
+        yield from block()
+
     def diff(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["id", "pos", "type", "before_number", "after_number", "before_text", "after_text"]
         for pdf in it:
             rows = []
-            for i, before, after in zip(pdf.id, pdf.before, pdf.after, strict=True):
+            for key, before, after in zip(pdf.id, pdf.before, pdf.after, strict=True):
                 a, b = before.split("\n"), after.split("\n")
-                if len(a) * len(b) > most_cells:
-                    n = max(len(a), len(b))
-                    left, right = a + [None] * (n - len(a)), b + [None] * (n - len(b))
-                    lines = [x for p, q in zip(left, right, strict=True) for x in ([(" ", p)] if p == q else [("-", p), ("+", q)]) if x[1] is not None]
-                else:
-                    lines = []
-                    for tag, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                        lines += [(" ", x) for x in a[a0:a1]] if tag == "equal" else [("-", x) for x in a[a0:a1]] + [("+", x) for x in b[b0:b1]]
-                rows += [(i, k, kind, line) for k, (kind, line) in enumerate(lines)]
-            yield pd.DataFrame(rows, columns=["id", "pos", "kind", "line"])
+                for k, (kind, i, j) in enumerate(rows_of(a, b)):
+                    rows.append((key, k, kind, None if i is None else i + 1, None if j is None else j + 1, "" if i is None else a[i], "" if j is None else b[j]))
+            yield pd.DataFrame(rows, columns=names).astype({"before_number": "Int64", "after_number": "Int64"})
 
     base = pairs.select("id", *[F.regexp_replace(T.or_blank(F.col(c)), r"\n\z", "").alias(c) for c in ("before", "after")])
-    return base.mapInPandas(diff, f"id {dict(pairs.dtypes)['id']}, pos long, kind string, line string")
+    return base.mapInPandas(diff, f"id {dict(pairs.dtypes)['id']}, pos long, type string, before_number long, after_number long, before_text string, after_text string")
 
 
 def apply_final_notes(finals: DataFrame, current: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,24 +11,45 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 
 
+def folded_in_order(rows: DataFrame, scope: str, order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """What ``step(state, rows of one scope) -> rows`` gives, batch by batch, over each scope's rows in order.
+
+    For folds whose every step needs the one before. A task streams the sorted rows of its scopes and holds a state and
+    one batch, so a scope may be of any length; only its narrow rows meet there. ``start()`` makes a new scope's state.
+    """
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key = None, None
+        for pdf in it:
+            for value, some in pdf.groupby(scope, sort=False, dropna=False):
+                if state is None or not (value == key or (pd.isna(value) and pd.isna(key))):
+                    state, key = start(), value
+                yield step(state, some)
+
+    return rows.repartition(scope).sortWithinPartitions(scope, order).mapInPandas(batches, schema)
+
+
+def schema_of(rows: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes), more])
+
+
 def next_fit(items: DataFrame, scope: str, size: str, limit: float, pos: str = "pos") -> DataFrame:
     """Items with ``part``: in order, a new part begins when the next item would exceed the limit; the sum starts anew.
 
-    An item over the limit has a part of its own; a limit of 0 or less makes one part; null sizes count as 0. A scope is one
-    recording or course, whose items a task can fold.
+    An item over the limit has a part of its own; a limit of 0 or less makes one part; null sizes count as 0.
     """
-    entry = F.struct(F.col(pos).alias("p"), F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0.0).alias("used"), F.array().cast(f"array<struct<p: {dict(items.dtypes)[pos]}, part: long>>").alias("done"))
 
-    def step(acc: Column, x: Column) -> Column:
-        over = (F.size(acc["done"]) > 0) & (acc["used"] + x["s"] > limit) & F.lit(limit > 0)
-        part = acc["part"] + F.when(over, 1).otherwise(0)
-        return F.struct(
-            part.cast("long").alias("part"), F.when(over, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), F.concat(acc["done"], F.array(F.struct(x["p"].alias("p"), part.cast("long").alias("part")))).alias("done")
-        )
+    def step(state: dict, some: pd.DataFrame) -> pd.DataFrame:
+        part, used, begun, out = state["part"], state["used"], state["begun"], []
+        for s in some[size].fillna(0.0).astype(float).tolist():
+            if begun and limit > 0 and used + s > limit:
+                part, used = part + 1, 0.0
+            used, begun = used + s, True
+            out.append(part)
+        state.update(part=part, used=used, begun=begun)
+        return some.assign(part=out)
 
-    folded = items.groupBy(scope).agg(F.array_sort(F.collect_list(entry)).alias("all")).select(scope, F.explode(F.aggregate("all", start, step, lambda a: a["done"])).alias("d"))
-    return items.join(folded.select(scope, F.col("d.p").alias(pos), F.col("d.part").alias("part")), [scope, pos])
+    return folded_in_order(items, scope, pos, lambda: {"part": 0, "used": 0.0, "begun": False}, step, schema_of(items, "part long"))
 
 
 def note_budget(notes: DataFrame, scope: str, most_notes: int = 25, most_bytes: int = 120_000, least_rest: int = 1_200) -> DataFrame:
@@ -36,47 +59,55 @@ def note_budget(notes: DataFrame, scope: str, most_notes: int = 25, most_bytes:
     smaller ones may still fit. Blank notes are skipped. Lengths are of the trimmed content in bytes.
     """
     size = F.octet_length(T.trim_ws(T.or_blank(F.col("content")))).cast("long")
-    notes_in_order = notes.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("path", size.alias("n")))).alias("all"))
-    empty = F.array().cast("array<struct<path: string, taken_bytes: long>>")
+    sized = notes.select(scope, "path", size.alias("taken_bytes")).where("taken_bytes > 0")
 
-    def step(acc: Column, x: Column) -> Column:
-        left = F.lit(most_bytes) - acc["used"]
-        fits, room = x["n"] <= left, F.size(acc["done"]) < most_notes
-        taken = F.when(~room | (x["n"] == 0) | (left <= 0), 0).when(fits, x["n"]).when(left >= least_rest, left).otherwise(0).cast("long")
-        more = F.array(F.struct(x["path"].alias("path"), taken.alias("taken_bytes")))
-        return F.struct((acc["used"] + taken).alias("used"), F.when(taken > 0, F.concat(acc["done"], more)).otherwise(acc["done"]).alias("done"))
+    def step(state: dict, some: pd.DataFrame) -> pd.DataFrame:
+        keep, taken = [], []
+        for i, n in enumerate(some.taken_bytes.tolist()):
+            if state["notes"] >= most_notes or state["left"] <= 0:
+                break
+            got = n if n <= state["left"] else state["left"] if state["left"] >= least_rest else 0
+            if got:
+                keep.append(i)
+                taken.append(got)
+                state["left"] -= got
+                state["notes"] += 1
+        return some.iloc[keep].assign(taken_bytes=taken)
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), empty.alias("done"))
-    return notes_in_order.select(scope, F.explode(F.aggregate("all", start, step, lambda a: a["done"])).alias("d")).select(scope, "d.*")
+    return folded_in_order(sized, scope, "path", lambda: {"notes": 0, "left": most_bytes}, step, schema_of(sized, "")[:-2])
 
 
 def resume_parts(items: DataFrame, limit: float) -> DataFrame:
-    """Items of courses with ``part`` numbers, where some parts exist already.
+    """(course, pos, part): items of courses with part numbers, where some parts exist already.
 
     ``items``: course, pos, duration_s, done_part (null if open). Existing parts keep their numbers. Open items are packed
-    next-fit in the gaps between them, never across one; each gap's parts get the smallest free numbers in order.
+    next-fit in the gaps between them, never across one; each gap's parts get the smallest free numbers in order: the
+    k-th new part the k-th number from 1 that no existing part has, found from the ranks of the existing ones.
     """
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        taken = set(pdf.done_part.dropna().astype(int))
-        part, used, current, following = [], 0.0, None, 1
-        for seconds, done in zip(pdf.duration_s.fillna(0.0), pdf.done_part, strict=True):
-            if pd.notna(done):
-                part.append(int(done))
-                current = None
+    rows = items.select("course", "pos", F.coalesce("duration_s", F.lit(0.0)).cast("double").alias("duration_s"), F.col("done_part").cast("long").alias("done_part"))
+
+    def step(state: dict, some: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for seconds, done in zip(some.duration_s.tolist(), some.done_part.isna().tolist(), strict=True):
+            if not done:
+                state["open"] = False
+                out.append(0)
                 continue
-            if current is None or (limit > 0 and used + seconds > limit):
-                while following in taken:
-                    following += 1
-                current, used = following, 0.0
-                taken.add(current)
-            used += seconds
-            part.append(current)
-        return pd.DataFrame({"course": pdf.course, "pos": pdf.pos, "part": part})
-
-    kinds = dict(items.dtypes)
-    return items.select("course", "pos", "duration_s", "done_part").groupBy("course").applyInPandas(place, f"course {kinds['course']}, pos {kinds['pos']}, part long")
+            if not state["open"] or (limit > 0 and state["used"] + seconds > limit):
+                state.update(open=True, used=0.0, fresh=state["fresh"] + 1)
+            state["used"] += seconds
+            out.append(state["fresh"])
+        return some.assign(fresh=out)
+
+    told = folded_in_order(rows, "course", "pos", lambda: {"open": False, "used": 0.0, "fresh": 0}, step, schema_of(rows, "fresh long"))
+    line = Window.partitionBy("course").orderBy("done_part")
+    free_below = rows.where("done_part > 0").select("course", "done_part").distinct().select("course", (F.col("done_part") - F.row_number().over(line)).alias("at"), F.lit(1).alias("taken"))
+    wanted = told.where("fresh > 0").select("course", F.col("fresh").alias("at"), F.lit(0).alias("taken")).distinct()
+    upto = Window.partitionBy("course").orderBy("at", "taken").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = (F.col("at") + F.sum("taken").over(upto)).alias("number")
+    named = wanted.unionByName(free_below).select(F.col("course").alias("of"), F.col("at").alias("nth"), "taken", number).where("taken = 0")
+    same = F.col("course").eqNullSafe(F.col("of")) & (F.col("fresh") == F.col("nth"))
+    return told.join(named, same, "left").select("course", "pos", F.coalesce("done_part", "number").alias("part"))
 
 
 def char_limit(total: Column, n: Column, floor: int = 2_500) -> Column:

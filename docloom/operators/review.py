@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,18 +181,31 @@ def merged_copy_metadata(rows: DataFrame) -> DataFrame:
     return merge_metadata(rows, "copy_id", ["subject", "paper", "candidate"], ["topics"])
 
 
+def _value_text(value) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "; ".join(t for t in map(_value_text, value) if t)
+    if isinstance(value, dict):
+        return "; ".join(f"{k}: {t}" for k, t in ((k, _value_text(value[k])) for k in sorted(value)) if t)
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        x = float(value)
+        return format(Decimal(repr(x)).normalize(), "f") if x == 0 or 1e-4 <= abs(x) < 1e21 else repr(x)
+    return value.strip()
+
+
 def dimensions_text(value: Column) -> Column:
-    """A JSON value as text: lists joined by ``; ``, objects as sorted ``key: value`` lines; one level deep.
+    """A JSON value of any depth as text: lists joined by ``; ``, objects as ``key: value`` in order of their keys, blanks left out; null if it isn't JSON."""
 
-    ``value`` is the JSON text; a plain string or number stands for itself.
-    """
-    as_map = F.from_json(value, "map<string, string>")
-    as_list = F.from_json(value, "array<string>")
-    lines = F.transform(F.array_sort(F.map_entries(as_map)), lambda e: F.concat(e["key"], F.lit(": "), T.or_blank(e["value"])))
-    trimmed = T.trim_ws(T.or_blank(value))
-    return (
-        F.when(trimmed.startswith("{"), F.array_join(lines, "\n"))
-        .when(trimmed.startswith("["), F.array_join(F.filter(F.transform(as_list, lambda x: T.trim_ws(T.or_blank(x))), lambda x: x != ""), "; "))
-        .when(trimmed == "null", "")
-        .otherwise(F.regexp_replace(trimmed, '^"(.*)"$', "$1"))
-    )
+    def text(value: str | None) -> str | None:
+        try:
+            return _value_text(json.loads(value)) if value is not None else ""
+        except ValueError:
+            return None
+
+    def texts(values: pd.Series) -> pd.Series:
+        return values.map(text)
+
+    return F.pandas_udf(texts, "string")(value)

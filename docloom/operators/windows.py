@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
 from docloom.functions import text as T
+from docloom.sources.shared import materialize
 
 #: Subtitle limits in milliseconds, fixed values.
 LEAST_MS, MOST_MS = 1_000, 120_000
@@ -75,25 +76,35 @@ def offset_segments(blocks: DataFrame, items: DataFrame) -> DataFrame:
     """One numbered sequence of the blocks of many files. ``items``: item, file, duration_ms (null: unknown).
 
     A file lasts for the longer of its duration and its last block; each block moves by the lasts of the files before.
-    ``items`` are the parts of one recording, so one window over them is bounded; blocks are numbered from the files'
-    counts and not in one window.
+    Files and blocks are summed part by part, in no single window.
     """
     ends = blocks.groupBy("file").agg(F.max("end_ms").alias("last_ms"), F.count("*").alias("n"))
-    line = Window.orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = F.greatest(F.coalesce("duration_ms", F.lit(0)), F.coalesce("last_ms", F.lit(0)))
-    plan = items.join(ends, "file", "left").select(
-        "item", "file", F.coalesce(F.sum(lasts).over(line), F.lit(0)).alias("offset_ms"), F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(line), F.lit(0)).alias("before")
-    )
-    own = F.row_number().over(Window.partitionBy("file").orderBy("start_ms", "end_ms", "text"))
-    return blocks.withColumn("own", own).join(plan, "file").select(
-        "item", (F.col("before") + F.col("own")).alias("number"), (F.col("start_ms") + F.col("offset_ms")).alias("start_ms"), (F.col("end_ms") + F.col("offset_ms")).alias("end_ms"), "text"
+    lasts = items.join(ends, "file", "left").select("item", "file", F.greatest(F.coalesce("duration_ms", F.lit(0)), F.coalesce("last_ms", F.lit(0))).alias("lasts"), F.coalesce("n", F.lit(0)).alias("n"))
+    plan = before_each(lasts, [], ["item"], offset_ms=F.col("lasts"), before=F.col("n")).select("item", "file", "offset_ms", "before")
+    own = before_each(blocks, ["file"], ["start_ms", "end_ms", "text"], own=F.lit(1).cast("long"))
+    return own.join(plan, "file").select(
+        "item", (F.col("before") + F.col("own") + 1).alias("number"), (F.col("start_ms") + F.col("offset_ms")).alias("start_ms"), (F.col("end_ms") + F.col("offset_ms")).alias("end_ms"), "text"
     )
 
 
+def in_slices(events: DataFrame, at: Column, reach_us: int) -> DataFrame:
+    """``events`` with ``_slice``, a time slice, and ``_own``: events of a slice's last ``reach_us`` also come, not own, in the next.
+
+    A window that looks back no further than ``reach_us`` is so computed inside slices, and a key with most of the
+    events is spread over time.
+    """
+    length = 8 * reach_us
+    own = F.floor(at / length).cast("long")
+    both = F.when(at >= (own + 1) * length - reach_us, F.array(own, own + 1)).otherwise(F.array(own))
+    return events.withColumn("_slice", F.explode(both)).withColumn("_own", F.col("_slice").eqNullSafe(own))
+
+
 def trailing_usage(events: DataFrame, keys: list[str], seconds: int = 60, ts: str = "ts", tokens: str = "tokens") -> DataFrame:
     """Events with requests and tokens of their key in the ``seconds`` up to and with each; the window's start is open."""
-    span = Window.partitionBy(*keys).orderBy(N.micros(F.col(ts))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("window_requests", F.count("*").over(span)).withColumn("window_tokens", F.sum(tokens).over(span))
+    at = N.micros(F.col(ts))
+    span = Window.partitionBy(*keys, "_slice").orderBy(at).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    out = in_slices(events, at, seconds * 1_000_000).withColumn("window_requests", F.count("*").over(span)).withColumn("window_tokens", F.sum(tokens).over(span))
+    return out.where("_own").drop("_slice", "_own")
 
 
 def daily_usage(events: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
@@ -137,19 +148,38 @@ def round_robin(targets: DataFrame, turn: int, scope: list[str]) -> DataFrame:
 
 def call_gaps(calls: DataFrame, keys: list[str], spacing_s: int = 61) -> DataFrame:
     """Calls with ``wait_s``: how long each should have waited to keep the spacing after the one before of its key."""
-    before = F.lag("ts").over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
-    gap = (N.micros(F.col("ts")) - N.micros(before)) / 1e6
-    return calls.withColumn("wait_s", F.coalesce(F.greatest(F.lit(0.0), spacing_s - gap), F.lit(0.0)))
+    at = N.micros(F.col("ts"))
+    before = F.lag("ts").over(Window.partitionBy(*keys, "_slice").orderBy("ts", "event_id"))
+    gap = (at - N.micros(before)) / 1e6
+    out = in_slices(calls, at, spacing_s * 1_000_000).withColumn("wait_s", F.coalesce(F.greatest(F.lit(0.0), spacing_s - gap), F.lit(0.0)))
+    return out.where("_own").drop("_slice", "_own")
+
+
+def before_each(rows: DataFrame, scope: list[str], order: list[str], **values: Column) -> DataFrame:
+    """Rows with the sum of each of ``values`` over the rows before it in its scope, 0 for the first.
+
+    Rows are dealt by ranges of scope and order to parts; the parts' sums are summed first, and each part then adds its
+    own rows. A scope with most of the rows is so spread over many parts. ``order`` must tell a scope's rows apart.
+    """
+    cut = rows.withColumns({f"_{n}": v for n, v in values.items()})
+    cut = materialize(cut.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()))
+    sums = cut.groupBy(*scope, "_part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in values])
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda n, w: F.coalesce(F.sum(f"_{n}").over(w), F.lit(0))
+    parts = sums.select(*[F.col(c).alias(f"_of_{c}") for c in scope], F.col("_part").alias("_of_part"), *[earlier(n, upto(*scope).orderBy("_part")).alias(f"_to_{n}") for n in values])
+    here = cut.withColumns({n: earlier(n, upto(*scope, "_part").orderBy(*order)) for n in values})
+    same = F.col("_part") == F.col("_of_part")
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return here.join(parts, same).select(*rows.columns, *[(F.col(n) + F.col(f"_to_{n}")).alias(n) for n in values])
 
 
 def running_units(items: DataFrame, course: str = "course") -> DataFrame:
     """Items with ``units``, the whole seconds of each, and ``units_before`` of those before it in its course."""
-    line = Window.partitionBy(course).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     units = F.greatest(F.lit(1), F.ceil(F.coalesce("duration_s", F.lit(0.0)))).cast("long")
-    return items.withColumn("units", units).withColumn("units_before", F.coalesce(F.sum("units").over(line), F.lit(0)))
+    return before_each(items.withColumn("units", units), [course], ["pos"], units_before=F.col("units"))
 
 
-def row_batches(rows: DataFrame, size: int, scope: list[str], *order: Column) -> DataFrame:
-    """Rows with ``batch``: consecutive runs of ``size`` rows within scope."""
-    n = F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(n / size).cast("long"))
+def row_batches(rows: DataFrame, size: int, scope: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``batch``: consecutive runs of ``size`` rows within scope, in ``order``, which must tell them apart."""
+    return before_each(rows, scope, order, batch=F.lit(1).cast("long")).withColumn("batch", F.floor(F.col("batch") / size).cast("long"))

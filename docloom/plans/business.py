@@ -42,10 +42,10 @@ def unpivot_dims(t):
 
 
 @query("""
-WITH g AS (SELECT l_partkey AS page, l_returnflag AS status, min(l_orderkey) AS pos FROM lineitem GROUP BY 1, 2)
-SELECT a.pos AS first, b.pos AS second, a.page FROM g a JOIN g b ON a.page = b.page AND a.pos < b.pos AND a.status <> b.status""")
+WITH g AS (SELECT DISTINCT l_partkey AS page, l_returnflag AS status, l_orderkey AS pos FROM lineitem)
+SELECT a.page, a.status, a.pos, count(*) AS links, min(b.pos) AS first_other FROM g a JOIN g b ON a.page = b.page AND a.status <> b.status GROUP BY 1, 2, 3""")
 def overlap_self(t):
-    """Lines of different flags that share a part: each flag's first order stands for it."""
+    """Orders with lines of one flag and a part that lines of another flag share: how many, and the first of them."""
     g = t("lineitem").select(F.col("l_orderkey").alias("pos"), F.col("l_returnflag").alias("status"), F.array("l_partkey").alias("source_pages"))
     return joins.overlapping(g)
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import curation as C
-from docloom.operators import notes, windows
+from docloom.operators import filters, notes, windows
 from docloom.plans.registry import query
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\s+', ''), '\s+$', '')"
@@ -66,7 +67,6 @@ SELECT role, arg_min(h, (-n, h)) AS value, arg_min(n, (-n, h)) AS n FROM c GROUP
 )
 def common_turn(t):
     """The most common turn of each role."""
-    from docloom.functions import text as T
     from docloom.operators.aggregates import mode
 
     rows = t("conversations").where("text is not null").select(F.lower("role").alias("role"), T.newlines(F.col("text")).alias("content")).where("content <> '' and role <> ''")
@@ -117,15 +117,30 @@ def densify_turns(t):
 
 @query(
     """
-SELECT a.conv_id, 'c' || lpad(a.conv_id::VARCHAR, 3, '0') || '-q' || lpad((a.turn + 1)::VARCHAR, 3, '0') AS candidate_id, strlen(a.text)::BIGINT AS answer_bytes
-FROM conversations a WHERE a.role = 'assistant' AND a.conv_id < 1000"""
+SELECT a.conv_id, printf('c%03d-q%03d', a.conv_id, a.turn + 1) AS candidate_id, strlen(a.text)::BIGINT AS answer_bytes
+FROM conversations a WHERE a.role = 'assistant'"""
 )
 def reconcile_candidates(t):
-    """Candidate ids of every answer of the conversations whose number has up to three digits."""
-    c = t("conversations").where("role = 'assistant' and conv_id < 1000")
+    """Candidate ids of every answer, numbers padded to three digits and never cut."""
+    c = t("conversations").where("role = 'assistant'")
     return c.select("conv_id", F.format_string("c%03d-q%03d", F.col("conv_id"), F.col("turn") + 1).alias("candidate_id"), F.octet_length("text").cast("long").alias("answer_bytes"))
 
 
+@query(r"""
+WITH m AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '^`+|`+$', '', 'g') AS v FROM conversations),
+f AS (SELECT *, lower(v) AS low, regexp_replace(regexp_extract(lower(v), '(\S+)', 1), '^["''`.,:;]+|["''`.,:;]+$', '', 'g') AS first,
+  list_filter(['source:', 'source metadata', 'note status', 'status:', 'study iq', 'rs sharma', 'history optional', 'part number', 'part ', 'course', 'series'], lambda x: contains(lower(v), x)) AS leaks,
+  list_intersect(regexp_split_to_array(lower(v), '[^\p{L}\p{Nd}]+'), ['note', 'text', 'content', 'description', 'described', 'discussed', 'according', 'source', 'status']) AS meta FROM m)
+SELECT conv_id, turn, len(leaks) > 0 AS leak, CASE WHEN contains(low, '?') THEN 'question-mark' WHEN first IN ('what', 'how', 'why', 'when', 'where', 'which', 'who', 'whom') THEN 'question-word'
+  WHEN len(leaks) > 0 OR len(meta) > 0 THEN 'metadata' END AS issue, CASE WHEN len(leaks) > 0 THEN 'summary_keywords' WHEN length(v) > 320 THEN 'too-long' END AS as_keywords FROM f""".replace("\\\\", "\\"))
+def metadata_issues(t):
+    """What would be wrong with each turn as a recall prompt and as keywords."""
+    v = F.regexp_replace(T.trim_ws(F.regexp_replace(T.or_blank(F.col("text")), T.SPACES, " ")), "^`+|`+$", "")
+    m = t("conversations").select("conv_id", "turn", v.alias("v"))
+    none = F.array().cast("array<string>")
+    return m.select("conv_id", "turn", filters.metadata_leak(F.col("v")).alias("leak"), filters.recall_prompt_issue(F.col("v")).alias("issue"), filters.metadata_issue(F.lit(""), F.col("v"), none).alias("as_keywords"))
+
+
 @query(
     """
 WITH u AS (SELECT conv_id, arg_min(text, turn) AS before, arg_max(text, turn) AS after FROM conversations WHERE role = 'assistant' GROUP BY 1),
@@ -144,6 +159,6 @@ def answer_diff(t):
 
 @query()
 def line_diffs(t):
-    """Longest-match line diffs between a conversation's first and last answer."""
+    """Two-column line diffs between a conversation's first and last answer."""
     c = t("conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("before"), F.max_by("text", "turn").alias("after"))
     return notes.line_diff(c)

@@ -168,7 +168,13 @@ def chunk_issues(t):
     return review.chunk_page_issues(c).select(F.col("copy_id").alias("doc_id"), "issue")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS course, event_id AS pos, coalesce(value, 0)::DOUBLE AS v, CASE WHEN event_id % 37 = 0 THEN event_id // 37 END AS done, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT DISTINCT course, 0::BIGINT AS pos, 0::BIGINT AS n, NULL::BIGINT AS done, false AS open, 0.0::DOUBLE AS used, 0::BIGINT AS fresh FROM e
+  UNION ALL SELECT e.course, e.pos, e.n, e.done, e.done IS NULL, CASE WHEN e.done IS NOT NULL THEN 0 WHEN NOT r.open OR r.used + e.v > 120 THEN e.v ELSE r.used + e.v END, r.fresh + (e.done IS NULL AND (NOT r.open OR r.used + e.v > 120))::BIGINT
+  FROM r JOIN e ON e.course = r.course AND e.n = r.n + 1),
+free AS (SELECT c.course, i AS part, row_number() OVER (PARTITION BY c.course ORDER BY i) AS fresh FROM (SELECT course, max(fresh) + count(done) AS most FROM r GROUP BY 1) c, LATERAL (SELECT unnest(generate_series(1, most)) AS i) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.course = c.course AND e.done = i))
+SELECT r.course, r.pos, coalesce(r.done, free.part)::BIGINT AS part FROM r LEFT JOIN free ON free.course = r.course AND free.fresh = r.fresh WHERE r.n > 0""")
 def resumed_parts(t):
     """Each user's events as course items of which some have a part already."""
     e = t("events").select(F.col("user_id").alias("course"), F.col("event_id").alias("pos"), F.col("value").alias("duration_s"), F.when(F.col("event_id") % 37 == 0, F.floor(F.col("event_id") / 37).cast("int")).alias("done_part"))

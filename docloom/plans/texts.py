@@ -34,13 +34,13 @@ def jaccard_pairs(t):
 
 
 @query("""
-WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM d WHERE vec_id < 20),
+WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM d WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS query, d.vec_id AS path, list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))) AS score FROM q, d WHERE q.vec_id <> d.vec_id)
 SELECT query, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM s QUALIFY rank <= 12""")
 def cosine_topk(t):
-    """The twelve vectors most similar to each of the first twenty: a top-k report."""
+    """The twelve vectors most similar to each whose id is divisible by twenty: a top-k report."""
     e = t("embeddings").select(F.col("vec_id").alias("path"), "embedding")
-    out = dedup.cosine_topk(e, e.where("path < 20").withColumnRenamed("path", "query"))
+    out = dedup.cosine_topk(e, e.where("path % 20 = 0").withColumnRenamed("path", "query"))
     return out.select("query", "path", F.round("score", 6).alias("score"), "rank")
 
 
@@ -54,13 +54,13 @@ def repeated_lines(t):
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE strlen(text) < 4000),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 n AS (SELECT doc_id, pos, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS line, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM l),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY pos) AS nth FROM n WHERE line <> '')
 SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS text_hash FROM k WHERE length(line) < 20 OR nth = 1 GROUP BY 1""")
 def ocr_line_dedup(t):
-    """Page-sized texts (OCR pages are under 4000 bytes) without repeated long lines and blank lines."""
-    d = t("documents").where(F.octet_length("text") < 4000).select("doc_id", "text")
+    """Texts without repeated long lines and blank lines."""
+    d = t("documents").select("doc_id", "text")
     return dedup.unique_lines(d).where("text <> ''").select("doc_id", F.sha2("text", 256).alias("text_hash"))
 
 
@@ -125,7 +125,7 @@ def unreferenced_pages(t):
 
 @query(r"""
 SELECT doc_id, word_count AS n_words, CASE WHEN word_count = 0 THEN '' ELSE first END AS first_word, lower(source) || '-' || doc_id AS label, left(sha1(source), 12) AS folder,
- lower(text) SIMILAR TO '\s*(<!doctype html|<html)[\s\S]*' OR contains(lower(text), 'internal server error') AS error_page
+ contains(lower(text), '<html') OR contains(lower(text), '</body>') OR contains(lower(text), 'internal server error') AS error_page
 FROM (SELECT *, len(regexp_extract_all(text, '\S+')) AS word_count, regexp_extract(text, '(\S+)', 1) AS first FROM documents)""")
 def text_fields(t):
     """Scalar text functions over every document."""
@@ -198,22 +198,50 @@ def leader_clusters(t):
     return dedup.leader_clusters(d)
 
 
-@query()
+@query(r"""
+WITH RECURSIVE e AS (SELECT source AS shelf, printf('%012d.md', doc_id) AS path, strlen(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', ''))::BIGINT AS n FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY shelf ORDER BY path) AS k FROM e WHERE n > 0),
+r AS (SELECT DISTINCT shelf, NULL::VARCHAR AS path, 0::BIGINT AS taken, 0::BIGINT AS k, 0::BIGINT AS notes, 120000::BIGINT AS room FROM o
+  UNION ALL SELECT r.shelf, o.path, x.got, o.k, r.notes + (x.got > 0)::BIGINT, r.room - x.got FROM r JOIN o ON o.shelf IS NOT DISTINCT FROM r.shelf AND o.k = r.k + 1,
+    LATERAL (SELECT CASE WHEN r.notes >= 25 THEN 0 WHEN o.n <= r.room THEN o.n WHEN r.room >= 1200 THEN r.room ELSE 0 END AS got) x WHERE r.notes < 25 AND r.room > 0)
+SELECT shelf, path, taken AS taken_bytes FROM r WHERE taken > 0""")
 def note_budget(t):
     """Documents taken as notes under the budget of each source's shelf."""
-    d = t("documents").select(F.concat_ws("/", "source", (F.col("doc_id") % 64).cast("string")).alias("shelf"), F.format_string("%012d.md", "doc_id").alias("path"), F.col("text").alias("content"))
+    d = t("documents").select(F.col("source").alias("shelf"), F.format_string("%012d.md", "doc_id").alias("path"), F.col("text").alias("content"))
     return packing.note_budget(d, "shelf")
 
 
 @query("""
 WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) SELECT doc_id, (n // 128)::BIGINT AS batch FROM s""")
 def row_batches(t):
-    return windows.row_batches(t("documents").select("doc_id", "source"), 128, ["source"], F.col("doc_id")).select("doc_id", "batch")
+    return windows.row_batches(t("documents").select("doc_id", "source"), 128, ["source"], ["doc_id"]).select("doc_id", "batch")
 
 
 @query("""
 SELECT source, min(doc_id) AS first_doc, max(strlen(text))::BIGINT AS best_bytes, arg_max(doc_id, (strlen(text), -doc_id)) AS best_doc FROM documents GROUP BY source""")
 def best_page(t):
     """The longest document of each source, the first on a tie."""
-    d = t("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("best_bytes"), F.min("doc_id").over(Window.partitionBy("source")).alias("first_doc"))
-    return aggregates.canonical(d.withColumnRenamed("doc_id", "best_doc"), ["source"], "best_bytes", "best_doc").select("source", "first_doc", "best_bytes", "best_doc")
+    d = t("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("best_bytes"))
+    first = d.groupBy(F.col("source").alias("of")).agg(F.min("doc_id").alias("first_doc"))
+    best = aggregates.canonical(d.withColumnRenamed("doc_id", "best_doc"), ["source"], "best_bytes", "best_doc")
+    return best.join(first, F.col("source").eqNullSafe(F.col("of"))).select("source", "first_doc", "best_bytes", "best_doc")
+
+
+@query(r"""
+WITH n AS (SELECT page_id, html, regexp_replace(lower(trim(coalesce(url, ''))), '\.[^./]*$', '') AS stem FROM pages),
+s AS (SELECT *, regexp_replace(regexp_replace(stem, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM n)
+SELECT page_id, regexp_replace(left(slug, 96), '^-+|-+$', '', 'g') AS stem, contains(lower(coalesce(html, '')), '<html') OR contains(lower(coalesce(html, '')), '</body>') OR contains(lower(coalesce(html, '')), 'internal server error') AS error_page FROM s""")
+def page_names(t):
+    """Slugs of the pages' addresses, and whether their HTML looks like an error page."""
+    return t("pages").select("page_id", T.safe_stem(F.col("url")).alias("stem"), T.error_page(F.col("html")).alias("error_page"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, 3 + doc_id % 1777 AS w, 2 + n_chars % 1301 AS h FROM documents), s AS (SELECT *, least(w, ceil(w * 0.42))::BIGINT AS tw, least(h, ceil(h * 0.42))::BIGINT AS th FROM d)
+SELECT doc_id, r::INT AS row, c::INT AS col, CASE c WHEN 0 THEN 0 WHEN 1 THEN (w - tw) // 2 ELSE w - tw END::BIGINT AS x0, CASE r WHEN 0 THEN 0 WHEN 1 THEN (h - th) // 2 ELSE h - th END::BIGINT AS y0,
+  (CASE c WHEN 0 THEN 0 WHEN 1 THEN (w - tw) // 2 ELSE w - tw END + tw)::BIGINT AS x1, (CASE r WHEN 0 THEN 0 WHEN 1 THEN (h - th) // 2 ELSE h - th END + th)::BIGINT AS y1
+FROM s, (SELECT unnest([0, 1, 2]) AS r), (SELECT unnest([0, 1, 2]) AS c)""")
+def page_tiles(t):
+    """Nine overlapping tiles of page images whose sides are made up from the documents' figures."""
+    d = t("documents").select("doc_id", F.explode(N.tile_boxes(3 + F.col("doc_id") % 1777, 2 + F.col("n_chars") % 1301)).alias("b"))
+    return d.select("doc_id", "b.*")

@@ -69,9 +69,8 @@ SELECT p.item, (bef + row_number() OVER (PARTITION BY f.file ORDER BY start_ms,
 def interval_offset(t):
     """The repaired blocks of all users as one recording."""
     blocks = windows.repair_intervals(_blocks(t))
-    from pyspark.sql import Window
-
-    items = blocks.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("item"), F.lit(None).cast("long").alias("duration_ms"))
+    files = windows.before_each(blocks.select("file").distinct(), [], ["file"], item=F.lit(1).cast("long"))
+    items = files.select("file", (F.col("item") + 1).alias("item"), F.lit(None).cast("long").alias("duration_ms"))
     return windows.offset_segments(blocks, items)
 
 
@@ -119,23 +118,40 @@ def progress_eta(t):
     return t("events").select("event_id", N.eta_seconds(v / 50, v, F.lit(1)).alias("eta"), N.clamp(v / 50 - 0.2, 0.0, 1.0).alias("clamped"), N.round_to(v, 2).alias("rounded"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, coalesce(value, 0)::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, v AS used, 0::BIGINT AS part FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN r.used + e.v > 120 THEN e.v ELSE r.used + e.v END, r.part + (r.used + e.v > 120)::BIGINT FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, part FROM r""")
 def pack_duration(t):
     """Each user's events packed next-fit into parts of 120 seconds."""
     return packing.next_fit(t("events").select("user_id", "event_id", "value"), "user_id", "value", 120.0, "event_id").select("user_id", "event_id", "part")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_type AS key, event_id, epoch_us(ts) AS us, floor(value)::BIGINT AS tokens, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT key, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS reason, []::STRUCT(a BIGINT, t BIGINT)[] AS kept, -1::BIGINT AS day, 0::BIGINT AS used FROM e
+  UNION ALL SELECT key, n, event_id, why, CASE WHEN why = '' THEN list_append(live, {'a': us, 't': tokens}) ELSE live END, day, used + (why = '')::BIGINT FROM (
+    SELECT *, CASE WHEN used >= 40 THEN 'day' WHEN len(live) >= 2 THEN 'minute' WHEN coalesce(list_sum(list_transform(live, lambda x: x.t)), 0) + tokens > 100 THEN 'tokens' ELSE '' END AS why FROM (
+      SELECT e.key, e.n, e.event_id, e.us, e.tokens, list_filter(r.kept, lambda x: x.a > e.us - 60000000) AS live, e.us // 86400000000 AS day, CASE WHEN e.us // 86400000000 = r.day THEN r.used ELSE 0 END AS used
+      FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)))
+SELECT key, event_id, reason = '' AS admitted, reason FROM r WHERE n > 0""")
 def admission(t):
     """Which events of each type a limit of two a minute, a hundred tokens a minute and forty a day admits."""
     e = t("events").select(F.col("event_type").alias("key"), "event_id", "ts", F.floor("value").alias("tokens"))
     return quota.admitted_batch(e, per_minute=2, tokens_per_minute=100, per_day=40)
 
 
-@query()
-def lane_schedule(t):
-    """Each user's events on three lanes."""
-    return quota.lane_schedule(t("events").select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("item"), F.col("value").alias("seconds")), 3)
+@query("""
+WITH e AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'context canceled' WHEN 1 THEN 'Post: context deadline exceeded' WHEN 2 THEN 'too many Requests' WHEN 3 THEN 'connection refused' WHEN 4 THEN 'Temporarily unavailable'
+  WHEN 5 THEN '' WHEN 6 THEN 'i/o timeout' ELSE 'HTTP ' || (400 + event_id % 120) END AS error FROM events)
+SELECT event_id, CASE WHEN error = '' THEN NULL WHEN event_id % 9 < 2 THEN 'cancelled' WHEN regexp_matches(lower(error), '429|too many requests|rate limit|500|502|503|504|timeout|temporarily unavailable') THEN 'transient' ELSE 'permanent' END AS kind FROM e""")
+def failure_kinds(t):
+    """Made-up errors of calls by kind."""
+    i = F.col("event_id")
+    said = ["context canceled", "Post: context deadline exceeded", "too many Requests", "connection refused", "Temporarily unavailable", "", "i/o timeout"]
+    error = F.coalesce(*[F.when(i % 9 == k, text) for k, text in enumerate(said)], F.concat(F.lit("HTTP "), (400 + i % 120).cast("string")))
+    return t("events").select("event_id", T.failure_kind(error).alias("kind"))
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.functions import numbers as N
+from docloom.sources.shared import materialize
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY, MINUTE = 86_400_000_000, 60_000_000
@@ -32,12 +34,14 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
-        recent = [(a, t) for a, t in self.recent.get()]
+        recent = deque((a, t) for a, t in self.recent.get())
+        live = sum(t for _, t in recent)
         day, used = self.day.get() or (-1, 0)
         said = []
         for event, at, tokens in zip(batch.event_id, batch["at"], batch.tokens, strict=True):
             at, tokens = int(at), int(tokens)
-            recent = [(a, t) for a, t in recent if a > at - MINUTE]
+            while recent and recent[0][0] <= at - MINUTE:
+                live -= recent.popleft()[1]
             if at // DAY != day:
                 day, used = at // DAY, 0
             reason = ""
@@ -45,13 +49,14 @@ class Admission(StatefulProcessor):
                 reason = "day"
             elif self.per_minute > 0 and len(recent) >= self.per_minute:
                 reason = "minute"
-            elif self.tokens_per_minute > 0 and sum(t for _, t in recent) + tokens > self.tokens_per_minute:
+            elif self.tokens_per_minute > 0 and live + tokens > self.tokens_per_minute:
                 reason = "tokens"
             if not reason:
                 recent.append((at, tokens))
+                live += tokens
                 used += 1
             said.append((*key, int(event), not reason, reason))
-        self.recent.put(recent)
+        self.recent.put(list(recent))
         self.day.update((day, used))
         yield pd.DataFrame(said, columns=["key", "event_id", "admitted", "reason"])
 
@@ -101,9 +106,9 @@ def admitted_batch(events: DataFrame, per_minute: int = 0, tokens_per_minute: in
     days = rows.select("key", "day").distinct()
     carried = rows.limit(0)
     while True:
-        said = rows.unionByName(carried).groupBy("key", "day").applyInPandas(replay, schema).localCheckpoint()
+        said = materialize(rows.unionByName(carried).groupBy("key", "day").applyInPandas(replay, schema))
         late = said.where(F.col("admitted") & (F.col("at") > F.col("day") + DAY - MINUTE)).withColumn("day", F.col("day") + DAY)
-        late = late.join(days, ["key", "day"], "left_semi").select("key", "day", "event_id", "at", "tokens", F.lit(True).alias("carried")).localCheckpoint()
+        late = materialize(late.join(days, ["key", "day"], "left_semi").select("key", "day", "event_id", "at", "tokens", F.lit(True).alias("carried")))
         if late.exceptAll(carried).isEmpty() and carried.exceptAll(late).isEmpty():
             return said.select("key", F.col("event_id").cast("long").alias("event_id"), "admitted", "reason")
         carried = late
@@ -152,18 +157,3 @@ def windowed_usage(events: DataFrame, length: str = "1 minute", delay: str = "10
         .agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
         .select("key", F.col("w.start").alias("start"), "requests", "tokens")
     )
-
-
-def lane_schedule(items: DataFrame, lanes: int) -> DataFrame:
-    """(batch_id, item, lane, start_s, end_s): items in order on the lane that is free first, one at a time each."""
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = [0.0] * lanes, []
-        for item, seconds in zip(*(pdf.sort_values("item")[c] for c in ("item", "seconds")), strict=True):
-            lane = min(range(lanes), key=lambda k: (free[k], k))
-            out.append((pdf.batch_id.iloc[0], item, lane, free[lane], free[lane] + seconds))
-            free[lane] += seconds
-        return pd.DataFrame(out, columns=["batch_id", "item", "lane", "start_s", "end_s"])
-
-    kind = dict(items.dtypes)["batch_id"]
-    return items.select("batch_id", "item", "seconds").groupBy("batch_id").applyInPandas(place, f"batch_id {kind}, item long, lane long, start_s double, end_s double")

@@ -36,7 +36,9 @@ c = F.col
         (lambda: T.question_no(F.lit("none"), F.lit(5)), 5),
         (lambda: T.scoped_id(F.lit("c1"), F.lit("c1-a b")), "c1-a-b"),
         (lambda: T.scoped_id(F.lit("c1"), F.lit("a b")), "c1-a-b"),
-        (lambda: T.safe_stem(F.lit("/x/ä b.png")), "b"),
+        (lambda: T.safe_stem(F.lit(" Scan_1 (Ä) b.PNG")), "scan-1-b"),
+        (lambda: T.safe_stem(F.lit("x" * 95 + "..yy.jpg")), "x" * 95),
+        (lambda: T.safe_stem(F.lit("ä.png")), ""),
         (lambda: T.slug_words(F.lit("The Map of an Old Town"), ["the", "of", "an"], 2), "map-old"),
         (lambda: T.compact_note(F.lit("p.md"), F.lit("äb"), 2), "PATH: p.md\nä\n[truncated]"),
         (lambda: T.numbered(F.lit("a\nb\n")), "   1 | a\n   2 | b"),
@@ -63,6 +65,13 @@ c = F.col
         (lambda: T.ocr_failed(F.lit("\n> OCR failed for this page: x")), True),
         (lambda: T.failure_kind(F.lit("HTTP 503 unavailable")), "transient"),
         (lambda: T.failure_kind(F.lit("bad key")), "permanent"),
+        (lambda: T.failure_kind(F.lit("HTTP 500")), "transient"),
+        (lambda: T.failure_kind(F.lit("Too Many Requests")), "transient"),
+        (lambda: T.failure_kind(F.lit("connection refused")), "permanent"),
+        (lambda: T.failure_kind(F.lit("context deadline exceeded")), "cancelled"),
+        (lambda: T.error_page(F.lit("ok <HTML lang=en>")), True),
+        (lambda: T.error_page(F.lit("x</body>")), True),
+        (lambda: T.error_page(F.lit("<!doctype html>")), False),
         (lambda: T.failure_kind(F.lit(" ")), None),
         (lambda: N.clamp(F.lit(None).cast("double"), 0, 1), None),
         (lambda: N.clamp(F.lit(2.0), 0, 1), 1.0),
@@ -99,3 +108,5 @@ def test_limits():
 def test_tiles(value):
     tiles = value(N.tile_boxes(F.lit(100), F.lit(50)))
     assert len(tiles) == 9 and (tiles[0].x0, tiles[0].x1, tiles[8].x0, tiles[8].x1, tiles[8].y1) == (0, 42, 58, 100, 50)
+    odd = value(N.tile_boxes(F.lit(101), F.lit(3)))
+    assert [(t.x0, t.x1, t.y0, t.y1) for t in (odd[0], odd[4], odd[8])] == [(0, 43, 0, 2), (29, 72, 0, 2), (58, 101, 1, 3)]

@@ -249,8 +249,11 @@ def test_filters(spark):
     assert [df(spark, "b string", (n,)).select(filters.substantive(F.col("b")).alias("x")).first().x for n in notes_] == [False, True, False]
     whole = "---\ntitle: a\nsummary_keywords: b\nrecall_questions:\n  - why?\n---\nx"
     assert [df(spark, "b string", (n,)).select(filters.complete_metadata(F.col("b")).alias("x")).first().x for n in (whole, whole.replace("  - why?\n", ""))] == [True, False]
-    leak = df(spark, "p string", ("What is a map?",), ("Tell me.",), ("What of the vault?",)).select(filters.metadata_leak(F.col("p"), ["vault"]).alias("x"))
-    assert [r.x for r in leak.collect()] == [None, "not-a-question", "blocked-term"]
+    prompts = ["What is a map?", "Causes -> 1857 revolt", "why towns grew", "Growth -> GDP", "'Whom' it served", "described art", "Course of rivers", "part 2 -> towns", "a contented town"]
+    issues = df(spark, "n long, p string", *enumerate(prompts)).orderBy("n").select(filters.recall_prompt_issue(F.col("p")).alias("x"))
+    assert [r.x for r in issues.collect()] == ["question-mark", None, "question-word", None, "question-word", "metadata", "metadata", "metadata", None]
+    whole = df(spark, "t string, k string, p array<string>", ("T", "k", ["a -> b"]), ("Course notes", "k", []), ("T", "series, x", []), ("T", "x" * 321, []), ("T", "k", ["a", "who?"]))
+    assert [r.x for r in whole.select(filters.metadata_issue(F.col("t"), F.col("k"), F.col("p")).alias("x")).collect()] == [None, "title", "summary_keywords", "too-long", "question-mark"]
     paths = ["a/b.md", "../x.md", "/etc/x.md", "a/../b.md", "a/c.txt", "b/a.md"]
     assert [df(spark, "p string", (p,)).select(filters.path_allowed(F.col("p"), "a", ".md").alias("x")).first().x for p in paths] == [True, False, False, False, False, False]
 
@@ -272,12 +275,40 @@ def test_study(spark):
 
 def test_diffs(spark):
     pairs = df(spark, "id int, before string, after string", (1, "a\nb\nc\n", "a\nx\nb\nc"), (2, "same", "same"))
-    lcs = [(r.kind, r.line) for r in notes.line_diff(pairs).where("id = 1").orderBy("pos").collect()]
-    assert lcs == [(" ", "a"), ("+", "x"), (" ", "b"), (" ", "c")]
+    lcs = [(r.type, r.before_number, r.after_number, r.before_text, r.after_text) for r in notes.line_diff(pairs).where("id = 1").orderBy("pos").collect()]
+    assert lcs == [("same", 1, 1, "a", "a"), ("inserted", None, 2, "", "x"), ("same", 2, 3, "b", "b"), ("same", 3, 4, "c", "c")]
+    swapped = df(spark, "id int, before string, after string", (1, "a\nb\nc\nd", "a\nx\ny\nz\nd"), (2, "p\nq\nr", "r"))
+    got = {i: [(r.type, r.before_number, r.after_number) for r in notes.line_diff(swapped).where(F.col("id") == i).orderBy("pos").collect()] for i in (1, 2)}
+    assert got[1] == [("same", 1, 1), ("changed", 2, 2), ("changed", 3, 3), ("inserted", None, 4), ("same", 4, 5)]
+    assert got[2] == [("deleted", 1, None), ("deleted", 2, None), ("same", 3, 1)]
+    by_place = [(r.type, r.before_number, r.after_number) for r in notes.line_diff(swapped, most_cells=1).where("id = 2").orderBy("pos").collect()]
+    assert by_place == [("changed", 1, 1), ("deleted", 2, None), ("deleted", 3, None)]
     place = [(r.at, r.kind, r.line) for r in notes.positional_diff(pairs).orderBy("id", "at", F.desc("kind")).collect()]
     assert place == [(1, "-", "b"), (1, "+", "x"), (2, "-", "c"), (2, "+", "b"), (3, "+", "c")]
 
 
+def test_common_lines_are_a_longest_subsequence():
+    import random
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randint(0, 6))] for _ in range(2))
+        steps = notes.common_lines(a, b)
+        same = [(i, j) for kind, i, j in steps if kind == "same"]
+        assert all(a[i] == b[j] for i, j in same) and same == sorted(same)
+        assert [i for kind, i, _ in steps if kind != "insert"] == list(range(len(a))) and [j for kind, _, j in steps if kind != "delete"] == list(range(len(b)))
+        subsequence = lambda w, of: all(c in it for it in [iter(of)] for c in w)
+        most = max(n for n in range(len(a) + 1) for w in combinations(a, n) if subsequence(w, b))
+        assert len(same) == most
+
+
+def test_dimension_texts(spark):
+    values = ['"  x "', "null", "3", "2.50", "true", '["a", ["b", ""], {"k": 1, "a": null}]', '{"b": ["x", "y"], "a": {"z": "w", "c": " "}}', "1e21", "not json", None]
+    got = [r.x for r in df(spark, "n int, v string", *enumerate(values)).orderBy("n").select(review.dimensions_text(F.col("v")).alias("x")).collect()]
+    assert got == ["x", "", "3", "2.5", "true", "a; b; k: 1", "a: z: w; b: x; y", "1e+21", None, ""]
+
+
 def test_pages_round_trip(spark):
     pages = df(spark, "doc int, number long, name string, text string", (1, 2, "b.png", "two"), (1, 1, "a.png", "one\n\nx"))
     back = notes.page_sections(notes.markdown_of_pages(pages)).orderBy("number").collect()
@@ -337,14 +368,33 @@ def test_page_split(spark):
 def test_metadata_and_uploads(spark):
     from docloom.operators import models
 
-    rows = df(spark, "id int, reply string", (1, '{"title": " a  b", "summary_keywords": "k", "recall_questions": ["What?", " ", "Why?", "How?", "Who?"]}'), (2, "{}"), (3, '{"title": "a", "summary_keywords": "k", "recall_questions": ["Tell."]}'))
+    rows = df(spark, "id int, reply string", (1, '{"title": " a  b", "summary_keywords": "k", "recall_questions": ["What?", " ", "Why?", "How?", "Who?"]}'), (2, "{}"), (3, '{"title": "a", "summary_keywords": "k", "recall_questions": ["Growth -> GDP", "Jobs"]}'))
     got = {r.id: r for r in models.parsed_metadata(rows).collect()}
-    assert (got[1].title, got[1].recall_questions, got[1].issue) == ("a b", ["What?", "Why?", "How?"], None)
-    assert (got[2].issue, got[3].issue) == ("no title", "not-a-question")
+    assert (got[1].title, got[1].recall_questions, got[1].issue) == ("a b", ["What?", "Why?", "How?"], "question-mark")
+    assert (got[2].issue, got[3].issue) == ("no title", None)
     ups = df(spark, "folder string, pos long, name string", ("f", 0, "a.pdf"), ("f", 1, "x/a.pdf"), ("g", 2, "a.pdf"), ("f", 3, "b"))
     assert [r.saved_as for r in models.upload_names(ups).orderBy("pos").collect()] == ["a.pdf", "a-2.pdf", "a.pdf", "b"]
 
 
+def test_durations(spark):
+    from docloom.functions import dates
+
+    values = ["1m30s", "500ms", "1.5h", "-2s", "+.5s", "0", "7", "s", "", "3s x", "1h2m3s4ms"]
+    got = [r.x for r in df(spark, "n int, v string", *enumerate(values)).orderBy("n").select(dates.duration_seconds(F.col("v")).alias("x")).collect()]
+    assert got == [90.0, 0.5, 5400.0, -2.0, 0.5, 0.0, None, None, None, None, 3723.004]
+
+
+def test_progress_updates(spark):
+    from docloom.functions import numbers
+
+    t = [datetime(2024, 1, 1, 0, m) for m in range(10)]
+    rows = [("determinate", 4, 9, None, None), ("determinate", 4, -1, None, None), ("determinate", 0, 3, None, None), ("timed", 0, 0, t[0], t[8]), ("timed", 0, 0, None, t[6]), ("timed", 0, 0, t[5], t[5]), ("timed", 0, 0, t[0], t[1]), (None, 3, 1, None, None)]
+    update = numbers.progress_update(*map(F.col, ("mode", "total", "done", "started", "ends")), F.lit(t[2]), F.lit(t[4]))
+    out = df(spark, "n int, mode string, total long, done long, started timestamp, ends timestamp", *[(n, *r) for n, r in enumerate(rows)]).orderBy("n").select(update.alias("u")).collect()
+    got = [(r.u.mode, r.u.completed_units, r.u.total_units, r.u.progress) for r in out]
+    assert got == [("determinate", 4, 4, 1.0), ("determinate", 0, 4, 0.0), ("indeterminate", 0, 0, 0.0), ("timed", 0, 0, 0.5), ("timed", 0, 0, 0.5), ("indeterminate", 0, 0, 0.0), ("timed", 0, 0, 1.0), ("indeterminate", 0, 0, 0.0)]
+
+
 def test_dates(spark):
     from docloom.functions import dates
 

@@ -134,12 +134,6 @@ def test_ready_prefix(spark, tmp_path):
     assert got == [("a", 0), ("a", 1)]
 
 
-def test_lanes(spark):
-    items = df(spark, "batch_id string, item long, seconds double", *[("x", i, float(s)) for i, s in enumerate([5, 1, 1, 4])])
-    got = [(r.lane, r.start_s) for r in quota.lane_schedule(items, 2).orderBy("item").collect()]
-    assert got == [(0, 0.0), (1, 0.0), (1, 1.0), (1, 2.0)]
-
-
 def test_admission_keeps_one_quota_a_key_over_midnight(spark, tmp_path):
     from docloom.plans.registry import QUERIES
 
