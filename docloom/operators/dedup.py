@@ -141,8 +141,8 @@ def unique_lines(rows: DataFrame, text: str = "text", least: int = 20) -> DataFr
     """
     lines = F.filter(F.transform(F.split(T.or_blank(F.col(text)), "\n"), T.trim_ws), lambda x: x != "")
     entry = F.transform("_lines", lambda x, i: F.struct(T.normalize_ws(x).alias("key"), i.alias("at"), x.alias("line")))
-    repeat = lambda i: F.get(F.col("_sorted"), i - 1)["key"].eqNullSafe(F.get(F.col("_sorted"), i)["key"]) & (i > 0)
-    kept = F.filter("_sorted", lambda x, i: (F.char_length(x["line"]) < least) | ~repeat(i))
+    first = F.zip_with("_sorted", F.concat(F.array(F.lit(None)), F.slice("_sorted", 1, F.greatest(F.size("_sorted") - 1, F.lit(0)))), lambda x, last: F.struct(x["at"].alias("at"), x["line"].alias("line"), (~last["key"].eqNullSafe(x["key"])).alias("new")))
+    kept = F.filter(first, lambda x: (F.char_length(x["line"]) < least) | x["new"])
     ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
     out = rows.withColumn("_lines", lines).withColumn("_sorted", F.array_sort(entry))
     return out.withColumn(text, F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).drop("_lines", "_sorted")
