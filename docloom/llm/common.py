@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import discard, materialize, shared_folder
+
+__all__ = ["discard", "materialize", "shared_folder"]  # and what is defined here
+
 #: A word, as the contracts of this subpackage define it.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,34 +34,6 @@ def fold(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. Lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docloom/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docloom_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete the files behind a materialized frame that nothing reads any more."""
-    path = getattr(df, "_docloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def in_groups(sizes: list[int], most: int = 1_000_000) -> Iterator[slice]:
     """Slices of consecutive texts of about ``most`` bytes each, a longer text alone."""
     at = 0
@@ -72,7 +46,7 @@ def in_groups(sizes: list[int], most: int = 1_000_000) -> Iterator[slice]:
         at = to
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label each node of the undirected ``edges(a, b)`` with the smallest node it reaches.
 
     Returns (node, component) for every node of an edge; an empty edge table gives an empty result. Null ends and
@@ -101,16 +75,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         after = materialize(star(star(now, True), False))
         was, seen = seen, mark(after)
         discard(now)
         now = after
         if was == seen:
             break
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -158,6 +158,50 @@ def test_capped_targets_reshare():
     assert got == {"a": 30.0, "b": 980.0, "c": 0.0}
 
 
+def test_shared_targets_equal_the_plain_shares(spark):
+    rng = random.Random(9)
+    for n in (1, 2, 7, 40):
+        sizes = {f"s{i}" if i else None: rng.choice([0, 1, 10, 100, 5000]) for i in range(n)}
+        rows = mixing.weights_in_turn(spark.createDataFrame(list(sizes.items()), "source string, size long"))
+        weights = mixing.weights_in_turn(sizes)
+        assert {r.source: r.weight for r in rows.collect()} == weights
+        got = {r.source: r.target for r in mixing.shared_targets(rows).collect()}
+        want = mixing.capped_targets(sizes, weights)
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in want)
+
+
+def test_mixing_of_very_many_sources(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    out = mixing.mix_documents(rows)
+    got = out.agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.max(F.abs(F.col("taken") - F.col("target"))).alias("off")).first()
+    assert (got.n, got.size) == (30_000, 90_000) and got.off <= 0.5 + 1e-9 and abs(got.taken - 90_000) <= 15_000
+
+
+def test_min_cost_flow_against_enumeration():
+    """Over all ways to take words in overlapping patterns: the most words, and of those the fewest repeats."""
+    from itertools import product
+
+    costs = mixing.REPEAT_COSTS
+    spend = lambda taken, words: sum(c * max(0, min(words, taken - k * words)) for k, c in enumerate(costs))
+
+    def fits(taken, members, quotas):  # max flow by trying all splits of two sources
+        for a in range(taken[1] + 1) if len(taken) > 1 else [0]:
+            if taken[0] + a <= quotas["a"] and taken[2] + taken[1] - a <= quotas["b"]:
+                return True
+        return False
+
+    rng = random.Random(4)
+    for _ in range(25):
+        words = [rng.randint(0, 3) for _ in range(3)]
+        quotas = {"a": rng.randint(0, 9), "b": rng.randint(0, 9)}
+        patterns = {"a": (["a"], words[0]), "ab": (["a", "b"], words[1]), "b": (["b"], words[2])}
+        got = mixing.min_cost_flow(patterns, quotas)
+        every = [t for t in product(*(range(3 * w + 1) for w in words)) if fits(t, None, quotas)]
+        best = max((sum(t), -sum(spend(x, w) for x, w in zip(t, words, strict=True))) for t in every)
+        mine = [got[p] for p in ("a", "ab", "b")]
+        assert fits(mine, None, quotas) and (sum(mine), -sum(spend(x, w) for x, w in zip(mine, words, strict=True))) == best
+
+
 def test_min_cost_flow_overlap():
     patterns = {"a": (["a"], 10), "ab": (["a", "b"], 10), "b": (["b"], 10)}
     got = mixing.min_cost_flow(patterns, {"a": 20, "b": 10})
@@ -413,6 +457,34 @@ def test_best_boundaries_are_optimal():
         assert cost(packing.best_boundaries(np.array(lengths), np.array(n), 3)) == best
 
 
+def test_best_boundaries_of_long_lengths_equal_plain_dynamic_programming():
+    rng = random.Random(5)
+    for n, buckets in ((1, 3), (4, 9), (60, 5), (150, 12)):
+        lengths = sorted(rng.sample(range(0, 50_000), n))
+        rows = [rng.randint(1, 40) for _ in lengths]
+        cost = lambda i, j, lengths=lengths, rows=rows: sum(k * (lengths[j - 1] - x) for x, k in zip(lengths[i:j], rows[i:j], strict=True))
+        least = [0] + [math.inf] * n
+        every = []
+        for _ in range(min(buckets, n)):
+            least = [math.inf] + [min(least[i] + cost(i, j) for i in range(j)) for j in range(1, n + 1)]
+            every.append(least[n])
+        ends = packing.best_boundaries(np.array(lengths), np.array(rows), buckets)
+        assert ends[-1] == lengths[-1] and len(ends) <= buckets and set(ends) <= set(lengths)
+        assert sum(k * (min(e for e in ends if e >= x) - x) for x, k in zip(lengths, rows, strict=True)) == min(every)
+
+
+def test_packing_of_long_texts_is_optimal(spark):
+    sizes = [600, 601, 640, 999, 1000, 1003, 5000, 5001, 0, 3, 1003, 700]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), "x", 5) for i, n in enumerate(sizes)], "doc_id long, text string, bucket_length string, part int")
+    out = packing.pack(df, mixing.word_count(F.coalesce("text", F.lit(""))), budget=4000, buckets=4).collect()
+    ends = sorted({r.bucket_length for r in out})
+    assert set(ends) <= set(sizes) and len(out) == len(sizes)
+    pad = lambda ends: sum(min(e for e in ends if e >= x) - x for x in sizes)
+    from itertools import combinations
+
+    assert pad(ends) == min(pad([*c, 5001]) for k in range(4) for c in combinations(sorted(set(sizes) - {5001}), k))
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(docs, empty, weak):
     """weak: a hash with few values, so that chunks must be told apart by their content."""

@@ -50,12 +50,12 @@ def test_stages(spark, folder):
     assert near.columns == names and {r.doc_id for r in near.collect()} == set(of.values())
     mixed = pipeline.mixing(spark, docs, folder)
     taken = {r.doc_id: (r["size"], r.taken) for r in mixing.mix_documents(docs).collect() if r.taken}
-    got, copies = Counter(), Counter()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    copies = Counter()
     for r in mixed.collect():
-        got[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        assert r.text == texts[r.doc_id]  # whole, never cut
         copies[r.doc_id] += 1
-    assert mixed.columns == names and got == {i: t for i, (_, t) in taken.items()}
-    assert copies == {i: -(-t // s) for i, (s, t) in taken.items()}
+    assert mixed.columns == names and copies == {i: (2 * t + s) // (2 * s) for i, (s, t) in taken.items() if 2 * t >= s}
     assert pipeline.packing(spark, mixed, folder).count() == mixed.count()
 
 
