@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WORD, materialize, read, text_or_empty
+from docloom.operators.windows import before_each
 
 #: Cost of a word's first, second and third use: convex, so that nothing repeats while unused words are left.
 REPEAT_COSTS = (0, 1, 3)
-#: The driver solves the flow over patterns and sources, never over documents; more than this is refused.
-MAX_PATTERNS = 20_000
 #: Rows of a pattern that share one part of the seeded order.
 ROWS_A_PART = 50_000
 
@@ -89,57 +88,95 @@ def min_cost_flow(patterns: dict[str, tuple[list, int]], quotas: dict, costs=REP
     return {p: sum(patterns[p][1] - e[1] for e in uses[p]) for p in names}
 
 
+def shared_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
+    """``sizes(source, size, weight)`` with ``target``: ``capped_targets`` over any number of sources.
+
+    A source is capped if its weight at the common rate gives more than ``cap`` times its size. The rate follows from the
+    capped sources and only grows, so it is found in a few aggregates over the sources.
+    """
+    sizes, weight, most = materialize(sizes), F.col("weight").cast("double"), F.col("size") * F.lit(float(cap))
+    rate, capped = 0.0, -1
+    while True:
+        over = weight * rate > most
+        r = sizes.agg(F.sum("size").alias("all"), F.sum(F.when(over, most)).alias("used"), F.sum(F.when(~over, weight)).alias("open"), F.count_if(over).alias("n")).first()
+        if r.n == capped or not r.open:
+            return sizes.withColumn("target", F.when(over, most).otherwise(weight * rate))
+        rate, capped = (r["all"] - (r.used or 0.0)) / r.open, r.n
+
+
+def flows(patterns: DataFrame, targets: DataFrame, costs: tuple) -> DataFrame:
+    """(pattern, taken): words to take from each pattern, as ``min_cost_flow`` has it.
+
+    A source that only its own documents hold takes its target from them, without a flow. Patterns of several sources and
+    those that share a source with them are solved on the driver: figures of patterns, never of documents.
+    """
+    spark, most = patterns.sparkSession, len(costs)
+    quota = F.round("target").cast("long")
+    several = patterns.where("size(members) > 1")
+    shared = materialize(several.select(F.explode("members").alias("shared")).distinct())
+    alone = patterns.where("size(members) = 1").withColumn("source", F.col("members")[0])
+    tied = F.col("source").eqNullSafe(F.col("shared"))
+    free = alone.join(shared, tied, "left_anti")
+    plain = free.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("pattern", F.least(F.col("words") * most, quota).alias("taken"))
+    rows = several.select("pattern", "members", "words").unionByName(alone.join(shared, tied, "left_semi").select("pattern", "members", "words")).collect()
+    if not rows:
+        return plain
+    quotas = {r.source: r.quota for r in targets.join(shared, tied, "left_semi").select("source", quota.alias("quota")).collect()}
+    solved = min_cost_flow({r.pattern: (r.members, r.words) for r in rows}, quotas, costs)
+    return plain.unionByName(spark.createDataFrame(list(solved.items()), "pattern string, taken long"))
+
+
 def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, seed: int = 7, passing: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, pattern, size, source_size, target and taken, with the columns ``passing``, of each row of ``docs``.
 
     ``sources``: array of the sources that a document belongs to (nulls count as a source of their own); ``size``: its
-    words; ``weigh(source sizes) -> weights``. Documents are aggregated by membership pattern; the driver routes the
-    patterns' words to the sources' quotas by min-cost flow. Each pattern then takes whole rounds of all its documents
-    and, for the rest, documents in an order seeded by ``seed``: the last of these gives only the words still needed.
-    The order is cut into parts by a hash, so that a pattern with a third of all rows is summed by part, not in one
-    window. ``source_size`` and ``target`` are those of the first source, 0 for documents of none, which take nothing like
-    documents without words; repeated
-    rows count as often as they stand; an empty table gives no rows.
+    words; ``weigh(sizes)``: for a frame of source and size, that frame with ``weight``, or a dict of weights. Documents are
+    aggregated by membership pattern; the patterns' words are routed to the sources' quotas by min-cost flow. Each pattern
+    then takes whole rounds of all its documents and, for the rest, documents in an order seeded by ``seed``: the last of
+    these gives only the words still needed. The order is cut into parts by a hash, so that a pattern with a third of all
+    rows is summed by part, not in one window. ``source_size`` and ``target`` are those of the first source, 0 for
+    documents of none, which take nothing like documents without words; repeated rows count as often as they stand; an
+    empty table gives no rows.
     """
+    spark = docs.sparkSession
     sized = materialize(docs.select("doc_id", *passing, F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size")))
     base = sized.withColumn("turn", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("pattern", F.to_json("members"))
-    found = base.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count("*").alias("rows"))
-    rows = found.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; group the sources first")
-    sizes: dict = {}
-    for r in rows:
-        for s in r.members:
-            sizes[s] = sizes.get(s, 0) + r.words
-    targets = capped_targets(sizes, weigh(sizes), cap)
-    overlap = sum(r.words for r in rows if r.members) / max(1, sum(sizes.values()))
-    targets = {s: t * overlap for s, t in targets.items()}
-    taken = min_cost_flow({r.pattern: (r.members, r.words) for r in rows}, {s: round(t) for s, t in targets.items()}, REPEAT_COSTS[:cap] + tuple(range(6, 3 * cap, 3))[: max(0, cap - 3)])
-    spark, parts = docs.sparkSession, max([4096, *(r.rows // ROWS_A_PART for r in rows)])
-    plan = spark.createDataFrame(
-        [(r.pattern, sizes[r.members[0]] if r.members else 0, float(targets[r.members[0]]) if r.members else 0.0, *divmod(taken[r.pattern], max(1, r.words))) for r in rows],
-        "pattern string, source_size long, target double, rounds long, rest long",
-    )
+    found = materialize(base.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count("*").alias("rows")))
+    sizes = found.select(F.explode("members").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size"))
+    weighed = weigh(sizes)
+    if isinstance(weighed, dict):
+        named = spark.createDataFrame([(s, float(w)) for s, w in weighed.items()], "of string, weight double")
+        weighed = sizes.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    targets = materialize(shared_targets(weighed, cap))
+    figures = found.agg(F.sum(F.when(F.size("members") > 0, F.col("words"))).alias("words"), F.max("rows").alias("rows")).first()
+    share = (figures.words or 0) / max(1, targets.agg(F.sum("size")).first()[0] or 0)  # words in several sources count once
+    targets = targets.withColumn("target", F.col("target") * share)
+    taken = flows(found, targets, REPEAT_COSTS[:cap] + tuple(range(6, 3 * cap, 3))[: max(0, cap - 3)])
+    first = targets.select(F.col("source").alias("of"), F.col("size").alias("source_size"), "target")
+    plan = found.join(taken, "pattern", "left").join(first, (F.size("members") > 0) & F.get("members", F.lit(0)).eqNullSafe(F.col("of")), "left")
+    whole, words = F.coalesce("taken", F.lit(0)), F.greatest(F.lit(1), F.col("words"))
+    plan = plan.select("pattern", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.floor(whole / words).cast("long").alias("rounds"), (whole % words).alias("rest"))
     # the upper bits of the turn make the parts, so that parts and turns give one order
+    parts = max(4096, (figures.rows or 0) // ROWS_A_PART)
     base = base.withColumn("turn", F.shiftrightunsigned("turn", 1)).withColumn("part", F.floor(F.shiftright("turn", 32) * F.lit(parts) / F.lit(1 << 31)).cast("long"))
     sums = base.groupBy("pattern", "part").agg(F.sum("size").alias("here"))
     before = sums.select("pattern", "part", (F.sum("here").over(Window.partitionBy("pattern").orderBy("part")) - F.col("here")).alias("before"))
     order = Window.partitionBy("pattern", "part").orderBy("turn", "doc_id", "size", *passing).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = base.withColumn("upto", F.sum("size").over(order))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("upto") + F.col("size")))
-    return (
-        within.join(before, ["pattern", "part"])
-        .join(F.broadcast(plan), "pattern")
-        .select("doc_id", *passing, "pattern", "size", "source_size", "target", (F.col("rounds") * F.col("size") + extra).cast("long").alias("taken"))
-    )
+    return within.join(before.join(plan, "pattern"), ["pattern", "part"]).select("doc_id", *passing, "pattern", "size", "source_size", "target", (F.col("rounds") * F.col("size") + extra).cast("long").alias("taken"))
 
 
-def weights_in_turn(sizes: dict, turn=(5, 2, 1)) -> dict:
-    """Weights 5, 2, 1, repeating, over the sources by code point, null last."""
-    return {s: turn[i % len(turn)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+def weights_in_turn(sizes, turn=(5, 2, 1)):
+    """Weights 5, 2, 1, repeating, over the sources by code point, null last: of a dict of sizes as a dict, of a frame as its column ``weight``."""
+    if isinstance(sizes, dict):
+        return {s: turn[i % len(turn)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    placed = before_each(sizes.withColumn("none", F.col("source").isNull()), [], ["none", "source"], place=F.lit(1).cast("long"))
+    return placed.select("source", "size", F.get(F.array(*[F.lit(w) for w in turn]), (F.col("place") % len(turn)).cast("int")).alias("weight"))
 
 
 def mix_documents(docs: DataFrame, passing: tuple[str, ...] = ()) -> DataFrame:
+    """``mix`` by ``source`` and the words of ``text``, weights 5, 2, 1 in turn; a null source is a source, a null text has no words."""
     return mix(docs, F.array("source"), word_count(text_or_empty()), weights_in_turn, passing=passing)
 
 
