@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, materialize, read
+from docloom.llm.common import materialize, read
 from docloom.llm.exact_dedup import drop_exact_duplicates
 from docloom.llm.mixing import mix_documents
 from docloom.llm.packing import pack_documents
@@ -14,13 +14,13 @@ from docloom.llm.simhash import simhash_components
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject, repeated rows and null ids included; null text counts as empty; an empty table gives no rows."""
     scored = score_quality(docs, training_labels(read(spark, sf_dir, "labels")), passing=[c for c in docs.columns if c != "doc_id"])
     return scored.where("predicted = 1").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that of the smallest doc_id, one of no doc_id if none has any; null text counts as empty; an empty table gives no rows."""
     return drop_exact_duplicates(docs)
 
 
@@ -44,17 +44,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at the target mix: each as often as the mix takes it whole, and once with its first words for a rest."""
+    """Whole documents at the target mix, each as often as the mix takes it; what it takes of one in part counts as a whole from half on.
+
+    A null source is a source; documents without words and those that the mix takes nothing of go; an empty table gives no rows.
+    """
     rows = numbered(docs)
-    taken = mix_documents(rows, ("_row",)).where("taken > 0").select("_row", "size", "taken")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    rest = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    cut = F.when(rest >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, rest.cast("int")), " "))
-    return rows.join(taken, "_row").withColumn("copy", F.explode(copies)).withColumn("text", cut).select(docs.columns)
+    taken = mix_documents(rows, ("_row",)).where("taken > 0").select("_row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    return rows.join(taken, "_row").withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, bucket_length, batch_id, slot of each document of the mix."""
+    """doc_id, size, bucket_length, batch_id, slot of each row of the mix, repeats and null ids included; an empty table gives no rows."""
     return pack_documents(docs)
 
 

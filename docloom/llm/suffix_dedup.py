@@ -26,7 +26,7 @@ MANY = 20_000
 #: So many occurrences in one batch of documents also make an anchor such a one, before anything is shuffled.
 MANY_IN_BATCH = 512
 #: Anchor contexts that one step of the suffix sort holds, and that one bucket holds in the mean.
-ROWS_A_STEP, ROWS_A_BUCKET = 8_000, 100_000
+ROWS_A_STEP, ROWS_A_BUCKET = 6_000, 40_000
 #: Suffixes that intervals are spread out to at once.
 SPREAD = 1_000_000
 #: Contexts of frequent anchors whose repeats are sent to every task at most; beyond, they are joined.
