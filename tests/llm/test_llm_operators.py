@@ -320,16 +320,64 @@ def test_lm_base_and_model(docs, empty, monkeypatch):
 def test_lm_weights_learn_from_every_training_document(spark):
     ranks = lm_scoring.load_ranks(lm_scoring.VOCABULARY_FILE)
     words = [(i, t[1:].decode()) for t, i in ranks.items() if re.fullmatch(rb" [a-z]{3,}", t)][:3000]
-    docs = spark.createDataFrame(words, "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    learned = lm_scoring.encoded(spark.createDataFrame(words, "doc_id long, text string"), ranks)
     class_of, _ = lm_scoring.class_tables(np.ones(len(ranks)), ranks, len(words))
-    model = lm_scoring.train(docs, ranks, class_of)
+    model = lm_scoring.train(learned.where("text is not null").select("text"), ranks, class_of)
     ids = [i for i, _ in words]
     assert len(ids) == 3000 and (model.e[ids] != lm_scoring.Attention(*model.e.shape[:1], model.b.size).e[ids]).any(axis=1).all()
-
-
-def test_lm_runs_have_the_goals_of_the_layout():
-    inputs, targets, _, _ = lm_scoring.laid_out([np.arange(n) % 7 for n in (0, 5, 15, 16, 40)], 9)
-    assert (lm_scoring.runs_goal(np.append(inputs, 10), 9) == targets).all()
+    counted = {r.word: r.n for r in learned.where("word is not null").collect()}
+    assert counted == {w: 1 for _, w in words}
+
+
+def test_lm_training_windows_hold_each_token_once():
+    texts = [np.arange(n) % 7 for n in (0, 5, 15, 16, 31, 40, 200)]
+    for turn in (0, 1, 5, 12):
+        keys, at, goals = lm_scoring.windows_of(texts, 9, np.full(len(texts), turn))
+        inputs, targets, _, _ = lm_scoring.laid_out(texts, 9)
+        assert (goals >= 0).all() and at.shape == goals.shape == (len(keys), lm_scoring.TARGETS)
+        assert (keys < 9).sum() >= 0.8 * sum(map(len, texts)) - 16
+        for row, places, wanted in zip(keys, at, goals, strict=True):
+            for p, g in zip(places, wanted, strict=True):  # the goal of a place is the next id, or the end of the text
+                after = row[lm_scoring.STRIDE + p + 1] if p + 1 < lm_scoring.STRIDE else None
+                assert g == 9 or after in (g, None)
+
+
+def test_lm_logs_equal_forward():
+    """The fast scoring pass against the plain forward pass, also where attention scores are large."""
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, 9, n) for n in (0, 5, 15, 16, 17, 40, 333)]
+    inputs, targets, starts, owner = lm_scoring.laid_out(ids, 9)
+    for scale in (1, 12):
+        model = lm_scoring.Attention(11, 5)
+        model.e *= np.float32(scale)
+        model.r[:] = rng.normal(size=model.r.shape)
+        class_of = np.append(rng.integers(0, 5, 9), 4)
+        logs = model.logs(inputs, class_of[targets], 10)
+        p, _ = model.forward(inputs[starts[:, None] + np.arange(2 * lm_scoring.STRIDE)], 10)
+        goal = targets[starts[:, None] + lm_scoring.STRIDE + np.arange(lm_scoring.STRIDE)]
+        real = goal.ravel() >= 0
+        want = np.log(p[np.flatnonzero(real), class_of[goal.ravel()[real]]])
+        got = logs[(starts[:, None] + lm_scoring.STRIDE + np.arange(lm_scoring.STRIDE)).ravel()[real]]
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-4)
+        each = lm_scoring.scores(model, class_of, np.zeros(10), ids, 9)
+        assert np.allclose(each, [want[np.repeat(owner, lm_scoring.STRIDE)[real] == k].sum() / np.log(10) for k in range(len(ids))], rtol=1e-3, atol=1e-3)
+
+
+def test_lm_words_and_subwords():
+    import pyarrow as pa
+
+    texts = ["  The cat\x0bSAT  ", "", "the\u00a0x é\r\n the", "\t"]
+    distinct, which, counts = lm_scoring.split_words(pa.array(texts))
+    words = distinct.to_pylist()
+    assert [words[i] for i in which] == ["the", "cat", "sat", "the\u00a0x", "é", "the"] and counts.tolist() == [3, 0, 3, 0]
+    ranks = lm_scoring.load_ranks(lm_scoring.VOCABULARY_FILE)
+    subwords = lm_scoring.Subwords(ranks)
+    ids, sizes = subwords.ids(words)
+    token = {i: t for t, i in ranks.items()}
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [b"".join(token[i] for i in p.tolist()) for p in parts] == [b" " + w.encode() for w in words]
+    flat = lm_scoring.spread(ids, sizes, which)
+    assert flat.tolist() == [i for w in which for i in parts[w].tolist()]
 
 
 def test_lm_windows_score_each_token_once_and_causally():
