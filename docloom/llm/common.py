@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ __all__ = ["discard", "materialize", "shared_folder"]  # and what is defined her
 #: A word, as the contracts of this subpackage define it.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,6 +48,18 @@ def in_groups(sizes: list[int], most: int = 1_000_000) -> Iterator[slice]:
         at = to
 
 
+def word_blocks(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists of about ``most`` bytes of text each; no word is cut."""
+    at = 0
+    while at < len(text):
+        to = at + most
+        if to < len(text):
+            ends = _SPACE.search(text, to)
+            to = ends.start() if ends else len(text)
+        yield text[at:to].split()
+        at = to
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label each node of the undirected ``edges(a, b)`` with the smallest node it reaches.
 

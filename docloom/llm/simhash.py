@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, materialize, read, text_or_empty
+from docloom.llm.common import connected_components, materialize, read, text_or_empty, word_blocks
 
 BITS = 64
 #: Node pairs that one step of the trie walk holds at most; more are put aside on a stack.
@@ -18,32 +18,33 @@ FRONTIER = 500_000
 _ONE_A_BYTE = np.uint64(0x0101010101010101)
 
 
-def majority_bits(hashes: np.ndarray) -> int:
-    """The 64-bit number whose bit is 1 where over half of ``hashes`` have it; 0 for none."""
-    n = len(hashes)
-    counts = np.zeros((8, 8), np.int64)  # [bit of a byte, byte]
-    for at in range(0, n, 255):  # byte lanes hold up to 255
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of ``hashes`` have each bit: [bit of a byte, byte]."""
+    counts = np.zeros((8, 8), np.int64)
+    for at in range(0, len(hashes), 255):  # byte lanes hold up to 255
         some = hashes[at : at + 255]
         for k in range(8):
             lanes = np.add.reduce((some >> np.uint64(k)) & _ONE_A_BYTE)
             counts[k] += np.frombuffer(int(lanes).to_bytes(8, "little"), np.uint8)
-    out = 0
-    for byte in range(8):
-        for k in range(8):
-            if 2 * counts[k, byte] > n:
-                out |= 1 << (8 * byte + k)
-    return out
+    return counts
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
-    words = text.lower().split()
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
-    starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
-    digest = xxhash.xxh64_intdigest
-    return majority_bits(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
+    """The bits that over half of the shingles' hashes have; texts of any length, block by block."""
+    counts, n, words, digest = np.zeros((8, 8), np.int64), 0, [], xxhash.xxh64_intdigest
+    for block in word_blocks(text.lower()):
+        words += block
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
+        starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
+        counts += bit_counts(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
+        n += len(starts)
+        words = words[len(words) - width + 1 :]
+    if not n:
+        return digest(b" ".join(words), 42) if words else 0
+    return sum(1 << (8 * byte + k) for k in range(8) for byte in range(8) if 2 * counts[k, byte] > n)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
