@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, read, text_or_empty
+from docloom.llm.common import SPACE, materialize, read, text_or_empty
 
 #: A chunk ends at the first word end after a vowel or full stop past 512 characters, and at 4096 at the latest.
 CHUNK = r"(?s).{512,4096}?[aeiou.] |.{1,4096}"
@@ -43,7 +43,7 @@ def exact_groups(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxh
         .where("low <> high")
         .select("hash")
     )
-    bare = cut.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "recipe")
+    bare = materialize(cut.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "recipe"))
     if not doubtful.isEmpty():
         bare = _disambiguated(cut, doubtful)
     groups = bare.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
