@@ -18,30 +18,50 @@ WIDTHS = (2, 3, 4)
 #: Training documents of each language at most; a documented bound, everything else covers all rows.
 SAMPLE_PER_LANGUAGE = 800
 DIMENSIONS, EPOCHS, RATE = 16, 4, 0.5
+#: Bytes of a text whose n-grams are held at once.
+BLOCK = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[*range(33), *range(48, 58)]] = 32  # white space, controls and digits end a word
 
 
-def subwords(text: bytes) -> np.ndarray:
-    """Hash buckets of a text's byte n-grams, with word ends as spaces; empty for texts of one byte or none."""
-    x = _FOLD[np.frombuffer(text, np.uint8)]
-    out, h = [], x.copy()
-    for n in range(1, max(WIDTHS)):
-        h = h[:-1] * np.uint32(0x01000193) ^ x[n:]
-        if n + 1 in WIDTHS and len(h):
-            mixed = h * np.uint32(0x9E3779B1)
-            out.append((mixed ^ (mixed >> np.uint32(15))) >> np.uint32(2) & np.uint32(BUCKETS - 1))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+def subwords(text: bytes) -> Iterator[np.ndarray]:
+    """Hash buckets of a text's byte n-grams, with word ends as spaces, BLOCK starts at a time."""
+    every = np.frombuffer(text, np.uint8)
+    for at in range(0, len(every), BLOCK):
+        x = _FOLD[every[at : at + BLOCK + max(WIDTHS) - 1]]
+        h = x.copy()
+        for n in range(1, max(WIDTHS)):
+            h = h[:-1] * np.uint32(0x01000193) ^ x[n:]
+            if n + 1 in WIDTHS and len(h):
+                mixed = h[:BLOCK] * np.uint32(0x9E3779B1)
+                yield (mixed ^ (mixed >> np.uint32(15))) >> np.uint32(2) & np.uint32(BUCKETS - 1)
 
 
 def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A text's distinct buckets and their shares: at most BUCKETS numbers, however long the text."""
-    at, n = np.unique(subwords(text), return_counts=True)
+    if len(text) <= BLOCK:
+        found = list(subwords(text))
+        at, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint32), return_counts=True)
+    else:
+        counts = np.zeros(BUCKETS, np.int64)
+        for some in subwords(text):
+            counts += np.bincount(some, minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        n = counts[at]
     return at.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)
 
 
+def mean_row(text: bytes, table: np.ndarray) -> np.ndarray | int:
+    """The mean of the table's rows over a text's n-grams; 0 for texts without any."""
+    if len(text) > BLOCK:
+        at, share = shares(text)
+        return share @ table[at]
+    found = list(subwords(text))
+    return table[np.concatenate(found)].mean(axis=0) if found else 0
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -110,8 +130,7 @@ def identify(docs: DataFrame, training: DataFrame, reject_below: float = 0.5) ->
                     said.append("und")
                     score.append(0.0)
                     continue
-                at = subwords(text)
-                p = softmax(((table[at].mean(axis=0) if len(at) else 0) + bias) / heat)
+                p = softmax((mean_row(text, table) + bias) / heat)
                 said.append(names[int(np.argmax(p))])
                 score.append(float(p.max()))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "lang_pred": said, "score": np.array(score, float), "rejected": np.array(score, float) < reject_below})
