@@ -50,32 +50,24 @@ def links_of(pages: DataFrame) -> DataFrame:
     return found.select(address_of(F.col("url")).alias("a"), address_of(resolved(F.col("url"), F.col("link"))).alias("b"))
 
 
-def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, found): for each distinct host that a rule fits, those rules as array<struct<length, host, path, verdict>>.
+def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (with host and path) and what the longest fitting rule says: rule, by_rule; null where none fits.
 
-    Each host meets the rules by equality on its own dot suffixes, so a long rule list is joined, not scanned.
+    Each distinct address meets the rules by equality: its host's dot suffixes name the lengths of the paths that rules of
+    that host have, and its own beginnings of those lengths name the rules. So a long rule list is joined, not scanned,
+    and a host with very many rules sends none of them to its pages but those that fit.
     """
+    lengths = rules.groupBy(F.col("host").alias("rule_host")).agg(F.collect_set(F.length("path")).alias("lengths"))
     parts = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    at = hosts.select("host").distinct().select("host", F.explode(ends).alias("rule_host"))
-    rule = F.struct(
-        (F.length("rule_host") + F.length("path")).alias("length"), F.length("rule_host").alias("host_length"), F.col("rule_host"), F.col("path"), F.col("verdict")
-    )
-    return at.join(rules.withColumnRenamed("host", "rule_host"), "rule_host").groupBy("host").agg(F.collect_set(rule).alias("found"))
-
-
-def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (with host and path) and what the longest fitting rule says: rule, by_rule; null where none fits."""
-    by_host = rules_by_host(urls, rules)
-    path = F.col("path")
-    best = F.try_element_at(F.array_sort(F.filter("found", lambda r: path.startswith(r["path"]))), F.lit(-1))
-    return (
-        urls.join(by_host, "host", "left")
-        .withColumn("best", best)
-        .withColumn("rule", F.concat("best.rule_host", "best.path"))
-        .withColumn("by_rule", F.col("best.verdict"))
-        .drop("found", "best")
-    )
+    at = urls.select("host", "path").distinct().select("host", "path", F.explode(ends).alias("rule_host"))
+    begun = at.join(lengths, "rule_host").select("host", "path", "rule_host", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    begun = begun.withColumn("rule_path", F.substr("path", F.lit(1), F.col("n")))
+    fitting = begun.join(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict"), ["rule_host", "rule_path"])
+    order = F.struct((F.length("rule_host") + F.length("rule_path")).alias("length"), F.length("rule_host").alias("host_length"), "rule_host", "rule_path", "verdict")
+    best = fitting.groupBy("host", "path").agg(F.max(order).alias("best"))
+    said = best.select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.verdict").alias("by_rule"))
+    return urls.join(said, ["host", "path"], "left")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
