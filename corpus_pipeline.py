@@ -15,8 +15,10 @@ from docloom.llm.simhash import simhash_components
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject, repeated rows and null ids included; null text counts as empty; an empty table gives no rows."""
-    scored = score_quality(docs, training_labels(read(spark, sf_dir, "labels")), passing=[c for c in docs.columns if c != "doc_id"])
-    return scored.where("predicted = 1").select(docs.columns)
+    names = {c: f"_kept{k}" for k, c in enumerate(docs.columns)}  # whatever the table's columns are called
+    kept = docs.select("doc_id", "text", *[F.col(c).alias(name) for c, name in names.items()])
+    scored = score_quality(kept, training_labels(read(spark, sf_dir, "labels")), passing=list(names.values()))
+    return scored.where("predicted = 1").select(*[F.col(name).alias(c) for c, name in names.items()])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

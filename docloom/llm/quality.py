@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fold, read, text_or_empty
+from docloom.llm.common import fold, read, text_or_empty, word_blocks
 from docloom.llm.sampling import sample_per_class
 
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 64, 6, 2, 24
@@ -87,20 +87,30 @@ class Reader:
         self.words, self.shapes, self.at, self.rows = words, shapes, {}, []
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows: word and shape of each distinct word, its share of the words, figures)."""
-        words = text.split()
-        if not words:
-            return np.zeros((0, 2), np.int64), np.zeros(0, np.float32), np.zeros(FIGURES, np.float32)
+        """(rows: word and shape of each distinct word, its share of the words, figures); long texts are read block by block."""
         if len(self.rows) > REMEMBERED:
             self.at, self.rows = {}, []
-        for w in set(words).difference(self.at):
-            self.at[w] = len(self.rows)
-            self.rows.append((self.words.get(w, len(self.words)), self.shapes.get(shape(w), len(self.shapes))))
-        ids = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        some, times = np.unique(ids, return_counts=True)
-        share = (times / len(ids)).astype(np.float32)
-        same = np.mean(ids[1:] == ids[:-1]) if len(ids) > 1 else 0
-        figures = np.array((same, len(some) / len(ids), share.max(), np.log1p(len(ids)) / 10, len(text) / len(ids) / 10, 1), np.float32)
+        found, counts, n, same, last = [], [], 0, 0, -1
+        for words in word_blocks(text):
+            if not words:
+                continue
+            for w in set(words).difference(self.at):
+                self.at[w] = len(self.rows)
+                self.rows.append((self.words.get(w, len(self.words)), self.shapes.get(shape(w), len(self.shapes))))
+            ids = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            some, times = np.unique(ids, return_counts=True)
+            found.append(some)
+            counts.append(times)
+            same += int((ids[1:] == ids[:-1]).sum()) + (ids[0] == last)
+            n, last = n + len(ids), ids[-1]
+        if not n:
+            return np.zeros((0, 2), np.int64), np.zeros(0, np.float32), np.zeros(FIGURES, np.float32)
+        some, times = found[0], counts[0]
+        if len(found) > 1:
+            some, place = np.unique(np.concatenate(found), return_inverse=True)
+            times = np.bincount(place, np.concatenate(counts)).astype(np.int64)
+        share = (times / n).astype(np.float32)
+        figures = np.array((same / (n - 1) if n > 1 else 0, len(some) / n, share.max(), np.log1p(n) / 10, len(text) / n / 10, 1), np.float32)
         return np.array([self.rows[i] for i in some.tolist()], np.int64), share, figures
 
 
@@ -184,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pa
     score is the calibrated probability of label 1. Null text counts as empty; an empty text is scored like any other,
     by the zero vector. With no labelled rows every score is 0.5; with one class only, that class's label. Rows with a
     null label teach nothing; repeated rows are scored alike; an empty table gives no rows. ``passing`` names columns of
-    ``docs`` to return unchanged.
+    ``docs`` to return unchanged; those must not be called score or predicted.
     """
     labels = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}

@@ -584,6 +584,137 @@ def test_quality(spark, empty):
     assert quality.score_quality(empty, labels).count() == 0
 
 
+def plain_buckets(text: bytes) -> list[int]:
+    """The n-gram buckets of language identification, one by one in plain integers."""
+    low = [32 if c < 33 or 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in text]
+    out = []
+    for n in (2, 3, 4):
+        for k in range(len(low) - n + 1):
+            h = low[k]
+            for c in low[k + 1 : k + n]:
+                h = (h * 0x01000193 ^ c) % (1 << 32)
+            mixed = h * 0x9E3779B1 % (1 << 32)
+            out.append((mixed ^ mixed >> 15) >> 2 & (language_id.BUCKETS - 1))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 18, 7])
+def test_language_scores_equal_a_plain_computation(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng, at = random.Random(3), np.random.default_rng(4)
+    texts = [speech(lang, rng).encode() for lang in ("en", "de", "fr") for _ in range(8)] + [b"a", b"", "É 12".encode()]
+    table = at.normal(size=(language_id.BUCKETS, 3))
+    for text in texts:
+        plain = plain_buckets(text)
+        found = sorted(np.concatenate([np.empty(0, np.uint32), *language_id.subwords(text)]).tolist())
+        assert found == sorted(plain)
+        want = np.mean([table[b] for b in plain], axis=0) if plain else 0
+        assert np.allclose(language_id.mean_row(text, table), want, atol=1e-6)
+        places, share = language_id.shares(text)
+        assert {b: round(float(x), 6) for b, x in zip(places, share, strict=True)} == {b: round(n / len(plain), 6) for b, n in Counter(plain).items()}
+    # averaging embeddings and a linear layer is what the fitted table stands for: a softmax over means separates the sample
+    labelled = [(language_id.shares(speech(lang, rng).encode()), k) for k, lang in enumerate(("en", "de", "fr")) for _ in range(150)]
+    scores, bias, heat = language_id.fit([d for d, _ in labelled], np.array([y for _, y in labelled]), 3)
+    said = [int(np.argmax(np.mean([scores[b] for b in plain_buckets(x)], axis=0) + bias)) for x in texts[:24]]
+    assert heat > 0 and sum(a == k // 8 for k, a in enumerate(said)) >= 22
+
+
+def test_quality_scores_equal_a_plain_computation(monkeypatch):
+    """The folded network over blocks of a text against pooled vectors and both layers in plain numpy."""
+    from docloom.llm import common
+
+    rng = random.Random(6)
+    texts = [(speech("en", rng) + ("." if k % 2 else " !!! AA11")).encode() for k in range(40)] + [b"", b"one", b"word word  Word"]
+    y = np.array([k % 2 for k in range(40)] + [0, 1, 0], float)
+    vectors = quality.Vectors(texts)
+
+    def pooled(text):
+        words = text.split()
+        rows = lambda table, known, key: np.mean([table[known.get(key(w), len(known))] for w in words], axis=0) if words else np.zeros(quality.DIMENSIONS)
+        c = Counter(words)
+        n = len(words)
+        figures = [sum(a == b for a, b in zip(words[1:], words, strict=False)) / (n - 1) if n > 1 else 0, len(c) / n, max(c.values()) / n, np.log1p(n) / 10, len(text) / n / 10, 1] if n else [0] * 6
+        return np.concatenate((rows(vectors.word_rows, vectors.words, bytes), rows(vectors.shape_rows, vectors.shapes, quality.shape), figures))
+
+    x = np.array([pooled(t) for t in texts])
+    network = quality.Network(x, y, 0.4)
+    scaled = (x - network.mean) / network.scale
+    hidden = np.maximum(scaled @ network.p[0] + network.p[1], 0)
+    want = 1 / (1 + np.exp(-((hidden @ network.p[2] + network.p[3]) / network.heat + network.shift)))
+    model = network.folded(vectors)
+    for most in (1 << 20, 9):
+        monkeypatch.setattr(quality, "word_blocks", lambda text, most=most: common.word_blocks(text, most))
+        assert np.allclose(quality.scores(model, quality.Reader(model["words"], model["shapes"]), texts), want, atol=1e-4)
+
+
+def test_fingerprints_block_by_block(monkeypatch):
+    from docloom.llm import common
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (0, 1, 3, 4, 5, 40, 300)]
+    for most in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(simhash, "word_blocks", lambda text, most=most: common.word_blocks(text, most))
+        assert [simhash.fingerprint(t.encode()) for t in texts] == [fp(t) for t in texts]
+    assert [w for b in common.word_blocks(b" ab  c\x0bd e", 2) for w in b] == [b"ab", b"c", b"d", b"e"]
+
+
+def test_very_long_texts_stay_small_in_memory():
+    """Bytes held at once beside a text of 12 MB, for what the operators make of a single document."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(1000)).encode() * 1200
+    text = text[:12_000_000]
+    table = np.zeros((language_id.BUCKETS, 4), np.float32)
+    reader = quality.Reader({}, {})
+    for name, work, most in (
+        ("anchors", lambda: suffix_dedup.anchors(np.frombuffer(text, np.uint8)), 100e6),
+        ("language", lambda: language_id.mean_row(text, table), 40e6),
+        ("fingerprint", lambda: simhash.fingerprint(text), 80e6),
+        ("quality", lambda: reader(text), 80e6),
+    ):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, (name, peak)
+
+
+def test_classifiers_with_clashing_names_and_repeated_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, speech("en" if i % 2 else "de", rng) + ("." if i % 3 else " ||| ##"), "en" if i % 2 else "de", 0.5, "p", 1, "x") for i in range(120)]
+    schema = "doc_id long, text string, lang string, score double, predicted string, letters int, quality string"
+    df = spark.createDataFrame(rows + rows[:5] + [(None, None, None, None, None, None, None)], schema)
+    out = language_id.identify(df, df.where("doc_id % 3 <> 1")).collect()
+    assert len(out) == 126 and all(len({(r.lang_pred, r.score) for r in out if r.doc_id == i}) == 1 for i in range(5))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    out = quality.score_quality(df, labels).collect()
+    assert len(out) == 126 and all(len({r.score for r in out if r.doc_id == i}) == 1 for i in range(5))
+
+
+def test_sample_per_class_keeps_small_classes_whole(spark):
+    from docloom.llm.sampling import sample_per_class
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "rare").when(F.col("id") % 3 == 0, "some").otherwise("most").alias("lang"))
+    got = {r.lang: r["count"] for r in sample_per_class(rows, "lang", 500).groupBy("lang").count().collect()}
+    assert got["rare"] == 200 and all(350 < got[c] < 650 for c in ("some", "most"))
+    assert sample_per_class(rows.limit(0), "lang", 5).count() == 0
+
+
+def test_url_rules_of_one_host_and_long_urls(spark):
+    rules = [("h.com", f"/{k}/", "block" if k % 2 else "allow") for k in range(300)] + [("h.com", "/", "block"), ("com", "/7/x", "allow"), ("a.h.com", "/7/", "block")]
+    urls = ["http://h.com/7/x", "http://a.h.com/7/xy", "http://h.com/700/x", "http://b.com/7/xx", "http://b.com/7/", "http://h.com/8/" + "y" * 100_000, "http://" + "s." * 200 + "h.com/1/"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate([*urls, *urls[:2]])], "page_id long, url string, html string")
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, frame).collect()}
+    want = {}
+    for i, u in enumerate([*urls, *urls[:2]]):
+        host, _, path = u.split("://")[1].partition("/")
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        want[i] = max(fits)[2:] if fits else (None, "allow")
+    assert got == want
+
+
 def test_url_filter(spark):
     urls = [
         "http://a.net/x", "https://WWW.Example.NET/en/1?q#f", "http://example.net/de/1", "http://www.example.com/de/2", "http://example.com/de", "http://x.org/fr/1", "http://x.org/en/1",

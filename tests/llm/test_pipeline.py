@@ -72,6 +72,14 @@ def test_rows_of_null_and_repeated_ids_stay(spark):
     assert Counter((r.doc_id, r.text) for r in pipeline.mixing(spark, near, "").collect()) == want
 
 
+def test_quality_stage_passes_columns_of_any_name(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.selectExpr("*", "'a' as score", "2 as predicted", "3 as _bytes", "4 as _kept0")
+    kept = pipeline.quality(spark, more, folder)
+    assert kept.columns == more.columns and kept.count() == pipeline.quality(spark, docs, folder).count()
+    assert {(r.score, r.predicted, r._bytes, r._kept0) for r in kept.collect()} == {("a", 2, 3, 4)}
+
+
 def test_run(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.count() > 50 and set(out.columns) == {"doc_id", "size", "bucket_length", "batch_id", "slot"}
