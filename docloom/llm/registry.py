@@ -14,4 +14,9 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality": quality.op10_quality,
 }
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
+ORACLE_SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
+    "op3_vptree": vptree.OP3_SQL,
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
+}

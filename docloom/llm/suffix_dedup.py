@@ -506,3 +506,18 @@ def merged_spans(found) -> list[tuple[int, int]]:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(min(coalesce(text, ''))) AS b FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+s AS (SELECT doc_id, i, b[i + 1 : i + 50] AS k FROM (SELECT doc_id, b, unnest(range(0, greatest(0, octet_length(b) - 49))) AS i FROM d)),
+m AS (SELECT k, min(doc_id) AS low FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT s.doc_id, s.i, lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS last FROM s JOIN m ON m.k = s.k WHERE s.doc_id > m.low),
+n AS (SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+g AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY 1, 2),
+p AS (SELECT g.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY g.doc_id ORDER BY a), 0) AS begun FROM g),
+c AS (SELECT p.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(hex(d.b[begun + 1 : a]), '' ORDER BY a) AS kept, max(z) AS z FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY 1)
+SELECT d.doc_id, octet_length(d.b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN c.doc_id IS NULL THEN sha256(d.b) ELSE sha256(unhex(c.kept || hex(d.b[c.z + 1 : octet_length(d.b)]))) END AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""

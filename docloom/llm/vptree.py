@@ -17,15 +17,15 @@ SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 4096, 96
 MAX_PIVOTS = 2048
 #: Factor by which pruning is bolder than the triangle inequality allows; 1 is exact search.
 RELAX = 1.0
-#: Numbers that one step of exact products holds.
-STEP = 2_000_000
+#: Pairs whose exact products are taken at once.
+PAIRS = 20_000
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The double-precision inner product of each pair of rows, summed in one order whatever the batch."""
-    out, rows = np.empty(len(a)), max(1, STEP // max(1, a.shape[1]))
-    for k in range(0, len(a), rows):
-        out[k : k + rows] = (a[k : k + rows] * b[k : k + rows]).sum(axis=1)
+    """The double-precision inner product of each pair of rows, summed from the first component to the last whatever the batch."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
     return out
 
 
@@ -88,7 +88,8 @@ class Tree:
             at = at[some]
             who = np.concatenate((np.repeat(np.arange(len(at)), k), i))
             row = np.concatenate((found[at].ravel(), rows[j]))
-            product = np.concatenate((dots[at].ravel(), inner(queries[at[i]], self.points[rows[j]])))
+            exact = [inner(queries[at[i[k : k + PAIRS]]], self.points[rows[j[k : k + PAIRS]]]) for k in range(0, len(i), PAIRS)]
+            product = np.concatenate((dots[at].ravel(), *exact))
             order = np.lexsort((row, -product, who))
             begin = np.searchsorted(who[order], np.arange(len(at)))
             best = order[begin[:, None] + np.arange(k)]
@@ -267,3 +268,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float =
 def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, min(e) AS e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY 1),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CASE WHEN len(q.e) = len(d.e) THEN list_dot_product(q.e, d.e) END AS score FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s WHERE score IS NOT NULL)
+SELECT * FROM r WHERE rank <= 20
+"""
