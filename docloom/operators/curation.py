@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators.aggregates import mode
 from docloom.operators.packing import train_eval
+from docloom.sources.shared import materialize
 
 #: Schema of a logged exchange.
 EXCHANGE = """run_id string, workflow string, step string, source_path string, provider_id string, model string, created_at timestamp,
@@ -99,10 +98,8 @@ def note_boundaries(text: str) -> tuple[int, bool]:
 def with_quality(examples: DataFrame) -> DataFrame:
     """Examples with the flags and sizes (in bytes) that the strict filters and the report use."""
 
-    def bounds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            found = [note_boundaries(t) for t in pdf.assistant]
-            yield pdf.assign(final_notes=[n for n, _ in found], bad_boundaries=[b for _, b in found])
+    def boundaries(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([note_boundaries(t) for t in texts], columns=["notes", "bad"])
 
     m = F.col("messages")
     base = examples.withColumn("assistant", of_role(m, "assistant", last=True)).withColumn("user", of_role(m, "user"))
@@ -116,8 +113,8 @@ def with_quality(examples: DataFrame) -> DataFrame:
         "user_chars": F.octet_length("user").cast("long"),
         "assistant_chars": F.octet_length("assistant").cast("long"),
     })
-    schema = ", ".join(f"`{c}` {t}" for c, t in flagged.dtypes) + ", final_notes long, bad_boundaries boolean"
-    return flagged.mapInPandas(bounds, schema).drop("assistant", "user")
+    found = F.pandas_udf(boundaries, "notes long, bad boolean")("assistant")  # the one text that Python reads
+    return flagged.withColumn("_found", found).withColumn("final_notes", F.col("_found.notes")).withColumn("bad_boundaries", F.col("_found.bad")).drop("assistant", "user", "_found")
 
 
 def strict_reason(primary: Column) -> Column:
@@ -138,7 +135,7 @@ def export(examples: DataFrame, strict: bool = False, hashed=example_hash, pos:
     The first of equal examples stays. The primary system prompt is the most common one after dedup and before the strict
     filters. The split is by the order of hashes: the first twentieth of what is exported is eval; other rows have none.
     """
-    rows = examples.withColumn("hash", hashed(F.col("messages")))
+    rows = materialize(examples.withColumn("hash", hashed(F.col("messages"))))  # read by each of the steps below
     fine = rows.where("reason = ''")
     first = fine.groupBy("hash").agg(F.min(pos).alias("_first"))
     judged = fine.join(first, "hash").withColumn("reason", F.when(F.col(pos) == F.col("_first"), "").otherwise("duplicate")).drop("_first")
