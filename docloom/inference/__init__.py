@@ -54,7 +54,7 @@ def with_fallback(calls: list[tuple[str, Callable]], rows: list) -> tuple[list,
     for name, call in calls:
         if not open_:
             break
-        for group in ([open_], [[i] for i in open_]):  # the batch at once, then one by one
+        for group in [[open_], [[i] for i in open_]][: 1 + (len(open_) > 1)]:  # the batch at once, then one by one
             left = []
             for some in group:
                 try:

@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from docloom.plans import business, chat, records, reviews, shapes, texts, usage  # noqa: E402,F401  they register their queries
+from docloom.plans import business, chat, library, records, reviews, shapes, texts, usage  # noqa: E402,F401  they register their queries

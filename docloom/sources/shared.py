@@ -25,18 +25,24 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, whose files go when the application ends."""
+    path = f"{shared_folder(spark)}/docloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    where, files = _at(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back; the files go when the application ends.
 
     A lost executor loses nothing of it, and what Spark draws anew when it runs a plan again stays as it was.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docloom_path = path
-    where, files = _at(spark, path)
-    files.deleteOnExit(where)
     return out
 
 
