@@ -52,13 +52,25 @@ def with_cache(notes: DataFrame, cache: DataFrame) -> DataFrame:
     return notes.join(kept, ["path", "hash"], "left").withColumn("reuse", F.col("embedding").isNotNull())
 
 
+def two_least(rows: DataFrame, keys: list[str], value: str, names: tuple[str, str]) -> DataFrame:
+    """(keys, names): the least and the second least distinct ``value`` of each key, by aggregates alone."""
+    first = rows.groupBy(*keys).agg(F.min(value).alias(names[0]))
+    second = rows.join(first, keys).where(F.col(value) != F.col(names[0])).groupBy(*keys).agg(F.min(value).alias(names[1]))
+    return first.join(second, keys, "left")
+
+
 def exact_twins(sources: DataFrame, notes: DataFrame) -> DataFrame:
-    """(path, twin): for each source note a byte-identical note; one of the same file name first, then the smallest path."""
-    left = sources.select("path", "content", F.sha2("content", 256).alias("hash"))
-    right = notes.select(F.col("path").alias("twin"), F.col("content").alias("twin_content"), F.sha2("content", 256).alias("hash"))
-    both = left.join(right, "hash").where("content = twin_content and path <> twin")
-    order = F.struct((T.base_name(F.col("path")) != T.base_name(F.col("twin"))).alias("other"), F.col("twin").alias("t"))
-    return both.groupBy("path").agg(F.min_by("twin", order).alias("twin"))
+    """(path, twin): for each source note another byte-identical note; one of the same file name first, then the smallest path.
+
+    Content is compared by its SHA-256. Each group of equal notes brings its two least paths, of which one isn't the
+    source's own, so a group of many copies makes no pairs.
+    """
+    keyed = lambda rows, name: rows.select(F.col("path").alias(name), F.sha2("content", 256).alias("hash"), T.base_name(F.col("path")).alias("name"))
+    left, right = keyed(sources, "path"), keyed(notes, "twin")
+    named, any_ = two_least(right, ["hash", "name"], "twin", ("n1", "n2")), two_least(right, ["hash"], "twin", ("a1", "a2"))
+    other = lambda one, two: F.when(F.col(one) != F.col("path"), F.col(one)).otherwise(F.col(two))
+    both = left.join(named, ["hash", "name"], "left").join(any_, "hash", "left")
+    return both.select("path", F.coalesce(other("n1", "n2"), other("a1", "a2")).alias("twin")).where("twin is not null").distinct()
 
 
 def match_rank(copy_path: Column, copy_name: Column, path: Column, name: Column, status: Column | None) -> Column:
