@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, read, text_or_empty
 from docloom.llm.lm_scoring import by_size, spread
-from docloom.llm.segments import Remembered, byte_lengths, byte_level, coded, segments
+from docloom.llm.segments import Remembered, byte_lengths, byte_level, coded
 
 #: A public byte-level vocabulary, read on the driver and sent to the tasks.
 VOCABULARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,8 +43,8 @@ def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY_FILE, capacity: int
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(byte_level(sent.value, plain=False), byte_lengths(sent.value))
         for batch in by_size(it, ENCODED_BYTES):
-            distinct, codes, sizes = coded([segments(t) for t in batch.column("text").to_pylist()])
-            which = known.places(distinct.to_pylist())[codes]
+            distinct, codes, sizes = coded(batch.column("text"))
+            which = known.places(distinct)[codes]
             flat = spread(known.pool, known.sizes, which)
             counts = np.concatenate(([0], np.cumsum(known.sizes[which])))[np.concatenate(([0], np.cumsum(sizes)))]
             rows = []

@@ -8,13 +8,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from docloom.llm.lm_scoring import spread
+from docloom.llm.lm_scoring import listed, spread
 
 #: Before a run of spaces that follows a character which no tokenizer takes for white space.
 CUT = re.compile(r"(?<=[^\s\u180e])(?= )")
+#: A space before other white space or the end. In texts without one, every space can be cut before.
+_UNEVEN = " (?:[\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\\z)"
 #: Segments whose ids a task remembers before it begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Segments that are encoded in one call's text, between which nothing merges.
 JOINED = 200
 
@@ -24,11 +27,30 @@ def segments(text: str) -> list[str]:
     return CUT.split(text) if text else []
 
 
-def coded(segments_of: list[list[str]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct segments, the index of each segment of all texts in order, segments of each text)."""
-    every = pa.array([s for some in segments_of for s in some], pa.large_string()).dictionary_encode()
-    sizes = np.fromiter(map(len, segments_of), np.int64, len(segments_of))
-    return every.dictionary, every.indices.to_numpy(zero_copy_only=False), sizes
+def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(segments, the index of each segment of all texts in order, segments of each text); a segment is listed twice at most.
+
+    Where each space precedes something else than white space, texts are split at spaces with Arrow; the others by ``segments``.
+    """
+    uneven = pc.match_substring_regex(texts, _UNEVEN)
+    parts = pc.split_pattern(texts.filter(pc.invert(uneven)), " ")
+    bounds = parts.offsets.to_numpy().astype(np.int64)
+    words, begin, n = parts.flatten(), bounds[:-1] - bounds[0], np.diff(bounds)
+    own = np.ones(len(words), bool)
+    own[begin] = False  # what stands before a text's first space
+    after = words.filter(pa.array(own)).dictionary_encode()
+    first = listed(words.take(pa.array(begin)))
+    there = np.array([s != "" for s in first], bool)
+    slow = [segments(t) for t in texts.filter(uneven).to_pylist()]
+    other = pa.array([*filter(None, first), *(s for some in slow for s in some)], texts.type).dictionary_encode()
+    distinct = [" " + s for s in listed(after.dictionary)] + listed(other.dictionary)
+    late = other.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(after.dictionary)
+    codes = np.full(len(words), -1, np.int64)
+    codes[own], codes[begin[there]] = after.indices.to_numpy(zero_copy_only=False), late[: there.sum()]
+    flat = np.concatenate((codes[codes >= 0], late[there.sum() :]))
+    sizes = np.concatenate((n - ~there, np.fromiter(map(len, slow), np.int64, len(slow))))
+    place = np.argsort(np.argsort(uneven.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    return distinct, spread(flat, sizes, place), sizes[place]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -79,8 +101,8 @@ class Remembered:
         self.pool, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all segments in order, how many each has). Those that a cut may follow and precede are encoded many in one text."""
-        joins = [s[0] == " " and not (s[-1].isspace() or s[-1] == "\u180e") for s in fresh]
+        """(ids of all segments in order, how many each has). Those of a space and no more white space are encoded many in one text."""
+        joins = [s[0] == " " and len(s) > 1 and not (s[1].isspace() or s[1] == "\u180e") for s in fresh]
         order, groups, k = [k for k, x in enumerate(joins) if x] + [k for k, x in enumerate(joins) if not x], [], sum(joins)
         of = [fresh[i] for i in order]
         groups = ["".join(of[i : min(i + JOINED, k)]) for i in range(0, k, JOINED)] + of[k:]
