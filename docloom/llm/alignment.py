@@ -115,9 +115,9 @@ def in_chunks(docs: DataFrame, sent) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, chunk = _loaded(sent), TaskContext.get().partitionId() << 32
 
-        def rows(n: int, **columns) -> pa.RecordBatch:
-            made = {"chunk": np.full(n, chunk), **columns}
-            return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
+        def rows(of: int, **columns) -> pa.RecordBatch:
+            made = {"chunk": np.full(of, chunk), **columns}
+            return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(of, f.type) for f in schema], schema=schema)
 
         for batch in by_size(it, CHUNK_BYTES):
             words, codes, sizes = coded(batch.column("text"))
@@ -216,9 +216,9 @@ def align_documents(docs: DataFrame, byte_level_file: str = BYTE_LEVEL_FILE, pie
     segs = materialize(with_alignments(held.groupBy("segment").agg(F.sum("n").alias("n")), sent))
     found = segs.drop("n", "link_a", "link_b").join(linked(segs), "segment")
     back = held.select("chunk", "code", "segment").join(found, "segment").drop("segment")
-    left = chunks.where(F.col("kind") == DOCUMENT).select("chunk", "doc_id", "codes", "width")
+    left = chunks.where(F.col("kind") == DOCUMENT).select(F.col("chunk").alias("own"), "doc_id", "codes", "width")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return left.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(composed, schema)
+    return left.groupBy("own").cogroup(back.groupBy("chunk")).applyInArrow(composed, schema)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from docloom.llm import best_fit, centroids, exact_dedup, language_id, lm_scoring, mixing, packing, quality, simhash, suffix_dedup, url_filter, vptree
+from docloom.llm import alignment, best_fit, centroids, exact_dedup, language_id, lm_scoring, mixing, packing, quality, simhash, suffix_dedup, url_filter, vptree
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality": quality.op10_quality,
+    "op11_alignment": alignment.op11_alignment,
     "op12_best_fit": best_fit.op12_best_fit,
     "op13_centroids": centroids.op13_centroids,
 }
