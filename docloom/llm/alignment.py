@@ -4,27 +4,29 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, read
-from docloom.llm.lm_scoring import by_size
+from docloom.llm.lm_scoring import by_size, listed, spread
 from docloom.llm.segments import byte_alphabet, byte_level, coded
 
 #: Public vocabularies, read on the driver and sent to the tasks.
 BYTE_LEVEL_FILE, PIECES_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in one chunk, whose distinct segments are numbered; a longer text is a chunk of its own.
-CHUNK_BYTES = 6_000_000
-#: Distinct segments that are tokenized at once.
-ALIGNED_ROWS = 4096
-#: Pairs linked in more than one in so many links of distinct segments, so no more than that, are sent to every task; the others are joined.
-SENT_PAIRS = 20_000
+CHUNK_BYTES = 24_000_000
+#: Occurrences of segments that are aligned at once, and linked pairs that a task counts before it adds them up.
+GATHERED, HELD_PAIRS = 100_000, 4_000_000
+#: Distinct linked id pairs that are sent to every task at once: 24 bytes each.
+SENT_PAIRS = 4_000_000
 SPACE = "▁"
 DOCUMENT, SEGMENT = 0, 1
 
@@ -70,50 +72,68 @@ class Tokenizers:
         return a, [x or [self.one_space] for x in b]
 
 
-def aligned(both: Tokenizers, some: list[str]) -> dict[str, list]:
-    """For each segment n_a, n_b, n_groups, groups (``a1,a2|b1;a3|b2``) and the linked ids, link_a and link_b.
+class Ids:
+    """A's and B's ids of segments, one segment after the other, how many each has, and where their bytes end."""
 
-    The tokens of all segments lie one after the other, so that their ends are compared at once. Where an A and a B token
-    end together, a group ends; between any two ends next to each other lies one link.
-    """
-    a, b = both.ids(some)
-    flat_a, flat_b = np.array([i for x in a for i in x], np.int64), np.array([i for x in b for i in x], np.int64)
-    ends = np.cumsum([len(s.encode()) for s in some])
-    end_a, end_b = np.cumsum(both.a_sizes[flat_a]), np.cumsum(both.b_sizes[flat_b])
-    for x, of, flat in ((a, both.a_bytes, flat_a), (b, both.b_bytes, flat_b)):
-        if b"".join(of[i] for i in flat.tolist()) != "".join(some).encode():
-            raise ValueError(f"a tokenizer changed one of {len(x)} segments")
-    shared, every = np.intersect1d(end_a, end_b), np.union1d(end_a, end_b)
-    group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
-    cut_a, cut_b = np.searchsorted(group_a, np.arange(len(shared) + 1)).tolist(), np.searchsorted(group_b, np.arange(len(shared) + 1)).tolist()
-    said_a, said_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-    groups = [f"{','.join(said_a[i:j])}|{','.join(said_b[k:m])}" for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
-    last = np.searchsorted(shared, ends, side="right").tolist()
-    link_a, link_b = flat_a[np.searchsorted(end_a, every)], flat_b[np.searchsorted(end_b, every)]
-    links = np.searchsorted(every, ends, side="right")
-    return {
-        "n_a": [len(x) for x in a],
-        "n_b": [len(x) for x in b],
-        "n_groups": np.diff(last, prepend=0).tolist(),
-        "groups": [";".join(groups[i:j]) for i, j in zip([0, *last], last, strict=False)],
-        "link_a": np.split(link_a.astype(np.int32), links[:-1]),
-        "link_b": np.split(link_b.astype(np.int32), links[:-1]),
-    }
-
-
-def _loaded(sent) -> Tokenizers:
-    return Tokenizers(*sent.value)
+    def __init__(self, both: Tokenizers, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+        self.both, self.a, self.n_a, self.b, self.n_b = both, a, n_a, b, n_b
+        self.end_a, self.end_b = np.cumsum(both.a_sizes[a]), np.cumsum(both.b_sizes[b])
+        self.ends = self.end_a[np.cumsum(n_a) - 1]
+
+    @classmethod
+    def encoded(cls, both: Tokenizers, some: list[str]) -> Ids:
+        found = both.ids(some)
+        flat = [np.array([i for x in ids for i in x], np.int64) for ids in found]
+        for of, ids in zip((both.a_bytes, both.b_bytes), flat, strict=True):
+            if b"".join([of[i] for i in ids.tolist()]) != "".join(some).encode():
+                raise ValueError("a tokenizer changed a segment")
+        sizes = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in found]
+        return cls(both, flat[0], sizes[0], flat[1], sizes[1])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs, a << 32 | b; how many each segment has): between any two ends next to each other lies one link."""
+        every = np.union1d(self.end_a, self.end_b)
+        pairs = self.a[np.searchsorted(self.end_a, every)] << 32 | self.b[np.searchsorted(self.end_b, every)]
+        return pairs, np.diff(np.searchsorted(every, self.ends, side="right"), prepend=0)
+
+    def groups(self) -> list[list[str]]:
+        """Of each segment the groups, as ``a1,a2|b1``: one ends where an A and a B token end together."""
+        shared = np.intersect1d(self.end_a, self.end_b)
+        cut_a, cut_b = (np.searchsorted(ends, shared, side="right").tolist() for ends in (self.end_a, self.end_b))
+        said_a, said_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        every, i, k = [], 0, 0
+        for j, m in zip(cut_a, cut_b, strict=True):
+            every.append(f"{said_a[i]}|{said_b[k]}" if j == i + 1 and m == k + 1 else f"{','.join(said_a[i:j])}|{','.join(said_b[k:m])}")
+            i, k = j, m
+        last = np.searchsorted(shared, self.ends, side="right").tolist()
+        return [every[i:j] for i, j in zip([0, *last], last, strict=False)]
+
+    def some(self, which: np.ndarray) -> list[np.ndarray]:
+        """The ids and numbers of ids of the segments ``which``, as ``Ids`` takes them, in small types."""
+        return [small(x) for x in (spread(self.a, self.n_a, which), self.n_a[which], spread(self.b, self.n_b, which), self.n_b[which])]
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def packed(arrays: list[np.ndarray]) -> bytes:
+    return zstandard.compress(pickle.dumps(arrays), 3)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    return [x.astype(np.int64) for x in pickle.loads(zstandard.decompress(blob))]
 
 
 def in_chunks(docs: DataFrame, sent) -> DataFrame:
-    """Rows of two kinds: (chunk, doc_id, codes, bytes of a code) of each document, and (chunk, code, segment, n) of each segment that a chunk's documents hold.
+    """Rows of two kinds: (chunk, doc_id, codes) of each document, and (chunk, code, segment, n) of each segment that a chunk's documents hold.
 
     ``codes`` numbers the document's segments in order; a text that is null or empty, or that a tokenizer would change, has none.
     """
-    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("width", pa.int32()), ("code", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, chunk = _loaded(sent), TaskContext.get().partitionId() << 32
+        both, chunk = Tokenizers(*sent.value), TaskContext.get().partitionId() << 32
 
         def rows(of: int, **columns) -> pa.RecordBatch:
             made = {"chunk": np.full(of, chunk), **columns}
@@ -125,71 +145,154 @@ def in_chunks(docs: DataFrame, sent) -> DataFrame:
             lost = np.concatenate(([0], np.cumsum(~fine[codes])))
             whole = lost[ends] == lost[ends - sizes]
             counts = np.bincount(codes[np.repeat(whole, sizes)], minlength=len(words))
-            codes = codes.astype("<u4" if len(words) > 1 << 16 else "<u2")
-            own = [codes[e - n : e].tobytes() if ok else b"" for e, n, ok in zip(ends.tolist(), sizes.tolist(), whole.tolist(), strict=True)]
-            yield rows(len(own), kind=np.full(len(own), DOCUMENT), doc_id=batch.column("doc_id"), codes=own, width=np.full(len(own), codes.itemsize))
+            often = np.argsort(np.argsort(-counts, kind="stable"), kind="stable")  # frequent segments have small numbers
+            own = [packed([small(often[codes[e - n : e]])]) if ok and n else None for e, n, ok in zip(ends.tolist(), sizes.tolist(), whole.tolist(), strict=True)]
+            yield rows(len(own), kind=np.full(len(own), DOCUMENT), doc_id=batch.column("doc_id"), codes=own)
             for k in range(0, len(words), 50_000):
                 used = np.flatnonzero(counts[k : k + 50_000]) + k
-                yield rows(len(used), kind=np.full(len(used), SEGMENT), code=used, segment=[words[i] for i in used.tolist()], n=counts[used])
+                yield rows(len(used), kind=np.full(len(used), SEGMENT), code=often[used], segment=[words[i] for i in used.tolist()], n=counts[used])
             chunk += 1
 
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text") != "", F.concat(F.lit(" "), "text")).otherwise("").alias("text"))
-    return one.mapInArrow(batches, "chunk long, kind int, doc_id long, codes binary, width int, code int, segment string, n long")
+    return one.mapInArrow(batches, "chunk long, kind int, doc_id long, codes binary, code int, segment string, n long")
 
 
-def with_alignments(counted: DataFrame, sent) -> DataFrame:
-    """``counted(segment, n)`` with what ``aligned`` says of each segment."""
+def aligned(held: DataFrame, sent) -> DataFrame:
+    """Rows of two kinds: ``found``, the ids of a run of segments and where they occur, and (a, b, count) of linked id pairs.
+
+    ``held(chunk, code, segment, n)`` is dealt and sorted by segment, so each distinct one is tokenized once (again only where
+    a batch begins inside its run); its occurrences, one a chunk, stream past and are never gathered.
+    """
+    schema = pa.schema([("found", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("count", pa.int64())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = None
+        both, pairs, counts, gathered = None, [], [], []
+
+        def counted() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, at, np.concatenate(counts))
+            pairs[:], counts[:] = [keys], [sums]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], schema=schema)
+
+        def found() -> pa.RecordBatch:
+            segments_of = pa.concat_arrays([x.column("segment") for x in gathered]).dictionary_encode()
+            which = segments_of.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            chunk, code, n = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in gathered]) for c in ("chunk", "code", "n"))
+            ids = Ids.encoded(both, listed(segments_of.dictionary))
+            times = np.bincount(which, n, len(segments_of.dictionary)).astype(np.int64)
+            links, each = ids.links()
+            pairs.append(links)
+            counts.append(np.repeat(times, each))
+            blob = packed([*ids.some(np.arange(len(times))), small(which), chunk, small(code)])
+            return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), *(pa.nulls(1, f.type) for f in list(schema)[1:])], schema=schema)
+
+        rows = 0
         for batch in it:
-            both = both or _loaded(sent)
-            for low in range(0, batch.num_rows, ALIGNED_ROWS):
-                some = batch.slice(low, ALIGNED_ROWS)
-                found = aligned(both, some.column("segment").to_pylist())
-                types = {"groups": pa.string(), "link_a": pa.list_(pa.int32()), "link_b": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_pydict({"segment": some.column("segment"), "n": some.column("n"), **{c: pa.array(x, types.get(c, pa.int64())) for c, x in found.items()}})
-
-    return counted.mapInArrow(batches, "segment string, n long, n_a long, n_b long, n_groups long, groups string, link_a array<int>, link_b array<int>")
-
+            both = both or Tokenizers(*sent.value)
+            gathered.append(batch)
+            rows += batch.num_rows
+            if rows >= GATHERED:
+                yield found()
+                gathered, rows = [], 0
+                if sum(map(len, pairs)) > HELD_PAIRS:
+                    out = counted()
+                    if len(pairs[0]) > HELD_PAIRS // 2:
+                        yield out
+                        pairs, counts = [], []
+        if rows:
+            yield found()
+        if pairs:
+            yield counted()
+
+    dealt = held.repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(batches, "found binary, a int, b int, count long")
+
+
+def with_best(pairs: DataFrame) -> DataFrame:
+    """(a, b, count, best): the pairs' counts, and whether one is the highest of its id of B."""
+    every = pairs.groupBy("a", "b").agg(F.sum("count").alias("count"))
+    most = every.groupBy("b").agg(F.max("count").alias("most"))  # a row for each id of B
+    return every.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+
+
+def with_sums(found: DataFrame, best: DataFrame, sent) -> DataFrame:
+    """``found``, its segments with their numbers of links and of best links and their sums of counts.
+
+    The pairs go to every task, SENT_PAIRS at a time: more of them take further passes over ``found``, each of which adds its own.
+    """
+    spark = found.sparkSession
+    passes = max(1, -(-best.count() // SENT_PAIRS))
+    for k in range(passes):
+        table = best.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k).toArrow()
+        keys = table.column("a").to_numpy().astype(np.int64) << 32 | table.column("b").to_numpy()
+        order = np.argsort(keys)
+        pairs = spark.sparkContext.broadcast((keys[order], table.column("count").to_numpy()[order], table.column("best").to_numpy()[order].astype(np.int64)))
+
+        def batches(it: Iterator[pa.RecordBatch], pairs=pairs) -> Iterator[pa.RecordBatch]:
+            both = None
+            for batch in it:
+                both = both or Tokenizers(*sent.value)
+                keys, count, best = pairs.value
+                for blob in batch.column("found"):
+                    arrays = unpacked(blob.as_py())
+                    links, each = Ids(both, *arrays[:4]).links()
+                    at = np.minimum(np.searchsorted(keys, links), len(keys) - 1)
+                    hit, begin = keys[at] == links, np.cumsum(each) - each
+                    sums = [np.add.reduceat(np.where(hit, x[at], 0), begin) for x in (best, count)]
+                    if len(arrays) > 7:
+                        sums = [x + y for x, y in zip(arrays[8:], sums, strict=True)]
+                    yield pa.RecordBatch.from_pydict({"found": pa.array([packed([small(x) for x in (*arrays[:7], each, *sums)])], pa.binary())})
+
+        found = found.mapInArrow(batches, "found binary")
+        if passes > 1:
+            found = materialize(found)
+    return found
+
+
+def by_chunk(found: DataFrame, sent) -> DataFrame:
+    """(chunk, part): for each chunk, of its segments that ``found`` holds the codes, ids, links, best links and count sums."""
 
-def linked(segs: DataFrame) -> DataFrame:
-    """(segment, n_links, n_best, count_sum) of ``segs``, by the counts of its linked id pairs corpus-wide.
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = None
+        for batch in it:
+            both = both or Tokenizers(*sent.value)
+            for blob in batch.column("found"):
+                *flat, which, chunk, code, links, best, count = unpacked(blob.as_py())
+                ids, order = Ids(both, *flat), np.argsort(chunk, kind="stable")
+                first = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+                parts = []
+                for own in np.split(order, first[1:]):
+                    of = which[own]
+                    parts.append(packed([small(code[own]), *ids.some(of), *(small(x[of]) for x in (links, best, count))]))
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[order[first]]), "part": pa.array(parts, pa.binary())})
 
-    A pair's count weighs each segment's links by its occurrences. Best are the pairs of an id of B that have its highest
-    count. Pairs that a large part of all segments hold, SENT_PAIRS at most, are broadcast, so no join key is hot.
-    """
-    links = segs.select("segment", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("segment", "n", F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
-    pairs = links.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count("*").alias("held"))
-    pairs = materialize(pairs)
-    best = pairs.groupBy("b").agg(F.max("count").alias("most"))  # a row for each id of B
-    pairs = pairs.join(best, "b").select("a", "b", "held", F.struct("count", (F.col("count") == F.col("most")).cast("long").alias("best")).alias("said"))
-    every = pairs.agg(F.sum("held")).first()[0] or 0
-    common = pairs.where(F.col("held") > every // SENT_PAIRS).select("a", "b", "said")
-    met = links.select("segment", "a", "b").join(F.broadcast(common), ["a", "b"], "left")
-    rest = met.where("said is null").drop("said").join(pairs.select("a", "b", "said"), ["a", "b"])
-    each = met.where("said is not null").unionByName(rest)
-    return each.groupBy("segment").agg(F.count("*").alias("n_links"), F.sum("said.best").alias("n_best"), F.sum("said.count").alias("count_sum"))
+    return found.mapInArrow(batches, "chunk long, part binary")
 
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def composed(docs: pa.Table, segs: pa.Table) -> pa.Table:
+def composed(docs: pa.Table, parts: pa.Table, both: Tokenizers) -> pa.Table:
     """doc_id, the sums of FIGURES and groups_sha256 of a chunk's documents, from what its segments were found to be."""
-    if not docs.num_rows:
-        return pa.table({c: pa.array([], pa.string() if c == "groups_sha256" else pa.int64()) for c in ("doc_id", *FIGURES, "groups_sha256")})
-    top = max(segs.column("code").to_numpy(), default=-1) + 1
-    at, figures, groups = segs.column("code").to_numpy(), np.zeros((top, len(FIGURES)), np.int64), [""] * top
-    for k, c in enumerate(FIGURES):
-        figures[at, k] = segs.column(c).to_numpy()
-    for i, said in zip(at.tolist(), segs.column("groups").to_pylist(), strict=True):
-        groups[i] = said
+    codes, figures, said = [], [], []
+    for blob in parts.column("part").to_pylist():
+        code, a, n_a, b, n_b, links, best, count = unpacked(blob)
+        groups = Ids(both, a, n_a, b, n_b).groups()
+        codes.append(code)
+        figures.append(np.stack((n_a, n_b, np.fromiter(map(len, groups), np.int64, len(groups)), links, best, count), axis=1))
+        said += [";".join(g) for g in groups]
+    code = np.concatenate(codes) if codes else np.empty(0, np.int64)
+    of, text = np.zeros((code.max(initial=-1) + 1, len(FIGURES)), np.int64), [""] * (code.max(initial=-1) + 1)
+    if codes:
+        of[code] = np.concatenate(figures)
+    for i, t in zip(code.tolist(), said, strict=True):
+        text[i] = t
     sums, hashes = np.zeros((docs.num_rows, len(FIGURES)), np.int64), []
-    for k, (packed, width) in enumerate(zip(docs.column("codes").to_pylist(), docs.column("width").to_pylist(), strict=True)):
-        codes = np.frombuffer(packed, "<u4" if width == 4 else "<u2")
-        sums[k] = np.bincount(codes, minlength=top) @ figures if len(codes) > top else figures[codes].sum(axis=0)
-        hashes.append(hashlib.sha256(";".join([groups[i] for i in codes.tolist()]).encode()).hexdigest() if len(codes) else "")
+    for k, blob in enumerate(docs.column("codes").to_pylist()):
+        own = unpacked(blob)[0] if blob else np.empty(0, np.int64)
+        sums[k] = of[own].sum(axis=0)
+        hashes.append(hashlib.sha256(";".join([text[i] for i in own.tolist()]).encode()).hexdigest() if len(own) else "")
     return pa.table({"doc_id": docs.column("doc_id"), **{c: pa.array(sums[:, k]) for k, c in enumerate(FIGURES)}, "groups_sha256": pa.array(hashes, pa.string())})
 
 
@@ -213,12 +316,12 @@ def align_documents(docs: DataFrame, byte_level_file: str = BYTE_LEVEL_FILE, pie
     sent = spark.sparkContext.broadcast(files)
     chunks = materialize(in_chunks(docs, sent))
     held = chunks.where(F.col("kind") == SEGMENT).select("chunk", "code", "segment", "n")
-    segs = materialize(with_alignments(held.groupBy("segment").agg(F.sum("n").alias("n")), sent))
-    found = segs.drop("n", "link_a", "link_b").join(linked(segs), "segment")
-    back = held.select("chunk", "code", "segment").join(found, "segment").drop("segment")
-    left = chunks.where(F.col("kind") == DOCUMENT).select(F.col("chunk").alias("own"), "doc_id", "codes", "width")
+    found = materialize(aligned(held, sent))
+    best = materialize(with_best(found.where("count is not null").select("a", "b", "count")))
+    parts = by_chunk(with_sums(found.where("found is not null").select("found"), best, sent), sent)
+    left = chunks.where(F.col("kind") == DOCUMENT).select(F.col("chunk").alias("own"), "doc_id", "codes")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return left.groupBy("own").cogroup(back.groupBy("chunk")).applyInArrow(composed, schema)
+    return left.groupBy("own").cogroup(parts.groupBy("chunk")).applyInArrow(lambda own, some: composed(own, some, Tokenizers(*sent.value)), schema)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
