@@ -6,6 +6,7 @@ import hashlib
 import json
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +23,7 @@ from docloom.llm.segments import byte_alphabet, byte_level, coded
 #: Public vocabularies, read on the driver and sent to the tasks.
 BYTE_LEVEL_FILE, PIECES_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in one chunk, whose distinct segments are numbered; a longer text is a chunk of its own.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 12_000_000
 #: Occurrences of segments that are aligned at once, and linked pairs that a task counts before it adds them up.
 GATHERED, HELD_PAIRS = 100_000, 4_000_000
 #: Distinct linked id pairs that are sent to every task at once: 24 bytes each.
@@ -72,10 +73,17 @@ class Tokenizers:
         return a, [x or [self.one_space] for x in b]
 
 
+class Sizes(NamedTuple):
+    """Of each id of A and of B, the bytes that it stands for."""
+
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
+
+
 class Ids:
     """A's and B's ids of segments, one segment after the other, how many each has, and where their bytes end."""
 
-    def __init__(self, both: Tokenizers, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+    def __init__(self, both: Tokenizers | Sizes, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
         self.both, self.a, self.n_a, self.b, self.n_b = both, a, n_a, b, n_b
         self.end_a, self.end_b = np.cumsum(both.a_sizes[a]), np.cumsum(both.b_sizes[b])
         self.ends = self.end_a[np.cumsum(n_a) - 1]
@@ -216,7 +224,7 @@ def with_best(pairs: DataFrame) -> DataFrame:
     return every.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def with_sums(found: DataFrame, best: DataFrame, sent) -> DataFrame:
+def with_sums(found: DataFrame, best: DataFrame, sizes) -> DataFrame:
     """``found``, its segments with their numbers of links and of best links and their sums of counts.
 
     The pairs go to every task, SENT_PAIRS at a time: more of them take further passes over ``found``, each of which adds its own.
@@ -230,13 +238,11 @@ def with_sums(found: DataFrame, best: DataFrame, sent) -> DataFrame:
         pairs = spark.sparkContext.broadcast((keys[order], table.column("count").to_numpy()[order], table.column("best").to_numpy()[order].astype(np.int64)))
 
         def batches(it: Iterator[pa.RecordBatch], pairs=pairs) -> Iterator[pa.RecordBatch]:
-            both = None
+            keys, count, best = pairs.value
             for batch in it:
-                both = both or Tokenizers(*sent.value)
-                keys, count, best = pairs.value
                 for blob in batch.column("found"):
                     arrays = unpacked(blob.as_py())
-                    links, each = Ids(both, *arrays[:4]).links()
+                    links, each = Ids(sizes.value, *arrays[:4]).links()
                     at = np.minimum(np.searchsorted(keys, links), len(keys) - 1)
                     hit, begin = keys[at] == links, np.cumsum(each) - each
                     sums = [np.add.reduceat(np.where(hit, x[at], 0), begin) for x in (best, count)]
@@ -250,16 +256,14 @@ def with_sums(found: DataFrame, best: DataFrame, sent) -> DataFrame:
     return found
 
 
-def by_chunk(found: DataFrame, sent) -> DataFrame:
+def by_chunk(found: DataFrame, sizes) -> DataFrame:
     """(chunk, part): for each chunk, of its segments that ``found`` holds the codes, ids, links, best links and count sums."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = None
         for batch in it:
-            both = both or Tokenizers(*sent.value)
             for blob in batch.column("found"):
                 *flat, which, chunk, code, links, best, count = unpacked(blob.as_py())
-                ids, order = Ids(both, *flat), np.argsort(chunk, kind="stable")
+                ids, order = Ids(sizes.value, *flat), np.argsort(chunk, kind="stable")
                 first = np.flatnonzero(np.diff(chunk[order], prepend=-1))
                 parts = []
                 for own in np.split(order, first[1:]):
@@ -273,12 +277,12 @@ def by_chunk(found: DataFrame, sent) -> DataFrame:
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def composed(docs: pa.Table, parts: pa.Table, both: Tokenizers) -> pa.Table:
+def composed(docs: pa.Table, parts: pa.Table, sizes: Sizes) -> pa.Table:
     """doc_id, the sums of FIGURES and groups_sha256 of a chunk's documents, from what its segments were found to be."""
     codes, figures, said = [], [], []
     for blob in parts.column("part").to_pylist():
         code, a, n_a, b, n_b, links, best, count = unpacked(blob)
-        groups = Ids(both, a, n_a, b, n_b).groups()
+        groups = Ids(sizes, a, n_a, b, n_b).groups()
         codes.append(code)
         figures.append(np.stack((n_a, n_b, np.fromiter(map(len, groups), np.int64, len(groups)), links, best, count), axis=1))
         said += [";".join(g) for g in groups]
@@ -312,16 +316,16 @@ def align_documents(docs: DataFrame, byte_level_file: str = BYTE_LEVEL_FILE, pie
     spark = docs.sparkSession
     with open(byte_level_file, encoding="utf-8") as f, open(pieces_file, "rb") as g:
         files = (f.read(), g.read())
-    Tokenizers(*files)
-    sent = spark.sparkContext.broadcast(files)
+    both = Tokenizers(*files)
+    sent, sizes = spark.sparkContext.broadcast(files), spark.sparkContext.broadcast(Sizes(both.a_sizes, both.b_sizes))
     chunks = materialize(in_chunks(docs, sent))
     held = chunks.where(F.col("kind") == SEGMENT).select("chunk", "code", "segment", "n")
     found = materialize(aligned(held, sent))
     best = materialize(with_best(found.where("count is not null").select("a", "b", "count")))
-    parts = by_chunk(with_sums(found.where("found is not null").select("found"), best, sent), sent)
+    parts = by_chunk(with_sums(found.where("found is not null").select("found"), best, sizes), sizes)
     left = chunks.where(F.col("kind") == DOCUMENT).select(F.col("chunk").alias("own"), "doc_id", "codes")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return left.groupBy("own").cogroup(parts.groupBy("chunk")).applyInArrow(lambda own, some: composed(own, some, Tokenizers(*sent.value)), schema)
+    return left.groupBy("own").cogroup(parts.groupBy("chunk")).applyInArrow(lambda own, some: composed(own, some, sizes.value), schema)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
