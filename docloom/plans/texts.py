@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers as N
 from docloom.functions import text as T
-from docloom.operators import aggregates, dedup, filters, joins, packing, windows
+from docloom.operators import aggregates, dedup, filters, joins, packing, search, windows
 from docloom.plans.registry import query
 
 _NORM = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
@@ -111,6 +111,62 @@ def best_match(t):
     return joins.best_match(copies, reviews)
 
 
+_FOUND = r"""
+WITH w AS (SELECT item_id AS id, lower(regexp_extract(text, '\S+ \S+ \S+')) AS name, CASE WHEN item_id % 2 = 0 THEN '/b/' || item_id % 40 ELSE '' END AS path FROM benchmark),
+i AS (SELECT id, path, CASE WHEN name <> '' THEN name ELSE regexp_extract(path, '[^/]*$') END AS name, '' AS more, 'draft' AS status, 0 AS seen FROM w),
+d AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '/b/' || doc_id % 40 ELSE '' END AS path, lower(regexp_extract(text, '\S+ \S+ \S+')) AS n, lower(text) AS more, CASE WHEN lang = 'en' THEN 'ready' ELSE 'draft' END AS status, n_chars AS seen FROM documents),
+j AS (SELECT id, path, CASE WHEN n <> '' THEN n ELSE regexp_extract(path, '[^/]*$') END AS name, more, status, seen FROM d),
+"""
+
+
+def _found(t):
+    words = F.regexp_extract("text", r"\S+ \S+ \S+", 0)
+    path = lambda c, k: F.when(F.col(c) % k == 0, F.concat(F.lit("/b/"), (F.col(c) % 40).cast("string"))).otherwise("")
+    items = t("benchmark").select(F.col("item_id").alias("id"), path("item_id", 2).alias("source_path"), words.alias("pdf_name"), F.lit("").alias("search_text"), F.lit("draft").alias("status"), F.lit(0).cast("timestamp").alias("updated_at"))
+    ready = F.when(F.col("lang") == "en", "ready").otherwise("draft")
+    docs = t("documents").select(F.col("doc_id").alias("id"), path("doc_id", 3).alias("source_path"), words.alias("pdf_name"), F.col("text").alias("search_text"), ready.alias("status"), F.timestamp_seconds("n_chars").alias("updated_at"))
+    return items, docs
+
+
+@query(
+    _FOUND
+    + """
+r AS (SELECT i.id AS copy_id, j.id AS review_id, j.seen, CASE WHEN i.path <> '' AND j.path <> '' AND i.path <> j.path THEN 0 ELSE
+    CASE WHEN i.path <> '' AND i.path = j.path THEN 8 ELSE 0 END + CASE WHEN i.name = j.name THEN 4 ELSE 0 END + CASE WHEN j.status = 'ready' THEN 2 ELSE 0 END END AS rank
+  FROM i JOIN j ON i.name <> '' AND (contains(j.name, i.name) OR contains(j.path, i.name) OR contains(j.more, i.name)))
+SELECT copy_id, review_id, rank::BIGINT AS rank FROM r WHERE rank > 0 QUALIFY row_number() OVER (PARTITION BY copy_id ORDER BY rank DESC, seen DESC, review_id) = 1"""
+)
+def reviews_found(t):
+    """The best review (a document) of each copy (a benchmark item) whose path, name or whole search text holds the copy's name."""
+    items, docs = _found(t)
+    out = search.best_found(items.withColumnRenamed("id", "wanted_id"), docs.withColumnRenamed("id", "offered_id"))
+    return out.select(F.col("wanted_id").alias("copy_id"), F.col("offered_id").alias("review_id"), "rank")
+
+
+@query(
+    _FOUND
+    + """
+r AS (SELECT j.id AS review_id, i.id AS copy_id, CASE WHEN i.path <> '' AND j.path <> '' AND i.path <> j.path THEN 0 ELSE
+    CASE WHEN i.path <> '' AND i.path = j.path THEN 8 ELSE 0 END + CASE WHEN i.name = j.name THEN 4 ELSE 0 END END AS rank
+  FROM j JOIN i ON j.name <> '' AND i.id <> j.id AND (contains(i.name, j.name) OR contains(i.path, j.name) OR contains(lower(i.body), j.name)))
+SELECT review_id, copy_id, rank::BIGINT AS rank FROM r WHERE rank > 0 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY rank DESC, copy_id) = 1""".replace("JOIN i ON", "JOIN (SELECT i.*, b.text AS body FROM i JOIN benchmark b ON b.item_id = i.id) i ON")
+)
+def copies_found(t):
+    """The best copy of each review the other way round: by the review's name, never of its own id."""
+    items, docs = _found(t)
+    items = items.drop("search_text").join(t("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("search_text")), "id")
+    out = search.best_found(docs.withColumnRenamed("id", "wanted_id"), items.withColumnRenamed("id", "offered_id"), with_status=False, apart=True)
+    return out.select(F.col("wanted_id").alias("review_id"), F.col("offered_id").alias("copy_id"), "rank")
+
+
+@query(r"""
+SELECT item_id, doc_id FROM (SELECT item_id, lower(regexp_extract(text, '\S+ \S+')) AS q FROM benchmark) JOIN documents ON q <> '' AND (contains(lower(text), q) OR contains(lower(source), q))""")
+def searches(t):
+    """The documents that a search for the first two words of each benchmark item finds."""
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"\S+ \S+", 0).alias("query")).where("query <> ''")
+    return search.search_each(asked, t("documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"]).select(F.col("query_id").alias("item_id"), "doc_id")
+
+
 @query(r"""
 WITH h AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages), n AS (SELECT DISTINCT regexp_extract(link, '([^/]+)/*$', 1) AS name FROM h),
 a AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/*$', 1) AS name FROM pages)
