@@ -15,6 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from docloom.llm.common import materialize, read
 from docloom.llm.lm_scoring import by_size, listed, spread
@@ -23,9 +24,9 @@ from docloom.llm.segments import byte_alphabet, byte_level, coded
 #: Public vocabularies, read on the driver and sent to the tasks.
 BYTE_LEVEL_FILE, PIECES_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in one chunk, whose distinct segments are numbered; a longer text is a chunk of its own.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 10_000_000
 #: Occurrences of segments that are aligned at once, and linked pairs that a task counts before it adds them up.
-GATHERED, HELD_PAIRS = 100_000, 4_000_000
+GATHERED, HELD_PAIRS = 50_000, 2_000_000
 #: Distinct linked id pairs that are sent to every task at once: 24 bytes each.
 SENT_PAIRS = 4_000_000
 SPACE = "▁"
@@ -40,15 +41,13 @@ class Tokenizers:
     """
 
     def __init__(self, byte_level_spec: str, pieces: bytes):
-        import sentencepiece
-
         self.a = byte_level(byte_level_spec, plain=True)
         of = byte_alphabet()
         vocab = json.loads(byte_level_spec)["model"]["vocab"]
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(of[c] for c in token)
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        self.b = SentencePieceProcessor(model_proto=pieces)
         ids = range(self.b.get_piece_size())
         of_piece = [self.b.id_to_piece(i) for i in ids]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in zip(ids, of_piece, strict=True)]
@@ -59,20 +58,24 @@ class Tokenizers:
         self.one_space = self.b.piece_to_id(SPACE)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
 
-    def keep(self, distinct: list[str]) -> np.ndarray:
-        """Whether each segment comes out of both tokenizers as it went in. Only B's normalizer can change one."""
-        every = "".join(distinct)
-        if self.b.normalize(every).replace(SPACE, " ") == " " + every:
-            return np.ones(len(distinct), bool)
-        return np.array([self.b.normalize(s).replace(SPACE, " ") == " " + s for s in distinct])
-
     def ids(self, some: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """A's and B's ids of segments, each of which begins with a space."""
-        a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+        a = [e.ids for k in range(0, len(some), ALIGNED_ROWS) for e in self.a.encode_batch_fast(some[k : k + ALIGNED_ROWS], add_special_tokens=False)]
         b = self.b.encode([s[1:] for s in some], num_threads=1)  # B puts the space before a text itself, but not before none
         return a, [x or [self.one_space] for x in b]
 
 
+def kept(pieces, distinct: list[str]) -> np.ndarray:
+    """Whether each segment comes out of B as it went in, which its normalizer alone can change; A changes nothing."""
+    same = lambda s: pieces.normalize(s).replace(SPACE, " ") == " " + s
+    out = np.ones(len(distinct), bool)
+    for k in range(0, len(distinct), ALIGNED_ROWS):
+        some = distinct[k : k + ALIGNED_ROWS]
+        if not same("".join(some)):
+            out[k : k + ALIGNED_ROWS] = [same(s) for s in some]
+    return out
+
+
 class Sizes(NamedTuple):
     """Of each id of A and of B, the bytes that it stands for."""
 
@@ -141,7 +144,7 @@ def in_chunks(docs: DataFrame, sent) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, chunk = Tokenizers(*sent.value), TaskContext.get().partitionId() << 32
+        pieces, chunk = SentencePieceProcessor(model_proto=sent.value[1]), TaskContext.get().partitionId() << 32
 
         def rows(of: int, **columns) -> pa.RecordBatch:
             made = {"chunk": np.full(of, chunk), **columns}
@@ -149,7 +152,7 @@ def in_chunks(docs: DataFrame, sent) -> DataFrame:
 
         for batch in by_size(it, CHUNK_BYTES):
             words, codes, sizes = coded(batch.column("text"))
-            fine, ends = both.keep(words), np.cumsum(sizes)
+            fine, ends = kept(pieces, words), np.cumsum(sizes)
             lost = np.concatenate(([0], np.cumsum(~fine[codes])))
             whole = lost[ends] == lost[ends - sizes]
             counts = np.bincount(codes[np.repeat(whole, sizes)], minlength=len(words))
