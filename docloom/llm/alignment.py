@@ -25,6 +25,8 @@ from docloom.llm.segments import byte_alphabet, byte_level, coded
 BYTE_LEVEL_FILE, PIECES_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in one chunk, whose distinct segments are numbered; a longer text is a chunk of its own.
 CHUNK_BYTES = 10_000_000
+#: Distinct segments that one call tokenizes or normalizes.
+ALIGNED_ROWS = 4096
 #: Occurrences of segments that are aligned at once, and linked pairs that a task counts before it adds them up.
 GATHERED, HELD_PAIRS = 50_000, 2_000_000
 #: Distinct linked id pairs that are sent to every task at once: 24 bytes each.
