@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.windows import before_each
+from docloom.sources.shared import materialize
+
+#: Items that one task packs, and the whole units of a size by which parts are found ahead.
+BLOCK_ROWS, UNITS = 50_000, 1_000_000
 
 
 def folded_in_order(rows: DataFrame, scope: str, order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
@@ -33,23 +39,112 @@ def schema_of(rows: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes), more])
 
 
-def next_fit(items: DataFrame, scope: str, size: str, limit: float, pos: str = "pos") -> DataFrame:
-    """Items with ``part``: in order, a new part begins when the next item would exceed the limit; the sum starts anew.
+def matching(names: list[str], other: str) -> Column:
+    """Whether columns equal those with a prefix, nulls included."""
+    out = F.lit(True)
+    for c in names:
+        out = out & F.col(c).eqNullSafe(F.col(f"{other}{c}"))
+    return out
+
 
-    An item over the limit has a part of its own; a limit of 0 or less makes one part; null sizes count as 0.
+def part_starts(rows: DataFrame, scope: list[str], limit: float, block_rows: int) -> DataFrame:
+    """(_of_<scope>, _of_block, last): for each block that the packing enters inside a part, the sum before the part's first row.
+
+    ``rows``: scope, _n (place in scope from 0), _p (sum of the sizes before, in whole units), _s. Every row has a pointer to
+    the first row that no longer fits a part begun with it, found by merging the sums of rows with those that each part may
+    reach. Inside blocks the pointers are followed at once, so of each row by which a block can be entered only the exit is left;
+    these exits are doubled by joins, a logarithmic number of times, and what the first row reaches is what packing goes through.
     """
+    block = lambda n: F.floor(n / block_rows).cast("long")
+    reach = rows.select(*scope, "_n", "_p", (F.col("_p") + F.lit(round(limit * UNITS))).alias("_v"), F.lit(1).alias("_kind"))
+    points = reach.unionByName(rows.select(*scope, "_n", "_p", (F.col("_p") + F.col("_s")).alias("_v"), F.lit(0).alias("_kind")))
+    met = before_each(points, scope, ["_v", "_kind", "_n"], _to=F.when(F.col("_kind") == 0, 1).otherwise(0).cast("long")).where("_kind = 1")
+    to = materialize(met.select(*scope, "_n", "_p", F.greatest("_to", F.col("_n") + 1).alias("_to"), block(F.col("_n")).alias("_block")))
+    doors = to.where(block(F.col("_to")) > F.col("_block")).select(*scope, F.col("_to").alias("_door")).unionByName(to.where("_n = 0").select(*scope, F.col("_n").alias("_door"))).distinct()
+    doors = doors.withColumn("_block", block(F.col("_door")))
+    kinds = dict(rows.dtypes)
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in scope) + (", " if scope else "")
+
+    def contracted(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("_n")
+        low, own, sums = int(left._n.iloc[0]) if len(left) else 0, left._to.to_numpy() - (left._n.iloc[0] if len(left) else 0), left._p.to_numpy()
+        last, n = np.arange(len(own)), len(own)  # the last row on the way that is still inside
+        while len(own):
+            inside = own[last] < n
+            if not inside.any():
+                break
+            hop = np.where(inside, own[last], last)
+            last = last[hop] if (last[hop] != hop).any() else hop
+        at = right._door.to_numpy() - low
+        at = at[(at >= 0) & (at < n)]
+        return pd.DataFrame({**{c: pd.Series([key[i]] * len(at), dtype=object) for i, c in enumerate(scope)}, "_door": at + low, "_exit": own[last[at]] + low, "_last": sums[last[at]]})
+
+    jump = to.groupBy(*scope, "_block").cogroup(doors.groupBy(*scope, "_block")).applyInPandas(contracted, f"{keys}_door long, _exit long, _last long")
+    exits = jump = materialize(jump)
+    reached = exits.where("_door = 0").select(*scope, "_door")
+    n = -1
+    while n != (n := reached.count()):
+        ends = jump.select(*[F.col(c).alias(f"_of_{c}") for c in scope], F.col("_door").alias("_from"), F.col("_exit").alias("_next"))
+        onward = reached.join(ends, matching(scope, "_of_") & (F.col("_door") == F.col("_from"))).select(*scope, F.col("_next").alias("_door"))
+        reached = materialize(reached.unionByName(onward).distinct())
+        jump = materialize(jump.join(ends, matching(scope, "_of_") & (F.col("_exit") == F.col("_from"))).select(*scope, "_door", F.col("_next").alias("_exit")))
+    through = exits.join(reached.select(*[F.col(c).alias(f"_of_{c}") for c in scope], F.col("_door").alias("_from")), matching(scope, "_of_") & (F.col("_door") == F.col("_from")))
+    through = through.select(*scope, block(F.col("_door")).alias("_block"), F.col("_last").alias("last"))
+    line = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.select(*scope, block(F.col("_n")).alias("_block"), F.lit(None).cast("long").alias("last")).distinct().unionByName(through)
+    blocks = blocks.groupBy(*scope, "_block").agg(F.max("last").alias("last")).withColumn("last", F.last("last", True).over(line))
+    return blocks.where("last is not null").select(*[F.col(c).alias(f"_of_{c}") for c in scope], F.col("_block").alias("_of_block"), "last")
+
+
+def next_fit(items: DataFrame, scope: str | list[str], size: str, limit: float, pos: str = "pos", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Items with ``part``: in order, a new part begins when the next item would exceed the limit; the sum starts anew.
 
-    def step(state: dict, some: pd.DataFrame) -> pd.DataFrame:
-        part, used, begun, out = state["part"], state["used"], state["begun"], []
-        for s in some[size].fillna(0.0).astype(float).tolist():
-            if begun and limit > 0 and used + s > limit:
-                part, used = part + 1, 0.0
-            used, begun = used + s, True
-            out.append(part)
-        state.update(part=part, used=used, begun=begun)
-        return some.assign(part=out)
+    An item over the limit has a part of its own; a limit of 0 or less makes one part; null and negative sizes count as 0;
+    ``pos`` must tell a scope's items apart. Sums are doubles, added from a part's first item on.
 
-    return folded_in_order(items, scope, pos, lambda: {"part": 0, "used": 0.0, "begun": False}, step, schema_of(items, "part long"))
+    A scope of any length is spread over tasks by blocks. How much of a part is full where a block begins is found ahead
+    by pointer jumping over sums in whole units (``part_starts``); blocks are then packed side by side, and again where what
+    the block before really ended with differs, until nothing does.
+    """
+    scope = [scope] if isinstance(scope, str) else scope
+    if limit <= 0:
+        return items.withColumn("part", F.lit(0).cast("long"))
+    counted = F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0))
+    sized = items.withColumn("_d", counted).withColumn("_s", F.round(F.col("_d") * UNITS).cast("long"))
+    rows = materialize(before_each(sized, scope, [pos], _n=F.lit(1).cast("long"), _p=F.col("_s")).withColumn("_block", F.floor(F.col("_n") / block_rows).cast("long")))
+    enters = rows.where("false").select(*[F.col(c).alias(f"_of_{c}") for c in scope], F.col("_block").alias("_of_block"), F.lit(0.0).alias("_used"))
+    if not rows.where(F.col("_block") > 0).isEmpty():
+        starts = part_starts(rows.select(*scope, "_n", "_p", "_s"), scope, limit, block_rows)
+        first = rows.where(F.col("_n") % block_rows == 0)
+        enters = first.join(starts, matching(scope, "_of_") & (F.col("_block") == F.col("_of_block"))).select(*[f"_of_{c}" for c in scope], "_of_block", ((F.col("_p") - F.col("last")) / UNITS).alias("_used"))
+    enters = materialize(enters)
+    schema = schema_of(rows.drop("_s", "_p"), "_used double, _opens boolean")
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n")
+        used, begun = (0.0, False) if pdf._n.iloc[0] == 0 else (float(pdf._used.iloc[0]), True)
+        sums, opens = [], []
+        for s in pdf._d.tolist():
+            fresh = not begun or used + s > limit
+            used, begun = (s if fresh else used + s), True
+            sums.append(used)
+            opens.append(fresh)
+        return pdf.assign(_used=sums, _opens=opens)[columns]
+
+    columns = [c for c in rows.columns if c not in ("_s", "_p")] + ["_used", "_opens"]
+    while True:
+        met = rows.drop("_s", "_p").join(enters, matching(scope, "_of_") & (F.col("_block") == F.col("_of_block")), "left").select(*[c for c in rows.columns if c not in ("_s", "_p")], "_used")
+        done = materialize(met.groupBy(*scope, "_block").applyInPandas(packed, schema))
+        blocks = done.groupBy(*scope, "_block").agg(F.max_by("_used", "_n").alias("_end"), F.sum(F.col("_opens").cast("long")).alias("_parts"))
+        line = Window.partitionBy(*scope).orderBy("_block")
+        told = materialize(blocks.withColumns({"_used": F.lag("_end").over(line), "_before": F.sum("_parts").over(line) - F.col("_parts")}))
+        now = told.where("_block > 0").select(*[F.col(c).alias(f"_of_{c}") for c in scope], F.col("_block").alias("_of_block"), "_used")
+        if now.exceptAll(enters).isEmpty():
+            break
+        enters = now
+    told = told.select(*[F.col(c).alias(f"_of_{c}") for c in scope], F.col("_block").alias("_of_block"), "_before")
+    own = F.sum(F.col("_opens").cast("long")).over(Window.partitionBy(*scope, "_block").orderBy("_n"))
+    return done.withColumn("_own", own).join(told, matching(scope, "_of_") & (F.col("_block") == F.col("_of_block"))).select(*items.columns, (F.col("_before") + F.col("_own") - 1).alias("part"))
 
 
 def note_budget(notes: DataFrame, scope: str, most_notes: int = 25, most_bytes: int = 120_000, least_rest: int = 1_200) -> DataFrame:
@@ -86,20 +181,12 @@ def resume_parts(items: DataFrame, limit: float) -> DataFrame:
     """
     rows = items.select("course", "pos", F.coalesce("duration_s", F.lit(0.0)).cast("double").alias("duration_s"), F.col("done_part").cast("long").alias("done_part"))
 
-    def step(state: dict, some: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for seconds, done in zip(some.duration_s.tolist(), some.done_part.isna().tolist(), strict=True):
-            if not done:
-                state["open"] = False
-                out.append(0)
-                continue
-            if not state["open"] or (limit > 0 and state["used"] + seconds > limit):
-                state.update(open=True, used=0.0, fresh=state["fresh"] + 1)
-            state["used"] += seconds
-            out.append(state["fresh"])
-        return some.assign(fresh=out)
-
-    told = folded_in_order(rows, "course", "pos", lambda: {"open": False, "used": 0.0, "fresh": 0}, step, schema_of(rows, "fresh long"))
+    runs = before_each(rows, ["course"], ["pos"], run=F.col("done_part").isNotNull().cast("long"))
+    packed = next_fit(runs.where("done_part is null"), ["course", "run"], "duration_s", limit)
+    counts = before_each(packed.groupBy("course", "run").agg((F.max("part") + 1).alias("n")), ["course"], ["run"], fresh_before=F.col("n"))
+    counts = counts.select(F.col("course").alias("_of_course"), F.col("run").alias("_of_run"), "fresh_before")
+    fresh = packed.join(counts, matching(["course", "run"], "_of_")).withColumn("fresh", F.col("fresh_before") + F.col("part") + 1)
+    told = fresh.select(*rows.columns, "fresh").unionByName(rows.where("done_part is not null").withColumn("fresh", F.lit(0).cast("long")))
     line = Window.partitionBy("course").orderBy("done_part")
     free_below = rows.where("done_part > 0").select("course", "done_part").distinct().select("course", (F.col("done_part") - F.row_number().over(line)).alias("at"), F.lit(1).alias("taken"))
     wanted = told.where("fresh > 0").select("course", F.col("fresh").alias("at"), F.lit(0).alias("taken")).distinct()

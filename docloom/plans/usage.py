@@ -6,7 +6,7 @@ from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.operators import aggregates, packing, windows
 from docloom.plans.registry import query
-from docloom.streaming import quota
+from docloom.streaming import limiter, quota
 
 
 def _rate(seconds: int):
@@ -128,20 +128,32 @@ def pack_duration(t):
     return packing.next_fit(t("events").select("user_id", "event_id", "value"), "user_id", "value", 120.0, "event_id").select("user_id", "event_id", "part")
 
 
-@query("""
+_ADMITTED = """
 WITH RECURSIVE e AS (SELECT event_type AS key, event_id, epoch_us(ts) AS us, floor(value)::BIGINT AS tokens, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT DISTINCT key, 0::BIGINT AS n, 0::BIGINT AS event_id, '' AS reason, []::STRUCT(a BIGINT, t BIGINT)[] AS kept, -1::BIGINT AS day, 0::BIGINT AS used FROM e
   UNION ALL SELECT key, n, event_id, why, CASE WHEN why = '' THEN list_append(live, {'a': us, 't': tokens}) ELSE live END, day, used + (why = '')::BIGINT FROM (
     SELECT *, CASE WHEN used >= 40 THEN 'day' WHEN len(live) >= 2 THEN 'minute' WHEN coalesce(list_sum(list_transform(live, lambda x: x.t)), 0) + tokens > 100 THEN 'tokens' ELSE '' END AS why FROM (
       SELECT e.key, e.n, e.event_id, e.us, e.tokens, list_filter(r.kept, lambda x: x.a > e.us - 60000000) AS live, e.us // 86400000000 AS day, CASE WHEN e.us // 86400000000 = r.day THEN r.used ELSE 0 END AS used
       FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)))
-SELECT key, event_id, reason = '' AS admitted, reason FROM r WHERE n > 0""")
+SELECT key, event_id, reason = '' AS admitted, reason FROM r WHERE n > 0"""
+
+
+@query(_ADMITTED)
 def admission(t):
     """Which events of each type a limit of two a minute, a hundred tokens a minute and forty a day admits."""
     e = t("events").select(F.col("event_type").alias("key"), "event_id", "ts", F.floor("value").alias("tokens"))
     return quota.admitted_batch(e, per_minute=2, tokens_per_minute=100, per_day=40)
 
 
+@query(_ADMITTED)
+def admission_stream(t):
+    """The same decisions by the limiter of a stream, which the events run through to its end."""
+    e = t("events").select(F.col("event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").alias("tokens"), F.lit("request").alias("kind"))
+    ends = e.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(F.lit(None).cast("string").alias("key"), F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(0).cast("long").alias("tokens"), F.lit("release").alias("kind"))
+    out = quota.streamed(e.unionByName(ends), lambda stream: limiter.limited(stream, per_minute=2, tokens_per_minute=100, per_day=40))
+    return out.where("key is not null").select("key", "event_id", "admitted", "reason")
+
+
 @query("""
 WITH e AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'context canceled' WHEN 1 THEN 'Post: context deadline exceeded' WHEN 2 THEN 'too many Requests' WHEN 3 THEN 'connection refused' WHEN 4 THEN 'Temporarily unavailable'
   WHEN 5 THEN '' WHEN 6 THEN 'i/o timeout' ELSE 'HTTP ' || (400 + event_id % 120) END AS error FROM events)

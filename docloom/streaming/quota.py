@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.functions import numbers as N
-from docloom.sources.shared import materialize
+from docloom.sources.shared import materialize, scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY, MINUTE = 86_400_000_000, 60_000_000
@@ -157,3 +157,17 @@ def windowed_usage(events: DataFrame, length: str = "1 minute", delay: str = "10
         .agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
         .select("key", F.col("w.start").alias("start"), "requests", "tokens")
     )
+
+
+def streamed(rows: DataFrame, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``flow`` makes of ``rows`` as a stream that ends: written once to the shared folder, run with a checkpoint there, and read back.
+
+    State is kept by RocksDB. A flow that waits for the watermark needs a last row late enough to move it.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    source, out = materialize(rows)._docloom_path, scratch_path(spark)
+    made = flow(spark.readStream.schema(rows.schema).parquet(source))
+    q = made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{out}/rows")

@@ -1,5 +1,6 @@
 """Operators on literals: order, ties, blanks and the quirks that results show."""
 
+import random
 import sys
 from datetime import datetime, timedelta
 
@@ -117,6 +118,28 @@ def test_next_fit(spark):
     assert [got["a", i] for i in range(5)] == [0, 0, 1, 2, 3] and [got["b", i] for i in range(2)] == [0, 1]
 
 
+def test_next_fit_in_blocks(spark):
+    """Scopes of many blocks, entered inside parts: equal sizes never fall back in step by themselves, others tie with the limit."""
+    rng = random.Random(4)
+    draws = {
+        "random": lambda: rng.choice([None, 0.0, rng.random() * 7]),
+        "equal": lambda: 4.0,
+        "tiny": lambda: rng.random() / 10,
+        "large": lambda: rng.choice([0.0, 30.0, 3.0]),
+        None: lambda: rng.choice([0.1, 0.2, 0.7, 2.3]),
+    }
+    rows = [(scope, i, draw()) for scope, draw in draws.items() for i in range(300)] + [("few", i, 3.0) for i in range(5)]
+    want, state = {}, {}
+    for scope, i, size in rows:
+        part, used, begun = state.get(scope, (0, 0.0, False))
+        if begun and used + (size or 0.0) > 10:
+            part, used = part + 1, 0.0
+        want[scope, i] = part
+        state[scope] = part, used + (size or 0.0), True
+    frame = spark.createDataFrame(rows, "c string, pos long, s double").repartition(3)
+    assert {(r.c, r.pos): r.part for r in packing.next_fit(frame, "c", "s", 10, block_rows=16).collect()} == want
+
+
 def test_note_budget(spark):
     rows = df(spark, "s string, path string, content string", ("x", "a", "a" * 500), ("x", "b", " "), ("x", "c", "c" * 900), ("x", "d", "d" * 100), ("x", "e", "e"))
     got = [(r.path, r.taken_bytes) for r in packing.note_budget(rows, "s", 3, 1000, 600).orderBy("path").collect()]
