@@ -22,7 +22,9 @@ END, CAPACITY = 2, 1024
 #: Bytes of texts that are encoded at once.
 ENCODED_BYTES = 4_000_000
 #: Pieces that one task sweeps, in the mean.
-ROWS_A_PART = 20_000
+ROWS_A_PART = 100_000
+#: Lacking sequences that are opened in one round.
+FEW = 8
 PLACED, WAITING, GAP = 0, 1, 2
 _TURNS = 1 << 31
 
@@ -67,7 +69,8 @@ def dealt(waiting: np.ndarray, gaps: np.ndarray, rows: int, all_open: bool) -> l
 
     Sizes fall into ranges from large to small of about ``rows`` pieces, a size with more is split by turn. A range takes the
     smallest gaps that fit it until they hold as much as its pieces do; what is over goes down to the next range. New sequences
-    are opened for the largest pieces alone, as many as the gaps lack room for (``all_open``: for any piece).
+    are opened for the largest pieces alone, as a range's pieces fill and half as many as the gaps lack room
+    for or the pieces need that no gap fits, so that smaller pieces find gaps in the next round (``all_open``: for any piece).
     """
     top = len(waiting) - 1
     ranges, at = [], 0
@@ -81,7 +84,10 @@ def dealt(waiting: np.ndarray, gaps: np.ndarray, rows: int, all_open: bool) -> l
     sizes = np.arange(top + 1)
     left, free = gaps.astype(object), gaps.astype(object)
     new = math.ceil(max(0, int((sizes * waiting).sum()) - int((sizes * gaps).sum())) / top)
-    plan = []
+    widest = int(np.flatnonzero(gaps).max(initial=0))
+    new = max(new, math.ceil(int((sizes * waiting)[widest + 1 :].sum()) / top))  # those fit no gap at all
+    new = new if new <= FEW else -(-new // 2)
+    plan, first = [], True
     for part, own in enumerate(ranges):
         pieces, volume, took = int(waiting[own].sum()), int((sizes[own] * waiting[own]).sum()), 0
         splits = -(-pieces // rows)
@@ -94,7 +100,9 @@ def dealt(waiting: np.ndarray, gaps: np.ndarray, rows: int, all_open: bool) -> l
                 left[size] -= n
             if took >= volume:
                 break
-        quota = pieces if all_open else min(new, math.ceil(max(0, volume - took) / top))
+        lacks = max(0, volume - took)
+        quota = pieces if all_open else min(new, lacks // top // splits * splits or (math.ceil(lacks / top) if first else 0))
+        first = first and not quota
         new -= 0 if all_open else quota
         for size in own:
             plan.append((WAITING, size, 0, _TURNS, part, splits, -(-quota // splits)))
@@ -105,11 +113,11 @@ def dealt(waiting: np.ndarray, gaps: np.ndarray, rows: int, all_open: bool) -> l
     return plan
 
 
-def swept(some: pa.Table, capacity: int, widest: int) -> pa.Table:
+def swept(some: pa.Table, capacity: int) -> pa.Table:
     """One sweep: each waiting piece, the largest first, goes to its successor, the smallest gap that fits, which shrinks by it.
 
     Of pieces that want one gap the larger has it, ties by ``row``. A piece without a gap opens a sequence while the quota
-    lasts, and always if it is larger than ``widest``, the widest gap anywhere; else it waits.
+    lasts; else it waits.
     """
     kind, size, seq, place, row = (some.column(c).to_numpy().copy() for c in ("kind", "size", "seq", "place", "row"))
     quota = some.column("quota")[0].as_py()
@@ -130,7 +138,7 @@ def swept(some: pa.Table, capacity: int, widest: int) -> pa.Table:
             k = fits[room].pop()
             if not fits[room]:
                 has ^= 1 << room
-        elif quota > 0 or need > widest:
+        elif quota > 0:
             quota -= 1
             room, k = capacity, len(rooms)
             rooms.append(own)
@@ -180,7 +188,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows: int = ROWS_A_PAR
             (waiting if r.kind == WAITING else gaps)[r["size"]] = r["count"]
         if not (now := int(waiting.sum())):
             break
-        least, widest = int(np.flatnonzero(waiting)[0]), int(np.flatnonzero(gaps).max(initial=0))
+        least = int(np.flatnonzero(waiting)[0])
         gaps[:least] = 0
         plan = spark.createDataFrame(dealt(waiting, gaps, rows, now == before), "kind int, size int, lo long, hi long, part int, splits int, quota int")
         before = now
@@ -188,7 +196,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, rows: int = ROWS_A_PAR
         live = state.where((F.col("kind") == WAITING) | ((F.col("kind") == GAP) & (F.col("size") >= least))).withColumn("turn", turn)
         met = live.join(F.broadcast(plan), (live.kind == plan.kind) & (live["size"] == plan["size"]) & (F.col("turn") >= F.col("lo")) & (F.col("turn") < F.col("hi")), "left")
         met = met.select(*[live[c] for c in schema.names], "part", F.pmod(F.xxhash64("row", F.lit(round_)), "splits").cast("int").alias("split"), "quota")
-        after = met.where("part is not null").groupBy("part", "split").applyInArrow(lambda some: swept(some, capacity, widest), schema)
+        after = met.where("part is not null").groupBy("part", "split").applyInArrow(lambda some: swept(some, capacity), schema)
         later = materialize(after.unionByName(met.where("part is null").select(schema.names)))
         done.append(later.where(F.col("kind") == PLACED))
         state, round_ = later, round_ + 1

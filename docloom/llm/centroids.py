@@ -192,9 +192,9 @@ def clusters(vectors: DataFrame, centroids: int = CENTROIDS, rounds: int = ROUND
     kept = whole_vectors(vectors)
     turn = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = kept.orderBy(turn.asc_nulls_last(), "v").limit(centroids).select("v").collect()
-    at = np.array([r.v for r in first], np.int64).reshape(len(first), -1)
+    at = np.array([r.v for r in first], np.int64).reshape(len(first), WIDTH)
     trees = materialize(grown(kept))
-    for _ in range(rounds if len(at) else 0):
+    for _ in range(rounds if len(at) else 0):  # without vectors there is nothing to move
         sent = spark.sparkContext.broadcast(at)
 
         def totals(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
