@@ -84,9 +84,29 @@ def _block_anchors(b: np.ndarray, length: int, width: int) -> tuple[np.ndarray,
     return h[at[first]] * _U(0x9E3779B97F4A7C15), first, last
 
 
+def kept_bits(bits: int) -> int:
+    """Bits of a key after those of its bucket: with them and one more for a flag, a key takes 64 bits at most.
+
+    Fewer kept bits make more anchors look alike, which the bytes around them then tell apart.
+    """
+    return min(_KEPT_BITS, 63 - bits)
+
+
 def _prefix(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bucket and the next _KEPT_BITS bits of each key."""
-    return keys >> _U(64 - bits - _KEPT_BITS)
+    """The bucket and the next ``kept_bits`` bits of each key."""
+    return keys >> _U(64 - bits - kept_bits(bits))
+
+
+def bucket_bits(total_bytes: int) -> int:
+    """Bits that number the buckets of a corpus of so many bytes."""
+    return max(0, int(np.ceil(np.log2(max(1, total_bytes * 0.065 / ANCHORS_A_TASK)))))
+
+
+def many_in_batch(total_bytes: int) -> int:
+    """Occurrences in one batch that make an anchor a frequent one: the more batches, the fewer, so that what a bucket gets of
+    one anchor grows with MANY and the number of batches and not with the occurrences in each."""
+    batches = max(1, total_bytes // BATCH_BYTES)
+    return min(MANY_IN_BATCH, max(2, 10 * MANY // batches))
 
 
 def _five(x: np.ndarray) -> bytes:
@@ -106,10 +126,11 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
     follows. An anchor frequent in a batch is known to be shared there: it goes to its bucket once and not for each
     occurrence, so a passage in a third of all documents burdens no bucket.
     """
-    bits = max(0, int(np.ceil(np.log2(max(1, total_bytes * 0.065 / ANCHORS_A_TASK)))))
+    bits, often_in_batch = bucket_bits(total_bytes), many_in_batch(total_bytes)
+    kept = kept_bits(bits)
 
     def collect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = _U((1 << _KEPT_BITS) - 1)
+        low = _U((1 << kept) - 1)
         for pdf in (whole[some] for whole in it for some in in_groups([len(t) for t in whole.text], BATCH_BYTES)):
             found = [_prefix(anchors(np.frombuffer(t, np.uint8), length)[0], bits) for t in pdf.text]
             ids, counts = pdf.doc_id.to_numpy(np.int64), np.fromiter(map(len, found), np.int64, len(found))
@@ -118,7 +139,7 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
                 continue
             owner = np.repeat(np.arange(len(ids)), counts)
             names, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-            many = times >= MANY_IN_BATCH
+            many = times >= often_in_batch
             often = many[which]
             out = {"dest": [], "docs": [], "counts": [], "keys": [], "many": []}
 
@@ -129,11 +150,11 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
             if often.any():  # known already; these go to any task at all
                 for some in np.array_split(np.flatnonzero(often), 1 + often.sum() // 100_000):
                     add(-1 - int(ids[owner[some[0]]] & 0x3FF), ids[owner[some]].tobytes(), b"", keys[some].astype("<u8").tobytes(), b"")
-            bucket = (keys >> _U(_KEPT_BITS)).astype(np.int64)
+            bucket = (keys >> _U(kept)).astype(np.int64)
             rare = np.flatnonzero(~often)
             rare = rare[np.argsort(bucket[rare], kind="stable")]
             told = names[many]
-            told_bucket = (told >> _U(_KEPT_BITS)).astype(np.int64)
+            told_bucket = (told >> _U(kept)).astype(np.int64)
             for k in np.unique(np.concatenate((bucket[rare], told_bucket))).tolist():
                 here = rare[slice(*np.searchsorted(bucket[rare], [k, k + 1]))]
                 n = np.bincount(owner[here], minlength=len(ids)).astype("<u4")
@@ -152,7 +173,7 @@ def shared_anchors(docs: DataFrame, length: int, total_bytes: int) -> tuple[Data
         names, which, times = np.unique(keys, return_inverse=True, return_counts=True)
         told = np.isin(names, np.concatenate([_from_five(x) for x in pdf.many]).astype(np.uint64))
         shared, many = (told | (times > 1))[which], (told | (times > MANY))[which]
-        mark = ((((_U(dest) << _U(_KEPT_BITS)) | keys) << _U(1)) | many.astype(np.uint64))[shared]
+        mark = ((((_U(dest) << _U(kept)) | keys) << _U(1)) | many.astype(np.uint64))[shared]
         return pd.DataFrame({"doc_id": np.repeat(docs, counts)[shared], "mark": mark.view(np.int64)})
 
     sent = docs.mapInPandas(collect, "dest long, docs binary, counts binary, keys binary, many binary")

@@ -98,6 +98,29 @@ def test_suffix_dedup_many_in_batch(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(texts)
 
 
+@pytest.mark.parametrize("bits", [0, 4, 23, 24, 25, 30])
+def test_suffix_dedup_loses_no_key_bit(spark, monkeypatch, bits):
+    """At the bucket bits of corpora up to 4 PB, marks and keys agree and every repeat is found."""
+    keys = np.array([0, 1, (1 << 63) | 5, (1 << 64) - 1, 0xDEADBEEF12345678], np.uint64)
+    prefix = suffix_dedup._prefix(keys, bits)
+    kept = suffix_dedup.kept_bits(bits)
+    bucket, low = prefix >> np.uint64(kept), prefix & np.uint64((1 << kept) - 1)
+    assert int(prefix.max()).bit_length() <= 63 and int(bucket.max()) == (1 << bits) - 1 and int(low.max()).bit_length() <= 40
+    mark = (((bucket << np.uint64(kept)) | low) << np.uint64(1)).view(np.int64)
+    assert (mark.view(np.uint64) >> np.uint64(1) == prefix).all()
+    monkeypatch.setattr(suffix_dedup, "bucket_bits", lambda total: bits)
+    rng = random.Random(7)
+    passage = " ".join(rng.choice(WORDS) for _ in range(25))
+    texts = [f"{rng.random()} {passage[i:]} {rng.random()}" for i in range(12)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows(texts), SCHEMA).repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(texts)
+
+
+def test_suffix_dedup_frequent_anchors_by_number_of_batches():
+    assert suffix_dedup.many_in_batch(10**9) == suffix_dedup.MANY_IN_BATCH and suffix_dedup.many_in_batch(10**14) == 2
+    assert [suffix_dedup.bucket_bits(n) for n in (0, 10**9, 39 * 10**12, 10**14)] == [0, 8, 24, 25]
+
+
 def test_suffix_dedup_repeated_ids(spark):
     twice = rows(["z" * 10 + "ab" * 60, "ab" * 70])
     one = suffix_dedup.without_repeats(spark.createDataFrame(twice, SCHEMA)).collect()
