@@ -137,7 +137,7 @@ def test_next_fit_in_blocks(spark):
         want[scope, i] = part
         state[scope] = part, used + (size or 0.0), True
     frame = spark.createDataFrame(rows, "c string, pos long, s double").repartition(3)
-    assert {(r.c, r.pos): r.part for r in packing.next_fit(frame, "c", "s", 10, block_rows=16).collect()} == want
+    assert {(r.c, r.pos): r.part for r in packing.next_fit(frame, "c", "s", 10, block_rows=50).collect()} == want
 
 
 def test_note_budget(spark):
