@@ -1,12 +1,17 @@
 """Files, stored results, model calls and their replies, made up from the driver's tables and read back."""
 
+import os
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom import inference
 from docloom.functions import text as T
 from docloom.operators import aggregates, filters, models, notes
 from docloom.plans.registry import query
-from docloom.sources import files, shared, sinks
+from docloom.sources import archives, files, immutable, shared, sinks
 
 
 @query("""
@@ -20,6 +25,42 @@ def workbook_round_trip(t):
     return files.workbook_rows(books, ["title", "content", "source"]).select("path", "pos", "title", "content", "source")
 
 
+@query("SELECT source || ':' || doc_id AS id, sha256(text) AS body_sha256, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS put FROM documents")
+def immutable_results(t):
+    """Results put twice: half of the documents, then all of them, of which the first half are no-ops."""
+    d = t("documents")
+    spark, path = d.sparkSession, shared.scratch_path(d.sparkSession)
+    rows = d.select("doc_id", F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("body"))
+    immutable.put_results(rows.where("doc_id % 2 = 0").select("id", "body"), path)
+    immutable.put_results(rows.select("id", "body"), path)
+    first = immutable.stored_results(spark, path, 1).select("address", F.lit(1).alias("put"))
+    every = immutable.stored_results(spark, path).join(first, "address", "left")
+    return every.select("id", F.sha2("body", 256).alias("body_sha256"), F.coalesce("put", F.lit(2)).alias("put"))
+
+
+@query("""
+WITH m AS (SELECT (doc_id // 100) || '.zip' AS archive, CASE WHEN doc_id % 3 = 0 THEN doc_id || '.PNG' ELSE 'x' || doc_id || '.jpg' END AS name, text, doc_id FROM documents WHERE doc_id % 4 <> 1)
+SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY lower(name)) - 1 AS pos, name, strlen(text)::BIGINT AS size, md5(text) AS digest FROM m """)
+def archive_members(t):
+    """Documents as members of ZIP files of a hundred ids each, written by tasks and read back member by member."""
+    d = t("documents").select("doc_id", "text", F.floor(F.col("doc_id") / 100).alias("of"))
+    path = shared.scratch_path(d.sparkSession)
+    folder = archives.mounted(path)
+
+    def written(pdf: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        name = f"{folder}/{pdf.of.iloc[0]}.zip"
+        with zipfile.ZipFile(f"{name}.{uuid.uuid4().hex}", "w", zipfile.ZIP_DEFLATED) as z:
+            for i, text in zip(pdf.doc_id, pdf.text, strict=True):
+                ending = "txt" if i % 4 == 1 else "PNG" if i % 3 == 0 else "jpg"
+                z.writestr(f"{i}.{ending}" if i % 3 == 0 else f"x{i}.{ending}", text)
+        os.replace(z.filename, name)
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    d.groupBy("of").applyInPandas(written, "n long").write.format("noop").mode("overwrite").save()
+    return archives.read_archives(d.sparkSession, path, split_bytes=65_536).select("archive", "pos", "name", "size", F.md5("content").alias("digest"))
+
+
 @query("""
 SELECT 'lines' AS source, CASE WHEN turn % 5 < 4 THEN conv_id END AS conv_id, CASE WHEN turn % 5 < 4 THEN turn END AS turn, turn % 5 = 4 AS malformed FROM conversations
 UNION ALL SELECT 'items', conv_id, turn, false FROM conversations""")

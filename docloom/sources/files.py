@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -38,9 +39,17 @@ def underscored(spark: SparkSession, root: str, depth: int = 6) -> list[str]:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def notes(spark: SparkSession, root: str, scope: str = "", inbox: bool = False) -> DataFrame:
     """(path, content) of the markdown files under ``root``: no dot folders, and with ``inbox`` no processed or pending ones."""
-    folders = [root] if inbox else [root, *underscored(spark, root)]
+    at = f"{root.rstrip('/')}/{scope.strip('/')}" if scope.strip("/") else root
+    if at != root and not exists(spark, at):
+        return spark.createDataFrame([], "path string, content string")
+    folders = [at] if inbox else [at, *underscored(spark, at)]  # a scope's files alone are listed
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,MD,Md}").text(folders, wholetext=True)
     rows = files.select(relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("content"))
     rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
@@ -105,14 +114,20 @@ def archive_images(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "archive string, pos long, name string, content binary")
 
 
-def workbook_rows(files: DataFrame, columns: list[str]) -> DataFrame:
-    """(path, pos, columns): rows of the first sheet of XLSX files (path, content: binary), by normalised header.
+def sheet_rows(z: zipfile.ZipFile, columns: list[str]) -> Iterator[list[str]]:
+    """The rows of a workbook's first sheet by normalised header, blank ones left out, parsed as a stream.
 
-    Headers are compared in lower case without white space around. A column whose header is missing reads the sheet's first
-    column. Blank rows are left out.
+    Only the shared strings are held. A column whose header is missing reads the sheet's first column.
     """
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
+    def elements(name: str, tag: str) -> Iterator[ElementTree.Element]:
+        with z.open(name) as f:
+            for _, e in ElementTree.iterparse(f):
+                if e.tag == ns + tag:
+                    yield e
+                    e.clear()
+
     def index(ref: str) -> int:
         n = 0
         for c in ref:
@@ -121,28 +136,39 @@ def workbook_rows(files: DataFrame, columns: list[str]) -> DataFrame:
             n = n * 26 + ord(c.upper()) - 64
         return n - 1
 
+    names = z.namelist()
+    shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in elements("xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in names else []
+    at = None
+    for row in elements(min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")), "row"):
+        cells: dict[int, str] = {}
+        for k, c in enumerate(row.iter(f"{ns}c")):
+            raw = "".join(t.text or "" for t in c.iter(f"{ns}t")) if c.get("t") == "inlineStr" else (c.findtext(f"{ns}v") or "")
+            cells[index(c.get("r")) if c.get("r") else k] = shared[int(raw)] if c.get("t") == "s" and raw else raw
+        if at is None:
+            header = {v.strip().lower(): k for k, v in cells.items()}
+            at = [header.get(c.lower(), 0) for c in columns]
+            continue
+        values = [cells.get(k, "").strip() for k in at]
+        if any(values):
+            yield values
+
+
+def workbook_rows(files: DataFrame, columns: list[str]) -> DataFrame:
+    """(path, pos, columns): rows of the first sheet of XLSX files (path, content: binary), by normalised header.
+
+    Headers are compared in lower case without white space around. A column whose header is missing reads the sheet's first
+    column. Blank rows are left out.
+    """
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, content in zip(pdf.path, pdf.content, strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = z.namelist()
-                    shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-                    sheet = ElementTree.fromstring(z.read(min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))))
-                table = []
-                for row in sheet.iter(f"{ns}row"):
-                    cells: dict[int, str] = {}
-                    for k, c in enumerate(row.iter(f"{ns}c")):
-                        raw = "".join(t.text or "" for t in c.iter(f"{ns}t")) if c.get("t") == "inlineStr" else (c.findtext(f"{ns}v") or "")
-                        cells[index(c.get("r")) if c.get("r") else k] = shared[int(raw)] if c.get("t") == "s" and raw else raw
-                    table.append(cells)
-                if not table:
-                    continue
-                header = {v.strip().lower(): k for k, v in table[0].items()}
-                at = {c: header.get(c.lower(), 0) for c in columns}
-                rows = [[r.get(at[c], "").strip() for c in columns] for r in table[1:]]
-                rows = [r for r in rows if any(r)]
-                if rows:
-                    yield pd.DataFrame([[path, i, *r] for i, r in enumerate(rows)], columns=["path", "pos", *columns])
+                    rows = sheet_rows(z, columns)
+                    for first in range(0, 1 << 62, 4096):
+                        some = list(islice(rows, 4096))
+                        if not some:
+                            break
+                        yield pd.DataFrame([[path, first + i, *r] for i, r in enumerate(some)], columns=["path", "pos", *columns])
 
     return files.select("path", "content").mapInPandas(read, "path string, pos long, " + ", ".join(f"`{c}` string" for c in columns))
 

@@ -20,7 +20,7 @@ STORED = "address string, id string, body string"
 GROUP_BYTES = 16_000_000
 
 
-def _mounted(path: str) -> str:
+def mounted(path: str) -> str:
     """``path`` as a folder that driver and executors have mounted."""
     if "://" in path and not path.startswith("file://"):
         raise ValueError(f"{path}: results are written to a mounted folder")
@@ -92,17 +92,17 @@ class ImmutableResults(DataSource):
     def writer(self, schema, overwrite: bool) -> SegmentWriter:
         if overwrite:
             raise ValueError("immutable results can't be overwritten")
-        return SegmentWriter(_mounted(self.options["path"]), int(self.options["version"]))
+        return SegmentWriter(mounted(self.options["path"]), int(self.options["version"]))
 
 
 def committed(path: str) -> list[list[str]]:
     """The segments that each commit made visible, in order."""
-    folder = f"{_mounted(path)}/commits"
+    folder = f"{mounted(path)}/commits"
     names = sorted(n for n in os.listdir(folder) if n.endswith(".json")) if os.path.isdir(folder) else []
     out = []
     for n in names:
         with open(f"{folder}/{n}") as f:
-            out.append([f"{_mounted(path)}/segments/{s}" for s in json.load(f)["segments"]])
+            out.append([f"{mounted(path)}/segments/{s}" for s in json.load(f)["segments"]])
     return out
 
 
