@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, materialize, read, text_or_empty
+from docloom.llm.common import WORD, connected_components, materialize, read, text_or_empty
 from docloom.operators.windows import before_each
 
 #: Cost of a word's first, second and third use: convex, so that nothing repeats while unused words are left.
@@ -105,25 +107,28 @@ def shared_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 def flows(patterns: DataFrame, targets: DataFrame, costs: tuple) -> DataFrame:
-    """(pattern, taken): words to take from each pattern, as ``min_cost_flow`` has it.
+    """(pattern, taken): words to take from each pattern, by ``min_cost_flow``.
 
-    A source that only its own documents hold takes its target from them, without a flow. Patterns of several sources and
-    those that share a source with them are solved on the driver: figures of patterns, never of documents.
+    Sources that patterns tie together, directly or through others, form a component, found by Spark; a source that no other
+    shares documents with is one by itself. Each component is a flow of its own, solved by a task from figures of its patterns
+    and never of documents, so neither the driver nor one task holds all patterns unless they all hang together.
     """
-    spark, most = patterns.sparkSession, len(costs)
-    quota = F.round("target").cast("long")
-    several = patterns.where("size(members) > 1")
-    shared = materialize(several.select(F.explode("members").alias("shared")).distinct())
-    alone = patterns.where("size(members) = 1").withColumn("source", F.col("members")[0])
-    tied = F.col("source").eqNullSafe(F.col("shared"))
-    free = alone.join(shared, tied, "left_anti")
-    plain = free.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("pattern", F.least(F.col("words") * most, quota).alias("taken"))
-    rows = several.select("pattern", "members", "words").unionByName(alone.join(shared, tied, "left_semi").select("pattern", "members", "words")).collect()
-    if not rows:
-        return plain
-    quotas = {r.source: r.quota for r in targets.join(shared, tied, "left_semi").select("source", quota.alias("quota")).collect()}
-    solved = min_cost_flow({r.pattern: (r.members, r.words) for r in rows}, quotas, costs)
-    return plain.unionByName(spark.createDataFrame(list(solved.items()), "pattern string, taken long"))
+    key = lambda source: F.concat(F.when(source.isNull(), "n").otherwise("s"), F.coalesce(source, F.lit("")))
+    named = patterns.where("size(members) > 0").withColumn("keys", F.transform("members", key))
+    ties = named.where("size(keys) > 1").select(F.col("keys")[0].alias("a"), F.explode(F.slice("keys", 2, F.size("keys"))).alias("b"))
+    tied = connected_components(ties)
+    own = named.withColumn("node", F.col("keys")[0]).join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = own.groupBy("component").agg(F.collect_list(F.struct("pattern", "members", "words")).alias("patterns"))
+    wanted = targets.select("source", F.round("target").cast("long").alias("quota"), key(F.col("source")).alias("node")).join(tied, "node", "left")
+    right = wanted.groupBy(F.coalesce("component", "node").alias("component")).agg(F.collect_list(F.struct("source", "quota")).alias("quotas"))
+
+    def solved(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = batch.to_pylist()
+            taken = [x for r in rows for x in min_cost_flow({p["pattern"]: (p["members"], p["words"]) for p in r["patterns"]}, {q["source"]: q["quota"] for q in r["quotas"]}, costs).items()]
+            yield pa.RecordBatch.from_pydict({"pattern": pa.array([p for p, _ in taken], pa.string()), "taken": pa.array([n for _, n in taken], pa.int64())})
+
+    return left.join(right, "component").select("patterns", "quotas").mapInArrow(solved, "pattern string, taken long")
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, weigh, cap: int = 3, seed: int = 7, passing: tuple[str, ...] = ()) -> DataFrame:

@@ -225,6 +225,26 @@ def test_min_cost_flow_against_enumeration():
         assert fits(mine, None, quotas) and (sum(mine), -sum(spend(x, w) for x, w in zip(mine, words, strict=True))) == best
 
 
+def test_mixing_takes_what_the_flow_says(docs, monkeypatch):
+    """The query's own path: a flow that takes nothing leaves nothing taken, single-source patterns included."""
+    assert sum(r.taken for r in mixing.mix_documents(docs).collect()) > 0
+    monkeypatch.setattr(mixing, "min_cost_flow", lambda patterns, quotas, costs: dict.fromkeys(patterns, 0))
+    assert sum(r.taken for r in mixing.mix_documents(docs).collect()) == 0
+
+
+def test_flows_by_component(spark):
+    """Sources tied by patterns, null among them, are solved together; many patterns never meet on the driver."""
+    patterns = [("p0", ["a"], 10), ("p1", ["a", "b"], 20), ("p2", ["b", None], 5), ("p3", ["c"], 7), ("p4", [None], 4), ("p5", [], 9)] + [(f"q{i}", [f"x{i}"], 3) for i in range(50)]
+    quotas = {"a": 25, "b": 12, None: 9, "c": 30} | {f"x{i}": i for i in range(50)}
+    got = mixing.flows(
+        spark.createDataFrame(patterns, "pattern string, members array<string>, words long"), spark.createDataFrame([(s, float(q)) for s, q in quotas.items()], "source string, target double"), (0, 1, 3)
+    )
+    want = mixing.min_cost_flow({p: (m, w) for p, m, w in patterns if m}, quotas)
+    got = {r.pattern: r.taken for r in got.collect()}
+    assert got.keys() == want.keys() and sum(got.values()) == sum(want.values())
+    assert {p: n for p, n in got.items() if p[0] == "q" or p == "p3"} == {p: n for p, n in want.items() if p[0] == "q" or p == "p3"}
+
+
 def test_min_cost_flow_overlap():
     patterns = {"a": (["a"], 10), "ab": (["a", "b"], 10), "b": (["b"], 10)}
     got = mixing.min_cost_flow(patterns, {"a": 20, "b": 10})
