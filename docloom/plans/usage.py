@@ -6,7 +6,7 @@ from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.operators import aggregates, packing, windows
 from docloom.plans.registry import query
-from docloom.streaming import limiter, quota
+from docloom.streaming import limiter, quota, stages
 
 
 def _rate(seconds: int):
@@ -154,6 +154,19 @@ def admission_stream(t):
     return out.where("key is not null").select("key", "event_id", "admitted", "reason")
 
 
+@query("""
+WITH e AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4 AS part FROM events),
+p AS (SELECT user_id, part, count(*) FILTER (event_id % 61 = 5 OR event_id % 73 = 7) AS lacks FROM e GROUP BY 1, 2)
+SELECT user_id::VARCHAR AS course, part::BIGINT AS part FROM (SELECT *, sum(lacks) OVER (PARTITION BY user_id ORDER BY part) AS so_far FROM p) WHERE so_far = 0""")
+def course_parts(t):
+    """Users' events as items of courses, four a part: transcribed, then compressed, some of either missing, as two streams."""
+    e = t("events").select(F.col("user_id").cast("string").alias("course"), F.col("event_id").alias("item"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    plan = windows.row_batches(e.select("course", "item"), 4, ["course"], ["item"]).withColumnRenamed("batch", "part")
+    transcripts = e.select("course", "item", "ts", F.when(F.col("item") % 61 == 5, "no audio").alias("error"))
+    done = e.where("item % 73 <> 7").select("course", "item", (F.col("ts") + F.expr("interval 5 minutes")).alias("ts"), F.lit("").alias("error"))
+    return quota.streamed([transcripts, done], lambda a, b: stages.exported_parts(a, b, plan, "1 hour", "1 day"))
+
+
 @query("""
 WITH e AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'context canceled' WHEN 1 THEN 'Post: context deadline exceeded' WHEN 2 THEN 'too many Requests' WHEN 3 THEN 'connection refused' WHEN 4 THEN 'Temporarily unavailable'
   WHEN 5 THEN '' WHEN 6 THEN 'i/o timeout' ELSE 'HTTP ' || (400 + event_id % 120) END AS error FROM events)

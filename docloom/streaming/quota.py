@@ -159,15 +159,16 @@ def windowed_usage(events: DataFrame, length: str = "1 minute", delay: str = "10
     )
 
 
-def streamed(rows: DataFrame, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``flow`` makes of ``rows`` as a stream that ends: written once to the shared folder, run with a checkpoint there, and read back.
+def streamed(rows: DataFrame | list[DataFrame], flow: Callable[..., DataFrame]) -> DataFrame:
+    """What ``flow`` makes of tables as streams that end: written once to the shared folder, run with a checkpoint there, and read back.
 
     State is kept by RocksDB. A flow that waits for the watermark needs a last row late enough to move it.
     """
-    spark = rows.sparkSession
+    every = rows if isinstance(rows, list) else [rows]
+    spark = every[0].sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    source, out = materialize(rows)._docloom_path, scratch_path(spark)
-    made = flow(spark.readStream.schema(rows.schema).parquet(source))
+    out = scratch_path(spark)
+    made = flow(*[spark.readStream.schema(r.schema).parquet(materialize(r)._docloom_path) for r in every])
     q = made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{out}/rows")
