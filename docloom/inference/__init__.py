@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -46,8 +47,26 @@ class HashModel:
         return [len(words & set(d.lower().split())) / max(1, len(words)) for d in documents]
 
 
-def with_fallback(calls: list[tuple[str, Callable]], rows: list) -> tuple[list, list[list[dict]]]:
-    """Results of the first target that answers each batch, or each row where a batch fails; and the attempts made."""
+#: What an error says when a target has had enough: fixed values.
+LIMIT_WORDS = ("429", "rate limit", "quota", "timed out")
+COOLING = "cooling down"
+
+
+def said_by(error: Exception) -> str:
+    said = str(error)
+    return f"timed out: {said}" if isinstance(error, TimeoutError) and "timed out" not in said.lower() else said
+
+
+def is_rate_limit(error: str) -> bool:
+    return any(w in error.lower() for w in LIMIT_WORDS)
+
+
+def with_fallback(calls: list[tuple[str, Callable]], rows: list, cooling: set[str] | None = None) -> tuple[list, list[list[dict]]]:
+    """Results of the first target that answers each batch, or each row where a batch fails; and the attempts made.
+
+    Targets in ``cooling`` are passed over, which an attempt says. With that set given, a target that refuses a call for a
+    rate limit joins it and isn't asked for the other rows.
+    """
     attempts: list[list[dict]] = [[] for _ in rows]
     results: list = [None] * len(rows)
     open_ = list(range(len(rows)))
@@ -57,6 +76,12 @@ def with_fallback(calls: list[tuple[str, Callable]], rows: list) -> tuple[list,
         for group in [[open_], [[i] for i in open_]][: 1 + (len(open_) > 1)]:  # the batch at once, then one by one
             left = []
             for some in group:
+                if cooling and name in cooling:
+                    left += some
+                    for i in some:
+                        if not attempts[i] or attempts[i][-1]["target"] != name:
+                            attempts[i].append({"target": name, "error": COOLING})
+                    continue
                 try:
                     got = call([rows[i] for i in some])
                     for i, r in zip(some, got, strict=True):
@@ -64,22 +89,30 @@ def with_fallback(calls: list[tuple[str, Callable]], rows: list) -> tuple[list,
                         attempts[i].append({"target": name, "error": ""})
                 except Exception as e:  # noqa: BLE001  providers raise what they like; the attempt says what
                     left += some
-                    if len(some) == 1:
-                        attempts[some[0]].append({"target": name, "error": str(e)[:500]})
+                    limited = cooling is not None and is_rate_limit(said_by(e))
+                    if limited:
+                        cooling.add(name)
+                    if len(some) == 1 or limited:
+                        for i in some:
+                            attempts[i].append({"target": name, "error": said_by(e)[:500]})
             open_ = left
             if not open_:
                 break
     return results, attempts
 
 
-def complete(rows: DataFrame, key: str, prompt: str, targets: list[tuple[str, Model]], batch: int = 10) -> DataFrame:
-    """(key, reply, error, attempts): the reply of the first target that answers; error is that of the last one if none does."""
+def complete(rows: DataFrame, key: str, prompt: str, targets: list[tuple[str, Model]], batch: int = 10, cooling: set[str] | None = None) -> DataFrame:
+    """(key, reply, error, attempts): the reply of the first target that answers; error is that of the last one if none does.
+
+    With ``cooling`` (names of targets to pass over), a target that meets a rate limit is passed over by the task from then on.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passed = None if cooling is None else set(cooling)
         for pdf in it:
             for at in range(0, len(pdf), batch):
                 some = pdf[at : at + batch]
-                replies, attempts = with_fallback([(n, m.complete) for n, m in targets], some[prompt].tolist())
+                replies, attempts = with_fallback([(n, m.complete) for n, m in targets], some[prompt].tolist(), passed)
                 errors = ["" if r is not None else (a[-1]["error"] if a else "no target") for r, a in zip(replies, attempts, strict=True)]
                 yield pd.DataFrame({key: some[key].to_numpy(), "reply": replies, "error": errors, "attempts": attempts})
 
@@ -87,6 +120,53 @@ def complete(rows: DataFrame, key: str, prompt: str, targets: list[tuple[str, Mo
     return rows.select(key, prompt).mapInPandas(run, f"{key} {kind}, reply string, error string, attempts array<struct<target: string, error: string>>")
 
 
+def newly_limited(replies: DataFrame) -> DataFrame:
+    """(target): the targets that refused a call of these replies for a rate limit; a row for each target at most."""
+    a = replies.select(F.explode("attempts").alias("a")).select("a.target", F.lower("a.error").alias("said"))
+    hit = F.lit(False)
+    for w in LIMIT_WORDS:
+        hit = hit | F.col("said").contains(w)
+    return a.where(hit).select("target").distinct()
+
+
+class CoolingCompletions:
+    """``complete`` over the micro-batches of a stream, with cooldowns that batches hand on.
+
+    For ``foreachBatch``. What a batch met (a row for each limited target, with the time until which it is passed over) is
+    written under ``path`` before the next begins, as are replies and the rows that found every target cooling, which the
+    next batch asks again. A batch that runs anew after a restart reads what the one before left and overwrites its own.
+    """
+
+    def __init__(self, path: str, key: str, prompt: str, targets: list[tuple[str, Model]], cooldown_s: int = 14_400, batch: int = 10, clock: Callable[[], float] = time.time):
+        self.path, self.key, self.prompt, self.targets, self.cooldown_s, self.batch, self.clock = path.rstrip("/"), key, prompt, targets, cooldown_s, batch, clock
+
+    def _read(self, spark: SparkSession, what: str, schema: str, number: int) -> DataFrame:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}/{number}")
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.schema(schema).parquet(at.toString()) if there else spark.createDataFrame([], schema)
+
+    def __call__(self, rows: DataFrame, number: int) -> None:
+        spark, now = rows.sparkSession, self.clock()
+        kind = dict(rows.dtypes)[self.key]
+        held = self._read(spark, "cooling", "target string, until double", number - 1).where(F.col("until") > now)
+        asked = rows.select(self.key, self.prompt).unionByName(self._read(spark, "deferred", f"`{self.key}` {kind}, `{self.prompt}` string", number - 1))
+        cooling = {r.target: r.until for r in held.collect()}  # targets are few: they are given with the call
+        got = complete(asked, self.key, self.prompt, self.targets, self.batch, set(cooling)).withColumn("asked_at", F.lit(now))
+        written = f"{self.path}/all/{number}"
+        got.write.mode("overwrite").parquet(written)
+        got = spark.read.parquet(written)
+        met = {r.target for r in newly_limited(got).collect()}
+        until = cooling | dict.fromkeys(met, now + self.cooldown_s)
+        later = got.where((F.col("error") != "") & F.forall("attempts", lambda a: a["error"] == COOLING))
+        asked.join(later.select(self.key).distinct(), self.key, "left_semi").write.mode("overwrite").parquet(f"{self.path}/deferred/{number}")
+        spark.createDataFrame(list(until.items()), "target string, until double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cooling/{number}")
+
+    def replies(self, spark: SparkSession) -> DataFrame:
+        """(key, reply, error, attempts, asked_at, number) of all batches, without rows that were asked again later."""
+        every = spark.read.parquet(f"{self.path}/all/*").withColumn("number", F.regexp_extract("_metadata.file_path", "/all/([0-9]+)/", 1).cast("long"))
+        return every.where(~((F.col("error") != "") & F.forall("attempts", lambda a: a["error"] == COOLING)))
+
+
 def ocr_text(rows: DataFrame) -> DataFrame:
     """Replies as page text; a failed page says so and why."""
     failed = F.concat(F.lit("> OCR failed for this page: "), F.col("error"))

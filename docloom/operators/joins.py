@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,32 +75,34 @@ def exact_twins(sources: DataFrame, notes: DataFrame) -> DataFrame:
     return both.select("path", F.coalesce(other("n1", "n2"), other("a1", "a2")).alias("twin")).where("twin is not null").distinct()
 
 
-def match_rank(copy_path: Column, copy_name: Column, path: Column, name: Column, status: Column | None) -> Column:
-    """How well a review fits a copy: 8 for the path, 4 for the name, 2 if ready; 0 if both paths are set and differ."""
-    a, b = F.lower(T.trim_ws(T.or_blank(copy_path))), F.lower(T.trim_ws(T.or_blank(path)))
-    x, y = F.lower(T.first_text(copy_name, T.base_name(copy_path))), F.lower(T.first_text(name, T.base_name(path)))
-    rank = F.when((a != "") & (a == b), 8).otherwise(0) + F.when((x != "") & (x == y), 4).otherwise(0)
-    if status is not None:
-        rank = rank + F.when(F.lower(status) == "ready", 2).otherwise(0)
-    return F.when((a != "") & (b != "") & (a != b), 0).otherwise(rank)
-
-
 def best_match(copies: DataFrame, reviews: DataFrame, with_status: bool = True) -> DataFrame:
     """(copy_id, review_id, rank): the review of highest rank for each copy, the latest on a tie, then the smallest id.
 
-    ``copies``: copy_id, source_path, pdf_name; ``reviews``: review_id, source_path, pdf_name, status, updated_at. A rank
-    above 2 needs an equal path or name, so candidates meet by equality on each and not all with all.
+    ``copies``: copy_id, source_path, pdf_name; ``reviews``: review_id, source_path, pdf_name, status, updated_at. Ranks: 8 for
+    the path, 4 for the name, 2 if ready (``with_status``), none if both paths are set and differ; of these only an equal path
+    or name makes a candidate. Reviews are reduced to the best of each path, name and both before copies join them, so a name
+    or path in a third of the rows makes no pairs. Reviews that only their search text names: ``search.best_found``.
     """
-    left = copies.select("copy_id", F.col("source_path").alias("c_path"), F.col("pdf_name").alias("c_name"))
     low = lambda c: F.lower(T.trim_ws(T.or_blank(F.col(c))))
-    names = lambda name, path: F.lower(T.first_text(F.col(name), T.base_name(F.col(path))))
-    by_path = left.withColumn("key", low("c_path")).where("key <> ''").join(reviews.withColumn("key", low("source_path")), "key")
-    by_name = left.withColumn("key", names("c_name", "c_path")).where("key <> ''").join(reviews.withColumn("key", names("pdf_name", "source_path")), "key")
-    both = by_path.unionByName(by_name).drop("key").distinct()
-    rank = match_rank(F.col("c_path"), F.col("c_name"), F.col("source_path"), F.col("pdf_name"), F.col("status") if with_status else None)
-    ranked = both.withColumn("rank", rank.cast("long")).where("rank > 0")
-    best = ranked.groupBy("copy_id").agg(F.max_by(F.struct("review_id", "rank"), F.struct("rank", "updated_at", (-F.col("review_id")).alias("low"))).alias("b"))
-    return best.select("copy_id", "b.review_id", "b.rank")
+    name = F.lower(T.first_text(F.col("pdf_name"), T.base_name(F.col("source_path"))))
+    left = copies.select("copy_id", low("source_path").alias("path"), name.alias("name"))
+    ready = F.when(F.lower("status") == "ready", 2).otherwise(0) if with_status else F.lit(0)
+    right = reviews.select("review_id", low("source_path").alias("path"), name.alias("name"), ready.alias("ready"), "updated_at")
+
+    def ranked(some: DataFrame, keys: list[str], base: int, wanted: DataFrame) -> DataFrame:
+        turn = F.struct((F.col("ready") + base).cast("long").alias("rank"), "updated_at", (-F.col("review_id")).alias("low"))
+        return wanted.join(some.groupBy(*keys).agg(F.max(turn).alias("b")), keys).select("copy_id", "b")
+
+    pathless, placed = F.col("path") == "", F.col("path") != ""
+    named = F.col("name") != ""
+    every = [
+        ranked(right.where(placed & named), ["path", "name"], 12, left.where(placed & named)),
+        ranked(right.where(placed), ["path"], 8, left.where(placed)),
+        ranked(right.where(named & pathless), ["name"], 4, left.where(named & placed)),
+        ranked(right.where(named), ["name"], 4, left.where(named & pathless)),
+    ]
+    best = reduce(DataFrame.unionByName, every).groupBy("copy_id").agg(F.max("b").alias("b"))
+    return best.select("copy_id", (-F.col("b.low")).alias("review_id"), "b.rank")
 
 
 def touching(questions: DataFrame, pages: DataFrame, keep_unplaced: bool = True) -> DataFrame:

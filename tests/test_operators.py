@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from docloom.inference import HashModel, complete, embed, ocr_text, refresh_index, rerank_scores, stream_text
+from docloom.inference import COOLING, CoolingCompletions, HashModel, complete, embed, ocr_text, refresh_index, rerank_scores, stream_text
 from docloom.operators import aggregates as A
 from docloom.operators import curation as C
 from docloom.operators import dedup as D
@@ -358,6 +358,37 @@ def test_inference(spark):
     assert both == {1: ["first"], 2: ["first", "second"]}
 
 
+class Limited(HashModel):
+    """Refuses everything but prompts of a later hour."""
+
+    def complete(self, prompts):
+        if not all("later" in p for p in prompts):
+            raise RuntimeError("HTTP 429: rate limit")
+        return super().complete(prompts)
+
+
+def test_limited_targets_cool_down(spark, tmp_path):
+    """A limited target is asked once a task, passed over by the next batches until its time, and asked again after it."""
+    rows = df(spark, "id long, prompt string", *[(i, f"p{i}") for i in range(30)])
+    got = complete(rows.coalesce(1), "id", "prompt", [("first", Limited()), ("second", HashModel())], batch=10, cooling=set()).collect()
+    firsts = [r.attempts[0].error for r in sorted(got, key=lambda r: r.id)]
+    assert firsts == ["HTTP 429: rate limit"] * 10 + [COOLING] * 20 and all(r.attempts[1].target == "second" and r.reply for r in got)
+
+    clock = {"now": 1000.0}
+    flow = CoolingCompletions(str(tmp_path / "out"), "id", "prompt", [("first", Limited())], cooldown_s=60, clock=lambda: clock["now"])
+    batch = lambda *ids: df(spark, "id long, prompt string", *[(i, f"later {i}" if i > 1 else "now") for i in ids])
+    told = lambda: {r.id: (r.error, [a.error for a in r.attempts], r.asked_at) for r in flow.replies(spark).collect()}
+    flow(batch(1), 0)
+    assert told() == {1: ("HTTP 429: rate limit", ["HTTP 429: rate limit"], 1000.0)}
+    clock["now"] = 1030.0
+    flow(batch(2), 1)
+    assert 2 not in told()  # its only target cools down: it is deferred
+    flow(batch(2), 1)  # the same batch again, as after a restart
+    clock["now"] = 1061.0
+    flow(batch(3), 2)
+    assert told() == {1: ("HTTP 429: rate limit", ["HTTP 429: rate limit"], 1000.0), 2: ("", [""], 1061.0), 3: ("", [""], 1061.0)}
+
+
 def test_incremental_index(spark):
     model = HashModel(4)
     notes_ = df(spark, "path string, content string", ("a", "x"), ("b", "y"))
