@@ -110,6 +110,14 @@ def percentile_rates(t):
     return some.join(stable.select("user_id", "stable"), "user_id")
 
 
+@query("""
+SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
+def type_percentiles(t):
+    """Percentiles of a few types that hold all events, by ranks over running counts."""
+    out = aggregates.exact_percentiles(t("events"), ["event_type"], "value", {"p05": 0.05, "median": 0.5, "p95": 0.95})
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p05", "median", "p95")])
+
+
 @query("""
 SELECT event_id, CASE WHEN value >= 30 AND value / 50 >= 0.05 AND value / 50 < 1 THEN CAST(round(value / (value / 50) * (1 - value / 50)) AS BIGINT) END AS eta,
   greatest(0, least(1, value / 50 - 0.2))::DOUBLE AS clamped, round(value * 100) / 100 AS rounded FROM events""")

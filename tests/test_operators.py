@@ -367,6 +367,19 @@ class Limited(HashModel):
         return super().complete(prompts)
 
 
+def test_exact_percentiles(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, float(rng.randint(0, 9)), rng.random()])) for k in "aaaaab" for _ in range(40)] + [(None, 3.0), ("one", 5.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    shares = {"p0": 0.0, "p30": 0.3, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    want = frame.groupBy("k").agg(*[F.percentile("v", q).alias(n) for n, q in shares.items()])
+    key = lambda r: str(r[0])
+    got = A.exact_percentiles(frame, ["k"], "v", shares).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert tuple(A.exact_percentiles(frame, [], "v", shares).first()) == tuple(frame.agg(*[F.percentile("v", q) for q in shares.values()]).first())
+    assert A.exact_percentiles(frame.limit(0), [], "v", shares).first().p50 is None
+
+
 def test_limited_targets_cool_down(spark, tmp_path):
     """A limited target is asked once a task, passed over by the next batches until its time, and asked again after it."""
     rows = df(spark, "id long, prompt string", *[(i, f"p{i}") for i in range(30)])
