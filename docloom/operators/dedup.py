@@ -64,14 +64,16 @@ def leader_clusters(items: DataFrame, threshold: float = 0.35, block: str = "blo
     """(block, id, leader, score): greedy clusters in the order of ``pos`` (then id) inside each block.
 
     Each item not yet taken leads a cluster and takes every later free item whose Jaccard score with it reaches the
-    threshold. A cluster's score starts at 1 and is so always 1. ``items``: block, pos, id, tokens. All similar pairs of a
-    block are found first; then each round makes leaders of the open items without an open earlier neighbour and takes
+    threshold. A cluster's score starts at 1 and is so always 1. ``items``: block, pos, id, tokens. Items of equal tokens share
+    the leader of the first of them, so each set of tokens takes part once. All similar pairs of a block are found first; then each round makes leaders of the open items without an open earlier neighbour and takes
     their neighbours, until none is open. No task holds a block.
     """
     node = F.struct(F.col(block).alias("block"), "pos", F.col("id").alias("item"))
     named = F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.concat(F.to_json(F.struct(F.col(block))), x))
-    rows = items.select(node.alias("id"), F.array_distinct(named).alias("tokens"))
-    edges = materialize(similar_pairs(rows, rows, threshold, ordered=True).select("left_id", "right_id"))
+    rows = items.select(node.alias("id"), F.array_sort(F.array_distinct(named)).alias("tokens"))
+    rows = materialize(rows.select("id", "tokens", F.when(F.size("tokens") > 0, F.sha2(F.to_json("tokens"), 256)).alias("key")))
+    sets = materialize(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens")))
+    edges = materialize(similar_pairs(sets, sets, threshold, ordered=True).select("left_id", "right_id"))
     open_, live, leaders = materialize(edges.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct()), edges, None
     while not open_.isEmpty():
         first = materialize(open_.join(live.select(F.col("right_id").alias("id")).distinct(), "id", "left_anti"))
@@ -83,7 +85,8 @@ def leader_clusters(items: DataFrame, threshold: float = 0.35, block: str = "blo
         live = materialize(live)
     taken = edges if leaders is None else edges.join(leaders.withColumnRenamed("id", "left_id"), "left_id", "left_semi")
     taken = taken.groupBy(F.col("right_id").alias("id")).agg(F.min("left_id").alias("leader"))
-    return rows.join(taken, "id", "left").select("id.block", F.col("id.item").alias("id"), F.coalesce("leader.item", "id.item").alias("leader"), F.lit(1.0).alias("score"))
+    led = sets.select("key", F.col("id").alias("first")).join(taken.withColumnRenamed("id", "first"), "first", "left").select("key", F.coalesce("leader", "first").alias("leader"))
+    return rows.join(led, "key", "left").select("id.block", F.col("id.item").alias("id"), F.coalesce("leader.item", "id.item").alias("leader"), F.lit(1.0).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

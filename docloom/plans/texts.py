@@ -247,7 +247,15 @@ def search_paged(t):
     return few.select("doc_id", (F.col("rank") + 10).alias("rank"))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS a FROM documents),
+w AS MATERIALIZED (SELECT doc_id, unnest(a) AS token, len(a) AS n FROM l),
+p AS (SELECT x.doc_id AS one, y.doc_id AS two FROM w x JOIN w y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY 1, 2, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.35),
+o AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, coalesce(b.before, []) AS before FROM l LEFT JOIN (SELECT two, list(one) AS before FROM p GROUP BY two) b ON b.two = doc_id),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS leaders
+  UNION ALL SELECT o.k, CASE WHEN list_has_any(r.leaders, o.before) THEN r.leaders ELSE list_append(r.leaders, o.doc_id) END FROM r JOIN o ON o.k = r.k + 1),
+e AS (SELECT leaders FROM r ORDER BY k DESC LIMIT 1)
+SELECT '' AS block, doc_id AS id, coalesce(list_min(list_intersect(before, leaders)), doc_id) AS leader, 1.0::DOUBLE AS score FROM o, e""")
 def leader_clusters(t):
     """Greedy clusters of all documents."""
     d = t("documents").select(F.lit("").alias("block"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), T.token_set(F.col("text")).alias("tokens"))
