@@ -26,4 +26,6 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_runs(spark, name):
     got = registry.QUERIES[name](spark, SMALL)
+    if name == "op12_best_fit":  # a row for each piece
+        got = got.where("piece = 0")
     assert got.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
