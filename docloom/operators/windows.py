@@ -76,11 +76,14 @@ def offset_segments(blocks: DataFrame, items: DataFrame) -> DataFrame:
     """One numbered sequence of the blocks of many files. ``items``: item, file, duration_ms (null: unknown).
 
     A file lasts for the longer of its duration and its last block; each block moves by the lasts of the files before.
-    Files and blocks are summed part by part, in no single window.
+    Items without ``item`` are numbered from 1 in order of file. The blocks are computed once; files and blocks are summed
+    part by part, in no single window.
     """
+    blocks, order = materialize(blocks.select("file", "start_ms", "end_ms", "text")), "item" if "item" in items.columns else "file"
     ends = blocks.groupBy("file").agg(F.max("end_ms").alias("last_ms"), F.count("*").alias("n"))
-    lasts = items.join(ends, "file", "left").select("item", "file", F.greatest(F.coalesce("duration_ms", F.lit(0)), F.coalesce("last_ms", F.lit(0))).alias("lasts"), F.coalesce("n", F.lit(0)).alias("n"))
-    plan = before_each(lasts, [], ["item"], offset_ms=F.col("lasts"), before=F.col("n")).select("item", "file", "offset_ms", "before")
+    lasts = items.join(ends, "file", "left").select(*items.columns, F.greatest(F.coalesce("duration_ms", F.lit(0)), F.coalesce("last_ms", F.lit(0))).alias("lasts"), F.coalesce("n", F.lit(0)).alias("n"))
+    plan = before_each(lasts, [], [order], offset_ms=F.col("lasts"), before=F.col("n"), index=F.lit(1).cast("long"))
+    plan = plan.select((F.col("item") if order == "item" else F.col("index") + 1).alias("item"), "file", "offset_ms", "before")
     own = before_each(blocks, ["file"], ["start_ms", "end_ms", "text"], own=F.lit(1).cast("long"))
     return own.join(plan, "file").select(
         "item", (F.col("before") + F.col("own") + 1).alias("number"), (F.col("start_ms") + F.col("offset_ms")).alias("start_ms"), (F.col("end_ms") + F.col("offset_ms")).alias("end_ms"), "text"

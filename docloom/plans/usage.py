@@ -69,8 +69,7 @@ SELECT p.item, (bef + row_number() OVER (PARTITION BY f.file ORDER BY start_ms,
 def interval_offset(t):
     """The repaired blocks of all users as one recording."""
     blocks = windows.repair_intervals(_blocks(t))
-    files = windows.before_each(blocks.select("file").distinct(), [], ["file"], item=F.lit(1).cast("long"))
-    items = files.select("file", (F.col("item") + 1).alias("item"), F.lit(None).cast("long").alias("duration_ms"))
+    items = _blocks(t).select("file", F.lit(None).cast("long").alias("duration_ms")).distinct()
     return windows.offset_segments(blocks, items)
 
 
