@@ -165,8 +165,6 @@ def in_chunks(docs: DataFrame, sent) -> DataFrame:
                 used = np.flatnonzero(counts[k : k + 50_000]) + k
                 yield rows(len(used), kind=np.full(len(used), SEGMENT), code=often[used], segment=[words[i] for i in used.tolist()], n=counts[used])
             chunk += 1
-            del words, codes, own, counts, often, batch
-            pa.default_memory_pool().release_unused()
 
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text") != "", F.concat(F.lit(" "), "text")).otherwise("").alias("text"))
     return one.mapInArrow(batches, "chunk long, kind int, doc_id long, codes binary, code int, segment string, n long")
@@ -210,7 +208,6 @@ def aligned(held: DataFrame, sent) -> DataFrame:
             if rows >= GATHERED:
                 yield found()
                 gathered, rows = [], 0
-                pa.default_memory_pool().release_unused()
                 if sum(map(len, pairs)) > HELD_PAIRS:
                     out = counted()
                     if len(pairs[0]) > HELD_PAIRS // 2:
