@@ -198,11 +198,14 @@ def merged_lists(first: DataFrame, second: DataFrame, key: str = "source") -> Da
 
 
 def reviews_to_reuse(copies: DataFrame, reviews: DataFrame, mode: str) -> DataFrame:
-    """(copy_id, review_id): the preferred review, else the latest of equal path or name, that is of the mode."""
+    """(copy_id, review_id): the preferred review, else the latest of equal path or name, that is of the mode.
+
+    Reviews are reduced to the latest of each path and of each name before copies join them, so a path or name that very many
+    rows share makes no pairs.
+    """
     fine = reviews.where((F.col("mode") == mode) & F.col("decodes"))
-    by_id = copies.join(fine, copies.preferred_id == fine.review_id).select("copy_id", "review_id", "updated_at", F.lit(0).alias("turn"))
-    some = fine.select("review_id", "updated_at", F.col("source_path").alias("path"), F.col("pdf_name").alias("name"))
-    by_path = copies.where("source_path <> ''").join(some, F.col("source_path") == F.col("path")).select("copy_id", "review_id", "updated_at", F.lit(1).alias("turn"))
-    by_name = copies.where("pdf_name <> ''").join(some, F.col("pdf_name") == F.col("name")).select("copy_id", "review_id", "updated_at", F.lit(1).alias("turn"))
-    every = by_id.unionByName(by_path).unionByName(by_name)
-    return every.groupBy("copy_id").agg(F.max_by("review_id", F.struct((-F.col("turn")).alias("t"), F.col("updated_at"), (-F.col("review_id")).alias("r"))).alias("review_id"))
+    turn = lambda nth: F.struct(F.lit(nth).alias("t"), "updated_at", (-F.col("review_id")).alias("r"), "review_id")
+    best = lambda key, nth: fine.where(F.col(key) != "").groupBy(F.col(key).alias("_key")).agg(F.max(turn(nth)).alias("b"))
+    wanted = [("preferred_id", fine.groupBy(F.col("review_id").alias("_key")).agg(F.max(turn(0)).alias("b"))), ("source_path", best("source_path", -1)), ("pdf_name", best("pdf_name", -1))]
+    every = [copies.select("copy_id", F.col(c).alias("_key")).join(some, "_key").select("copy_id", "b") for c, some in wanted]
+    return reduce(DataFrame.unionByName, every).groupBy("copy_id").agg(F.max("b").alias("b")).select("copy_id", "b.review_id")

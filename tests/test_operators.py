@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -248,6 +249,16 @@ def test_best_match(spark):
     assert got == {1: (10, 12), 2: (13, 6)}
 
 
+def test_reused_reviews_of_one_path_make_no_pairs(spark):
+    n = 60_000  # 7.2 billion pairs by path and name
+    copies = spark.range(n).select(F.col("id").alias("copy_id"), F.when(F.col("id") == 3, 7).alias("preferred_id"), F.lit("p").alias("source_path"), F.lit("n").alias("pdf_name"))
+    reviews = spark.range(n).select(F.col("id").alias("review_id"), F.lit("p").alias("source_path"), F.lit("n").alias("pdf_name"), F.lit("full").alias("mode"), F.lit(True).alias("decodes"), (F.col("id") % 10).alias("updated_at"))
+    began = time.monotonic()
+    got = joins.reviews_to_reuse(copies, reviews, "full").groupBy("review_id").count().collect()
+    assert {tuple(r) for r in got} == {(9, n - 1), (7, 1)}
+    assert time.monotonic() - began < 40
+
+
 def test_joins(spark):
     q = df(spark, "id string, label string, title string, source_pages array<long>, status string", ("a", "Q. 1", "old", [1, 2], "x"), ("b", "z", "keep", [3], "y"), ("c", "", "none", [], "x"))
     prompts = df(spark, "label string, title string, pos long", ("Question 1", "first", 0), ("1", "second", 1), ("x", "never", 2))
