@@ -1,42 +1,114 @@
-"""Literal containment joins by an inverted index of character n-grams, and the matches of records that need them."""
+"""Literal containment joins by an inverted index of byte n-grams, and the matches of records that need them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources.shared import materialize
+
+#: Bytes of a gram. A needle of fewer is a gram itself.
+GRAM = 8
+#: Bits of the filter of the needles' grams, as a power of 2 (8 MB), and how many one row of Spark's bitmaps holds.
+FILTER_BITS, ROW_BITS = 26, 32_768
+#: Bytes of texts that are cut into grams at once.
+CUT_BYTES = 2_000_000
 
-#: Characters of a gram. A needle of fewer is a gram itself.
-GRAM = 3
 
+def grams(texts: pa.Array, widths: list[int], passes=None) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a text, gram): the distinct runs of as many bytes as ``widths`` say of each text, as numbers; only those that ``passes`` lets through.
 
-def grams(text: Column, n: int) -> Column:
-    """The distinct runs of ``n`` characters of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    cut = F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
-    return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+    A number holds up to eight bytes, fewer with their width. Bytes are cut CUT_BYTES at a time, wherever texts end.
+    """
+    data = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64))
+    every = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+    owners, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for low in range(0, len(every), CUT_BYTES):
+        code = np.zeros(min(CUT_BYTES, len(every) - low), np.uint64)
+        for k in range(max(widths)):
+            more = every[low + k : low + k + len(code)].astype(np.uint64)
+            code = code[: len(more)] | more << np.uint64(8 * k)
+            if k + 1 in widths:
+                own = code | np.uint64((k + 1) << 56) if k < 7 else code
+                at = np.arange(len(own)) if passes is None else np.flatnonzero(passes(own))
+                owner = np.searchsorted(ends, at + low, side="right")
+                whole = at + low + k < ends[owner]
+                owners.append(owner[whole])
+                codes.append(own[at[whole]])
+    owner, code = np.concatenate(owners), np.concatenate(codes)
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    first = np.ones(len(code), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+    return owner[first], code[first]
+
+
+def bit_of(code: np.ndarray) -> np.ndarray:
+    """The bit of the filter that stands for a gram."""
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+
+def postings_of(texts: DataFrame, key: str, text: str, widths: list[int], sent=None) -> DataFrame:
+    """(key, gram, bit): each text's distinct grams; with ``sent``, a filter's bits, those that it lets through."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if sent is None else np.frombuffer(sent.value, np.uint8)
+
+        def passes(code: np.ndarray) -> np.ndarray:
+            bit = bit_of(code)
+            return bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+
+        for batch in it:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(sizes) // CUT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                some = batch.slice(low, high - low)
+                owner, code = grams(some.column(1), widths, None if bits is None else passes)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), pa.array(code.view(np.int64)), pa.array(bit_of(code).astype(np.int64))], ["key", "gram", "bit"])
+
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = rows.mapInArrow(batches, rows.select("key").limit(0).withColumns({"gram": F.lit(0).cast("long"), "bit": F.lit(0).cast("long")}).schema)
+    return found.withColumnRenamed("key", key)
 
 
 def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, text_id): each distinct ``needles(needle)`` with every one of ``texts(text_id, text)`` that contains it, literally.
 
     Postings of the grams that needles hold are counted, and a needle meets only the texts of its rarest gram, among which
-    it is then looked for. A needle with a gram that no text has meets none. Case is the caller's; null or empty needles and
-    null texts match nothing; rows that repeat a text_id count once.
+    it is then looked for. A needle with a gram that no text has meets none. Texts are cut into grams in tasks, and a filter of
+    fixed size, which may let others through, spares most of those that no needle holds. Case is the caller's; null or
+    empty needles and null texts match nothing; rows that repeat a text_id count once, with what any of them contains.
     """
     wanted = needles.select("needle").where("needle <> ''").distinct()
-    fits = F.least(F.length("needle"), F.lit(GRAM))
-    sizes = [r.n for r in wanted.select(fits.alias("n")).distinct().collect()]  # three at most
+    fits = F.least(F.octet_length("needle"), F.lit(GRAM))
+    sizes = sorted(r.n for r in wanted.select(fits.alias("n")).distinct().collect())  # eight at most
     if not sizes:
         return texts.where("false").select(F.lit("").alias("needle"), "text_id")
-    own = wanted.select("needle", F.explode(F.coalesce(*[F.when(fits == n, grams(F.col("needle"), n)) for n in sizes])).alias("gram"))
-    cut = F.flatten(F.array(*[grams(F.col("text"), n) for n in sizes]))
-    postings = texts.where("text is not null").select("text_id", F.explode(cut).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    cut = [postings_of(wanted.where(fits == n), "needle", "needle", [n]) for n in sizes]
+    own = cut[0]
+    for some in cut[1:]:
+        own = own.unionByName(some)
+    own = materialize(own)
+    place = F.col("bit") + 1
+    rows = own.groupBy(F.bitmap_bucket_number(place).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # 2048 at most
+    bits = np.zeros(((1 << FILTER_BITS) // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for r in rows:
+        bits[r.row - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+    texts = texts.where("text is not null").select("text_id", "text")
+    postings = materialize(postings_of(texts, "text_id", "text", sizes, sent).select("text_id", "gram"))
     counts = postings.groupBy("gram").count()
     rare = own.join(counts, "gram", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rare = rare.groupBy("needle").agg(F.min(F.struct("count", "gram")).alias("r")).where("r.count > 0").select("needle", F.col("r.gram").alias("gram"))
-    met = rare.join(postings, "gram").select("needle", "text_id")
+    met = rare.join(postings, "gram").select("needle", "text_id").distinct()
     return met.join(texts, "text_id").where(F.contains("text", "needle")).select("needle", "text_id").distinct()
 
 
@@ -44,16 +116,14 @@ def search_each(queries: DataFrame, rows: DataFrame, key: str, columns: list[str
     """(query_id, key): the rows that each of ``queries(query_id, query, status)`` finds.
 
     As in ``filters.search``, a row is found if one of its columns contains the trimmed query in lower case; with ``status``,
-    a query's status, where set, must equal the row's. Queries of equal text are looked up once, and equal columns are one
-    text. A blank query, which there finds every row, finds none here: it asks for the table itself.
+    a query's status, where set, must equal the row's. Queries of equal text are looked up once, and equal columns of a row are
+    one text. A blank query, which there finds every row, finds none here: it asks for the table itself.
     """
     needle = F.lower(T.trim_ws(T.or_blank(F.col("query"))))
     asked = queries.select("query_id", needle.alias("needle"), (F.col("status") if status else F.lit("")).alias("asked_status"))
-    own = rows.select(key, (F.col("status") if status else F.lit("")).alias("_status"), *[F.lower(T.or_blank(F.col(c))).alias(f"_{i}") for i, c in enumerate(columns)])
-    texts = own.select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("text")).where("text <> ''").distinct().withColumn("text_id", F.col("text"))
-    hits = containing(asked, texts)
-    where = own.select(key, "_status", F.explode(F.array_distinct(F.array(*[f"_{i}" for i in range(len(columns))]))).alias("text_id"))
-    found = hits.join(where, "text_id").select("needle", key, "_status").distinct()
+    own = rows.select(F.struct(F.col(key).alias("key"), (F.col("status") if status else F.lit("")).alias("status")).alias("text_id"), *[F.lower(T.or_blank(F.col(c))).alias(f"_{i}") for i, c in enumerate(columns)])
+    texts = own.select("text_id", F.explode(F.array_distinct(F.array(*[f"_{i}" for i in range(len(columns))]))).alias("text")).where("text <> ''")
+    found = containing(asked, texts).select("needle", F.col("text_id.key").alias(key), F.col("text_id.status").alias("_status"))
     some = asked.join(found, "needle")
     return some.where("asked_status is null or asked_status = '' or asked_status = _status").select("query_id", key)
 

@@ -1,8 +1,10 @@
 """Containment joins and the matches found by them, against brute force."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 
 from docloom.operators import search
@@ -20,6 +22,26 @@ def test_containing(spark):
     assert search.containing(none, spark.createDataFrame(texts, "text_id long, text string")).count() == 0
 
 
+def test_long_texts_are_cut_in_linear_time(spark):
+    n = 3_000_000  # a cut of characters from the start each took the square of this
+    texts = spark.createDataFrame([(1, "x" * n + " the needle here" + "y" * n), (2, "the needl"), (3, "z" * n)], "text_id long, text string")
+    needles = spark.createDataFrame([("the needle here",), ("needl",), ("zzzz" * 10,), ("xz",)], "needle string")
+    began = time.monotonic()
+    assert {tuple(r) for r in search.containing(needles, texts).collect()} == {("the needle here", 1), ("needl", 1), ("needl", 2), ("zzzz" * 10, 3)}
+    assert time.monotonic() - began < 60
+
+
+def test_grams_across_cuts(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 40))) for _ in range(50)]
+    number = lambda b: int.from_bytes(b, "little") | (len(b) << 56 if len(b) < 8 else 0)
+    want = sorted({(i, number(t.encode()[k : k + n])) for i, t in enumerate(texts) for n in (2, 8) for k in range(len(t.encode()) - n + 1)})
+    for step in (7, 100, 10_000):
+        monkeypatch.setattr(search, "CUT_BYTES", step)
+        owner, code = search.grams(pa.array(texts), [2, 8])
+        assert list(zip(owner.tolist(), code.tolist(), strict=True)) == want
+
+
 def test_search_each(spark):
     queries = spark.createDataFrame([(1, " Fog ", ""), (2, "fog", "ready"), (3, "x%", None), (4, " ", ""), (5, "none", "")], "query_id long, query string, status string")
     rows = spark.createDataFrame([(10, "fog.pdf", "x", "ready"), (11, None, "dense FOG", "draft"), (12, "x%y", "fo g", "draft")], "id long, name string, text string, status string")
