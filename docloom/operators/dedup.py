@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from docloom.sources.shared import materialize
 
 #: Vectors of a shard and queries of a block that meet in one task.
 SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
+#: Tokens that are bits of every set, sets of a block that meets another, shared tokens counted at once, and shards, so that tables of some blocks take many tasks.
+COMMON, BLOCK_SETS, COUNTED, TASK_SHARDS = 2_048, 2_048, 4_000_000, 10
 
 
 def dedupe_news(items: DataFrame) -> DataFrame:
@@ -31,33 +37,120 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def token_sets(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, n, common, bits, codes) of ``(id, tokens)``: a set's size, how many COMMON tokens it has, these as bits, and the others' numbers."""
+    own = rows.select("id", F.array_distinct("tokens").alias("tokens")).select("id", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
+    told = own.join(names, "token", "left").groupBy("id", "n").agg(F.collect_list(F.when(F.col("code") >= COMMON, F.col("code"))).alias("codes"), F.collect_list(F.when(F.col("code") < COMMON, F.col("code"))).alias("low"))
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            low = batch.column("low")
+            bits = np.zeros((len(low), COMMON), bool)
+            bits[pc.list_parent_indices(low).to_numpy(), low.flatten().to_numpy()] = True
+            rows_ = np.packbits(bits, axis=1)
+            columns = [batch.column("id"), batch.column("n"), pc.list_value_length(low), pa.array([x.tobytes() for x in rows_], pa.binary()), batch.column("codes")]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "common", "bits", "codes"])
+
+    kind = rows.select("id").limit(0).withColumns({"n": F.lit(0), "common": F.lit(0), "bits": F.lit(b""), "codes": F.array().cast("array<long>")}).schema
+    return told.mapInArrow(packed, kind)
+
+
+class Sets:
+    """The sets of one side of a task: sizes, common tokens as bits, and the other tokens by row."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.ids, self.n, self.common = table.column("id").combine_chunks(), table.column("n").to_numpy().astype(np.int32), table.column("common").to_numpy().astype(np.int32)
+        self.bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(self.n), COMMON // 64)
+        codes = table.column("codes").combine_chunks()
+        self.codes, self.row = codes.flatten().to_numpy(), pc.list_parent_indices(codes).to_numpy()
+
+
+def met_sets(left: Sets, right: Sets, threshold: float, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row on the left, row on the right, score) of the pairs of sets that reach the threshold; ``once``: both sides are one, each pair counts once.
+
+    Blocks of both sides meet: shared rare tokens are counted token by token; where these and all common tokens would be enough,
+    the common ones that are shared are counted too.
+    """
+    known = np.intersect1d(left.codes, right.codes)
+
+    def block(side: Sets, low: int) -> tuple[np.ndarray, np.ndarray]:
+        cut = slice(*np.searchsorted(side.row, (low, low + BLOCK_SETS)))
+        at = np.searchsorted(known, side.codes[cut])
+        hit = known[np.minimum(at, len(known) - 1)] == side.codes[cut] if len(known) else np.zeros(len(at), bool)
+        return at[hit], side.row[cut][hit] - low
+
+    for low in range(0, len(right.n), BLOCK_SETS):
+        code, row = block(right, low)
+        order = np.argsort(code, kind="stable")
+        of = row[order]
+        begin = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(known)))))
+        width = min(BLOCK_SETS, len(right.n) - low)
+        for top in range(0, low + 1 if once else len(left.n), BLOCK_SETS):
+            height = min(BLOCK_SETS, len(left.n) - top)
+            code, row = block(left, top)
+            times = begin[code + 1] - begin[code]
+            shared = np.zeros(height * width, np.int32)
+            parts = np.cumsum(times) // COUNTED
+            for some in np.split(np.arange(len(code)), np.flatnonzero(np.diff(parts)) + 1):
+                k = times[some]
+                ends = np.cumsum(k)
+                place = np.repeat(begin[code[some]] - ends + k, k) + np.arange(k.sum())
+                shared += np.bincount(np.repeat(row[some] * width, k) + of[place], minlength=height * width).astype(np.int32)
+            shared = shared.reshape(height, width)
+            here, there = slice(top, top + height), slice(low, low + width)
+            sums = left.n[here, None] + right.n[None, there]
+            enough = shared + np.minimum(left.common[here, None], right.common[None, there]) >= np.ceil(sums * (threshold / (1 + threshold)) - 1e-9)
+            if once and top == low:
+                enough = np.triu(enough, 1)
+            i, j = np.nonzero(enough)
+            for k in range(0, len(i), 100_000):
+                x, y = i[k : k + 100_000], j[k : k + 100_000]
+                both = shared[x, y] + np.bitwise_count(left.bits[x + top] & right.bits[y + low]).sum(axis=1, dtype=np.int64)
+                score = both / np.maximum(sums[x, y] - both, 1)
+                fine = score >= threshold
+                yield x[fine] + top, y[fine] + low, score[fine]
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
     """(left_id, right_id, score) of all pairs of ``(id, tokens)`` whose Jaccard score reaches the threshold (over 0); ``ordered``: only those whose left id is smaller.
 
-    Exact by prefix and position filtering. With tokens ordered from the rarest, two such sets share one of their first
-    n - ceil(t * n) + 1 tokens. At the first token that they share, what is left of either bounds how many more they can,
-    so a meeting too late in a set, as at the commonest tokens, makes no pair. Sizes too different are dropped early. The
-    sets are computed once and written.
+    Exact. Sets are dealt to shards, and each pair of shards meets once in a task, which counts what their sets share in blocks, so
+    that only similar pairs are ever written. Time grows with the number of pairs, memory doesn't; a set is shuffled
+    once for each shard of the other side. Ids are told apart.
     """
     left = materialize(left.select("id", "tokens"))
     right = left if ordered else materialize(right.select("id", "tokens"))
-    both = left.select("tokens").unionByName(right.select("tokens"))
-    rarity = materialize(both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
-
-    def prefixes(rows: DataFrame, name: str) -> DataFrame:
-        ranked = rows.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(rarity, "token")
-        turn = Window.partitionBy("id").orderBy("n", "token")
-        kept = ranked.withColumn("at", F.row_number().over(turn)).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1)
-        return kept.select("token", F.col("id").alias(f"{name}_id"), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
-
-    a, b = prefixes(left, "left"), prefixes(right, "right")
-    sized = (F.col("left_size") >= F.col("right_size") * threshold) & (F.col("right_size") >= F.col("left_size") * threshold)
-    shared = 1 + F.least(F.col("left_size") - F.col("left_at"), F.col("right_size") - F.col("right_at"))
-    needed = F.ceil((F.col("left_size") + F.col("right_size")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    fits = sized & (shared >= needed)
-    met = a.join(b, "token").where(fits & (F.col("left_id") < F.col("right_id")) if ordered else fits).select("left_id", "right_id").distinct()
-    scored = met.join(left.toDF("left_id", "a"), "left_id").join(right.toDF("right_id", "b"), "right_id")
-    return scored.select("left_id", "right_id", jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
+    both = left.select("tokens") if ordered else left.select("tokens").unionByName(right.select("tokens"))
+    counts = materialize(both.select(F.explode("tokens").alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n")).withColumn("other", F.monotonically_increasing_id() + COMMON))
+    most = counts.orderBy(F.desc("n"), "token").limit(COMMON).select("token").collect()
+    common = left.sparkSession.createDataFrame([(r.token, k) for k, r in enumerate(most)], "token string, low long")
+    names = counts.join(F.broadcast(common), "token", "left").select("token", F.coalesce("low", "other").alias("code"))
+    a = materialize(token_sets(left, names))
+    b = a if ordered else materialize(token_sets(right, names))
+    shards = lambda n: max(1, -(-n // SHARD_ROWS), min(TASK_SHARDS, n // BLOCK_SETS))
+    here, there = (shards(x.count()) for x in (a, b))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = a.withColumns({"x": own(here), "side": F.lit(0)}).withColumn("y", others(there))
+    if ordered:  # each pair of shards once; a shard meets itself with one side
+        met = met.withColumn("z", F.greatest("x", "y")).withColumn("side", (F.col("x") > F.col("y")).cast("int")).withColumn("x", F.least("x", "y")).withColumn("y", F.col("z")).drop("z")
+    else:
+        met = met.unionByName(b.withColumns({"y": own(there), "side": F.lit(1)}).withColumn("x", others(here)))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        sides = [Sets(table.filter(pc.equal(table.column("side"), k))) for k in (0, 1)]
+        once = ordered and key[0].as_py() == key[1].as_py()
+        one, two = (sides[0], sides[0]) if once else sides
+        found = list(met_sets(one, two, threshold, once)) if len(one.n) and len(two.n) else []
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({"left_id": one.ids.take(pa.array(i)), "right_id": two.ids.take(pa.array(j)), "score": pa.array(score)})
+
+    kind = left.select(F.col("id").alias("left_id")).limit(0).crossJoin(right.select(F.col("id").alias("right_id")).limit(0)).withColumn("score", F.lit(0.0)).schema
+    pairs = met.select("x", "y", "side", "id", "n", "common", "bits", "codes").groupBy("x", "y").applyInArrow(meet, kind)
+    if not ordered:
+        return pairs
+    return pairs.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "score").where("left_id < right_id")
 
 
 def leader_clusters(items: DataFrame, threshold: float = 0.35, block: str = "block") -> DataFrame:
@@ -65,8 +158,9 @@ def leader_clusters(items: DataFrame, threshold: float = 0.35, block: str = "blo
 
     Each item not yet taken leads a cluster and takes every later free item whose Jaccard score with it reaches the
     threshold. A cluster's score starts at 1 and is so always 1. ``items``: block, pos, id, tokens. Items of equal tokens share
-    the leader of the first of them, so each set of tokens takes part once. All similar pairs of a block are found first; then each round makes leaders of the open items without an open earlier neighbour and takes
-    their neighbours, until none is open. No task holds a block.
+    the leader of the first of them, so each set of tokens takes part once. All similar pairs are found first; then each round
+    makes leaders of the open items without an open earlier neighbour and takes their neighbours, until none is open. No task
+    holds a block.
     """
     node = F.struct(F.col(block).alias("block"), "pos", F.col("id").alias("item"))
     named = F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.concat(F.to_json(F.struct(F.col(block))), x))

@@ -62,6 +62,29 @@ def test_similar_pairs_are_all_pairs(spark):
     assert got == {(a, b) for a, x in sets for b, y in sets if len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5}
 
 
+def test_similar_pairs_by_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    sets = [{rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))} | {f"{rng.randint(0, 25)}" for _ in range(rng.randint(0, 8))} for _ in range(150)]
+    for name, value in {"COMMON": 64, "BLOCK_SETS": 16, "COUNTED": 50}.items():
+        monkeypatch.setattr(D, name, value)
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, tokens array<string>")
+    score = lambda x, y: len(x & y) / len(x | y) if x | y else 0
+    for t in (0.35, 0.8):
+        every = {(i, j): score(x, y) for i, x in enumerate(sets) for j, y in enumerate(sets) if score(x, y) >= t}
+        got = [tuple(r) for r in D.similar_pairs(rows, rows, t).collect()]
+        assert len(got) == len(every) and {(i, j): s for i, j, s in got} == every
+        got = [tuple(r) for r in D.similar_pairs(rows, rows, t, ordered=True).collect()]
+        assert len(got) == len({p for p in every if p[0] < p[1]}) and {(i, j): s for i, j, s in got} == {p: s for p, s in every.items() if p[0] < p[1]}
+
+
+def test_similar_pairs_shuffle_sets_and_not_what_they_share(spark):
+    """Sets that share many tokens and aren't similar: before, each shared token made a row of a pair."""
+    rows = spark.range(3000).select(F.col("id"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(400)).cast("string")).alias("tokens"))
+    met = D.similar_pairs(rows, rows, 0.9, ordered=True)
+    assert "FlatMapGroupsInArrow" in (plan := met._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
+    assert met.count() == 0
+
+
 def test_cosine(spark):
     pairs = [([1.0, 0.0], [1.0, 0.0], 1), ([1.0, 0.0], [0.0, 1.0], 0), ([1.0], [1.0, 0.0], 0), ([0.0, 0.0], [0.0, 0.0], 0)]
     for a, b, want in pairs:
