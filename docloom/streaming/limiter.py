@@ -5,15 +5,18 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from docloom.functions import numbers as N
 
-SECOND, DAY = 1_000_000, 86_400_000_000
+SECOND, HOUR, DAY = 1_000_000, 3_600_000_000, 86_400_000_000
+#: What frees a slot goes first among rows of one time. Rows that a task holds before it puts them into state.
+TURN, HELD_ROWS = {"release": 0, "limited": 1, "request": 2}, 100_000
 #: The window of a minute, what is added to its waits, and how long usage is kept: fixed values.
 MINUTE, HEADROOM, RETENTION = 60 * SECOND, SECOND, 25 * 3_600 * SECOND
 OUTPUT = "key string, event_id long, asked_at long, decided_at long, admitted boolean, reason string"
@@ -40,32 +43,63 @@ class Limiter(StatefulProcessor):
         self.usage_state = handle.getListState("usage", longs("at", "tokens"), keep(RETENTION))
         self.active_state = handle.getMapState("active", longs("event_id"), longs("at"), keep(self.timeout))
         self.waiting_state = handle.getListState("waiting", longs("retry_at", "asked_at", "event_id", "tokens"))
-        self.pending_state = handle.getListState("pending", StructType([*longs("at", "event_id", "tokens").fields, StructField("kind", StringType())]))
+        self.pending_state = handle.getMapState("pending", longs("hour", "nth"), StructType([StructField("rows", BinaryType())]))  # (at, event_id, tokens, turn) of some of an hour's rows
+        self.hours_state = handle.getMapState("hours", longs("hour"), longs("parts", "first"))
         self.until_state = handle.getValueState("until", longs("at"), keep(max(SECOND, self.cooldown)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = [(int(a), int(e), int(t), k) for pdf in rows for a, e, t, k in zip(pdf["at"], pdf.event_id, pdf.tokens, pdf.kind, strict=True)]
         if self.live:
+            fresh = [tuple(r) for pdf in rows for r in self.numbers(pdf).tolist()]
             yield self.moved(key, fresh, max(a for a, *_ in fresh))
-        else:
-            self.pending_state.appendList(fresh)
-            self.wake(min(a for a, *_ in fresh))
+            return
+        held, n, first = [], 0, None
+        for pdf in rows:
+            held.append(self.numbers(pdf))
+            n += len(pdf)
+            low = int(pdf["at"].min())
+            first = low if first is None else min(low, first)
+            if n >= HELD_ROWS:
+                self.hold(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            self.hold(np.concatenate(held))
+        self.wake(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.live:
             yield self.moved(key, [], expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        else:
-            now = timerValues.getCurrentWatermarkInMs() * 1000
-            every = list(self.pending_state.get())
-            self.pending_state.clear()
-            if later := [x for x in every if x[0] > now]:
-                self.pending_state.put(later)
-            yield self.moved(key, [x for x in every if x[0] <= now], now, min((x[0] for x in later), default=None))
+            return
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        hours = sorted((h, parts, first) for (h,), (parts, first) in self.hours_state.iterator())
+        following = min((first for *_, first in hours if first > now), default=None)
+        for hour, parts, _ in [x for x in hours if x[2] <= now]:  # an hour at a time, however many wait
+            rows = np.concatenate([np.frombuffer(self.pending_state.getValue((hour, k))[0], np.int64).reshape(-1, 4) for k in range(parts)])
+            for k in range(parts):
+                self.pending_state.removeKey((hour, k))
+            self.hours_state.removeKey((hour,))
+            if len(later := rows[rows[:, 0] > now]):
+                self.hold(later)
+                following = min(int(later[:, 0].min()), following or 1 << 62)
+            yield self.moved(key, [tuple(r) for r in rows[rows[:, 0] <= now].tolist()], min(now, (hour + 1) * HOUR - 1), wakes=False)
+        yield self.moved(key, [], now, following)
+
+    def numbers(self, pdf: pd.DataFrame) -> np.ndarray:
+        """(at, event_id, tokens, turn) of rows; what frees a slot has an earlier turn."""
+        return np.stack([pdf["at"].to_numpy(np.int64), pdf.event_id.to_numpy(np.int64), pdf.tokens.to_numpy(np.int64), np.fromiter((TURN[k] for k in pdf.kind), np.int64, len(pdf))], axis=1)
+
+    def hold(self, rows: np.ndarray) -> None:
+        """Keep rows in state until the watermark has passed them, by hour."""
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        for some in np.split(rows, np.flatnonzero(np.diff(rows[:, 0] // HOUR)) + 1):
+            hour, first = int(some[0, 0] // HOUR), int(some[0, 0])
+            parts, least = self.hours_state.getValue((hour,)) if self.hours_state.containsKey((hour,)) else (0, first)
+            self.pending_state.updateValue((hour, parts), (some.tobytes(),))
+            self.hours_state.updateValue((hour,), (parts + 1, min(first, least)))
 
     def wake(self, at: int) -> None:
         self.handle.registerTimer(-(-at // 1000))
 
-    def moved(self, key: tuple, rows: list[tuple], now: int, following: int | None = None) -> pd.DataFrame:
+    def moved(self, key: tuple, rows: list[tuple], now: int, following: int | None = None, wakes: bool = True) -> pd.DataFrame:
         """What is decided until ``now``: by ``rows`` and by requests whose time to ask again has come, all in time order."""
         self.usage = [(a, t) for a, t in self.usage_state.get()]
         self.active = {e: a for (e,), (a,) in self.active_state.iterator()}
@@ -73,8 +107,7 @@ class Limiter(StatefulProcessor):
         waiting = sorted(self.waiting_state.get())
         self.counted = self.per_minute > 0 or self.tokens_per_minute > 0 or self.per_day > 0
         was, held, out = list(self.usage), set(self.active), []
-        turn = {"release": 0, "limited": 1, "request": 2}  # what frees a slot goes first
-        rows = sorted(rows, key=lambda r: (r[0], turn[r[3]], r[1]))
+        rows = sorted(rows, key=lambda r: (r[0], r[3], r[1]))
 
         def ask(at: int, asked_at: int, event: int, tokens: int) -> None:
             reason, wait = self.checked(at, tokens)
@@ -96,11 +129,11 @@ class Limiter(StatefulProcessor):
                 continue
             at, event, tokens, kind = rows[i]
             i += 1
-            if kind == "request":
+            if kind == TURN["request"]:
                 ask(at, at, event, tokens)
                 continue
             self.active.pop(event, None)
-            if kind == "limited":
+            if kind == TURN["limited"]:
                 self.until = at + self.cooldown
             waiting[:] = sorted((at, *w[1:]) for w in waiting)  # all ask again
         old = bisect_right(self.usage, (now - RETENTION, 1 << 62))
@@ -116,9 +149,9 @@ class Limiter(StatefulProcessor):
         self.waiting_state.put(waiting) if waiting else self.waiting_state.clear()
         self.until_state.update((self.until,))
         nearest = [t for t in (waiting[0][0] if waiting else None, following) if t is not None]
-        if nearest:
+        if nearest and wakes:
             self.wake(min(nearest))
-        elif self.usage and not self.live:
+        elif self.usage and wakes and not self.live:
             self.wake(self.usage[-1][0] + RETENTION)  # an idle key lets go of its usage
         return pd.DataFrame(out, columns=["key", "event_id", "asked_at", "decided_at", "admitted", "reason"])
 

@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.streaming import limiter
@@ -99,3 +100,37 @@ def test_live_cooldown_ends_by_timer(spark, tmp_path):
     finally:
         q.stop()
     assert got[1] == (True, 0) and got[2][0] and got[2][1] == 3_990_000
+
+
+class Held(dict):
+    def containsKey(self, k):  # noqa: N802, N803
+        return k in self
+
+    def getValue(self, k):  # noqa: N802, N803
+        return self[k]
+
+    def updateValue(self, k, v):  # noqa: N802, N803
+        self[k] = v
+
+    def removeKey(self, k):  # noqa: N802, N803
+        del self[k]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_what_waits_is_decided_hour_by_hour(monkeypatch):
+    """Before, all rows of a key that wait were one list in the memory of its task."""
+    n, hour, asked, woken = 5000, limiter.HOUR, [], []
+    p = limiter.Limiter(1, 0, 0, 0, 0, 0, 0, live=False)
+    p.pending_state, p.hours_state, p.wake = Held(), Held(), woken.append
+    p.moved = lambda key, rows, now, following=None, wakes=True: asked.append((rows, now, following)) or pd.DataFrame()
+    monkeypatch.setattr(limiter, "HELD_ROWS", 700)
+    at = [i * hour // 50 for i in random.Random(3).sample(range(n), n)]
+    pdf = pd.DataFrame({"at": at, "event_id": range(n), "tokens": 1, "kind": "request"})
+    assert list(p.handleInputRows(("a",), iter([pdf[k : k + 300] for k in range(0, n, 300)]), None)) == [] and woken == [0]
+    times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: (40 * hour + hour // 2) // 1000})()
+    list(p.handleExpiredTimer(("a",), times, None))
+    assert max(len(r) for r, *_ in asked) == 50 and [len(r) for r, *_ in asked[-2:]] == [26, 0]
+    assert [x[0] for r, *_ in asked for x in sorted(r)] == [i * hour // 50 for i in range(40 * 50 + 26)] and asked[-1][2] == 40 * hour + hour // 50 * 26
+    assert sum(len(v[0]) for v in p.pending_state.values()) == (n - 40 * 50 - 26) * 32
