@@ -120,21 +120,23 @@ def next_fit(items: DataFrame, scope: str | list[str], size: str, limit: float,
     enters = materialize(enters)
     schema = schema_of(rows.drop("_s", "_p"), "_used double, _opens boolean")
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n")
-        used, begun = (0.0, False) if pdf._n.iloc[0] == 0 else (float(pdf._used.iloc[0]), True)
-        sums, opens = [], []
-        for s in pdf._d.tolist():
-            fresh = not begun or used + s > limit
-            used, begun = (s if fresh else used + s), True
-            sums.append(used)
-            opens.append(fresh)
-        return pdf.assign(_used=sums, _opens=opens)[columns]
+    def packed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, begun = 0.0, False
+        for pdf in it:
+            sums, opens = [], []
+            for s, n, enters_with in zip(pdf._d.tolist(), pdf._n.tolist(), pdf._used.tolist(), strict=True):
+                if n % block_rows == 0:  # a block's first row
+                    used, begun = (0.0, False) if n == 0 else (enters_with, True)
+                fresh = not begun or used + s > limit
+                used, begun = (s if fresh else used + s), True
+                sums.append(used)
+                opens.append(fresh)
+            yield pdf.assign(_used=sums, _opens=opens)[columns]
 
     columns = [c for c in rows.columns if c not in ("_s", "_p")] + ["_used", "_opens"]
     while True:
         met = rows.drop("_s", "_p").join(enters, matching(scope, "_of_") & (F.col("_block") == F.col("_of_block")), "left").select(*[c for c in rows.columns if c not in ("_s", "_p")], "_used")
-        done = materialize(met.groupBy(*scope, "_block").applyInPandas(packed, schema))
+        done = materialize(met.repartition(*scope, "_block").sortWithinPartitions(*scope, "_block", "_n").mapInPandas(packed, schema))  # very many small scopes stream past
         blocks = done.groupBy(*scope, "_block").agg(F.max_by("_used", "_n").alias("_end"), F.sum(F.col("_opens").cast("long")).alias("_parts"))
         line = Window.partitionBy(*scope).orderBy("_block")
         told = materialize(blocks.withColumns({"_used": F.lag("_end").over(line), "_before": F.sum("_parts").over(line) - F.col("_parts")}))
