@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 
 def longs(*names: str) -> StructType:
@@ -19,30 +19,32 @@ class WholeParts(StatefulProcessor):
     """Releases a course's parts in order: one comes out when all its items are ready and all parts before it are out."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", longs("part", "item"), longs("ready"))  # of parts that aren't whole
-        self.counts = handle.getMapState("counts", longs("part"), longs("ready", "of"))
+        self.parts = handle.getMapState("parts", longs("part"), StructType([StructField("of", LongType()), StructField("items", ArrayType(LongType()))]))  # those that aren't whole
         self.next = handle.getValueState("next", longs("part"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        following = (self.next.get() or (0,))[0]
+        following = begun = (self.next.get() or (0,))[0]
+        ready: dict[int, tuple[int, set[int]]] = {}
+
+        def told(part: int) -> tuple[int, set[int]] | None:
+            if part not in ready and self.parts.containsKey((part,)):
+                of, items = self.parts.getValue((part,))
+                ready[part] = of, set(items)
+            return ready.get(part)
+
         for pdf in rows:
             for part, item, of in zip(pdf.part.tolist(), pdf["item"].tolist(), pdf.items_of_part.tolist(), strict=True):
-                if part < following or self.items.containsKey((part, item)):
-                    continue  # said again after a restart of its stage
-                self.items.updateValue((part, item), (1,))
-                ready = self.counts.getValue((part,))[0] if self.counts.containsKey((part,)) else 0
-                self.counts.updateValue((part,), (ready + 1, of))
+                if part >= begun:  # an item said again after a restart of its stage counts once
+                    (told(part) or ready.setdefault(part, (of, set())))[1].add(item)
         out = []
-        while self.counts.containsKey((following,)):
-            ready, of = self.counts.getValue((following,))
-            if ready < of:
-                break
-            for (part, item), _ in list(self.items.iterator()):
-                if part == following:
-                    self.items.removeKey((part, item))
-            self.counts.removeKey((following,))
+        while (found := told(following)) and len(found[1]) >= found[0]:
+            del ready[following]
+            if self.parts.containsKey((following,)):
+                self.parts.removeKey((following,))
             out.append((*key, following))
             following += 1
+        for part, (of, items) in ready.items():
+            self.parts.updateValue((part,), (of, sorted(items)))
         self.next.update((following,))
         yield pd.DataFrame({"course": pd.Series([c for c, _ in out], dtype=object), "part": pd.Series([p for _, p in out], dtype="int64")})
 

@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from docloom.streaming import stages
 
 SCHEMA = "course string, item long, ts timestamp, error string"
@@ -44,3 +46,53 @@ def test_late_and_missing_stages(spark, tmp_path):
         rows(spark, f"{tmp_path}/c", n, ("z", n, 1000 * n + 1, None))
         out = run(spark, tmp_path, "late", flow)
     assert {(r.course, r.item) for r in out.collect()} == {("a", 2), ("a", 3)}
+
+
+class Calls(dict):
+    """A map state that counts what is asked of it."""
+
+    calls = 0
+
+    def containsKey(self, k):  # noqa: N802, N803
+        self.calls += 1
+        return k in self
+
+    def getValue(self, k):  # noqa: N802, N803
+        self.calls += 1
+        return self[k]
+
+    def updateValue(self, k, v):  # noqa: N802, N803
+        self.calls += 1
+        self[k] = v
+
+    def removeKey(self, k):  # noqa: N802, N803
+        self.calls += 1
+        del self[k]
+
+    def iterator(self):
+        self.calls += len(self)
+        return iter(list(self.items()))
+
+
+class OneValue:
+    held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, v):
+        self.held = v
+
+
+def test_a_course_of_many_parts_asks_its_state_a_few_times_a_part():
+    """Before, each part that came out went through all the items that waited."""
+    made, n = Calls(), 2000
+    handle = type("Handle", (), {"getMapState": lambda self, *a: made, "getValueState": lambda self, *a: OneValue()})()
+    p = stages.WholeParts()
+    p.init(handle)
+    every = pd.DataFrame({"part": [i // 4 for i in range(4 * n)], "item": range(4 * n), "items_of_part": 4})
+    first = every[every["item"] % 4 < 3]
+    assert len(pd.concat(p.handleInputRows(("c",), iter([first]), None))) == 0
+    out = pd.concat(p.handleInputRows(("c",), iter([every[every["item"] % 4 == 3], first]), None))
+    assert out.part.tolist() == list(range(n)) and not made
+    assert made.calls < 10 * n
