@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import zipfile
@@ -17,6 +18,8 @@ from docloom.sources.immutable import mounted
 
 #: Bytes of an archive that one partition reads.
 SPLIT_BYTES = 64 * 1024 * 1024
+#: Partitions over which very many archives, or shares of them, are dealt (at most twice as many); and the bytes that one reads of smaller ones at most.
+OWN_PARTITIONS, TOGETHER_BYTES = 512, 4 * 1024 * 1024
 BATCH_ROWS = 4096
 
 CHECKS = {
@@ -46,12 +49,31 @@ def files_under(path: str, ending: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
+    """A share of a file's content."""
+
     path: str
     number: int
     of: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    pieces: list[Piece]
+
+
+def together(pieces: list[tuple[Piece, float]], most: float) -> list[Pieces]:
+    """Pieces of (piece, bytes), in order, in partitions of about ``most`` bytes; a larger piece has its own."""
+    out, size = [], 0.0
+    for piece, n in pieces:
+        if not out or size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(piece)
+        size += n
+    return [Pieces(some) for some in out]
+
+
 class _Reader(DataSourceReader):
     """Files of one ending; ``known`` are the columns that filters may name.
 
@@ -75,10 +97,15 @@ class _Reader(DataSourceReader):
     def pieces(self, size: int) -> int:
         return 1
 
-    def partitions(self) -> list[Piece]:
+    def partitions(self) -> list[Pieces]:
         column = self.known[0]
-        kept = [(p, n) for p, n in files_under(self.root, self.ending) if passes(self.filters, **{column: self.shown(p)})]
-        return [Piece(p, k, self.pieces(n)) for p, n in kept for k in range(self.pieces(n))] or [Piece("", 0, 1)]
+        kept = [(p, n, self.pieces(n)) for p, n in files_under(self.root, self.ending) if passes(self.filters, **{column: self.shown(p)})]
+        most = min(TOGETHER_BYTES, sum(n for _, n, _ in kept) / OWN_PARTITIONS)
+        return together([(Piece(p, k, of), n / of) for p, n, of in kept for k in range(of)], most) or [Pieces([])]
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        for path, some in itertools.groupby(partition.pieces, key=lambda p: p.path):
+            yield from self.read_file(path, list(some))
 
 
 class ArchiveReader(_Reader):
@@ -89,18 +116,17 @@ class ArchiveReader(_Reader):
     def pieces(self, size: int) -> int:
         return max(1, -(-size // int(self.options.get("splitbytes", SPLIT_BYTES))))
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        share = os.path.getsize(partition.path) / partition.of
+    def read_file(self, path: str, pieces: list[Piece]) -> Iterator[pa.RecordBatch]:
+        of, numbers = pieces[0].of, {p.number for p in pieces}
+        share = os.path.getsize(path) / of
         schema = pa.schema([("archive", pa.string()), ("pos", pa.int64()), ("name", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
-        with zipfile.ZipFile(partition.path) as z:
+        with zipfile.ZipFile(path) as z:
             fine = [i for i in z.infolist() if not i.is_dir() and any(i.filename.lower().endswith(e) for e in IMAGE_ENDINGS) and i.file_size <= MOST_IMAGE]
             places = sorted(fine, key=lambda i: (i.filename.lower(), i.filename))
             for pos, member in enumerate(places):
-                if min(int(member.header_offset / share), partition.of - 1) != partition.number or not passes(self.filters, name=member.filename, size=member.file_size):
+                if min(int(member.header_offset / share), of - 1) not in numbers or not passes(self.filters, name=member.filename, size=member.file_size):
                     continue
-                row = [[self.shown(partition.path)], [pos], [member.filename], [member.file_size], [z.read(member)]]
+                row = [[self.shown(path)], [pos], [member.filename], [member.file_size], [z.read(member)]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
 
@@ -109,9 +135,7 @@ class WorkbookReader(_Reader):
 
     known, ending = ("path",), ".xlsx"
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read_file(self, path: str, pieces: list[Piece]) -> Iterator[pa.RecordBatch]:
         columns = [f.name for f in self.fields][2:]
         schema = pa.schema([("path", pa.string()), ("pos", pa.int64()), *((c, pa.string()) for c in columns)])
         held: list[list] = []
@@ -119,9 +143,9 @@ class WorkbookReader(_Reader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-        with zipfile.ZipFile(partition.path) as z:
+        with zipfile.ZipFile(path) as z:
             for pos, values in enumerate(sheet_rows(z, columns)):
-                held.append([self.shown(partition.path), pos, *values])
+                held.append([self.shown(path), pos, *values])
                 if len(held) == BATCH_ROWS:
                     yield batch()
                     held = []
@@ -161,8 +185,8 @@ def _read(spark: SparkSession, source: type[DataSource], path: str, filters: lis
 def read_archives(spark: SparkSession, path: str, filters: list[tuple] = (), split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(archive, pos, name, size, content): the images in the ZIP files under a mounted folder, by lower-case name.
 
-    As ``files.archive_images``, but no archive is read whole: one over ``split_bytes`` is read by several tasks, each a
-    member at a time. ``filters``: (column, check, value) on archive, name and size with a check of CHECKS; archives and members
+    As ``files.archive_images``, but no archive is read whole: one over ``split_bytes`` is read in shares, each a member at a
+    time. Of very many, a task takes several, TOGETHER_BYTES in all. ``filters``: (column, check, value) on archive, name and size with a check of CHECKS; archives and members
     that fail one are neither opened nor unpacked.
     """
     return _read(spark, Archives, path, list(filters), splitBytes=split_bytes)

@@ -71,3 +71,13 @@ def test_notes_list_their_scope_alone(spark, tmp_path):
     assert {r.path for r in files.notes(spark, str(tmp_path), "x").collect()} == {"x/a.md", "x/_own/b.md"}
     assert {r.path for r in files.notes(spark, str(tmp_path), "x/a.md").collect()} == {"x/a.md"}
     assert files.notes(spark, str(tmp_path), "none").count() == 0
+
+
+def test_many_small_archives_share_partitions(spark, tmp_path):
+    """Before, each of them was a task of its own."""
+    for i in range(3000):
+        with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
+            z.writestr("a.png", str(i))
+    rows = archives.read_archives(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 2 * archives.OWN_PARTITIONS
+    assert sorted((r.archive, r.pos, bytes(r.content)) for r in rows.collect()) == sorted((f"{i}.zip", 0, str(i).encode()) for i in range(3000))
