@@ -25,10 +25,10 @@ VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 STRIDE, DIMENSIONS = 16, 16
 #: The most frequent subwords have a class each; the others share classes by their first bytes.
 OWN_CLASSES, SHARED_CLASSES = 72, 24
-#: Averaged passes, each over its own share of the training documents and from the weights of the one before.
+#: Averaged passes, each over its own share of each training document's blocks and from the weights of the one before.
 ROUNDS = 2
-#: Windows of one step, targets of each, and windows that a trainer holds and shuffles at once.
-STEP_WINDOWS, TARGETS, HELD_WINDOWS = 256, 4, 16_384
+#: Windows of one step, targets of each (all), and windows that a trainer holds and shuffles at once.
+STEP_WINDOWS, TARGETS, HELD_WINDOWS = 256, STRIDE, 16_384
 EMBEDDING_PARTS = 16
 #: Tokens of a trainer, in the mean, by which the salts of the averages are chosen.
 TOKENS_A_TRAINER = 4_000_000
@@ -120,6 +120,19 @@ def laid_out(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
     return inputs, targets, starts, owner
 
 
+def shares(s: np.ndarray) -> np.ndarray:
+    """exp of ``s`` as shares of its rows; rows are shifted by their maximum where exp would leave its range without it."""
+    each = np.ones(s.shape[-1], s.dtype)
+    with np.errstate(over="ignore"):
+        p = np.exp(s)
+        total = p.reshape(-1, len(each)) @ each
+    if len(total) and not (total.min() > 1e-30 and total.max() < 1e30):
+        np.exp(s - s.max(axis=-1, keepdims=True), out=p)
+        total = p.reshape(-1, len(each)) @ each
+    p *= (1 / total).reshape(*s.shape[:-1], 1)
+    return p
+
+
 class Attention:
     """One head of causal self-attention with distance biases, and a softmax over subword classes."""
 
@@ -134,33 +147,18 @@ class Attention:
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None]
         self.distance, self.mask = np.clip(i - j, 0, None), np.where(j <= i, 0, -1e9).astype(f)
 
-    def seen(self, keys: np.ndarray, pad: int, at: np.ndarray):
-        """What the queries ``at`` (places in each block) attend to, beside themselves, for ``keys``: the ids a block sees, 2 * STRIDE each."""
-        x = self.e[keys]
-        own = np.take_along_axis(x, STRIDE + at[:, :, None], 1)
-        q = own @ self.a
+    def forward(self, keys: np.ndarray, pad: int):
+        """(probabilities of classes at each place, and what training needs) for ``keys``: the ids a block sees, 2 * STRIDE each."""
+        x = self.e.take(keys, axis=0)
+        wide = np.ones((len(keys) * STRIDE, 2 * DIMENSIONS + 1), x.dtype)  # the last column is the bias's
+        wide[:, :DIMENSIONS] = x[:, STRIDE:].reshape(-1, DIMENSIONS)
+        q = (wide[:, :DIMENSIONS] @ self.a * x.dtype.type(DIMENSIONS**-0.5)).reshape(-1, STRIDE, DIMENSIONS)
         s = q @ x.transpose(0, 2, 1)
-        s *= np.float32(DIMENSIONS**-0.5)
-        s += (self.r[self.distance] + self.mask)[at]
-        padded = keys[:, 0] == pad  # paddings before a text fill the first half of its first block
-        if padded.any():
-            s[padded, :, :STRIDE] = -1e9
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        return x, own, q, s, np.concatenate((own, s @ x), axis=2)
-
-    def forward(self, keys: np.ndarray, pad: int, at: np.ndarray | None = None):
-        """(probabilities of classes for the queries ``at``, all without it, and what training needs)."""
-        found = self.seen(keys, pad, self.all_places(keys) if at is None else at)
-        z = found[-1].reshape(-1, 2 * DIMENSIONS) @ self.u + self.b
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z, found
-
-    def all_places(self, keys: np.ndarray) -> np.ndarray:
-        return np.broadcast_to(np.arange(STRIDE), (len(keys), STRIDE))
+        s += self.r[self.distance] + self.mask
+        s[keys[:, 0] == pad, :, :STRIDE] = -1e9  # paddings before a text fill the first half of its first block
+        s = shares(s)
+        wide[:, DIMENSIONS:-1] = (s @ x).reshape(-1, DIMENSIONS)
+        return shares(wide @ np.vstack((self.u, self.b))), (x, wide, q, s)
 
     def logs(self, inputs: np.ndarray, classes: np.ndarray, pad: int, step: int = 128) -> np.ndarray:
         """Natural log of the probability of each target class along ``inputs``; that of -1 means nothing.
@@ -204,40 +202,36 @@ class Attention:
             out[at] = got - np.log((np.exp(z, out=z) @ each_class).astype(float))
         return out
 
-    def step(self, keys: np.ndarray, classes: np.ndarray, pad: int, memory: dict, rate: float, at: np.ndarray | None = None) -> None:
-        """One Adagrad step on blocks ``keys`` with target ``classes`` (-1: none) of the queries ``at``, of all without it."""
-        at = self.all_places(keys) if at is None else at
-        p, (x, own, q, s, both) = self.forward(keys, pad, at)
+    def step(self, keys: np.ndarray, classes: np.ndarray, pad: int, memory: dict, rate: float) -> None:
+        """One Adagrad step on blocks ``keys`` with the target ``classes`` of all their places (-1: none)."""
+        d, (x, wide, q, s) = self.forward(keys, pad)
         goal = classes.ravel()
-        real = goal >= 0
-        rows = np.flatnonzero(real)
-        d = p
-        d[~real] = 0
+        rows = np.flatnonzero(goal >= 0)
+        d[goal < 0] = 0
         d[rows, goal[rows]] -= 1
-        d /= max(1, len(rows))
-        wide = both.reshape(-1, 2 * DIMENSIONS)
-        back = (d @ self.u.T).reshape(both.shape)
-        d_own, d_seen = back[..., :DIMENSIONS].copy(), back[..., DIMENSIONS:]
-        d_x = s.transpose(0, 2, 1) @ d_seen
+        each = 1 / max(1, len(rows))
+        last = (d.T @ wide).T
+        back = d @ self.u.T
+        d_seen = back[:, DIMENSIONS:].reshape(q.shape)
         d_s = d_seen @ x.transpose(0, 2, 1)
-        d_s = s * (d_s - (d_s * s).sum(axis=2, keepdims=True))
-        slope_r = np.bincount(self.distance[at].ravel(), (d_s * (self.mask == 0)[at]).ravel(), minlength=2 * STRIDE)
-        d_s *= np.float32(DIMENSIONS**-0.5)
-        d_q = d_s @ x
+        d_s -= np.einsum("wij,wij->wi", d_s, s)[:, :, None]
+        d_s *= s
+        d_q = (d_s @ x).reshape(-1, DIMENSIONS) * x.dtype.type(DIMENSIONS**-0.5)
+        d_x = s.transpose(0, 2, 1) @ d_seen
         d_x += d_s.transpose(0, 2, 1) @ q
-        d_own += d_q @ self.a.T
-        every = np.arange(len(keys))
-        for k in range(at.shape[1]):  # a block may ask twice at one place
-            d_x[every, STRIDE + at[:, k]] += d_own[:, k]
-        slopes = {"u": wide.T @ d, "b": d.sum(axis=0), "a": own.reshape(-1, DIMENSIONS).T @ d_q.reshape(-1, DIMENSIONS), "r": slope_r}
-        for name, g in slopes.items():
+        d_x[:, STRIDE:] += (back[:, :DIMENSIONS] + d_q @ self.a.T).reshape(q.shape)
+        slope_r = np.bincount(self.distance.ravel(), d_s.sum(axis=0).ravel(), minlength=2 * STRIDE)
+        for name, g in {"u": last[:-1], "b": last[-1], "a": wide[:, :DIMENSIONS].T @ d_q, "r": slope_r}.items():
+            g = g * each
             memory[name] = memory.get(name, 1e-6) + g * g
             setattr(self, name, (getattr(self, name) - rate * g / np.sqrt(memory[name])).astype(self.e.dtype))
-        order = np.argsort(keys, axis=None)
-        sorted_keys = keys.ravel()[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
-        g = np.add.reduceat(d_x.reshape(-1, DIMENSIONS)[order], first)
-        some = sorted_keys[first]
+        met = np.zeros(len(self.e), bool)
+        met[keys] = True
+        some = np.flatnonzero(met)
+        slot = np.empty(len(self.e), np.int64)
+        slot[some] = np.arange(len(some)) * DIMENSIONS
+        cell = slot[keys][:, :, None] + np.arange(DIMENSIONS)
+        g = (np.bincount(cell.ravel(), d_x.ravel(), len(some) * DIMENSIONS).reshape(-1, DIMENSIONS) * each).astype(self.e.dtype)
         if "e" not in memory:
             memory["e"] = np.full(len(self.e), 1e-6, np.float32)
         memory["e"][some] += (g * g).mean(axis=1)
@@ -316,29 +310,26 @@ def class_tables(n: np.ndarray, ranks: dict[bytes, int], texts: int) -> tuple[np
     return class_of, np.log10(share / np.bincount(class_of, share)[class_of])
 
 
-def windows_of(texts: list[np.ndarray], end: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, places, goals) of training windows: every second block of each text with the block before it.
+def windows_of(texts: list[np.ndarray], end: int, turn: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, goals) of a round's training windows: blocks that ask, each with the block before it.
 
-    Each token is a key in one window. Which blocks ask is by a text's ``turn``; a text of one block always does. A
-    window asks at TARGETS places, spread over those that have a target and shifted by turn.
+    A text's blocks take turns over the ``rounds``, from its ``turn`` on, which grows by one a round: after all rounds each
+    block has asked once. A window asks at all places; those past the end of its text repeat the last that has a target.
     """
     inputs, targets, starts, owner = laid_out(texts, end)
     nth = np.arange(len(starts)) - np.searchsorted(owner, np.arange(len(texts)))[owner]
-    blocks = np.bincount(owner, minlength=len(texts))
-    some = nth % 2 == np.where(blocks > 1, turn % 2, 0)[owner]
-    starts, shift = starts[some], (turn[owner] + nth)[some]
+    starts = starts[nth % rounds == turn[owner] % rounds]
     keys = inputs[starts[:, None] + np.arange(2 * STRIDE)]
     goals = targets[starts[:, None] + STRIDE + np.arange(STRIDE)]
-    real = (goals >= 0).sum(axis=1)
-    at = (shift[:, None] + np.arange(TARGETS) * real[:, None] // TARGETS) % real[:, None]
+    at = np.minimum(np.arange(TARGETS), (goals >= 0).sum(axis=1)[:, None] - 1)
     return keys, at, np.take_along_axis(goals, at, 1)
 
 
 def train(encoded_texts: DataFrame, ranks: dict, class_of: np.ndarray, rounds: int = ROUNDS) -> Attention:
     """Attention weights from all of ``encoded_texts(text)``, texts of ids.
 
-    Each round trains on its own share of the texts, by a hash, and starts from the weights of the round before. Each
-    task is a trainer that streams the windows of its texts, so nothing is shuffled but weights; Spark averages them in
+    Each round trains on its own share of each text's blocks, by turns that begin at a hash, and starts from the weights of
+    the round before; the rounds together ask at every place of every text once. Each task is a trainer that streams the windows of its texts, so nothing is shuffled but weights; Spark averages them in
     parts and salts, embeddings by how often a trainer saw the subword.
     """
     spark, classes, end = encoded_texts.sparkSession, OWN_CLASSES + SHARED_CLASSES, len(ranks)
@@ -358,15 +349,16 @@ def train(encoded_texts: DataFrame, ranks: dict, class_of: np.ndarray, rounds: i
             def learn() -> None:
                 keys, at, goals = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
+                classes = np.where(at == np.arange(TARGETS), class_of[goals], -1)  # a place that is repeated counts once
                 for some in np.array_split(rng.permutation(len(keys)), -(-len(keys) // STEP_WINDOWS)):
-                    own.step(keys[some], np.where(goals[some] >= 0, class_of[goals[some]], -1), end + 1, memory, 0.2 / (1 + nth), at[some])
+                    own.step(keys[some], classes[some], end + 1, memory, 0.2 / (1 + nth))
                 np.add(seen, np.bincount(keys.ravel(), minlength=len(seen)), out=seen)
 
             waiting = 0
             for batch in it:
                 texts, turns = batch.column("text").to_pylist(), batch.column("turn").to_numpy()
                 for some in in_groups([len(t) for t in texts], 2_000_000):
-                    found = windows_of([np.frombuffer(t, kind).astype(np.int64) for t in texts[some]], end, turns[some])
+                    found = windows_of([np.frombuffer(t, kind).astype(np.int64) for t in texts[some]], end, turns[some] + nth, rounds)
                     held.append(found)
                     waiting += len(found[0])
                     n += len(found[0])
@@ -398,8 +390,7 @@ def train(encoded_texts: DataFrame, ranks: dict, class_of: np.ndarray, rounds: i
 
         schema = "part int, salt int, at binary, sum binary, weight binary"
         turn = F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1))
-        share = encoded_texts.select("text", turn.alias("turn")).where(F.col("turn") % rounds == nth).select("text", F.floor(F.col("turn") / rounds).cast("long").alias("turn"))
-        fitted = share.mapInArrow(fit, schema).groupBy("part", "salt").applyInPandas(added, schema)
+        fitted = encoded_texts.select("text", turn.alias("turn")).mapInArrow(fit, schema).groupBy("part", "salt").applyInPandas(added, schema)
         after = copy.deepcopy(model)
         for r in fitted.groupBy("part").applyInPandas(added, schema).collect():
             at, w = np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["weight"]), np.float32)[:, None]

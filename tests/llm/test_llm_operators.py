@@ -385,6 +385,45 @@ def test_lm_training_windows_hold_each_token_once():
                 assert g == 9 or after in (g, None)
 
 
+def test_lm_training_asks_at_every_place_once():
+    """Over the rounds: all blocks, each with the block before it, at all places that have a target."""
+    n, texts = lm_scoring.STRIDE, [np.arange(n) % 7 for n in (0, 5, 15, 16, 17, 31, 40, 200)]
+    inputs, targets, starts, _ = lm_scoring.laid_out(texts, 9)
+    every = Counter((tuple(inputs[s : s + 2 * n].tolist()), p, int(targets[s + n + p])) for s in starts.tolist() for p in range(n) if targets[s + n + p] >= 0)
+    for turn in (0, 1, 6):
+        asked = Counter()
+        for nth in range(lm_scoring.ROUNDS):
+            for row, at, goals in zip(*(x.tolist() for x in lm_scoring.windows_of(texts, 9, np.full(len(texts), turn + nth))), strict=True):
+                asked.update({(tuple(row), p, g) for p, g in zip(at, goals, strict=True)})
+        assert asked == every
+
+
+def test_lm_gradient_beside_paddings_and_past_the_end():
+    model, rng = lm_scoring.Attention(12, 4), np.random.default_rng(4)
+    for name in ("e", "a", "r", "u", "b"):
+        setattr(model, name, getattr(model, name).astype(float))
+    keys, goal = rng.integers(0, 11, (3, 32)), rng.integers(0, 4, (3, 16))
+    keys[0, :16], goal[1, 9:] = 11, -1
+    real = goal.ravel() >= 0
+
+    def loss():
+        p, _ = model.forward(keys, 11)
+        return -np.log(p[real, goal.ravel()[real]]).mean()
+
+    before, slopes = model.e.copy(), {}
+    for at in [(int(keys[0, 20]), 3), (int(keys[1, 2]), 0), (int(keys[1, 24]), 7), (11, 1)]:
+        model.e[at] += 1e-5
+        up = loss()
+        model.e[at] -= 2e-5
+        slopes[at] = (up - loss()) / 2e-5
+        model.e[at] += 1e-5
+    memory = {}
+    model.step(keys, goal, 11, memory, 1e-3)
+    for at, slope in slopes.items():
+        moved = 1e-3 * slope / math.sqrt(memory["e"][at[0]])
+        assert math.isclose(before[at] - model.e[at], moved, rel_tol=1e-3, abs_tol=1e-9)
+
+
 def test_lm_logs_equal_forward():
     """The fast scoring pass against the plain forward pass, also where attention scores are large."""
     rng = np.random.default_rng(2)
