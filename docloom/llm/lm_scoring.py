@@ -120,7 +120,7 @@ def laid_out(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
     return inputs, targets, starts, owner
 
 
-def shares(s: np.ndarray) -> np.ndarray:
+def in_shares(s: np.ndarray) -> np.ndarray:
     """exp of ``s`` as shares of its rows; rows are shifted by their maximum where exp would leave its range without it."""
     each = np.ones(s.shape[-1], s.dtype)
     with np.errstate(over="ignore"):
@@ -156,9 +156,9 @@ class Attention:
         s = q @ x.transpose(0, 2, 1)
         s += self.r[self.distance] + self.mask
         s[keys[:, 0] == pad, :, :STRIDE] = -1e9  # paddings before a text fill the first half of its first block
-        s = shares(s)
+        s = in_shares(s)
         wide[:, DIMENSIONS:-1] = (s @ x).reshape(-1, DIMENSIONS)
-        return shares(wide @ np.vstack((self.u, self.b))), (x, wide, q, s)
+        return in_shares(wide @ np.vstack((self.u, self.b))), (x, wide, q, s)
 
     def logs(self, inputs: np.ndarray, classes: np.ndarray, pad: int, step: int = 128) -> np.ndarray:
         """Natural log of the probability of each target class along ``inputs``; that of -1 means nothing.
