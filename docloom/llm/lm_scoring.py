@@ -24,7 +24,9 @@ VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Each block of STRIDE tokens is scored once, seeing itself and the STRIDE tokens before.
 STRIDE, DIMENSIONS = 16, 16
 #: The most frequent subwords have a class each; the others share classes by their first bytes.
-OWN_CLASSES, SHARED_CLASSES = 72, 24
+OWN_CLASSES, SHARED_CLASSES = 160, 48
+#: Classes of a group: a class's probability is that of its group times its own within the group.
+GROUP_CLASSES = 16
 #: Averaged passes, each over its own share of each training document's blocks and from the weights of the one before.
 ROUNDS = 2
 #: Windows of one step, targets of each (all), and windows that a trainer holds and shuffles at once.
@@ -120,8 +122,8 @@ def laid_out(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
     return inputs, targets, starts, owner
 
 
-def in_shares(s: np.ndarray) -> np.ndarray:
-    """exp of ``s`` as shares of its rows; rows are shifted by their maximum where exp would leave its range without it."""
+def exponents(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of ``s``, sums of its rows); rows are shifted by their maximum where exp would leave its range without it."""
     each = np.ones(s.shape[-1], s.dtype)
     with np.errstate(over="ignore"):
         p = np.exp(s)
@@ -129,36 +131,75 @@ def in_shares(s: np.ndarray) -> np.ndarray:
     if len(total) and not (total.min() > 1e-30 and total.max() < 1e30):
         np.exp(s - s.max(axis=-1, keepdims=True), out=p)
         total = p.reshape(-1, len(each)) @ each
+    return p, total
+
+
+def in_shares(s: np.ndarray) -> np.ndarray:
+    """exp of ``s`` as shares of its rows."""
+    p, total = exponents(s)
     p *= (1 / total).reshape(*s.shape[:-1], 1)
     return p
 
 
 class Attention:
-    """One head of causal self-attention with distance biases, and a softmax over subword classes."""
+    """One head of causal self-attention with distance biases, and a softmax over groups of subword classes, then over a group's.
+
+    The probability of a class is that of its group times its own within the group, so a place costs the groups and one
+    group's classes, not all. Columns of ``u`` and ``b``: the classes, GROUP_CLASSES a group, then the groups.
+    """
 
     def __init__(self, ids: int, classes: int, seed: int = 23):
         rng = np.random.default_rng(seed)
         f = np.float32
+        self.classes, self.groups = classes, -(-classes // GROUP_CLASSES)
         self.e = rng.normal(0, 0.3, (ids, DIMENSIONS)).astype(f)
         self.a = (np.eye(DIMENSIONS) + rng.normal(0, 0.1, (DIMENSIONS, DIMENSIONS))).astype(f)
         self.r = np.zeros(2 * STRIDE, f)
-        self.u = rng.normal(0, 0.1, (2 * DIMENSIONS, classes)).astype(f)
-        self.b = np.zeros(classes, f)
+        self.u = rng.normal(0, 0.1, (2 * DIMENSIONS, classes + self.groups)).astype(f)
+        self.b = np.zeros(classes + self.groups, f)
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None]
         self.distance, self.mask = np.clip(i - j, 0, None), np.where(j <= i, 0, -1e9).astype(f)
 
-    def forward(self, keys: np.ndarray, pad: int):
-        """(probabilities of classes at each place, and what training needs) for ``keys``: the ids a block sees, 2 * STRIDE each."""
+    def columns(self, group: int) -> slice:
+        """The columns of a group's classes; the last group may have fewer than GROUP_CLASSES."""
+        return slice(group * GROUP_CLASSES, min((group + 1) * GROUP_CLASSES, self.classes))
+
+    def by_group(self, classes: np.ndarray):
+        """(places of ``classes`` by group, groups and classes within them in that order, the run of each group and its columns)."""
+        group = np.maximum(classes, 0).astype(np.uint16) // np.uint16(GROUP_CLASSES)
+        order = np.argsort(group, kind="stable")
+        ends = [0, *np.cumsum(np.bincount(group, minlength=self.groups)).tolist()]
+        runs = [(slice(at, to), self.columns(k)) for k, (at, to) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if to > at]
+        return order, group.take(order), classes.take(order) % GROUP_CLASSES, runs
+
+    def within(self, wide: np.ndarray, last: np.ndarray, runs: list[tuple[slice, slice]]) -> np.ndarray:
+        """What the classes of its own group get at each place of ``wide``; a class that a group hasn't gets as good as no share."""
+        z = np.empty((len(wide), GROUP_CLASSES), wide.dtype)
+        for own, columns in runs:
+            n = columns.stop - columns.start
+            np.matmul(wide[own], last[:, columns], out=z[own, :n])
+            z[own, n:] = -1e9
+        return z
+
+    def seen(self, keys: np.ndarray, pad: int):
+        """(vectors, those of the places, queries, exp of attention, its sums, what is seen) for ``keys``: the ids a block sees, 2 * STRIDE each."""
         x = self.e.take(keys, axis=0)
-        wide = np.ones((len(keys) * STRIDE, 2 * DIMENSIONS + 1), x.dtype)  # the last column is the bias's
-        wide[:, :DIMENSIONS] = x[:, STRIDE:].reshape(-1, DIMENSIONS)
-        q = (wide[:, :DIMENSIONS] @ self.a * x.dtype.type(DIMENSIONS**-0.5)).reshape(-1, STRIDE, DIMENSIONS)
+        own = x[:, STRIDE:].reshape(-1, DIMENSIONS)
+        q = (own @ (self.a * x.dtype.type(DIMENSIONS**-0.5))).reshape(-1, STRIDE, DIMENSIONS)
         s = q @ x.transpose(0, 2, 1)
         s += self.r[self.distance] + self.mask
         s[keys[:, 0] == pad, :, :STRIDE] = -1e9  # paddings before a text fill the first half of its first block
-        s = in_shares(s)
-        wide[:, DIMENSIONS:-1] = (s @ x).reshape(-1, DIMENSIONS)
-        return in_shares(wide @ np.vstack((self.u, self.b))), (x, wide, q, s)
+        p, total = exponents(s)
+        seen = (p @ x).reshape(-1, DIMENSIONS)
+        seen /= total[:, None]
+        return x, own, q, p, total, seen
+
+    def forward(self, keys: np.ndarray, pad: int):
+        """(probabilities of all classes at each place, and what ``seen`` finds) for ``keys``."""
+        found = self.seen(keys, pad)
+        z = np.concatenate((found[1], found[-1]), axis=1) @ self.u + self.b
+        of_group = in_shares(z[:, self.classes :])
+        return np.concatenate([in_shares(z[:, self.columns(k)]) * of_group[:, k, None] for k in range(self.groups)], axis=1), found
 
     def logs(self, inputs: np.ndarray, classes: np.ndarray, pad: int, step: int = 128) -> np.ndarray:
         """Natural log of the probability of each target class along ``inputs``; that of -1 means nothing.
@@ -171,13 +212,22 @@ class Attention:
         bias = self.r[self.distance] + self.mask
         out = np.zeros(len(inputs))
         wide = np.ones((step * n, 2 * DIMENSIONS + 1), np.float32)  # the last column is the bias's
-        z_of, rows = np.empty((step * n, len(self.b)), np.float32), np.arange(step * n)
-        last, each_key, each_class = np.vstack((self.u, self.b)), np.ones(2 * n, np.float32), np.ones(len(self.b), np.float32)
+        rows = np.arange(step * n)
+        last, each_key = np.vstack((self.u, self.b)), np.ones(2 * n, np.float32)
+        of_group, each_group, each_class = last[:, self.classes :].copy(), np.ones(self.groups, np.float32), np.ones(GROUP_CLASSES, np.float32)
+        asked = self.a * np.float32(DIMENSIONS**-0.5)
+
+        def log_shares(z: np.ndarray, which: np.ndarray, each: np.ndarray) -> np.ndarray:
+            if z.max() > 80:
+                z -= z.max(axis=1, keepdims=True)
+            got = z[rows[: len(z)], which]
+            return got - np.log(np.exp(z, out=z) @ each)
+
         for k in range(0, blocks, step):
             to = min(k + step, blocks)
-            x = self.e[inputs[k * n : (to + 1) * n]]  # a step's vectors at a time, which stay in the cache
+            x = self.e.take(inputs[k * n : (to + 1) * n], axis=0)  # a step's vectors at a time, which stay in the cache
             keys = np.lib.stride_tricks.sliding_window_view(x, 2 * n, axis=0)[::n].transpose(0, 2, 1)
-            q = (x[n:] @ self.a) * np.float32(DIMENSIONS**-0.5)
+            q = x[n:] @ asked
             for shifted in (False, True):  # by the row's maximum, where exp would leave its range without it
                 s = q.reshape(to - k, n, DIMENSIONS) @ keys.transpose(0, 2, 1)
                 s += bias
@@ -192,36 +242,49 @@ class Attention:
                     break
             seen = (s @ keys).reshape(-1, DIMENSIONS)
             seen /= shares[:, None]
+            order, group, place, runs = self.by_group(classes[(k + 1) * n : (to + 1) * n])
             both = wide[: len(seen)]
-            both[:, :DIMENSIONS], both[:, DIMENSIONS:-1] = x[n:], seen
-            z = np.matmul(both, last, out=z_of[: len(seen)])
-            if z.max() > 80:
-                z -= z.max(axis=1, keepdims=True)
-            at = slice((k + 1) * n, (to + 1) * n)
-            got = z[rows[: len(z)], classes[at]].astype(float)
-            out[at] = got - np.log((np.exp(z, out=z) @ each_class).astype(float))
+            both[:, :DIMENSIONS], both[:, DIMENSIONS:-1] = x[n:].take(order, axis=0), seen.take(order, axis=0)
+            out[(k + 1) * n + order] = log_shares(both @ of_group, group, each_group) + log_shares(self.within(both, last, runs), place, each_class)
         return out
 
     def step(self, keys: np.ndarray, classes: np.ndarray, pad: int, memory: dict, rate: float) -> None:
         """One Adagrad step on blocks ``keys`` with the target ``classes`` of all their places (-1: none)."""
-        d, (x, wide, q, s) = self.forward(keys, pad)
+        x, own, q, p, total, seen = self.seen(keys, pad)
         goal = classes.ravel()
-        rows = np.flatnonzero(goal >= 0)
-        d[goal < 0] = 0
-        d[rows, goal[rows]] -= 1
-        each = 1 / max(1, len(rows))
-        last = (d.T @ wide).T
-        back = d @ self.u.T
-        d_seen = back[:, DIMENSIONS:].reshape(q.shape)
+        order, group, place, runs = self.by_group(goal)
+        wide = np.ones((len(order), 2 * DIMENSIONS + 1), x.dtype)  # places by group; the last column is the bias's
+        wide[:, :DIMENSIONS], wide[:, DIMENSIONS:-1] = own.take(order, axis=0), seen.take(order, axis=0)
+        last, every = np.vstack((self.u, self.b)), np.arange(len(order))
+        d_group, d = in_shares(wide @ last[:, self.classes :].copy()), in_shares(self.within(wide, last, runs))
+        d_group[every, group] -= 1
+        d[every, place] -= 1
+        none = goal.take(order) < 0
+        if none.any():
+            d_group[none] = d[none] = 0
+        each = 1 / max(1, len(goal) - np.count_nonzero(none))
+        slope = np.zeros_like(last)
+        slope[:, self.classes :] = (d_group.T @ wide).T
+        sorted_back = d_group @ self.u[:, self.classes :].T
+        for some, columns in runs:
+            d_own = d[some, : columns.stop - columns.start]
+            slope[:, columns] = (d_own.T @ wide[some]).T
+            sorted_back[some] += d_own @ self.u[:, columns].T
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
+        d_seen = (back[:, DIMENSIONS:] / total[:, None]).reshape(q.shape)
         d_s = d_seen @ x.transpose(0, 2, 1)
-        d_s -= np.einsum("wij,wij->wi", d_s, s)[:, :, None]
-        d_s *= s
-        d_q = (d_s @ x).reshape(-1, DIMENSIONS) * x.dtype.type(DIMENSIONS**-0.5)
-        d_x = s.transpose(0, 2, 1) @ d_seen
+        d_s -= np.einsum("wid,wid->wi", d_seen, seen.reshape(q.shape))[:, :, None]
+        d_s *= p
+        d_q = (d_s @ x).reshape(-1, DIMENSIONS)
+        d_x = p.transpose(0, 2, 1) @ d_seen
         d_x += d_s.transpose(0, 2, 1) @ q
-        d_x[:, STRIDE:] += (back[:, :DIMENSIONS] + d_q @ self.a.T).reshape(q.shape)
+        unit = x.dtype.type(DIMENSIONS**-0.5)
+        d_own = d_q @ (self.a.T * unit)
+        d_own += back[:, :DIMENSIONS]
+        d_x[:, STRIDE:] += d_own.reshape(q.shape)
         slope_r = np.bincount(self.distance.ravel(), d_s.sum(axis=0).ravel(), minlength=2 * STRIDE)
-        for name, g in {"u": last[:-1], "b": last[-1], "a": wide[:, :DIMENSIONS].T @ d_q, "r": slope_r}.items():
+        for name, g in {"u": slope[:-1], "b": slope[-1], "a": own.T @ d_q * unit, "r": slope_r}.items():
             g = g * each
             memory[name] = memory.get(name, 1e-6) + g * g
             setattr(self, name, (getattr(self, name) - rate * g / np.sqrt(memory[name])).astype(self.e.dtype))
@@ -229,9 +292,12 @@ class Attention:
         met[keys] = True
         some = np.flatnonzero(met)
         slot = np.empty(len(self.e), np.int64)
-        slot[some] = np.arange(len(some)) * DIMENSIONS
-        cell = slot[keys][:, :, None] + np.arange(DIMENSIONS)
-        g = (np.bincount(cell.ravel(), d_x.ravel(), len(some) * DIMENSIONS).reshape(-1, DIMENSIONS) * each).astype(self.e.dtype)
+        slot[some] = np.arange(len(some)) * (DIMENSIONS // 2)
+        cell = slot.take(keys)[:, :, None] + np.arange(DIMENSIONS // 2)
+        g = np.zeros(len(some) * DIMENSIONS, x.dtype)
+        pairs = np.result_type(x.dtype, np.complex64)  # two numbers are added at once
+        np.add.at(g.view(pairs), cell.ravel(), d_x.ravel().view(pairs))
+        g = g.reshape(-1, DIMENSIONS) * x.dtype.type(each)
         if "e" not in memory:
             memory["e"] = np.full(len(self.e), 1e-6, np.float32)
         memory["e"][some] += (g * g).mean(axis=1)

@@ -445,6 +445,41 @@ def test_lm_logs_equal_forward():
         assert np.allclose(each, [want[np.repeat(owner, lm_scoring.STRIDE)[real] == k].sum() / np.log(10) for k in range(len(ids))], rtol=1e-3, atol=1e-3)
 
 
+def test_lm_groups_of_classes():
+    """Slopes beside differences, scoring beside the plain forward pass; classes of a group that no place asks for don't move."""
+    model, rng = lm_scoring.Attention(12, 40), np.random.default_rng(6)
+    keys, goal = rng.integers(0, 11, (3, 32)), rng.integers(0, 40, (3, 16))
+    goal[(goal >= 16) & (goal < 32)] -= 16
+    goal[1, 9:] = -1
+    real = goal.ravel() >= 0
+    inputs, targets = keys.ravel().copy(), np.full(96, -1)
+    targets[16:32] = goal[0]
+    p, _ = model.forward(keys, 11)
+    assert p.shape == (48, 40) and np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    assert np.allclose(model.logs(inputs, targets, 11)[16:32], np.log(p[np.arange(16), goal[0]]), atol=1e-5)
+    for name in ("e", "a", "r", "u", "b"):
+        setattr(model, name, getattr(model, name).astype(float))
+
+    def loss():
+        p, _ = model.forward(keys, 11)
+        return -np.log(p[real, goal.ravel()[real]]).mean()
+
+    before, slopes = {name: getattr(model, name).copy() for name in ("e", "u", "b")}, {}
+    for name, at in (("u", (5, 1)), ("u", (3, 35)), ("u", (20, 41)), ("b", (2,)), ("b", (42,)), ("e", (int(keys[0, 20]), 3)), ("e", (int(keys[1, 2]), 0))):
+        own = getattr(model, name)
+        own[at] += 1e-5
+        up = loss()
+        own[at] -= 2e-5
+        slopes[name, at] = (up - loss()) / 2e-5
+        own[at] += 1e-5
+    memory = {}
+    model.step(keys, goal, 11, memory, 1e-3)
+    for (name, at), slope in slopes.items():
+        moved = 1e-3 * slope / math.sqrt(memory[name][at[0] if name == "e" else at])
+        assert math.isclose(before[name][at] - getattr(model, name)[at], moved, rel_tol=1e-3, abs_tol=1e-9)
+    assert (model.u[:, 16:32] == before["u"][:, 16:32]).all() and (model.u[:, :16] != before["u"][:, :16]).any()
+
+
 def test_lm_words_and_subwords():
     import pyarrow as pa
 
