@@ -14,10 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fold, in_groups, materialize, read, text_or_empty
+from docloom.llm.common import discard, fold, in_groups, materialize, read, text_or_empty
 
 #: Public byte-level BPE vocabulary: lines of a base64 token and its rank. Read on the driver, sent to the tasks.
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -34,7 +34,7 @@ STEP_WINDOWS, TARGETS, HELD_WINDOWS = 256, STRIDE, 16_384
 EMBEDDING_PARTS = 16
 #: Tokens of a trainer, in the mean, by which the salts of the averages are chosen.
 TOKENS_A_TRAINER = 4_000_000
-#: Bytes of texts that are split at once, to be learned from and to be scored.
+#: Bytes of texts that are split at once, into subwords and to be scored.
 LEARNED_BYTES, SCORED_BYTES = 8_000_000, 4_000_000
 #: Frequent words sent to every task at most; the other words' counts are joined.
 SENT_WORDS = 300_000
@@ -336,31 +336,42 @@ def narrow_type(end: int):
     return np.uint16 if end + 2 <= 1 << 16 else np.int32
 
 
-def encoded(training: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, id, n, text): what there is to learn of ``training(doc_id, text)``, read once and written.
+def encoded(texts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(word, id, n, text, learn, row, doc_id, whole): ``texts(doc_id, text)`` in words and subwords, read once and written.
 
-    Rows with a word: how often a batch of texts has it. Rows with an id: how often a task has that subword. Rows with a
-    text: a text's subword ids.
+    Rows with a word: how often a batch of texts to learn from has it. Rows with an id: how often a task has that subword in
+    such texts. Rows with a text: a text's subword ids, whether to learn from it, and its row, doc_id and whole text as
+    given. ``texts`` may have columns ``learn`` (all without it) and ``row`` (null without it).
     """
-    sent = training.sparkSession.sparkContext.broadcast(ranks)
+    sent, end = texts.sparkSession.sparkContext.broadcast(ranks), len(ranks)
+    learn = F.coalesce(F.col("learn"), F.lit(False)) if "learn" in texts.columns else F.lit(True)
+    row_of = F.col("row") if "row" in texts.columns else F.lit(None)
+    doc_id = texts.schema["doc_id"].dataType
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(sent.value)
-        total, kind = np.zeros(subwords.end, np.int64), narrow_type(subwords.end)
-        names, types = ["word", "id", "n", "text"], [pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        row = lambda n, *columns: pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip(columns, types, strict=True)], names)
+        total, kind = np.zeros(end, np.int64), narrow_type(end)
+        types = {"word": pa.string(), "id": pa.int64(), "n": pa.int64(), "text": pa.binary(), "learn": pa.bool_(), "row": pa.int64(), "doc_id": pa.null(), "whole": pa.string()}
+        rows = lambda size, **columns: pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
         for batch in by_size(it, LEARNED_BYTES):
+            types["doc_id"] = batch.column("doc_id").type
             distinct, which, counts = split_words(batch.column("text"))
-            yield row(len(distinct), distinct, None, pa.array(np.bincount(which, minlength=len(distinct))), None)
+            learned = batch.column("learn").to_numpy(zero_copy_only=False)
             ids, sizes = subwords.ids(listed(distinct))
-            flat = spread(ids, sizes, which)
-            total += np.bincount(flat, minlength=len(total))
-            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(counts)), counts), sizes[which], minlength=len(counts))).astype(np.int64)
-            yield row(len(counts), None, None, None, pa.array([x.astype(kind).tobytes() for x in np.split(flat, ends[:-1])], pa.binary()))
+            flat, owner = spread(ids, sizes, which), np.repeat(np.arange(len(counts)), counts)
+            own = np.bincount(owner, sizes[which], minlength=len(counts)).astype(np.int64)
+            n = np.bincount(which[learned[owner]], minlength=len(distinct))
+            met = np.flatnonzero(n)
+            yield rows(len(met), word=distinct.take(pa.array(met)), n=pa.array(n[met]))
+            total += np.bincount(flat[np.repeat(learned, own)], minlength=len(total))
+            parts = [x.astype(kind).tobytes() for x in np.split(flat, np.cumsum(own)[:-1])]
+            yield rows(len(counts), text=pa.array(parts, pa.binary()), learn=batch.column("learn"), row=batch.column("row"), doc_id=batch.column("doc_id"), whole=batch.column("text"))
         some = np.flatnonzero(total)
-        yield row(len(some), None, pa.array(some), pa.array(total[some]), None)
+        if len(some):
+            yield rows(len(some), id=pa.array(some), n=pa.array(total[some]))
 
-    return materialize(training.select(text_or_empty().alias("text")).mapInArrow(batches, "word string, id long, n long, text binary"))
+    given = texts.select(text_or_empty().alias("text"), learn.alias("learn"), row_of.cast("long").alias("row"), "doc_id")
+    return materialize(given.mapInArrow(batches, f"word string, id long, n long, text binary, learn boolean, row long, doc_id {doc_id.simpleString()}, whole string"))
 
 
 def class_tables(n: np.ndarray, ranks: dict[bytes, int], texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -486,7 +497,7 @@ def frequent_words(counts: DataFrame) -> dict[str, int]:
     return {r.word: r.c for r in counts.where(step >= least).collect()}
 
 
-def score_texts(docs: DataFrame, training: DataFrame, vocabulary_file: str = VOCABULARY_FILE) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame | Column, vocabulary_file: str = VOCABULARY_FILE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs(doc_id, text)``.
 
     Texts are lower-cased (A-Z) and split into words; an end follows each. ``base_score`` sums log10((c + 0.5) /
@@ -494,13 +505,18 @@ def score_texts(docs: DataFrame, training: DataFrame, vocabulary_file: str = VOC
     probability under the attention model: a class by attention over the subwords before, then the subword within its
     class by its count in all training texts. Null text counts as empty, which is an end only. With nothing to learn
     from, counts are zero and the model is as it starts. Repeated rows are scored alike, and each row of ``training``
-    counts; further columns are ignored; an empty table gives no rows.
+    counts; further columns are ignored; an empty table gives no rows. Where ``training`` is a condition on ``docs``, each
+    text is split into subwords once, to be learned from and to be scored.
     """
     spark, ranks = docs.sparkSession, load_ranks(vocabulary_file)
-    learned = encoded(training, ranks)
+    end, among = len(ranks), isinstance(training, Column)
+    given = docs.select("doc_id", "text", (training if among else F.lit(False)).alias("learn"), F.monotonically_increasing_id().alias("row"))
+    if not among:
+        given = given.unionByName(training.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(True).alias("learn"), F.lit(None).cast("long").alias("row")))
+    learned = encoded(given, ranks)
     counts = materialize(learned.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     figures = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    ids = learned.where("text is not null").select("text")
+    ids = learned.where("text is not null and learn").select("text")
     texts = ids.count()
     total, distinct = (figures.n or 0) + texts, figures.v + (texts > 0)
     of_id = np.zeros(len(ranks), np.int64)
@@ -510,14 +526,14 @@ def score_texts(docs: DataFrame, training: DataFrame, vocabulary_file: str = VOC
     model = train(ids, ranks, class_of)
     known = frequent_words(counts)
     all_known = len(known) == figures.v
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps((ranks, model, class_of, inside, known)))
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps((model, class_of, inside, known)))
 
     def logs(c):
         return np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, model, class_of, inside, known = pickle.loads(sent.value)
-        subwords = Subwords(ranks)
+        model, class_of, inside, known = pickle.loads(sent.value)
+        kind = narrow_type(end)
         for batch in by_size(it, SCORED_BYTES):
             distinct, which, counts = split_words(batch.column("text"))
             words, n = listed(distinct), len(counts)
@@ -531,15 +547,13 @@ def score_texts(docs: DataFrame, training: DataFrame, vocabulary_file: str = VOC
             cuts = np.searchsorted(pair, np.arange(n + 1) * max(1, len(words))).astype(np.int32)
             rare = pa.ListArray.from_arrays(pa.array(cuts), distinct.take(pa.array(pair % max(1, len(words)))))
             often = pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int64)))
-            ids, sizes = subwords.ids(words)
-            flat = spread(ids, sizes, which)
-            ends = np.cumsum(np.bincount(owner, sizes[which], minlength=n)).astype(np.int64)
-            score = scores(model, class_of, inside, np.split(flat, ends[:-1]), subwords.end)
+            score = scores(model, class_of, inside, [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()], end)
             columns = [batch.column("doc_id"), batch.column("row"), pa.array(counts.astype(np.int64) + 1), pa.array(seen), pa.array(base), rare, often, pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_tokens", "n_known", "base", "rare", "times", "score"])
 
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    base = learned.where("row is not null").select("doc_id", "row", F.col("whole").alias("text"), F.col("text").alias("ids"))
     first = materialize(base.mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n_tokens long, n_known long, base double, rare array<string>, times array<long>, score double"))
+    discard(learned)
     here = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (total + 0.5 * (distinct + 1)))
     # a rare word's row is met by at most one count; words frequent in the corpus never come here
     rest = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
@@ -556,5 +570,5 @@ def score_texts(docs: DataFrame, training: DataFrame, vocabulary_file: str = VOC
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = score_texts(docs, docs.where(fold(5) != 1))
+    found = score_texts(docs, fold(5) != 1)
     return found.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -360,6 +360,20 @@ def test_lm_base_and_model(docs, empty, monkeypatch):
     assert lm_scoring.score_texts(docs, empty).count() == len(words)
 
 
+def test_lm_splits_each_text_once(spark, docs, monkeypatch):
+    """A condition for training gives the counts that a frame of it gives, and all texts are split into subwords in one pass."""
+    given = []
+    monkeypatch.setattr(lm_scoring, "encoded", lambda texts, ranks, plain=lm_scoring.encoded: given.append(texts) or plain(texts, ranks))
+    want = {r.doc_id: r for r in lm_scoring.score_texts(docs, docs.where("doc_id % 3 <> 1")).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score_texts(docs, F.col("doc_id") % 3 != 1).collect()}
+    assert given[1].count() == docs.count() == len(got) and want.keys() == got.keys()
+    for i, r in want.items():
+        assert r[:4] == got[i][:4] and math.isclose(r.base_score, got[i].base_score, rel_tol=1e-9) and got[i].score < 0
+    learned = lm_scoring.encoded(docs.select("doc_id", "text", (F.col("doc_id") % 3 != 1).alias("learn")), lm_scoring.load_ranks(lm_scoring.VOCABULARY_FILE))
+    assert learned.where("text is not null").count() == docs.count()
+    assert learned.where("text is not null and learn").count() == docs.where("doc_id % 3 <> 1").count()
+
+
 def test_lm_weights_learn_from_every_training_document(spark):
     ranks = lm_scoring.load_ranks(lm_scoring.VOCABULARY_FILE)
     words = [(i, t[1:].decode()) for t, i in ranks.items() if re.fullmatch(rb" [a-z]{3,}", t)][:3000]
