@@ -103,11 +103,26 @@ def in_slices(events: DataFrame, at: Column, reach_us: int) -> DataFrame:
 
 
 def trailing_usage(events: DataFrame, keys: list[str], seconds: int = 60, ts: str = "ts", tokens: str = "tokens") -> DataFrame:
-    """Events with requests and tokens of their key in the ``seconds`` up to and with each; the window's start is open."""
-    at = N.micros(F.col(ts))
-    span = Window.partitionBy(*keys, "_slice").orderBy(at).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    out = in_slices(events, at, seconds * 1_000_000).withColumn("window_requests", F.count("*").over(span)).withColumn("window_tokens", F.sum(tokens).over(span))
-    return out.where("_own").drop("_slice", "_own")
+    """Events with requests and tokens of their key in the ``seconds`` up to and with each; the window's start is open.
+
+    An event enters its slice and, if still within it, leaves ``seconds`` later as a row of its own; running sums over
+    both, leavers first, are what the window holds. Time doesn't grow with the events of a window. Only tokens of floating
+    point, which don't subtract exactly, are added up window by window.
+    """
+    at, reach = N.micros(F.col(ts)), seconds * 1_000_000
+    leaves = F.floor((at + reach) / (8 * reach)).cast("long") == F.col("_slice")
+    turns = in_slices(events, at, reach).withColumn("_turn", F.explode(F.when(leaves, F.array(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    turns = turns.withColumn("_at", at + F.when(F.col("_turn") < 0, reach).otherwise(0))
+    held = Window.partitionBy(*keys, "_slice").orderBy("_at", "_turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    signed = lambda x: F.sum(F.when(F.col("_turn") < 0, -x).otherwise(x)).over(held)
+    known = F.col(tokens).isNotNull().cast("long")
+    if events.select(tokens).dtypes[0][1] in ("float", "double"):
+        span = Window.partitionBy(*keys, "_slice", "_turn").orderBy("_at").rangeBetween(1 - reach, Window.currentRow)
+        total = F.sum(tokens).over(span)
+    else:
+        total = F.when(signed(known) > 0, signed(F.col(tokens)))
+    out = turns.withColumn("window_requests", signed(F.lit(1).cast("long"))).withColumn("window_tokens", total)
+    return out.where("_own and _turn > 0").drop("_slice", "_own", "_turn", "_at")
 
 
 def daily_usage(events: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:

@@ -122,6 +122,22 @@ def test_minute_window_is_open_at_its_start(spark):
     assert [r.window_requests for r in windows.trailing_usage(rows, ["k"]).orderBy("ts").collect()] == [1, 2, 2, 1]
 
 
+def test_windows_are_summed_as_events_enter_and_leave(spark):
+    """Before, each event added up its whole window anew; results as by enumeration, with ties, null and negative tokens, and floats that don't subtract exactly."""
+    rng, t0 = random.Random(3), datetime(2024, 1, 1)
+    rows = [(i, rng.choice("ab"), t0 + timedelta(microseconds=rng.choice([rng.randint(0, 4 * 10**8), 10**7 * rng.randint(0, 60)])), rng.choice([None, rng.randint(-5, 9)])) for i in range(500)] + [(500, "a", None, 3), (501, "a", None, None)]
+    held = lambda k, t: [x for _, l, u, x in rows if l == k and (u == t if t is None or u is None else timedelta(0) <= t - u < timedelta(seconds=60))]  # noqa: E731, E741
+    total = lambda xs: sum(x for x in xs if x is not None) if any(x is not None for x in xs) else None
+    want = {i: (len(held(k, t)), total(held(k, t))) for i, k, t, _ in rows}
+    out = windows.trailing_usage(df(spark, "id int, k string, ts timestamp, tokens long", *rows), ["k"])
+    assert out.columns == ["id", "k", "ts", "tokens", "window_requests", "window_tokens"]
+    got = out.collect()
+    assert len(got) == len(rows) and {r.id: (r.window_requests, r.window_tokens) for r in got} == want
+    assert "RangeFrame, -" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "rangeframe, -" not in plan
+    floats = df(spark, "k string, ts timestamp, tokens double", ("a", t0, 1e300), ("a", t0 + timedelta(seconds=90), 0.1))
+    assert [r.window_tokens for r in windows.trailing_usage(floats, ["k"]).orderBy("ts").collect()] == [1e300, 0.1]
+
+
 def test_token_wait(spark):
     t0 = datetime(2024, 1, 1)
     rows = df(spark, "k string, ts timestamp, tokens long", ("a", t0, 400), ("a", t0 + timedelta(seconds=30), 400), ("b", t0, 1))
