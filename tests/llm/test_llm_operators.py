@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,45 @@ def test_suffix_dedup_frequent_anchors_by_number_of_batches():
     assert [suffix_dedup.bucket_bits(n) for n in (0, 10**9, 39 * 10**12, 10**14)] == [0, 8, 24, 25]
 
 
+def test_suffix_dedup_batches_cost_no_more_for_more_buckets():
+    """Before, a batch was gathered anew for each bucket, and the buckets are as many as the corpus is large."""
+    rng = np.random.default_rng(1)
+    keys, owner, ids = rng.integers(0, 1 << 63, 200_000, np.uint64), np.sort(rng.integers(0, 900, 200_000)), np.arange(900) * 7
+    keys[::400] = keys[0]
+    seconds = {}
+    for bits in (4, 16):
+        kept, began = suffix_dedup.kept_bits(bits), time.process_time()
+        prefix = suffix_dedup._prefix(keys << np.uint64(1), bits)
+        sent = [r for batch in suffix_dedup.by_bucket(prefix, owner, ids, bits, 100) for r in batch.to_pylist()]
+        seconds[bits] = time.process_time() - began
+        got, often = [], []
+        for r in sent:
+            docs = np.frombuffer(r["docs"], np.int64)
+            if r["dest"] < 0:
+                often += zip(docs.tolist(), np.frombuffer(r["keys"], "<u8").tolist(), strict=True)
+                continue
+            low = suffix_dedup._from_five(r["keys"])
+            got += zip(np.repeat(docs, np.frombuffer(r["counts"], "<u4")).tolist(), ((np.uint64(r["dest"]) << np.uint64(kept)) | low).tolist(), strict=True)
+            assert [(r["dest"] << kept) | x for x in suffix_dedup._from_five(r["many"]).tolist()] == [x for x in [int(prefix[0])] if x >> kept == r["dest"]]
+        every = list(zip(ids[owner].tolist(), prefix.tolist(), strict=True))
+        assert sorted(often) == sorted(x for x in every if x[1] == prefix[0]) and sorted(got) == sorted(x for x in every if x[1] != prefix[0])
+    assert seconds[16] < 5
+
+
+def test_suffix_dedup_looks_for_no_passage_of_whole_copies(spark, monkeypatch):
+    """Before, all anchors of texts that occur twice were compared; results are as before, for copies sent by id or joined."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.random()) for _ in range(60)) for _ in range(6)]
+    texts = texts + texts[2:] + ["short", "short", "", None] + [texts[0] + " and more"] + texts[:3]
+    seen, shared = [], suffix_dedup.shared_anchors
+    monkeypatch.setattr(suffix_dedup, "shared_anchors", lambda *a: seen.append(shared(*a)) or seen[-1])
+    for most in (100, 2):
+        monkeypatch.setattr(suffix_dedup, "SENT_IDS", most)
+        got = suffix_dedup.without_repeats(spark.createDataFrame(rows(texts), SCHEMA).repartition(3)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed(texts)
+        assert {r.doc_id for r in seen[-1][0].collect()} == {0, 14}
+
+
 def test_suffix_dedup_repeated_ids(spark):
     twice = rows(["z" * 10 + "ab" * 60, "ab" * 70])
     one = suffix_dedup.without_repeats(spark.createDataFrame(twice, SCHEMA)).collect()
