@@ -5,6 +5,8 @@ import sys
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -77,6 +79,48 @@ def test_similar_pairs_by_blocks(spark, monkeypatch):
         assert len(got) == len({p for p in every if p[0] < p[1]}) and {(i, j): s for i, j, s in got} == {p: s for p, s in every.items() if p[0] < p[1]}
 
 
+def two_languages(rng, n):
+    """Sets of words of two languages, some of both, some almost equal, one of no token and one of a null."""
+    words = [[f"{c}{k}" for k in range(900)] for c in "xy"]
+    sets = []
+    for i in range(n):
+        size, tongue = rng.choice([2, 9, 40, 90]), i % 2
+        some = {rng.choice(words[tongue][: rng.choice([30, 900])]) for _ in range(size)} | {rng.choice(words[1 - tongue]) for _ in range(size if i % 9 == 0 else 1)}
+        sets.append(some if i % 5 else set(rng.choice(sets)) | some if sets else some)
+    return sets + [set(), {None}]
+
+
+def test_similar_pairs_of_several_languages(spark, monkeypatch):
+    """All pairs, whatever groups the sets fall into, how tokens are numbered and how many shards there are."""
+    sets = two_languages(random.Random(8), 200)
+    rows = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)] + [(999, None)], "id long, tokens array<string>")
+    score = lambda x, y: len((x & y) - {None}) / (len(x) + len(y) - len((x & y) - {None})) if x | y else 0
+    want = {(i, j): score(x, y) for i, x in enumerate(sets) for j, y in enumerate(sets) if score(x, y) >= 0.35}
+    for some in ({"BLOCK_SETS": 16, "COMMON": 64, "GROUPS": 6, "SHORT": 40, "LOOKED_UP": 3}, {"COUNTED": 60, "SHARD_SETS": 70, "SHORT": 65_536}):
+        for name, value in some.items():
+            monkeypatch.setattr(D, name, value)
+        got = [tuple(r) for r in D.similar_pairs(rows, rows, 0.35).collect()]
+        assert len(got) == len(want) and {(i, j): s for i, j, s in got} == want
+        got = [tuple(r) for r in D.similar_pairs(rows, rows, 0.35, ordered=True).collect()]
+        assert len(got) == len({p for p in want if p[0] < p[1]}) and {(i, j): s for i, j, s in got} == {p: s for p, s in want.items() if p[0] < p[1]}
+
+
+def test_few_sets_are_looked_up(monkeypatch):
+    """Before, common tokens were compared for each pair of sets with many of them."""
+    rng, looked = random.Random(9), []
+    sets = [s for s in two_languages(rng, 2000) if s and None not in s]
+    names = {t: k for k, t in enumerate(sorted(set().union(*sets)))}
+    table = pa.table({"id": range(len(sets)), "n": pa.array(map(len, sets), pa.int32()), "often": pa.array([np.array([names[t] for t in s], "<u2").tobytes() for s in sets], pa.binary()), "others": pa.array([b""] * len(sets), pa.binary())})
+    monkeypatch.setattr(D, "BLOCK_SETS", 256)
+    count = D.shared_tokens
+    monkeypatch.setattr(D, "shared_tokens", lambda *x: looked.append(len(x[2])) or count(*x))
+    side = D.Sets(table, np.zeros(0, np.int64))
+    got = {(side.ids[int(a)].as_py(), side.ids[int(b)].as_py()) for i, j, _ in D.met_sets(side, side, 0.35, True, D.SHORT) for a, b in zip(i, j, strict=True)}
+    want = {frozenset((i, j)) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.35 * len(x | y)}
+    assert {frozenset(p) for p in got} == want and len(got) == len(want)
+    assert sum(looked) < len(want) + 0.05 * len(sets) ** 2 / 2
+
+
 def test_similar_pairs_shuffle_sets_and_not_what_they_share(spark):
     """Sets that share many tokens and aren't similar: before, each shared token made a row of a pair."""
     rows = spark.range(3000).select(F.col("id"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(400)).cast("string")).alias("tokens"))
